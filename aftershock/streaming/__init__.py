@@ -1,0 +1,6 @@
+"""No streaming operator: every job this library covers is a batch job.
+
+The Column helpers of ``aftershock.functions`` and the row filters of
+``aftershock.operators.gates`` hold no state, so they also accept a streaming
+DataFrame (``tests/test_streaming.py``).  Nothing else is offered here.
+"""
