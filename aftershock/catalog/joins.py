@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from aftershock.catalog import fixtures as fx
 from aftershock.catalog.registry import query
-from aftershock.catalog.scans import features, scored_features
+from aftershock.catalog.scans import features, half_hour, scored_features
 from aftershock.catalog.scalars import horizon_sql
 from aftershock.catalog.sql import history_sql, sql
 from aftershock.operators import bundles, impact, market, reports, reshape, stats
@@ -87,7 +87,7 @@ def _join_after(spark, sf_dir):
     ),
 )
 def _join_bundle_market(spark, sf_dir):
-    rows = features(spark, sf_dir)
+    rows = half_hour(spark, sf_dir)
     return impact.join_bundle_market(
         bundles.bundle_count(rows), rows, ["close_released", "pips_candle_max_0_30_after"]
     )
@@ -102,7 +102,7 @@ def _join_bundle_market(spark, sf_dir):
     ),
 )
 def _join_predictions(spark, sf_dir):
-    rows = features(spark, sf_dir).select("event_id", "datetime")
+    rows = half_hour(spark, sf_dir).select("event_id", "datetime")
     late = rows.filter(C("datetime") >= F.lit("2024-01-20 00:00:00").cast("timestamp"))
     guesses = bundles.bundle_count(late).select("datetime", (C("num_news") % 2).alias("predicted"))
     return impact.join_predictions(rows, guesses).select("event_id", "predicted")
@@ -117,7 +117,7 @@ _LONG_SQL = " UNION ALL ".join(
 
 @query("join_news_windows", sql(_LONG_SQL, "cf"))
 def _join_news_windows(spark, sf_dir):
-    rows = features(spark, sf_dir)
+    rows = features(spark, sf_dir, (0,), snapshots=())
     names = [f"{m}_0_{e}_after" for e in HORIZON_ENDS for m in reshape.LONG_METRICS]
     windows = reshape.wide_to_long(rows.select("datetime", *names).dropDuplicates(), ["datetime"])
     return impact.join_news_windows(rows.select("event_id", "datetime"), windows).drop("datetime")
@@ -348,7 +348,7 @@ def _value_counts(spark, sf_dir):
     ),
 )
 def _describe_stats(spark, sf_dir):
-    return stats.describe_stats(features(spark, sf_dir), PROFILE)
+    return stats.describe_stats(features(spark, sf_dir, (0, 30), (30, 60, 240), ()), PROFILE)
 
 
 @query(
@@ -362,7 +362,7 @@ def _describe_stats(spark, sf_dir):
     ),
 )
 def _null_audit(spark, sf_dir):
-    return stats.null_audit(features(spark, sf_dir), PROFILE)
+    return stats.null_audit(features(spark, sf_dir, (0, 30), (30, 60, 240), ()), PROFILE)
 
 
 @query(
@@ -374,7 +374,7 @@ def _null_audit(spark, sf_dir):
     ),
 )
 def _horizon_thresholds(spark, sf_dir):
-    long = reshape.horizons_long(features(spark, sf_dir), [], ["pips_candle_max"])
+    long = reshape.horizons_long(features(spark, sf_dir, snapshots=()), [], ["pips_candle_max"])
     return stats.horizon_thresholds(long, "pips_candle_max")
 
 
@@ -389,7 +389,7 @@ def _horizon_thresholds(spark, sf_dir):
     ),
 )
 def _histogram(spark, sf_dir):
-    return stats.histogram(features(spark, sf_dir), "pips_candle_max_0_30_after")
+    return stats.histogram(half_hour(spark, sf_dir), "pips_candle_max_0_30_after")
 
 
 @query(
@@ -406,7 +406,7 @@ def _histogram(spark, sf_dir):
     ),
 )
 def _box_stats(spark, sf_dir):
-    return stats.box_stats(features(spark, sf_dir), ["impact"], "volatility_0_30_after")
+    return stats.box_stats(half_hour(spark, sf_dir), ["impact"], "volatility_0_30_after")
 
 
 def _corr(a: str, b: str) -> str:
@@ -428,7 +428,7 @@ CORR = [c for c in PROFILE if c not in ("year", "quarter", "month")]
     ),
 )
 def _correlation_matrix(spark, sf_dir):
-    return stats.correlation_matrix(features(spark, sf_dir), CORR)
+    return stats.correlation_matrix(features(spark, sf_dir, (0, 30), (30, 60, 240), ()), CORR)
 
 
 PAIRS = [
@@ -450,7 +450,7 @@ PAIRS = [
     ),
 )
 def _scatter_pairs(spark, sf_dir):
-    return stats.scatter_pairs(features(spark, sf_dir), "event_id", PAIRS)
+    return stats.scatter_pairs(features(spark, sf_dir, (0, 30), (60,), (30,)), "event_id", PAIRS)
 
 
 @query(
@@ -463,7 +463,7 @@ def _scatter_pairs(spark, sf_dir):
     ),
 )
 def _cell_average(spark, sf_dir):
-    rows = features(spark, sf_dir).select(
+    rows = half_hour(spark, sf_dir).select(
         "event_id", "impact", "month", C("pips_candle_max_0_30_after").alias("pips")
     )
     return stats.cell_average(rows, ["impact", "month"], "pips")
@@ -487,7 +487,7 @@ def _ohlc_resample(spark, sf_dir):
     sql("SELECT DISTINCT datetime, volatility_0_30_after, pips_candle_max_0_30_after FROM cf", "cf"),
 )
 def _drop_duplicates(spark, sf_dir):
-    rows = features(spark, sf_dir)
+    rows = half_hour(spark, sf_dir)
     return rows.select(
         "datetime", "volatility_0_30_after", "pips_candle_max_0_30_after"
     ).dropDuplicates()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from aftershock.catalog import fixtures as fx
 from aftershock.catalog.registry import query
-from aftershock.catalog.scans import CUT, SPEC, dataset_sql, features, scored_features
+from aftershock.catalog.scans import CUT, SPEC, dataset_sql, half_hour, scored_features
 from aftershock.catalog.sql import sql
 from aftershock.operators import neighbours, reports, reshape, trees
 from aftershock.plans.scoring import score_new
@@ -17,6 +17,7 @@ from aftershock.plans.sweeps import (
     sweep_dataset,
     sweep_plan,
 )
+from aftershock.session import materialise
 from aftershock.settings import NEIGHBOURS, TEST_SHARE
 
 C = F.col
@@ -56,7 +57,7 @@ def _sweep_dataset(spark, sf_dir):
     ),
 )
 def _random_split(spark, sf_dir):
-    rows = features(spark, sf_dir).select("event_id")
+    rows = half_hour(spark, sf_dir).select("event_id")
     return reshape.random_split(rows, "event_id", TEST_SHARE)
 
 
@@ -124,9 +125,9 @@ def _cross_validate(spark, sf_dir):
 
 @query(
     "vote_ensemble",
-    "SELECT l_orderkey, l_linenumber, CASE WHEN a + b + c >= 2 THEN 1 ELSE 0 END AS vote FROM (SELECT l_orderkey, "
-    "l_linenumber, CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS a, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS b, "
-    "CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END AS c FROM lineitem)",
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN 2 * sum(a + b + c) > 3 * count(*) THEN 1 ELSE 0 END "
+    "AS vote FROM (SELECT *, CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS a, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END "
+    "AS b, CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END AS c FROM lineitem) GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey",
 )
 def _vote_ensemble(spark, sf_dir):
     rows = fx.table(spark, sf_dir, "lineitem")
@@ -137,8 +138,9 @@ def _vote_ensemble(spark, sf_dir):
         ]
     )
     # one row per model and row, as the models' prediction tables come
-    predictions = rows.select("l_orderkey", "l_linenumber", F.explode(guesses).alias("yhat"))
-    return reports.vote_ensemble(predictions, ["l_orderkey", "l_linenumber"])
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    predictions = rows.select(*keys, F.explode(guesses).alias("yhat"))
+    return reports.vote_ensemble(predictions, keys)
 
 
 # --- tree models: no SQL equivalent -------------------------------------------------------------
@@ -149,14 +151,13 @@ _TREE_SPEC = SweepSpec("ALL_NO_1_1_1", "basic", "included", "0_30", "basic", "ma
 def _grid(spark, sf_dir, model, points):
     """Grid scores of both kinds of one model."""
     dataset = sweep_dataset(scored_features(spark, sf_dir), _TREE_SPEC).dropna()
-    rows = trees.with_folds(dataset, "datetime", 3).cache()
+    rows = materialise(trees.with_folds(dataset, "datetime", 3))
     names = feature_names(dataset, _TREE_SPEC)
     out = []
     for kind, target in (("clf", _TREE_SPEC.label), ("reg", _TREE_SPEC.target)):
         fitted = trees.fit_grid(rows, names, target, model, kind, points, folds=3)
-        table = trees.grid_table(spark, fitted, points)
+        table = trees.grid_table(spark, fitted)
         out.append(table.withColumn("kind", F.lit(kind)).withColumn("score", F.round("score", 4)))
-    rows.unpersist()
     return out[0].unionByName(out[1])
 
 

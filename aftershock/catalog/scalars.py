@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from aftershock.catalog import fixtures as fx
 from aftershock.catalog.registry import query
-from aftershock.catalog.scans import CELLS, ROW_REGEX, SPEC, features, scored_features
+from aftershock.catalog.scans import CELLS, ROW_REGEX, SPEC, features, half_hour
 from aftershock.catalog.sql import (
     history_sql,
     num,
@@ -37,7 +37,7 @@ C = F.col
 
 @query("project_columns", sql("SELECT event_id, datetime_gmt, close_released FROM cf", "cf"))
 def _project_columns(spark, sf_dir):
-    return reshape.project_columns(features(spark, sf_dir), ["event_id", "datetime_gmt", "close_released"])
+    return reshape.project_columns(half_hour(spark, sf_dir), ["event_id", "datetime_gmt", "close_released"])
 
 
 @query(
@@ -365,7 +365,7 @@ _CANDLES_5M = [f"pips_candle_{e - 5}_{e}_after" for e in SNAPSHOT_ENDS]
 )
 def _majority_direction(spark, sf_dir):
     moves = F.array_compact(F.array(*[C(c) for c in _CANDLES_5M]))
-    return features(spark, sf_dir).select(
+    return features(spark, sf_dir, (0,), (30,)).select(
         "event_id", numbers.majority_direction(moves, len(_CANDLES_5M)).alias("direction")
     )
 
@@ -392,7 +392,7 @@ def horizon_sql(columns: str, source: str = "cf") -> str:
     ),
 )
 def _threshold_label(spark, sf_dir):
-    long = reshape.horizons_long(features(spark, sf_dir), ["event_id"], ["pips_candle_max"])
+    long = reshape.horizons_long(features(spark, sf_dir, snapshots=()), ["event_id"], ["pips_candle_max"])
     label = flags.threshold_label(C("pips_candle_max"), C("from_min"), C("to_min"))
     return long.select("event_id", "from_min", "to_min", label.alias("label"))
 
@@ -453,7 +453,7 @@ def _error_score(spark, sf_dir):
     total = numbers.error_score(C("forecast_error"), C("impact")) + numbers.error_score(
         C("previous_error"), C("impact")
     )
-    return features(spark, sf_dir).select("event_id", total.alias("total_error"))
+    return half_hour(spark, sf_dir).select("event_id", total.alias("total_error"))
 
 
 @query(
@@ -469,7 +469,7 @@ def _predictable_flag(spark, sf_dir):
         C("previous_error"), C("impact")
     )
     flag = numbers.predictable_flag(total, C("pips_candle_max_0_30_after"))
-    return features(spark, sf_dir).select("event_id", flag.alias("predictable"))
+    return half_hour(spark, sf_dir).select("event_id", flag.alias("predictable"))
 
 
 @query(
@@ -637,7 +637,7 @@ def _week_coverage_gate(spark, sf_dir):
     sql("SELECT event_id, datetime_gmt FROM cf WHERE pips_candle_0_30_after IS NULL", "cf"),
 )
 def _market_gap_audit(spark, sf_dir):
-    gaps = gates.market_gap_audit(features(spark, sf_dir), "pips_candle_0_30_after")
+    gaps = gates.market_gap_audit(half_hour(spark, sf_dir), "pips_candle_0_30_after")
     return gaps.select("event_id", "datetime_gmt")
 
 
@@ -690,7 +690,7 @@ def _score_range_filter(spark, sf_dir):
     ),
 )
 def _view_filters(spark, sf_dir):
-    long = reshape.wide_to_long(features(spark, sf_dir), ["event_id", "impact", "month"])
+    long = reshape.wide_to_long(half_hour(spark, sf_dir), ["event_id", "impact", "month"], [30])
     shown = gates.view_filters(long, 30, ["High", "Medium"], (1, 11))
     return shown.select("event_id", "impact", "month", "pips_candle_0_")
 

@@ -11,9 +11,11 @@ from aftershock.catalog.sql import num, sql
 from aftershock.functions.numbers import numeric_token
 from aftershock.operators.reports import classification_report, rmse_report
 from aftershock.operators.reshape import temporal_split, wide_to_long
+from aftershock.operators.impact import join_market
 from aftershock.plans.curation import market_table
 from aftershock.plans.sweeps import SweepSpec, sweep_dataset
 from aftershock.session import new_path
+from aftershock.settings import HORIZON_ENDS, HORIZON_STARTS, SNAPSHOT_ENDS, CurationConfig
 from aftershock.sources.calendar import (
     scan_calendar,
     sink_calendar_by_year,
@@ -58,17 +60,22 @@ _CALENDAR = T.StructType(
 )
 
 
-def features(spark, sf_dir):
+def features(spark, sf_dir, starts=HORIZON_STARTS, ends=HORIZON_ENDS, snapshots=SNAPSHOT_ENDS):
     """Clean releases with market columns, without history scores."""
+    config = CurationConfig(starts=starts, ends=ends, snapshot_ends=snapshots)
     rows = fx.clean(spark, sf_dir)
-    return rows.join(market_table(rows, fx.candles(spark, sf_dir)), "datetime_gmt", "left")
+    return join_market(rows, market_table(rows, fx.candles(spark, sf_dir), config))
+
+
+def half_hour(spark, sf_dir):
+    """Features with the reaction in the first 30 minutes only."""
+    return features(spark, sf_dir, (0,), (30,), ())
 
 
 def scored_features(spark, sf_dir):
     """Features with history scores."""
     rows = fx.clean(spark, sf_dir)
-    market = market_table(rows, fx.candles(spark, sf_dir))
-    return fx.score_history(rows).join(market, "datetime_gmt", "left")
+    return join_market(fx.score_history(rows), market_table(rows, fx.candles(spark, sf_dir)))
 
 
 @query("scan_calendar", sql("SELECT *, CAST(year(datetime) AS INT) AS file_year FROM r", "r"))
@@ -115,7 +122,7 @@ def _scan_features(spark, sf_dir):
         "cf",
     ),
 )
-def _sink_features(spark, sf_dir):
+def _sink_half_hour(spark, sf_dir):
     path, text = new_path(spark, "features"), new_path(spark, "features-csv")
     columns = [
         "event_id",
@@ -197,11 +204,11 @@ def dataset_sql(source: str = "cs", extra: tuple[str, ...] = ()) -> str:
     ints = ["forecast_error_diff_outlier_class", "previous_error_diff_outlier_class"]
     w = "CASE impact WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END"
     flags = [f"{p}_{v}" for p in ("fe", "pe") for v in ("accurate", "better", "worse")]
-    source = {"fe": "forecast_error", "pe": "previous_error"}
+    flag = {"fe": "forecast_error", "pe": "previous_error"}
     cols = [f"round(sum({c} * {w}), 2) AS {c}" for c in sums]
     cols += [f"CAST(sum({c} * {w}) AS BIGINT) AS {c}" for c in ints]
     cols += [
-        f"CAST(sum(CASE WHEN {source[f[:2]]} = '{f[3:]}' THEN {w} ELSE 0 END) AS BIGINT) AS {f}"
+        f"CAST(sum(CASE WHEN {flag[f[:2]]} = '{f[3:]}' THEN {w} ELSE 0 END) AS BIGINT) AS {f}"
         for f in flags
     ]
     cols += [f"count(*) FILTER (WHERE impact = '{i}') AS \"{i}\"" for i in ("High", "Medium", "Low")]
@@ -231,7 +238,7 @@ def _sink_sweep_dataset(spark, sf_dir):
 def _sink_predictions(spark, sf_dir):
     path = new_path(spark, "predictions")
     guess = F.when(F.col("forecast_error_diff") > 0, F.lit(1)).otherwise(F.lit(0))
-    sink_predictions(features(spark, sf_dir).select("event_id", guess.alias("predicted")), path)
+    sink_predictions(half_hour(spark, sf_dir).select("event_id", guess.alias("predicted")), path)
     return spark.read.parquet(path)
 
 
@@ -246,7 +253,7 @@ def _sink_predictions(spark, sf_dir):
 )
 def _sink_long_export(spark, sf_dir):
     path = new_path(spark, "long")
-    long = wide_to_long(features(spark, sf_dir), ["event_id"], metrics=["pips_candle"])
+    long = wide_to_long(features(spark, sf_dir, (0,), snapshots=()), ["event_id"], metrics=["pips_candle"])
     sink_long_export(long, path)
     return spark.read.schema(long.schema).option("header", True).csv(path)
 
@@ -260,7 +267,7 @@ def _sink_long_export(spark, sf_dir):
 )
 def _sink_split_export(spark, sf_dir):
     path = new_path(spark, "split")
-    rows = features(spark, sf_dir).select("event_id", "datetime")
+    rows = half_hour(spark, sf_dir).select("event_id", "datetime")
     sink_split_export(*temporal_split(rows, F.lit(CUT).cast("timestamp")), path)
     sides = [
         spark.read.parquet(f"{path}/{side}").select("event_id", F.lit(side).alias("side"))

@@ -9,7 +9,7 @@ from aftershock.catalog import fixtures as fx
 from aftershock.catalog.joins import AFTER
 from aftershock.catalog.registry import query
 from aftershock.catalog.scalars import _RB_PAST, _RB_ROLL, _TOTAL, rolled
-from aftershock.catalog.scans import CELLS, CUT, ROW_REGEX, features
+from aftershock.catalog.scans import CELLS, CUT, ROW_REGEX, features, half_hour
 from aftershock.catalog.sql import after_sql, before_sql, history_sql, quartile_sql, sql
 from aftershock.functions.flags import list_position
 from aftershock.operators import bundles, history, market, ordered, reports, reshape, stats
@@ -252,7 +252,7 @@ def _row_range(spark, sf_dir):
     ),
 )
 def _rank_by_sum(spark, sf_dir):
-    return stats.rank_by_sum(features(spark, sf_dir), "indicator", "pips_candle_max_0_30_after")
+    return stats.rank_by_sum(half_hour(spark, sf_dir), "indicator", "pips_candle_max_0_30_after")
 
 
 @query(
@@ -322,7 +322,7 @@ def _union_results(spark, sf_dir):
     ),
 )
 def _temporal_split(spark, sf_dir):
-    rows = features(spark, sf_dir).select("event_id", "datetime")
+    rows = half_hour(spark, sf_dir).select("event_id", "datetime")
     train, test = reshape.temporal_split(rows, F.lit(CUT).cast("timestamp"))
     sides = [
         d.select(F.lit(side).alias("side"), "event_id") for d, side in ((train, "train"), (test, "test"))
@@ -339,7 +339,7 @@ _LONG = " UNION ALL ".join(
 
 @query("wide_to_long", sql(_LONG, "cf"))
 def _wide_to_long(spark, sf_dir):
-    return reshape.wide_to_long(features(spark, sf_dir), ["event_id"])
+    return reshape.wide_to_long(features(spark, sf_dir, (0,), snapshots=()), ["event_id"])
 
 
 @query(
@@ -352,7 +352,7 @@ def _wide_to_long(spark, sf_dir):
 )
 def _dashboard_long(spark, sf_dir):
     columns = ["event_id", "datetime", "indicator", "impact", "weekday", "forecast_error_diff"]
-    return dashboard_long(features(spark, sf_dir), columns)
+    return dashboard_long(features(spark, sf_dir, (0,), snapshots=()), columns)
 
 
 _PIPS = [f"pips_candle_max_0_{e}_after" for e in HORIZON_ENDS]
@@ -369,6 +369,6 @@ _PIPS = [f"pips_candle_max_0_{e}_after" for e in HORIZON_ENDS]
     ),
 )
 def _dashboard_predictability(spark, sf_dir):
-    return predictability(features(spark, sf_dir), "High")
+    return predictability(features(spark, sf_dir, (0,), snapshots=()), "High")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aftershock.functions.numbers import outlier_category, safe_ratio, signed_surprise
@@ -26,8 +26,8 @@ def previous_value(
 ) -> DataFrame:
     """Actual value of the indicator's last release; the first uses its own ``previous``."""
 
-    def columns(w: WindowSpec) -> dict[str, Column]:
-        return {"previous_value": F.coalesce(F.lag("actual").over(w), F.col("previous"))}
+    def columns(w: str) -> dict[str, str]:
+        return {"previous_value": f"coalesce(lag(actual) OVER ({w}), previous)"}
 
     return with_frames(releases, keys, order, columns, before=1, limit=limit, chunk=chunk)
 
@@ -51,14 +51,14 @@ def revision_surprise(
     )
 
 
-def rolling_columns(w: WindowSpec, field: str, size: int = HISTORY_ROWS) -> dict[str, Column]:
+def rolling_columns(w: str, field: str, size: int = HISTORY_ROWS) -> dict[str, str]:
     """Deviation and mean of the ``size`` earlier values, own value when there are fewer."""
-    frame = w.rowsBetween(-size, -1)
-    value = F.col(field).cast("double")
-    full = F.count(field).over(frame) == size
+    frame = f"OVER ({w} ROWS BETWEEN {size} PRECEDING AND 1 PRECEDING)"
+    value = f"CAST({field} AS DOUBLE)"
+    full = f"count({field}) {frame} = {size}"
     return {
-        f"{field}_std": F.when(full, F.stddev_samp(value).over(frame)).otherwise(value),
-        f"{field}_mean": F.when(full, F.avg(value).over(frame)).otherwise(value),
+        f"{field}_std": f"CASE WHEN {full} THEN stddev_samp({value}) {frame} ELSE {value} END",
+        f"{field}_mean": f"CASE WHEN {full} THEN avg({value}) {frame} ELSE {value} END",
     }
 
 
@@ -73,8 +73,8 @@ def rolling_std_mean(
 ) -> DataFrame:
     """Rolling deviation and mean of several fields in one sort."""
 
-    def columns(w: WindowSpec) -> dict[str, Column]:
-        out: dict[str, Column] = {}
+    def columns(w: str) -> dict[str, str]:
+        out: dict[str, str] = {}
         for field in fields:
             out.update(rolling_columns(w, field, size))
         return out

@@ -31,16 +31,17 @@ def snapshot_suffix(end: int) -> str:
     return f"_{end - CANDLE_MINUTES}_{end}_after"
 
 
-def snapshot_columns(end: int, at: dict[str, Column], close_released: Column) -> dict[str, Column]:
+def snapshot_columns(end: int) -> dict[str, str]:
     """Metrics of one five-minute candle; pips_agg counts from the release candle."""
     s = snapshot_suffix(end)
+    o, h, lo, c = (f"_{price}_{end}" for price in PRICES)
     return {
-        "high" + s: at["high"],
-        "low" + s: at["low"],
-        "close" + s: at["close"],
-        "volatility" + s: F.abs(at["high"] - at["low"]),
-        "pips_agg" + s: at["close"] - close_released,
-        "pips_candle" + s: at["close"] - at["open"],
+        "high" + s: h,
+        "low" + s: lo,
+        "close" + s: c,
+        "volatility" + s: f"abs({h} - {lo})",
+        "pips_agg" + s: f"{c} - close_released",
+        "pips_candle" + s: f"{c} - {o}",
     }
 
 
@@ -63,18 +64,23 @@ def market_by_instant(
     )
     looked_up = wanted.join(market.drop("pair", "candle_no"), "ts", "left")
 
-    def at(offset: int, column: str) -> Column:
-        return F.max(F.when(F.col("_off") == offset, F.col(column)))
+    def at(offset: int, column: str, name: str) -> Column:
+        return F.expr(f"max(CASE WHEN _off = {offset} THEN {column} END) AS {name}")
 
-    aggs = [at(0, c).alias(c) for c in features]
-    aggs += [at(-CANDLE_MINUTES, c).alias(f"{c}_released") for c in PRICES]
+    aggs = [at(0, c, c) for c in features]
+    aggs += [at(-CANDLE_MINUTES, c, f"{c}_released") for c in PRICES]
     for end in snapshot_ends:
-        aggs += [at(end - CANDLE_MINUTES, c).alias(f"_{c}_{end}") for c in PRICES]
-    out = looked_up.groupBy("datetime_gmt").agg(*aggs)
+        aggs += [at(end - CANDLE_MINUTES, c, f"_{c}_{end}") for c in PRICES]
+    found = looked_up.groupBy("datetime_gmt").agg(*aggs)
+    texts: dict[str, str] = {}
     for end in snapshot_ends:
-        prices = {c: F.col(f"_{c}_{end}") for c in PRICES}
-        out = out.withColumns(snapshot_columns(end, prices, F.col("close_released")))
-    return out.drop(*[f"_{c}_{end}" for c in PRICES for end in snapshot_ends])
+        texts.update(snapshot_columns(end))
+    return found.selectExpr(
+        "datetime_gmt",
+        *features,
+        *[f"{c}_released" for c in PRICES],
+        *[f"{text} AS {name}" for name, text in texts.items()],
+    )
 
 
 def join_snapshots_5m(

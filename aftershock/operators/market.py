@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aftershock.functions.moments import minutes
@@ -84,56 +84,57 @@ def suffix(start: int, end: int) -> str:
     return f"_{start}_{end}_after"
 
 
-def forward_extremes(w: WindowSpec, start: int, end: int) -> tuple[Column, Column]:
+def forward_extremes(w: str, start: int, end: int) -> tuple[str, str]:
     """Highest high and lowest low of the candles from ``start`` up to ``end``."""
-    frame = w.rowsBetween(start // CANDLE_MINUTES, end // CANDLE_MINUTES - 1)
-    return (
-        F.coalesce(F.max("high").over(frame), F.col("high")),
-        F.coalesce(F.min("low").over(frame), F.col("low")),
-    )
+    first, last = start // CANDLE_MINUTES, end // CANDLE_MINUTES - 1
+    frame = f"OVER ({w} ROWS BETWEEN {first} FOLLOWING AND {last} FOLLOWING)"
+    return f"coalesce(max(high) {frame}, high)", f"coalesce(min(low) {frame}, low)"
 
 
-def forward_closes(w: WindowSpec, start: int, end: int) -> tuple[Column, Column]:
+def forward_closes(w: str, start: int, end: int) -> tuple[str, str]:
     """Close of the candle at ``start`` and of the last candle before ``end``."""
 
-    def ahead(k: int) -> Column:
-        return F.coalesce(F.lead("close", k).over(w), F.col("close")) if k else F.col("close")
+    def ahead(k: int) -> str:
+        return f"coalesce(lead(close, {k}) OVER ({w}), close)" if k else "close"
 
     return ahead(start // CANDLE_MINUTES), ahead(end // CANDLE_MINUTES - 1)
 
 
-def after_columns(w: WindowSpec, pairs: Sequence[tuple[int, int]]) -> dict[str, Column]:
-    """The five reaction metrics of every horizon.
+def reaction(s: str, high: str, low: str, first: str, last: str, close: str) -> dict[str, str]:
+    """The five reaction metrics of a horizon from its prices.
 
     The reference price of a horizon is the close of its first candle;
     ``pips_agg`` is measured from the close of the release candle.
     """
-    out: dict[str, Column] = {}
+    return {
+        "volatility" + s: f"{high} - {low}",
+        "pips_candle" + s: f"{last} - {first}",
+        "pips_agg" + s: f"{last} - {close}",
+        "pips_candle_max" + s: f"{high} - {first}",
+        "pips_candle_min" + s: f"{low} - {first}",
+    }
+
+
+def after_columns(w: str, pairs: Sequence[tuple[int, int]]) -> dict[str, str]:
+    """Reaction metrics of every horizon."""
+    out: dict[str, str] = {}
     for start, end in pairs:
-        high, low = forward_extremes(w, start, end)
-        first, last = forward_closes(w, start, end)
-        s = suffix(start, end)
-        out["volatility" + s] = high - low
-        out["pips_candle" + s] = last - first
-        out["pips_agg" + s] = last - F.col("close")
-        out["pips_candle_max" + s] = high - first
-        out["pips_candle_min" + s] = low - first
+        prices = (*forward_extremes(w, start, end), *forward_closes(w, start, end))
+        out.update(reaction(suffix(start, end), *prices, "close"))
     return out
 
 
 def before_columns(
-    w: WindowSpec, span: int = BEFORE_MINUTES, include_release_candle: bool = True
-) -> dict[str, Column]:
+    w: str, span: int = BEFORE_MINUTES, include_release_candle: bool = True
+) -> dict[str, str]:
     """Volatility and change of the open over the ``span`` minutes before."""
     rows = span // CANDLE_MINUTES
-    last = 0 if include_release_candle else -1
-    frame = w.rowsBetween(last - rows + 1, last)
-    high = F.coalesce(F.max("high").over(frame), F.col("high"))
-    low = F.coalesce(F.min("low").over(frame), F.col("low"))
-    earlier = F.coalesce(F.lag("open", rows).over(w), F.col("open"))
+    last = 0 if include_release_candle else 1
+    frame = f"OVER ({w} ROWS BETWEEN {last + rows - 1} PRECEDING AND {last} PRECEDING)"
+    high, low = f"coalesce(max(high) {frame}, high)", f"coalesce(min(low) {frame}, low)"
     return {
-        f"volatility_{span}_0_before": high - low,
-        f"pips_agg_{span}_0_before": F.col("open") - earlier,
+        f"volatility_{span}_0_before": f"{high} - {low}",
+        f"pips_agg_{span}_0_before": f"open - coalesce(lag(open, {rows}) OVER ({w}), open)",
     }
 
 
@@ -200,6 +201,47 @@ def market_features(
     )
 
 
+def _near_prices(pairs: Sequence[tuple[int, int]], span: int, top: int) -> list[str]:
+    """Aggregates over neighbour candles at ``_k`` steps: extremes and edge prices."""
+    back = span // CANDLE_MINUTES
+    out = [
+        f"max(CASE WHEN _k BETWEEN {top - back + 1} AND {top} THEN high END) AS _hb",
+        f"min(CASE WHEN _k BETWEEN {top - back + 1} AND {top} THEN low END) AS _lb",
+        f"max(CASE WHEN _k = {-back} THEN open END) AS _ob",
+    ]
+    for start, end in pairs:
+        lo, hi, s = start // CANDLE_MINUTES, end // CANDLE_MINUTES - 1, suffix(start, end)
+        out += [
+            f"max(CASE WHEN _k BETWEEN {lo} AND {hi} THEN high END) AS _h{s}",
+            f"min(CASE WHEN _k BETWEEN {lo} AND {hi} THEN low END) AS _l{s}",
+            f"max(CASE WHEN _k = {lo} THEN close END) AS _f{s}",
+            f"max(CASE WHEN _k = {hi} THEN close END) AS _t{s}",
+        ]
+    return out
+
+
+def _from_near(
+    pairs: Sequence[tuple[int, int]], span: int
+) -> tuple[dict[str, str], dict[tuple[int, int], dict[str, str]]]:
+    """Before metrics, and reaction metrics by horizon, out of those aggregates.
+
+    The candle's own prices are named ``_open0`` and so on.
+    """
+    before = {
+        f"volatility_{span}_0_before": "coalesce(_hb, _high0) - coalesce(_lb, _low0)",
+        f"pips_agg_{span}_0_before": "_open0 - coalesce(_ob, _open0)",
+    }
+    after = {}
+    for start, end in pairs:
+        s = suffix(start, end)
+        prices = [
+            f"coalesce(_{short}{s}, _{own}0)"
+            for short, own in (("h", "high"), ("l", "low"), ("f", "close"), ("t", "close"))
+        ]
+        after[start, end] = reaction(s, *prices, "_close0")
+    return before, after
+
+
 def _time_features(
     candles: DataFrame,
     pairs: Sequence[tuple[int, int]],
@@ -213,53 +255,17 @@ def _time_features(
     """
     reach = max(end for _, end in pairs) // CANDLE_MINUTES - 1
     back = span // CANDLE_MINUTES
-    neighbours = candles.select(
-        "pair",
-        F.col("ts").alias("_at"),
-        *[F.col(c).alias("_" + c) for c in PRICES],
-    ).withColumn("_k", F.explode(F.sequence(F.lit(-back), F.lit(reach))))
-    neighbours = neighbours.withColumn(
-        "ts", F.col("_at") - minutes((F.col("_k") * CANDLE_MINUTES).cast("int"))
+    sent = candles.withColumn("_k", F.explode(F.sequence(F.lit(-back), F.lit(reach)))).withColumn(
+        "ts", F.col("ts") - minutes((F.col("_k") * CANDLE_MINUTES).cast("int"))
     )
-    k = F.col("_k")
-    aggs: list[Column] = []
-
-    def inside(lo: int, hi: int) -> Column:
-        return k.between(lo, hi)
-
-    for start, end in pairs:
-        lo, hi, s = start // CANDLE_MINUTES, end // CANDLE_MINUTES - 1, suffix(start, end)
-        aggs += [
-            F.max(F.when(inside(lo, hi), F.col("_high"))).alias("_h" + s),
-            F.min(F.when(inside(lo, hi), F.col("_low"))).alias("_l" + s),
-            F.max(F.when(k == lo, F.col("_close"))).alias("_f" + s),
-            F.max(F.when(k == hi, F.col("_close"))).alias("_t" + s),
-        ]
     top = 0 if include_release_candle else -1
-    aggs += [
-        F.max(F.when(inside(top - back + 1, top), F.col("_high"))).alias("_hb"),
-        F.min(F.when(inside(top - back + 1, top), F.col("_low"))).alias("_lb"),
-        F.max(F.when(k == -back, F.col("_open"))).alias("_ob"),
-    ]
-    near = neighbours.groupBy("pair", "ts").agg(*aggs)
-    out: dict[str, Column] = {}
-    for start, end in pairs:
-        s = suffix(start, end)
-        high = F.coalesce(F.col("_h" + s), F.col("high"))
-        low = F.coalesce(F.col("_l" + s), F.col("low"))
-        first = F.coalesce(F.col("_f" + s), F.col("close"))
-        last = F.coalesce(F.col("_t" + s), F.col("close"))
-        out["volatility" + s] = high - low
-        out["pips_candle" + s] = last - first
-        out["pips_agg" + s] = last - F.col("close")
-        out["pips_candle_max" + s] = high - first
-        out["pips_candle_min" + s] = low - first
-    high = F.coalesce(F.col("_hb"), F.col("high"))
-    low = F.coalesce(F.col("_lb"), F.col("low"))
-    out[f"volatility_{span}_0_before"] = high - low
-    out[f"pips_agg_{span}_0_before"] = F.col("open") - F.coalesce(F.col("_ob"), F.col("open"))
-    joined = candles.join(near, ["pair", "ts"], "left").withColumns(out)
-    return joined.select(*candles.columns, *out)
+    near = sent.groupBy("pair", "ts").agg(*[F.expr(t) for t in _near_prices(pairs, span, top)])
+    own = candles.withColumns({f"_{c}0": F.col(c) for c in PRICES})
+    before, after = _from_near(pairs, span)
+    texts = {k: v for part in after.values() for k, v in part.items()} | before
+    return own.join(near, ["pair", "ts"], "left").selectExpr(
+        *candles.columns, *[f"{text} AS {name}" for name, text in texts.items()]
+    )
 
 
 def needed_candle_join(
@@ -279,58 +285,28 @@ def needed_candle_join(
     reach = max(end for _, end in pairs) // CANDLE_MINUTES - 1
     back = span // CANDLE_MINUTES
     at = instants.select("pair", "ts").distinct().join(numbered, ["pair", "ts"])
+    own = [f"_{c}0" for c in PRICES]
     wanted = at.select(
         "pair",
         "ts",
-        F.col("high").alias("_high0"),
-        F.col("low").alias("_low0"),
-        F.col("open").alias("_open0"),
-        F.col("close").alias("_close0"),
-        F.col("candle_no").alias("_no"),
+        *[F.col(c).alias(f"_{c}0") for c in PRICES],
         F.explode(F.sequence(F.lit(-back), F.lit(reach))).alias("_k"),
-    ).withColumn("candle_no", F.col("_no") + F.col("_k"))
+        (F.col("candle_no") + F.col("_k")).alias("candle_no"),
+    )
     # 60 rows per instant come together here and are folded map-side.
-    near = wanted.join(numbered.drop("ts"), ["pair", "candle_no"])
-    k = F.col("_k")
-    own = ["_high0", "_low0", "_open0", "_close0"]
-    aggs: list[Column] = [
-        F.max(F.when(k.between(1 - back, 0), F.col("high"))).alias("_hb"),
-        F.min(F.when(k.between(1 - back, 0), F.col("low"))).alias("_lb"),
-        F.max(F.when(k == -back, F.col("open"))).alias("_ob"),
-    ]
-    for start, end in pairs:
-        lo, hi, s = start // CANDLE_MINUTES, end // CANDLE_MINUTES - 1, suffix(start, end)
-        aggs += [
-            F.max(F.when(k.between(lo, hi), F.col("high"))).alias("_h" + s),
-            F.min(F.when(k.between(lo, hi), F.col("low"))).alias("_l" + s),
-            F.max(F.when(k == lo, F.col("close"))).alias("_f" + s),
-            F.max(F.when(k == hi, F.col("close"))).alias("_t" + s),
-        ]
-    folded = near.groupBy("pair", "ts", *own).agg(*aggs)
-    before = {
-        f"volatility_{span}_0_before": F.col("_hb") - F.col("_lb"),
-        f"pips_agg_{span}_0_before": F.col("_open0") - F.coalesce(F.col("_ob"), F.col("_open0")),
-    }
+    folded = (
+        wanted.join(numbered.drop("ts"), ["pair", "candle_no"])
+        .groupBy("pair", "ts", *own)
+        .agg(*[F.expr(t) for t in _near_prices(pairs, span, 0)])
+    )
+    before, after = _from_near(pairs, span)
     rows = []
-    for start, end in pairs:
-        s = suffix(start, end)
-        high = F.coalesce(F.col("_h" + s), F.col("_high0"))
-        low = F.coalesce(F.col("_l" + s), F.col("_low0"))
-        first = F.coalesce(F.col("_f" + s), F.col("_close0"))
-        last = F.coalesce(F.col("_t" + s), F.col("_close0"))
-        rows.append(
-            F.struct(
-                F.lit(start).alias("from_min"),
-                F.lit(end).alias("to_min"),
-                (high - low).alias("volatility"),
-                (last - first).alias("pips_candle"),
-                (last - F.col("_close0")).alias("pips_agg"),
-                (high - first).alias("pips_candle_max"),
-                (low - first).alias("pips_candle_min"),
-            )
-        )
-    return (
-        folded.withColumns(before)
-        .withColumn("_row", F.explode(F.array(*rows)))
-        .select("pair", "ts", *before, "_row.*")
+    for (start, end), texts in after.items():
+        fields = [f"'{m}', {texts[m + suffix(start, end)]}" for m in AFTER_METRICS]
+        rows.append(f"named_struct('from_min', {start}, 'to_min', {end}, {', '.join(fields)})")
+    return folded.selectExpr(
+        "pair",
+        "ts",
+        *[f"{text} AS {name}" for name, text in before.items()],
+        f"inline(array({', '.join(rows)}))",
     )

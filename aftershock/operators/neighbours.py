@@ -49,6 +49,15 @@ def nearest(
         list(map(float, r[0]))
         for r in train.select(vector).orderBy(F.xxhash64(key), key).limit(pivots).collect()
     ]
+    if not centres:  # nothing to be near to
+        fields = [
+            T.StructField("test_id", test.schema[key].dataType),
+            T.StructField("rank", T.IntegerType()),
+            T.StructField("train_id", train.schema[key].dataType),
+            T.StructField("dist", T.DoubleType()),
+            *[train.schema[p] for p in payload],
+        ]
+        return train.sparkSession.createDataFrame([], T.StructType(fields))
     cell_of = _cell_udf(np.array(centres))
     own_fold = F.col(fold) if fold else F.lit(None).cast("int")
     trained = train.withColumn("_at", cell_of(vector)).withColumns(
@@ -170,9 +179,8 @@ def _reach_udf(summary: dict[int, dict], blocks: dict[int, int], k: int):
 
 def _block_search(k: int, by_fold: bool, payload: list[str]):
     def search(asked: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
-        columns = ["test_id", "dist", "train_id", *payload]
         if asked.empty or offered.empty:
-            return pd.DataFrame({c: [] for c in columns})
+            return pd.DataFrame()
         vectors = np.stack(offered["_vector"].to_list()).astype(float)
         ids = offered["train_id"].to_numpy()
         folds = offered["_fold"].to_numpy() if by_fold else None

@@ -11,6 +11,9 @@ by its own sort order:
 * ``with_halo``: numbered rows are laid out in chunks of bounded size that
   carry copies of the neighbour rows their frames reach for.
 * ``with_frames``: Window columns with bounded frames over any of the two.
+
+Window columns are given as SQL text over a window text ``w``, for instance
+``lag(actual) OVER (w)``.
 """
 
 from __future__ import annotations
@@ -103,11 +106,17 @@ def with_halo(
     )
 
 
+def window_text(keys: Sequence[str], order: Sequence[str]) -> str:
+    """``PARTITION BY ... ORDER BY ...`` of the given columns."""
+    by = f"PARTITION BY {', '.join(f'`{k}`' for k in keys)} " if keys else ""
+    return f"{by}ORDER BY {', '.join(f'`{c}`' for c in order)}"
+
+
 def framed(
     df: DataFrame,
     keys: Sequence[str],
     position: str,
-    columns: Callable[[WindowSpec], dict[str, Column]],
+    columns: Callable[[str], dict[str, str]],
     before: int,
     after: int,
     chunk: int = CHUNK_ROWS,
@@ -116,10 +125,10 @@ def framed(
 
     All columns share one exchange and one sort.
     """
-    w = Window.partitionBy(*keys, "_chunk").orderBy(position)
+    texts = columns(window_text([*keys, "_chunk"], [position]))
     return (
         with_halo(df, position, before, after, chunk)
-        .withColumns(columns(w))
+        .selectExpr("*", *[f"{text} AS `{name}`" for name, text in texts.items()])
         .filter("_own")
         .drop("_chunk", "_own")
     )
@@ -129,7 +138,7 @@ def with_frames(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    columns: Callable[[WindowSpec], dict[str, Column]],
+    columns: Callable[[str], dict[str, str]],
     before: int = 0,
     after: int = 0,
     limit: int = WINDOW_ROWS,
@@ -137,6 +146,7 @@ def with_frames(
 ) -> DataFrame:
     """Window columns over bounded frames, whatever the size of the largest key."""
     if largest_group(df, keys) <= limit:
-        return df.withColumns(columns(Window.partitionBy(*keys).orderBy(*order)))
+        texts = columns(window_text(keys, order))
+        return df.selectExpr("*", *[f"{text} AS `{name}`" for name, text in texts.items()])
     numbered = row_numbers(df, keys, order, "_n", limit)
     return framed(numbered, keys, "_n", columns, before, after, chunk).drop("_n")

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from itertools import product
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Model
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,21 @@ def with_folds(rows: DataFrame, key: str, folds: int = FOLDS) -> DataFrame:
     return rows.withColumn("fold", fold_of(F.col(key), folds))
 
 
+@dataclass(frozen=True)
+class GridFit:
+    """Outcome of a grid search."""
+
+    points: Sequence[dict]
+    scores: Sequence[float]
+    best: int
+    model: Model
+    assembler: VectorAssembler
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """Rows with a ``prediction`` of the best model."""
+        return self.model.transform(self.assembler.transform(rows))
+
+
 def fit_grid(
     train: DataFrame,
     features: Sequence[str],
@@ -47,10 +63,12 @@ def fit_grid(
     points: Sequence[dict],
     folds: int = FOLDS,
     parallelism: int = 4,
-) -> CrossValidatorModel:
+) -> GridFit:
     """Cross-validated grid search; ``train`` carries a ``fold`` column.
 
-    ``kind`` is ``clf`` (scored by accuracy) or ``reg`` (by RMSE).
+    ``kind`` is ``clf`` (scored by accuracy) or ``reg`` (by RMSE).  Give it
+    a materialised table, it is read many times.  The folds are plain filters, and every fit is a cluster job;
+    ``parallelism`` of them run at a time.
     """
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
     learner = _MODELS[model, kind](featuresCol="features", labelCol=target, seed=SEED)
@@ -59,23 +77,32 @@ def fit_grid(
         if kind == "clf"
         else RegressionEvaluator(labelCol=target, metricName="rmse")
     )
-    maps = [{learner.getParam(name): value for name, value in point.items()} for point in points]
-    search = CrossValidator(
-        estimator=Pipeline(stages=[assembler, learner]),
-        estimatorParamMaps=maps,
-        evaluator=evaluator,
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-        seed=SEED,
-    )
-    return search.fit(train)
+    rows = assembler.transform(train).select("features", target, "fold").cache()
+    used = [r[0] for r in rows.select("fold").distinct().collect() if r[0] < folds]
+
+    def fit(data: DataFrame, point: dict) -> Model:
+        return learner.copy({learner.getParam(n): v for n, v in point.items()}).fit(data)
+
+    def score(task: tuple[int, int]) -> float:
+        place, fold = task
+        fitted = fit(rows.filter(F.col("fold") != fold), points[place])
+        return evaluator.evaluate(fitted.transform(rows.filter(F.col("fold") == fold)))
+
+    tasks = [(place, fold) for place in range(len(points)) for fold in used]
+    with ThreadPoolExecutor(parallelism) as pool:
+        found = list(pool.map(score, tasks))
+    width = max(len(used), 1)
+    means = [sum(found[i * width : (i + 1) * width]) / width for i in range(len(points))]
+    best = means.index(max(means) if kind == "clf" else min(means))
+    chosen = fit(rows, points[best])
+    rows.unpersist()
+    return GridFit(points, means, best, chosen, assembler)
 
 
-def grid_table(spark: SparkSession, fitted: CrossValidatorModel, points: Sequence[dict]) -> DataFrame:
+def grid_table(spark: SparkSession, fitted: GridFit) -> DataFrame:
     """Mean fold score of every grid point."""
     rows = [
         (str(dict(sorted(point.items()))), float(score))
-        for point, score in zip(points, fitted.avgMetrics, strict=True)
+        for point, score in zip(fitted.points, fitted.scores, strict=True)
     ]
     return spark.createDataFrame(rows, "params string, score double")

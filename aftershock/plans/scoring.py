@@ -15,6 +15,7 @@ from aftershock.plans.sweeps import (
     sweep_dataset,
     vectors,
 )
+from aftershock.session import materialise
 
 
 def score_new(features: DataFrame, cut: Column, spec: SweepSpec, k: int = 11) -> DataFrame:
@@ -22,16 +23,19 @@ def score_new(features: DataFrame, cut: Column, spec: SweepSpec, k: int = 11) ->
 
     Indicator ids are fitted on the rows before the cut and reused after it.
     """
+    features = materialise(features)
     train, test = temporal_split(features, cut)
     ids = fit_indicator_ids(train)
     fitted = sweep_dataset(train, spec, ids=ids).dropna()
     later = sweep_dataset(test, spec, ids=ids)
     names = feature_names(fitted, spec)
     later = later.dropna(subset=names)
-    known = vectors(fitted, names).select(
-        F.col("datetime").alias("id"), "vector", spec.label, spec.target
+    known = materialise(
+        vectors(fitted, names).select(
+            F.col("datetime").alias("id"), "vector", spec.label, spec.target
+        )
     )
-    asked = vectors(later, names).select(F.col("datetime").alias("id"), "vector")
+    asked = materialise(vectors(later, names).select(F.col("datetime").alias("id"), "vector"))
     found = nearest(asked, known, k, [spec.label, spec.target])
     classes = knn_classify(found, spec.label, [k]).select(
         F.col("test_id").alias("datetime"), F.col("predicted").alias(f"{spec.label}_predicted")

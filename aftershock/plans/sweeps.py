@@ -19,7 +19,7 @@ from aftershock.operators.neighbours import knn_classify, knn_regress, nearest
 from aftershock.operators.reports import best_by_score, classification_report, rmse_report
 from aftershock.operators.reshape import column_difference, horizon_columns, random_split
 from aftershock.operators.trees import fit_grid, with_folds
-from aftershock.session import new_path
+from aftershock.session import materialise, new_path
 from aftershock.schemas import SWEEP_RESULT
 from aftershock.settings import HORIZON_ENDS, HORIZON_STARTS, IMPACTS, SNAPSHOT_ENDS, TEST_SHARE
 from aftershock.sources.tables import sink_partial_results
@@ -246,7 +246,7 @@ def run_sweep(
     """
     spark = features.sparkSession
     dataset = sweep_dataset(features, spec, bundles).dropna()
-    rows = with_folds(random_split(dataset, "datetime", TEST_SHARE), "datetime", folds).cache()
+    rows = materialise(with_folds(random_split(dataset, "datetime", TEST_SHARE), "datetime", folds))
     names = feature_names(dataset, spec)
     train, test = rows.filter("is_test = 0"), rows.filter("is_test = 1")
     results = []
@@ -257,15 +257,11 @@ def run_sweep(
         for model, points in grids.items():
             began = time.time()
             fitted = fit_grid(train, names, target, model, kind, points, folds, parallelism)
-            scores = fitted.avgMetrics
-            place = scores.index(max(scores) if kind == "clf" else min(scores))
-            scored = fitted.transform(test).select(
+            scored = fitted.predict(test).select(
                 F.col(target).cast("double").alias("y"), F.col("prediction").alias("yhat")
             )
-            results.append(
-                _result_row(scored, spec, model, kind, scores[place], str(points[place]), began)
-            )
-    rows.unpersist()
+            score, params = fitted.scores[fitted.best], str(points[fitted.best])
+            results.append(_result_row(scored, spec, model, kind, score, params, began))
     schema = T.StructType([T.StructField("sweep_id", T.StringType()), *SWEEP_RESULT.fields])
     return spark.createDataFrame(results, schema)
 
@@ -343,14 +339,13 @@ def run_sweeps(
     """
     spark = features.sparkSession
     path = path or new_path(spark, "sweep-results")
+    features = materialise(features)
     shared: dict[str, DataFrame] = {}
     for spec in specs:
         if spec.aggregation not in shared:
-            shared[spec.aggregation] = bundle_table(features, spec).cache()
+            shared[spec.aggregation] = materialise(bundle_table(features, spec))
         rows = run_sweep(features, spec, grids, bundles=shared[spec.aggregation], **options)
         sink_partial_results(rows, path)
-    for bundles in shared.values():
-        bundles.unpersist()
     return spark.read.parquet(path)
 
 
