@@ -70,4 +70,4 @@ def first_word(text: Column) -> Column:
 
 def list_position(column: Column, order: tuple[str, ...]) -> Column:
     """Place of a value in an explicit order, starting at 1; 0 when not listed."""
-    return F.array_position(F.array(*[F.lit(v) for v in order]), column)
+    return F.array_position(F.array(*[F.lit(v) for v in order]), column).cast("int")

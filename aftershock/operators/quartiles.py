@@ -64,10 +64,7 @@ def expanding_quartiles(
                 }
             )
         return out.drop(*history)
-    out = df
-    for f in fields:
-        out = _long_quartiles(out, f, keys, order, size, longest, limit, chunk)
-    return out
+    return _long_quartiles(df, fields, keys, order, size, longest, limit, chunk)
 
 
 def _midpoint(past: Column, own: Column, quarter: int, size: int) -> Column:
@@ -82,7 +79,7 @@ def _midpoint(past: Column, own: Column, quarter: int, size: int) -> Column:
 
 def _long_quartiles(
     df: DataFrame,
-    field: str,
+    fields: Sequence[str],
     keys: Sequence[str],
     order: Sequence[str],
     size: int,
@@ -90,9 +87,14 @@ def _long_quartiles(
     limit: int,
     chunk: int,
 ) -> DataFrame:
-    keys = list(keys)
     id_cols = [*keys, *order]
-    values = df.select(*id_cols, F.col(field).cast("double").alias("_v")).filter("_v is not null")
+    # All fields in one go: the field's number is one more key.
+    cells = [
+        F.struct(F.lit(i).alias("_field"), F.col(f).cast("double").alias("_v"))
+        for i, f in enumerate(fields)
+    ]
+    values = df.select(*id_cols, F.inline(F.array(*cells))).filter("_v is not null")
+    keys = [*keys, "_field"]
     numbered = row_numbers(values, keys, order, "_n", limit).withColumn(
         "_chunk", F.floor(F.col("_n") / chunk)
     )
@@ -102,23 +104,24 @@ def _long_quartiles(
     if longest > chunk:
         rows = rows.unionByName(_slices(numbered, keys, limit, chunk))
     # Many short keys share a task; a long key is spread chunk by chunk.
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    solved = (
-        rows.repartition(parts, *keys, "_chunk")
-        .sortWithinPartitions(*keys, "_chunk", "_kind", "_n")
-        .mapInPandas(
-            _Solver(keys, size),
-            T.StructType(
-                [rows.schema[k] for k in keys]
-                + [
-                    T.StructField("_n", T.LongType()),
-                    T.StructField(f"{field}_q1", T.DoubleType()),
-                    T.StructField(f"{field}_q3", T.DoubleType()),
-                ]
-            ),
-        )
+    solved = rows.repartition(*keys, "_chunk").sortWithinPartitions(
+        *keys, "_chunk", "_kind", "_n"
+    ).mapInPandas(
+        _Solver(keys, size),
+        T.StructType(
+            [rows.schema[k] for k in keys]
+            + [
+                T.StructField("_n", T.LongType()),
+                T.StructField("q1", T.DoubleType()),
+                T.StructField("q3", T.DoubleType()),
+            ]
+        ),
     )
-    scored = numbered.join(solved, [*keys, "_n"]).select(*id_cols, f"{field}_q1", f"{field}_q3")
+    wide = []
+    for i, f in enumerate(fields):
+        for q in ("q1", "q3"):
+            wide.append(F.max(F.when(F.col("_field") == i, F.col(q))).alias(f"{f}_{q}"))
+    scored = numbered.join(solved, [*keys, "_n"]).groupBy(*id_cols).agg(*wide)
     return df.join(scored, id_cols, "left")
 
 
