@@ -23,13 +23,14 @@ def previous_value(
     order: Sequence[str] = ORDER,
     limit: int = WINDOW_ROWS,
     chunk: int = CHUNK_ROWS,
+    longest: int | None = None,
 ) -> DataFrame:
     """Actual value of the indicator's last release; the first uses its own ``previous``."""
 
     def columns(w: str) -> dict[str, str]:
         return {"previous_value": f"coalesce(lag(actual) OVER ({w}), previous)"}
 
-    return with_frames(releases, keys, order, columns, before=1, limit=limit, chunk=chunk)
+    return with_frames(releases, keys, order, columns, 1, 0, limit, chunk, longest)
 
 
 def revision_surprise(
@@ -39,13 +40,14 @@ def revision_surprise(
     invalid: float | None = None,
     limit: int = WINDOW_ROWS,
     chunk: int = CHUNK_ROWS,
+    longest: int | None = None,
 ) -> DataFrame:
     """How far the published previous value was revised, and the total surprise."""
     revised = signed_surprise(
         F.col("previous_value"), F.col("previous"), F.col("previous_error"), invalid
     )
     return (
-        previous_value(releases, keys, order, limit, chunk)
+        previous_value(releases, keys, order, limit, chunk, longest)
         .withColumn("previous_error_diff", revised)
         .withColumn("total_error_diff", F.col("forecast_error_diff") + F.col("previous_error_diff"))
     )
@@ -70,6 +72,7 @@ def rolling_std_mean(
     size: int = HISTORY_ROWS,
     limit: int = WINDOW_ROWS,
     chunk: int = CHUNK_ROWS,
+    longest: int | None = None,
 ) -> DataFrame:
     """Rolling deviation and mean of several fields in one sort."""
 
@@ -79,7 +82,7 @@ def rolling_std_mean(
             out.update(rolling_columns(w, field, size))
         return out
 
-    return with_frames(df, keys, order, columns, before=size, limit=limit, chunk=chunk)
+    return with_frames(df, keys, order, columns, size, 0, limit, chunk, longest)
 
 
 def deviation_score(
@@ -90,9 +93,10 @@ def deviation_score(
     size: int = HISTORY_ROWS,
     limit: int = WINDOW_ROWS,
     chunk: int = CHUNK_ROWS,
+    longest: int | None = None,
 ) -> DataFrame:
     """Ratio of every value to the recent spread of its indicator."""
-    rolled = rolling_std_mean(df, fields, keys, order, size, limit, chunk)
+    rolled = rolling_std_mean(df, fields, keys, order, size, limit, chunk, longest)
     for field in fields:
         ratio = safe_ratio(
             F.col(field).cast("double"), F.col(f"{field}_std"), F.col(f"{field}_mean")
@@ -108,9 +112,10 @@ def outlier_score(
     order: Sequence[str] = ORDER,
     size: int = HISTORY_ROWS,
     limit: int = WINDOW_ROWS,
+    longest: int | None = None,
 ) -> DataFrame:
     """Outlier class of every value against all earlier values of its indicator."""
-    out = expanding_quartiles(df, fields, keys, order, size, limit=limit)
+    out = expanding_quartiles(df, fields, keys, order, size, limit=limit, longest=longest)
     for field in fields:
         category = outlier_category(
             F.col(field).cast("double"), F.col(f"{field}_q1"), F.col(f"{field}_q3")

@@ -44,35 +44,47 @@ def running_total(
     weight: Column,
     name: str,
     limit: int = WINDOW_ROWS,
+    longest: int | None = None,
+    total: str | None = None,
 ) -> DataFrame:
     """Sum of ``weight`` over the earlier rows of the same key.
 
-    ``order`` must be unique inside a key.
+    ``order`` must be unique inside a key.  ``longest`` is the size of the
+    largest key when it is known already.  ``total`` names a further column
+    with the sum over the whole key.
     """
-    largest = largest_group(df, keys)
-    if largest <= limit:
+    longest = largest_group(df, keys) if longest is None else longest
+    if longest <= limit:
         w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, _before(weight, w))
+        out = {name: _before(weight, w)}
+        if total is not None:
+            whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            out[total] = F.sum(weight).over(whole)
+        return df.withColumns(out)
 
     shuffle_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(shuffle_parts, 2 * largest // limit)
+    parts = max(shuffle_parts, 2 * longest // limit)
     ranged = materialise(
         df.withColumn("_weight", weight)
         .repartitionByRange(parts, *keys, *order)
         .withColumn("_range", F.spark_partition_id())
     )
-    # A key meets at most ``parts`` ranges, so this window stays small.
-    totals = ranged.groupBy(*keys, "_range").agg(F.sum("_weight").alias("_sum"))
-    earlier = totals.withColumn(
-        "_earlier", _before(F.col("_sum"), Window.partitionBy(*keys).orderBy("_range"))
+    # A key meets at most ``parts`` ranges, so these windows stay small.
+    by_range = Window.partitionBy(*keys).orderBy("_range")
+    whole = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = ranged.groupBy(*keys, "_range").agg(F.sum("_weight").alias("_sum"))
+    sums = sums.withColumns(
+        {"_earlier": _before(F.col("_sum"), by_range), "_total": F.sum("_sum").over(whole)}
     ).drop("_sum")
     w = Window.partitionBy(*keys, "_range").orderBy(*order)
-    return (
+    out = (
         ranged.withColumn("_inside", _before(F.col("_weight"), w))
-        .join(earlier, [*keys, "_range"])
+        .join(sums, [*keys, "_range"])
         .withColumn(name, F.col("_inside") + F.col("_earlier"))
-        .drop("_weight", "_range", "_inside", "_earlier")
     )
+    if total is not None:
+        out = out.withColumn(total, F.col("_total"))
+    return out.drop("_weight", "_range", "_inside", "_earlier", "_total")
 
 
 def _before(weight: Column, w: WindowSpec) -> Column:
@@ -86,9 +98,10 @@ def row_numbers(
     order: Sequence[str],
     name: str = "_n",
     limit: int = WINDOW_ROWS,
+    longest: int | None = None,
 ) -> DataFrame:
     """Position of every row inside its key, from 0."""
-    return running_total(df, keys, order, F.lit(1).cast("bigint"), name, limit)
+    return running_total(df, keys, order, F.lit(1).cast("bigint"), name, limit, longest)
 
 
 def with_halo(
@@ -143,10 +156,12 @@ def with_frames(
     after: int = 0,
     limit: int = WINDOW_ROWS,
     chunk: int = CHUNK_ROWS,
+    longest: int | None = None,
 ) -> DataFrame:
     """Window columns over bounded frames, whatever the size of the largest key."""
-    if largest_group(df, keys) <= limit:
+    longest = largest_group(df, keys) if longest is None else longest
+    if longest <= limit:
         texts = columns(window_text(keys, order))
         return df.selectExpr("*", *[f"{text} AS `{name}`" for name, text in texts.items()])
-    numbered = row_numbers(df, keys, order, "_n", limit)
+    numbered = row_numbers(df, keys, order, "_n", limit, longest)
     return framed(numbered, keys, "_n", columns, before, after, chunk).drop("_n")

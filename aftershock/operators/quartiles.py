@@ -36,6 +36,7 @@ def expanding_quartiles(
     short: int = SHORT_ROWS,
     limit: int = WINDOW_ROWS,
     chunk: int = CHUNK_ROWS,
+    longest: int | None = None,
 ) -> DataFrame:
     """First and third quartile of the strictly earlier values of the same key.
 
@@ -43,7 +44,7 @@ def expanding_quartiles(
     ``size`` earlier values the row's own value stands in.  Nulls are skipped.
     Adds ``<field>_q1`` and ``<field>_q3``.
     """
-    longest = largest_group(df, keys)
+    longest = largest_group(df, keys) if longest is None else longest
     if longest <= short:
         w = (
             Window.partitionBy(*keys)
@@ -95,14 +96,14 @@ def _long_quartiles(
     ]
     values = df.select(*id_cols, F.inline(F.array(*cells))).filter("_v is not null")
     keys = [*keys, "_field"]
-    numbered = row_numbers(values, keys, order, "_n", limit).withColumn(
+    numbered = row_numbers(values, keys, order, "_n", limit, longest).withColumn(
         "_chunk", F.floor(F.col("_n") / chunk)
     )
     rows = numbered.select(
         *keys, "_chunk", "_n", "_v", F.lit(0).alias("_kind"), F.lit(0).cast("bigint").alias("_base")
     )
     if longest > chunk:
-        rows = rows.unionByName(_slices(numbered, keys, limit, chunk))
+        rows = rows.unionByName(_slices(numbered, keys, longest, limit, chunk))
     # Many short keys share a task; a long key is spread chunk by chunk.
     solved = rows.repartition(*keys, "_chunk").sortWithinPartitions(
         *keys, "_chunk", "_kind", "_n"
@@ -125,9 +126,11 @@ def _long_quartiles(
     return df.join(scored, id_cols, "left")
 
 
-def _slices(numbered: DataFrame, keys: list[str], limit: int, chunk: int) -> DataFrame:
+def _slices(
+    numbered: DataFrame, keys: list[str], longest: int, limit: int, chunk: int
+) -> DataFrame:
     """Values before each chunk among which its quartiles must lie."""
-    ranked = row_numbers(numbered, keys, ["_v", "_n"], "_m", limit).withColumn(
+    ranked = row_numbers(numbered, keys, ["_v", "_n"], "_m", limit, longest).withColumn(
         "_block", F.floor(F.col("_m") / chunk)
     )
     # Values per (key, value block) in all chunks before a chunk.

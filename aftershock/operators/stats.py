@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aftershock.operators.ordered import WINDOW_ROWS, running_total
+from aftershock.session import materialise
 
 
 def row_counts(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
@@ -100,6 +101,15 @@ def long_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ())
     )
 
 
+def counted_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Rows per key and distinct value, written once because several steps read it."""
+    return materialise(
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).cast("double").alias("_value"))
+        .agg(F.count(F.lit(1)).alias("_rows"))
+    )
+
+
 def exact_percentiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -108,17 +118,15 @@ def exact_percentiles(
     limit: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Percentiles of ``value`` per key, linear between two ranks."""
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
+    return _percentiles(counted_values(df, keys, value), keys, shares, limit)
+
+
+def _percentiles(
+    counts: DataFrame, keys: Sequence[str], shares: dict[str, float], limit: int
+) -> DataFrame:
+    ranked = running_total(
+        counts, keys, ["_value"], F.col("_rows"), "_first", limit, total="_all"
     )
-    ranked = running_total(counts, keys, ["_value"], F.col("_rows"), "_first", limit)
-    if keys:
-        totals = counts.groupBy(*keys).agg(F.sum("_rows").alias("_total"))
-        ranked = ranked.join(totals, list(keys))
-    else:
-        ranked = ranked.withColumn("_total", counts.agg(F.sum("_rows").alias("_total")).scalar())
 
     def at(rank: Column) -> Column:
         inside = (F.col("_first") <= rank) & (rank < F.col("_first") + F.col("_rows"))
@@ -126,17 +134,17 @@ def exact_percentiles(
 
     aggs = []
     for i, share in enumerate(shares.values()):
-        place = F.lit(share) * (F.col("_total") - 1)
+        place = F.lit(share) * (F.col("_all") - 1)
         aggs += [
             at(F.floor(place)).alias(f"_lo{i}"),
             at(F.ceil(place)).alias(f"_hi{i}"),
             F.max(place - F.floor(place)).alias(f"_part{i}"),
         ]
     found = ranked.groupBy(*keys).agg(*aggs)
-    return found.select(
+    return found.selectExpr(
         *keys,
         *[
-            (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_part{i}")).alias(name)
+            f"_lo{i} + (_hi{i} - _lo{i}) * _part{i} AS {name}"
             for i, name in enumerate(shares)
         ],
     )
@@ -148,18 +156,34 @@ QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 def describe_stats(
     df: DataFrame, columns: Sequence[str], limit: int = WINDOW_ROWS
 ) -> DataFrame:
-    """count, mean, std, min, quartiles and max of several columns."""
-    values = long_values(df, columns)
-    moments = values.groupBy("column").agg(
-        F.count("value").alias("count"),
-        F.round(F.avg("value"), 6).alias("mean"),
-        F.round(F.stddev_samp("value"), 6).alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    """count, mean, std, min, quartiles and max of several columns.
+
+    All of them come out of one table of counted values.
+    """
+    counts = counted_values(long_values(df, columns), ["column"], "value")
+    n, x = F.col("_rows"), F.col("_value")
+    means = counts.groupBy("column").agg(
+        F.sum("_rows").alias("count"),
+        (F.sum(x * n) / F.sum(n)).alias("_mean"),
+        F.min(x).alias("min"),
+        F.max(x).alias("max"),
+    )
+    spread = counts.join(means.select("column", "_mean"), "column").groupBy("column").agg(
+        F.sum(n * (x - F.col("_mean")) * (x - F.col("_mean"))).alias("_squares")
     )
-    quartiles = exact_percentiles(values, ["column"], "value", QUARTILES, limit)
-    return moments.join(quartiles, "column").withColumns(
-        {q: F.round(q, 6) for q in QUARTILES}
+    std = F.sqrt(F.try_divide(F.col("_squares"), F.col("count") - 1))
+    return (
+        means.join(spread, "column")
+        .join(_percentiles(counts, ["column"], QUARTILES, limit), "column")
+        .select(
+            "column",
+            "count",
+            F.round("_mean", 6).alias("mean"),
+            F.round(std, 6).alias("std"),
+            "min",
+            "max",
+            *[F.round(q, 6).alias(q) for q in QUARTILES],
+        )
     )
 
 
@@ -188,16 +212,13 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 def box_stats(
     df: DataFrame, keys: Sequence[str], column: str, limit: int = WINDOW_ROWS
 ) -> DataFrame:
-    """Median, quartiles and whiskers at 1.5 IQR per key."""
+    """Median, quartiles and whiskers at 1.5 IQR per key, out of counted values."""
     keys = list(keys)
-    boxes = exact_percentiles(df, keys, column, QUARTILES, limit)
+    counts = counted_values(df, keys, column)
+    boxes = _percentiles(counts, keys, QUARTILES, limit)
     iqr = F.col("q3") - F.col("q1")
-    value = F.col(column).cast("double")
+    value = F.col("_value")
     inside = value.between(F.col("q1") - iqr * 1.5, F.col("q3") + iqr * 1.5)
-    # Counted values instead of raw rows meet the boxes.
-    counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(
-        F.count(F.lit(1)).alias("_rows")
-    )
     return (
         counts.join(boxes, keys)
         .groupBy(*keys, "q1", "median", "q3")
@@ -211,22 +232,26 @@ def box_stats(
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns, all from one pass.
+    """Pearson correlation of every pair of columns, from one pass.
 
-    A pair counts the rows where both values are present.
+    A row is unfolded into its column pairs and the pairs fold map-side again,
+    which keeps the generated code small.  A pair counts the rows where both
+    values are present.
     """
     pairs = list(combinations(columns, 2))
-    x = {c: F.col(c).cast("double") for c in columns}
-
-    def both(a: str, b: str) -> Column:
-        return F.when(F.col(b).isNotNull(), x[a])
-
-    row = df.agg(*[F.corr(both(a, b), both(b, a)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    cells = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.col(f"_{i}"), 6).alias("corr"))
+    cells = ", ".join(
+        f"named_struct('_i', {i}, '_x', double({a}), '_y', double({b}))"
         for i, (a, b) in enumerate(pairs)
-    ]
-    return row.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
+    )
+    names = ", ".join(f"named_struct('a', '{a}', 'b', '{b}')" for a, b in pairs)
+    folded = (
+        df.selectExpr(f"inline(array({cells}))")
+        .groupBy("_i")
+        .agg(F.corr(*[F.expr(f"if(_x IS NULL OR _y IS NULL, NULL, {c})") for c in ("_x", "_y")]).alias("corr"))
+    )
+    return folded.select(
+        F.expr(f"array({names})[_i]").alias("_names"), F.round("corr", 6).alias("corr")
+    ).select("_names.a", "_names.b", "corr")
 
 
 def scatter_pairs(

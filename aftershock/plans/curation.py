@@ -9,9 +9,15 @@ from aftershock.functions.flags import fill_category
 from aftershock.functions.moments import apply_dst, date_parts, round_to_candle, to_gmt
 from aftershock.functions.numbers import signed_surprise
 from aftershock.operators.gates import macro_filter, null_row_gate, week_coverage_gate
-from aftershock.operators.history import deviation_score, outlier_score, revision_surprise
+from aftershock.operators.history import (
+    INDICATOR,
+    deviation_score,
+    outlier_score,
+    revision_surprise,
+)
 from aftershock.operators.impact import join_market, market_by_instant
 from aftershock.operators.market import market_features
+from aftershock.operators.ordered import largest_group
 from aftershock.settings import CurationConfig, horizons
 
 SURPRISES = ("forecast_error_diff", "previous_error_diff", "total_error_diff")
@@ -49,9 +55,10 @@ def clean_releases(
 
 def score_history(releases: DataFrame) -> DataFrame:
     """Revision, total surprise, and deviation and outlier class of all three."""
-    scored = revision_surprise(releases)
-    scored = deviation_score(scored, SURPRISES)
-    return outlier_score(scored, SURPRISES)
+    longest = largest_group(releases, INDICATOR)
+    scored = revision_surprise(releases, longest=longest)
+    scored = deviation_score(scored, SURPRISES, longest=longest)
+    return outlier_score(scored, SURPRISES, longest=longest)
 
 
 def market_table(

@@ -21,10 +21,14 @@ def scan_features(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sink_features(features: DataFrame, path: str, csv_path: str | None = None) -> None:
-    """Writes curated features by year, and as text when asked."""
+    """Writes curated features by year, and as text when asked.
+
+    The text is made from the written table, so features are computed once.
+    """
     features.write.mode("overwrite").partitionBy("year").parquet(path)
     if csv_path is not None:
-        sink_long_export(features, csv_path)
+        written = features.sparkSession.read.parquet(path)
+        sink_long_export(written.select(*features.columns), csv_path)
 
 
 def sink_sweep_dataset(dataset: DataFrame, sweep_id: str, path: str) -> None:
