@@ -99,35 +99,32 @@ def _long_quartiles(
     numbered = row_numbers(values, keys, order, "_n", limit, longest).withColumn(
         "_chunk", F.floor(F.col("_n") / chunk)
     )
+    ids = [c for c in id_cols if c not in keys]
     rows = numbered.select(
-        *keys, "_chunk", "_n", "_v", F.lit(0).alias("_kind"), F.lit(0).cast("bigint").alias("_base")
-    )
+        *keys, *ids, "_chunk", "_n", "_v",
+        F.lit(0).alias("_kind"), F.lit(0).cast("bigint").alias("_base"),
+    )
     if longest > chunk:
-        rows = rows.unionByName(_slices(numbered, keys, longest, limit, chunk))
+        rows = rows.unionByName(_slices(numbered, keys, ids, longest, limit, chunk))
     # Many short keys share a task; a long key is spread chunk by chunk.
-    solved = rows.repartition(*keys, "_chunk").sortWithinPartitions(
-        *keys, "_chunk", "_kind", "_n"
-    ).mapInPandas(
-        _Solver(keys, size),
-        T.StructType(
-            [rows.schema[k] for k in keys]
-            + [
-                T.StructField("_n", T.LongType()),
-                T.StructField("q1", T.DoubleType()),
-                T.StructField("q3", T.DoubleType()),
-            ]
-        ),
+    quartiles = [T.StructField(q, T.DoubleType()) for q in ("q1", "q3")]
+    solved = (
+        rows.repartition(*keys, "_chunk")
+        .sortWithinPartitions(*keys, "_chunk", "_kind", "_n")
+        .mapInPandas(
+            _Solver(keys, ids, size),
+            T.StructType([rows.schema[c] for c in [*keys, *ids]] + quartiles),
+        )
     )
     wide = []
     for i, f in enumerate(fields):
         for q in ("q1", "q3"):
             wide.append(F.max(F.when(F.col("_field") == i, F.col(q))).alias(f"{f}_{q}"))
-    scored = numbered.join(solved, [*keys, "_n"]).groupBy(*id_cols).agg(*wide)
-    return df.join(scored, id_cols, "left")
+    return df.join(solved.groupBy(*id_cols).agg(*wide), id_cols, "left")
 
 
 def _slices(
-    numbered: DataFrame, keys: list[str], longest: int, limit: int, chunk: int
+    numbered: DataFrame, keys: list[str], ids: list[str], longest: int, limit: int, chunk: int
 ) -> DataFrame:
     """Values before each chunk among which its quartiles must lie."""
     ranked = row_numbers(numbered, keys, ["_v", "_n"], "_m", limit, longest).withColumn(
@@ -169,7 +166,7 @@ def _slices(
         F.ceil(F.count(F.lit(1)) / 16).cast("int").alias("_salts")
     )
     values = (
-        ranked.select(*keys, "_block", "_v", F.col("_n").alias("_at"))
+        ranked.select(*keys, *ids, "_block", "_v", F.col("_n").alias("_at"))
         .join(asked, [*keys, "_block"])
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
     )
@@ -177,11 +174,12 @@ def _slices(
         "_salt", F.pmod(F.col("_chunk"), F.col("_salts")).cast("int")
     )
     return (
-        values.select(*keys, "_block", "_salt", "_v", "_at")
+        values.drop("_salts")
         .join(askers, [*keys, "_block", "_salt"])
         .filter(F.col("_at") < F.col("_chunk") * chunk)
         .select(
             *keys,
+            *ids,
             "_chunk",
             F.col("_at").alias("_n"),
             "_v",
@@ -199,8 +197,8 @@ class _Solver:
     in time order (kind 0).
     """
 
-    def __init__(self, keys: list[str], size: int):
-        self.keys, self.size = keys, size
+    def __init__(self, keys: list[str], ids: list[str], size: int):
+        self.keys, self.ids, self.size = keys, ids, size
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -232,7 +230,7 @@ class _Solver:
         unit_no = (unit != unit.shift()).any(axis=1).cumsum().to_numpy() - 1
         kind = pdf["_kind"].to_numpy()
         own = kind == 0
-        out = pdf.loc[own, [*self.keys, "_n"]].copy()
+        out = pdf.loc[own, [*self.keys, *self.ids]].copy()
         for quarter in (1, 3):
             used = own | (kind == -quarter)
             out[f"q{quarter}"] = _prefix_quartile(

@@ -158,10 +158,17 @@ def sweep_plan(
     )
 
 
-def bundle_table(features: DataFrame, spec: SweepSpec, ids: DataFrame | None = None) -> DataFrame:
+def bundle_table(
+    features: DataFrame,
+    spec: SweepSpec,
+    ids: DataFrame | None = None,
+    market: Sequence[str] = (),
+) -> DataFrame:
     """One row per instant: weighted sums, impact counts and date parts.
 
     Everything is a plain aggregate, so no list of releases is ever built.
+    ``market`` names market columns to keep; they are the same for all releases
+    of an instant, so any value will do and no second pass is needed.
     ``ids`` are fitted indicator ids; a bundle carries the smallest and the
     number of distinct ones.
     """
@@ -190,6 +197,7 @@ def bundle_table(features: DataFrame, spec: SweepSpec, ids: DataFrame | None = N
         *impacts,
         *[first_of(c) for c in BUNDLE_FIRSTS],
         *extra,
+        *[F.max(c).alias(c) for c in market],
     )
     return isolated_only(bundles) if spec.isolated else bundles
 
@@ -213,10 +221,16 @@ def sweep_dataset(
     bundles: DataFrame | None = None,
     ids: DataFrame | None = None,
 ) -> DataFrame:
-    """Training table of one variant: bundles, market features, target and label."""
-    bundles = bundle_table(features, spec, ids) if bundles is None else bundles
+    """Training table of one variant: bundles, market features, target and label.
+
+    ``bundles`` may be shared by the variants of one aggregation.
+    """
     start, end = spec.minutes
-    joined = join_bundle_market(bundles, features, market_columns(spec))
+    market = market_columns(spec)
+    if bundles is None:
+        joined = bundle_table(features, spec, ids, market)
+    else:
+        joined = join_bundle_market(bundles, features, market)
     label = threshold_label(F.col(spec.target), F.lit(start), F.lit(end))
     return joined.withColumn(spec.label, label)
 
