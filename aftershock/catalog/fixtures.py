@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from aftershock.functions.moments import floor_to_candle, minutes
 from aftershock.operators.history import ORDER
 from aftershock.operators.market import candles_from_ticks
-from aftershock.plans.curation import clean_releases, score_history
+from aftershock.plans.curation import clean_releases
+from aftershock.session import materialise
 from aftershock.settings import CurationConfig
 
 HISTORY_KEYS = ("indicator",)
@@ -31,37 +32,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_type = 'signup'")
-    slot = F.date_trunc("hour", "ts") + F.when(F.minute("ts") >= 30, minutes(30)).otherwise(minutes(0))
-    early = F.when(F.col("event_id") % 7 == 0, minutes(1)).otherwise(minutes(0))
-    unit = (
-        F.when(F.col("user_id") % 4 == 0, F.lit("%"))
-        .when(F.col("user_id") % 4 == 1, F.lit("K"))
-        .when(F.col("user_id") % 4 == 2, F.lit("M"))
-        .otherwise(F.lit(""))
+    signups = table(spark, sf_dir, "events").filter("event_type = 'signup'")
+    rows = signups.selectExpr(
+        "*",
+        "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS level",
+        "element_at(array('%', 'K', 'M', ''), CAST(user_id % 4 AS INT) + 1) AS unit",
+        "date_trunc('hour', ts) + make_dt_interval(0, 0, IF(minute(ts) >= 30, 30, 0)) AS slot",
     )
-    level = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    eid = F.col("event_id")
-    return e.select(
+    return rows.selectExpr(
         "event_id",
-        (slot - early).alias("datetime"),
-        (F.floor((F.dayofmonth("ts") - 1) / 7) + 1).cast("int").alias("week"),
-        F.concat(F.lit("IND_"), (F.col("user_id") % 8).cast("string")).alias("indicator"),
-        F.when(eid % 5 == 0, F.lit("EUR")).otherwise(F.lit("USD")).alias("country"),
-        F.when(F.col("user_id") % 3 == 0, F.lit("High"))
-        .when(F.col("user_id") % 3 == 1, F.lit("Medium"))
-        .otherwise(F.lit("Low"))
-        .alias("impact"),
-        F.concat(F.col("value").cast("decimal(10,2)").cast("string"), unit).alias("actual"),
-        F.when(eid % 9 != 0, F.concat((level * 5).cast("string"), unit)).alias("forecast"),
-        F.when(eid % 3 == 0, F.lit(None).cast("string"))
-        .when(F.col("value") > level * 5, F.lit("better"))
-        .otherwise(F.lit("worse"))
-        .alias("forecast_error"),
-        F.when(eid % 50 == 0, F.lit("Pass"))
-        .otherwise(F.concat((level * 4).cast("string"), unit))
-        .alias("previous"),
-        F.when(eid % 4 == 0, F.lit("better")).when(eid % 4 == 1, F.lit("worse")).alias("previous_error"),
+        "slot - make_dt_interval(0, 0, IF(event_id % 7 = 0, 1, 0)) AS datetime",
+        "CAST((dayofmonth(ts) - 1) DIV 7 AS INT) + 1 AS week",
+        "concat('IND_', user_id % 8) AS indicator",
+        "IF(event_id % 5 = 0, 'EUR', 'USD') AS country",
+        "element_at(array('High', 'Medium', 'Low'), CAST(user_id % 3 AS INT) + 1) AS impact",
+        "concat(CAST(CAST(value AS DECIMAL(10, 2)) AS STRING), unit) AS actual",
+        "IF(event_id % 9 = 0, NULL, concat(5 * level, unit)) AS forecast",
+        "IF(event_id % 3 = 0, NULL, IF(value > 5 * level, 'better', 'worse')) AS forecast_error",
+        "IF(event_id % 50 = 0, 'Pass', concat(4 * level, unit)) AS previous",
+        "CASE event_id % 4 WHEN 0 THEN 'better' WHEN 1 THEN 'worse' END AS previous_error",
     )
 
 
@@ -70,11 +59,6 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_releases(releases(spark, sf_dir), CONFIG, gmt_input=True)
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean releases with all history scores."""
-    return score_history(clean(spark, sf_dir))
-
-
 def candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = table(spark, sf_dir, "events").filter("event_type <> 'signup'")
     return candles_from_ticks(
@@ -86,16 +70,22 @@ def candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candles written once: numbering reads them twice, the ticks only once."""
+    return materialise(candles(spark, sf_dir))
+
+
 def pair_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same ticks as one sparse series per event type."""
     ticks = table(spark, sf_dir, "events").filter("event_type <> 'signup'")
-    return candles_from_ticks(
+    folded = candles_from_ticks(
         ticks,
         pair=F.col("event_type"),
         ts=F.col("ts"),
         slot=floor_to_candle(F.col("ts")),
         pips=F.rint(F.col("value") * 100).cast("bigint"),
     )
+    return materialise(folded)
 
 
 def histories(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,10 +8,9 @@ from aftershock.catalog import fixtures as fx
 from aftershock.catalog.registry import query
 from aftershock.catalog.scans import features, half_hour, scored_features
 from aftershock.catalog.scalars import horizon_sql
-from aftershock.catalog.sql import history_sql, sql
+from aftershock.catalog.sql import sql
 from aftershock.operators import bundles, impact, market, reports, reshape, stats
 from aftershock.operators.gates import impact_filter
-from aftershock.operators.history import deviation_score
 from aftershock.settings import HORIZON_ENDS, IMPACTS, horizons
 
 C = F.col
@@ -56,7 +55,7 @@ def _join_release_candle(spark, sf_dir):
     sql("SELECT event_id, COLUMNS('_(0_5|5_10|10_15|15_20|20_25|25_30)_after$'), close_released FROM cf", "cf"),
 )
 def _join_snapshots_5m(spark, sf_dir):
-    joined = impact.join_snapshots_5m(fx.clean(spark, sf_dir), fx.candles(spark, sf_dir))
+    joined = impact.join_snapshots_5m(fx.clean(spark, sf_dir), fx.stored_candles(spark, sf_dir))
     names = [c for c in joined.columns if c.endswith("_after")]
     return joined.select("event_id", *names, "close_released")
 
@@ -66,14 +65,14 @@ def _join_snapshots_5m(spark, sf_dir):
     sql("SELECT event_id, volatility_60_0_before, pips_agg_60_0_before FROM cf", "cf"),
 )
 def _join_before(spark, sf_dir):
-    before = market.market_before(fx.candles(spark, sf_dir))
+    before = market.market_before(fx.stored_candles(spark, sf_dir))
     joined = impact.join_candle_features(fx.clean(spark, sf_dir), before)
     return joined.select("event_id", "volatility_60_0_before", "pips_agg_60_0_before")
 
 
 @query("join_after", sql(f"SELECT event_id, {', '.join(AFTER)} FROM cf", "cf"))
 def _join_after(spark, sf_dir):
-    after = market.market_after(fx.candles(spark, sf_dir))
+    after = market.market_after(fx.stored_candles(spark, sf_dir))
     return impact.join_candle_features(fx.clean(spark, sf_dir), after).select("event_id", *AFTER)
 
 
@@ -134,7 +133,7 @@ _NEEDED = " UNION ALL ".join(
 @query("needed_candle_join", sql(_NEEDED, "m", "rs"))
 def _needed_candle_join(spark, sf_dir):
     instants = fx.clean(spark, sf_dir).select(F.lit("ALL").alias("pair"), C("datetime_gmt").alias("ts"))
-    return market.needed_candle_join(instants, fx.candles(spark, sf_dir)).drop("pair")
+    return market.needed_candle_join(instants, fx.stored_candles(spark, sf_dir)).drop("pair")
 
 
 # --- bundles --------------------------------------------------------------------------------

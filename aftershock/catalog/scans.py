@@ -12,7 +12,7 @@ from aftershock.functions.numbers import numeric_token
 from aftershock.operators.reports import classification_report, rmse_report
 from aftershock.operators.reshape import temporal_split, wide_to_long
 from aftershock.operators.impact import join_market
-from aftershock.plans.curation import market_table
+from aftershock.plans.curation import curate, market_table
 from aftershock.plans.sweeps import SweepSpec, sweep_dataset
 from aftershock.session import new_path
 from aftershock.settings import HORIZON_ENDS, HORIZON_STARTS, SNAPSHOT_ENDS, CurationConfig
@@ -64,7 +64,7 @@ def features(spark, sf_dir, starts=HORIZON_STARTS, ends=HORIZON_ENDS, snapshots=
     """Clean releases with market columns, without history scores."""
     config = CurationConfig(starts=starts, ends=ends, snapshot_ends=snapshots)
     rows = fx.clean(spark, sf_dir)
-    return join_market(rows, market_table(rows, fx.candles(spark, sf_dir), config))
+    return join_market(rows, market_table(rows, fx.stored_candles(spark, sf_dir), config))
 
 
 def half_hour(spark, sf_dir):
@@ -74,8 +74,9 @@ def half_hour(spark, sf_dir):
 
 def scored_features(spark, sf_dir):
     """Features with history scores."""
-    rows = fx.clean(spark, sf_dir)
-    return join_market(fx.score_history(rows), market_table(rows, fx.candles(spark, sf_dir)))
+    return curate(
+        fx.releases(spark, sf_dir), fx.stored_candles(spark, sf_dir), fx.CONFIG, gmt_input=True
+    )
 
 
 @query("scan_calendar", sql("SELECT *, CAST(year(datetime) AS INT) AS file_year FROM r", "r"))

@@ -99,7 +99,7 @@ def _market_after(spark, sf_dir):
 
 
 def _framed(spark, sf_dir, columns):
-    numbered = market.number_candles(fx.candles(spark, sf_dir))
+    numbered = market.number_candles(fx.stored_candles(spark, sf_dir))
     return ordered.framed(numbered, ["pair"], "candle_no", columns, 0, 47)
 
 

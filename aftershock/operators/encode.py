@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aftershock.operators.ordered import WINDOW_ROWS, row_numbers
+from aftershock.operators.sized import join_sized
 
 
 def fit_ids(df: DataFrame, column: str, name: str, limit: int = WINDOW_ROWS) -> DataFrame:
@@ -20,7 +21,7 @@ def fit_ids(df: DataFrame, column: str, name: str, limit: int = WINDOW_ROWS) ->
 
 def apply_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """Adds fitted ids; a value that was not fitted gets null."""
-    return df.join(ids, column, "left")
+    return join_sized(df, ids, column, "left")
 
 
 def ordinal_encode(df: DataFrame, column: str, name: str, limit: int = WINDOW_ROWS) -> DataFrame:

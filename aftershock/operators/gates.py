@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aftershock.operators.sized import join_sized
 from aftershock.settings import PRECISION_RANGE, RECALL_RANGE
 
 
@@ -50,7 +51,7 @@ def week_coverage_gate(
 ) -> DataFrame:
     """Rows of the years that have the expected number of weeks."""
     good = week_coverage(df, expected, exempt, year, week).filter("complete").select(year)
-    return df.join(good, year, "left_semi")
+    return join_sized(df, good, year, "left_semi")
 
 
 def market_gap_audit(features: DataFrame, column: str) -> DataFrame:

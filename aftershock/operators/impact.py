@@ -2,8 +2,7 @@
 
 All are equi joins on an instant.  Many releases share an instant, so market
 rows are brought to one row per distinct instant first and the join to the
-releases comes last; AQE broadcasts the market side when its measured size
-allows and splits skewed instants when it does not.
+releases comes last, by ``join_sized``.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from aftershock.functions.moments import minutes, round_to_candle, shift_minutes
 from aftershock.operators.market import PRICES
+from aftershock.operators.sized import join_sized
 from aftershock.settings import CANDLE_MINUTES, SNAPSHOT_ENDS
 
 
@@ -24,7 +24,7 @@ def join_release_candle(releases: DataFrame, candles: DataFrame) -> DataFrame:
         shift_minutes(F.col("ts"), CANDLE_MINUTES).alias("datetime_gmt"),
         *[F.col(c).alias(f"{c}_released") for c in PRICES],
     )
-    return releases.join(released, "datetime_gmt", "left")
+    return join_sized(releases, released, "datetime_gmt", "left")
 
 
 def snapshot_suffix(end: int) -> str:
@@ -93,15 +93,14 @@ def join_snapshots_5m(
 
 def join_market(releases: DataFrame, by_instant: DataFrame) -> DataFrame:
     """Left join of releases to one market row per instant."""
-    return releases.join(by_instant, "datetime_gmt", "left")
+    return join_sized(releases, by_instant, "datetime_gmt", "left")
 
 
 def join_candle_features(releases: DataFrame, features: DataFrame) -> DataFrame:
     """Left join to features of the candle that starts at the release."""
     drop = [c for c in ("pair", "candle_no", *PRICES) if c in features.columns]
-    return releases.join(
-        features.drop(*drop).withColumnRenamed("ts", "datetime_gmt"), "datetime_gmt", "left"
-    )
+    market = features.drop(*drop).withColumnRenamed("ts", "datetime_gmt")
+    return join_sized(releases, market, "datetime_gmt", "left")
 
 
 def join_bundle_market(bundles: DataFrame, features: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -116,9 +115,9 @@ def join_bundle_market(bundles: DataFrame, features: DataFrame, columns: Sequenc
 
 def join_predictions(features: DataFrame, predictions: DataFrame, on: str = "datetime") -> DataFrame:
     """All features with the predictions there are; rows that were not scored stay null."""
-    return features.join(predictions, on, "left")
+    return join_sized(features, predictions, on, "left")
 
 
 def join_news_windows(releases: DataFrame, windows: DataFrame, on: str = "datetime") -> DataFrame:
     """Releases with one row per horizon of their instant."""
-    return releases.join(windows, on, "left")
+    return join_sized(releases, windows, on, "left")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aftershock.operators.ordered import WINDOW_ROWS, running_total
+from aftershock.operators.sized import join_sized
 from aftershock.session import materialise
 
 
@@ -272,7 +273,8 @@ def scatter_pairs(
         .filter("x is not null and y is not null")
     )
     corr = long.groupBy("pair").agg(F.round(F.corr("x", "y"), 6).alias("corr"))
-    return long.join(corr, "pair")
+    # one row per given pair
+    return long.join(F.broadcast(corr), "pair")
 
 
 def cell_average(df: DataFrame, keys: Sequence[str], column: str, name: str = "cell_avg") -> DataFrame:
@@ -285,7 +287,7 @@ def cell_average(df: DataFrame, keys: Sequence[str], column: str, name: str = "c
         average = df.agg(F.round(F.avg(column), 6).alias(name)).scalar()
         return df.withColumn(name, average)
     cells = df.groupBy(*keys).agg(F.round(F.avg(column), 6).alias(name))
-    return df.join(cells, list(keys))
+    return join_sized(df, cells, list(keys))
 
 
 def top_counts(counts: DataFrame, n: int, count: str, tie: str) -> DataFrame:
@@ -320,7 +322,8 @@ def last_n_events(df: DataFrame, indicator: str, n: int) -> DataFrame:
         .orderBy(F.col("datetime").desc())
         .limit(n)
     )
-    return df.join(instants, "datetime", "left_semi")
+    # at most n rows
+    return df.join(F.broadcast(instants), "datetime", "left_semi")
 
 
 def week_numbering(df: DataFrame, ts: str) -> DataFrame:
@@ -336,7 +339,7 @@ def week_numbering(df: DataFrame, ts: str) -> DataFrame:
     numbered = weeks.withColumn(
         "week_no", F.dense_rank().over(Window.partitionBy("year").orderBy("week_start"))
     )
-    return rows.join(numbered, ["year", "week_start"])
+    return join_sized(rows, numbered, ["year", "week_start"])
 
 
 def forward_fill(

@@ -18,6 +18,7 @@ from aftershock.operators.history import (
 from aftershock.operators.impact import join_market, market_by_instant
 from aftershock.operators.market import market_features
 from aftershock.operators.ordered import largest_group
+from aftershock.session import materialise
 from aftershock.settings import CurationConfig, horizons
 
 SURPRISES = ("forecast_error_diff", "previous_error_diff", "total_error_diff")
@@ -83,6 +84,9 @@ def curate(
     config: CurationConfig = CurationConfig(),
     gmt_input: bool = False,
 ) -> DataFrame:
-    """Curated features of all years in one job."""
-    releases = clean_releases(calendar, config, gmt_input)
+    """Curated features of all years.
+
+    Cleaned releases are read by several steps, so they are written once.
+    """
+    releases = materialise(clean_releases(calendar, config, gmt_input))
     return join_market(score_history(releases), market_table(releases, candles, config))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from aftershock.functions.flags import dummies, threshold_label
 from aftershock.operators.bundles import first_of, impact_counts, weighted_bundle_sum
-from aftershock.operators.encode import fit_ids
+from aftershock.operators.encode import apply_ids, fit_ids
 from aftershock.operators.gates import impact_filter, isolated_only
 from aftershock.operators.impact import join_bundle_market
 from aftershock.operators.neighbours import knn_classify, knn_regress, nearest
@@ -184,7 +184,7 @@ def bundle_table(
     )
     extra = []
     if ids is not None:
-        rows = rows.join(ids, "indicator", "left")
+        rows = apply_ids(rows, ids, "indicator")
         extra = [
             F.min("indicator_id").alias("first_indicator_id"),
             F.countDistinct("indicator_id").alias("indicators"),
