@@ -150,8 +150,8 @@ _TREE_SPEC = SweepSpec("ALL_NO_1_1_1", "basic", "included", "0_30", "basic", "ma
 
 def _grid(spark, sf_dir, model, points):
     """Grid scores of both kinds of one model."""
-    dataset = sweep_dataset(scored_features(spark, sf_dir), _TREE_SPEC).dropna()
-    rows = materialise(trees.with_folds(dataset, "datetime", 3))
+    dataset = materialise(sweep_dataset(scored_features(spark, sf_dir), _TREE_SPEC))
+    rows = trees.with_folds(dataset.dropna(), "datetime", 3)
     names = feature_names(dataset, _TREE_SPEC)
     out = []
     for kind, target in (("clf", _TREE_SPEC.label), ("reg", _TREE_SPEC.target)):

@@ -50,28 +50,31 @@ def market_by_instant(
 ) -> DataFrame:
     """One row per distinct ``datetime_gmt`` with all market columns.
 
-    Release candle, snapshots and the features of the candle at the release
-    are looked up by a single equi join over exploded offsets.  ``market`` is a
-    candle table of one pair, with any feature columns.
+    Release candle and snapshots are looked up by a single equi join over
+    exploded offsets that carries prices only; the features of the candle at
+    the release join once.  ``market`` is a candle table of one pair, with any
+    feature columns.
     """
     features = [c for c in market.columns if c not in ("pair", "ts", "candle_no", *PRICES)]
-    offsets = sorted({-CANDLE_MINUTES, 0, *[e - CANDLE_MINUTES for e in snapshot_ends]})
+    offsets = sorted({-CANDLE_MINUTES, *[e - CANDLE_MINUTES for e in snapshot_ends]})
     wanted = instants.select("datetime_gmt").distinct().withColumn(
         "_off", F.explode(F.array(*[F.lit(o) for o in offsets]))
     )
     wanted = wanted.withColumn(
         "ts", round_to_candle(F.col("datetime_gmt") + minutes(F.col("_off")))
     )
-    looked_up = wanted.join(market.drop("pair", "candle_no"), "ts", "left")
+    looked_up = wanted.join(market.select("ts", *PRICES), "ts", "left")
 
     def at(offset: int, column: str, name: str) -> Column:
         return F.expr(f"max(CASE WHEN _off = {offset} THEN {column} END) AS {name}")
 
-    aggs = [at(0, c, c) for c in features]
-    aggs += [at(-CANDLE_MINUTES, c, f"{c}_released") for c in PRICES]
+    aggs = [at(-CANDLE_MINUTES, c, f"{c}_released") for c in PRICES]
     for end in snapshot_ends:
         aggs += [at(end - CANDLE_MINUTES, c, f"_{c}_{end}") for c in PRICES]
     found = looked_up.groupBy("datetime_gmt").agg(*aggs)
+    if features:
+        at_release = market.selectExpr("ts AS datetime_gmt", *features)
+        found = found.join(at_release, "datetime_gmt", "left")
     texts: dict[str, str] = {}
     for end in snapshot_ends:
         texts.update(snapshot_columns(end))

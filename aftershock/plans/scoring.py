@@ -26,8 +26,8 @@ def score_new(features: DataFrame, cut: Column, spec: SweepSpec, k: int = 11) ->
     features = materialise(features)
     train, test = temporal_split(features, cut)
     ids = fit_indicator_ids(train)
-    fitted = sweep_dataset(train, spec, ids=ids).dropna()
-    later = sweep_dataset(test, spec, ids=ids)
+    fitted = materialise(sweep_dataset(train, spec, ids=ids)).dropna()
+    later = materialise(sweep_dataset(test, spec, ids=ids))
     names = feature_names(fitted, spec)
     later = later.dropna(subset=names)
     known = materialise(

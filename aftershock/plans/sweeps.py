@@ -259,8 +259,8 @@ def run_sweep(
     grid of the nearest-neighbour model.
     """
     spark = features.sparkSession
-    dataset = sweep_dataset(features, spec, bundles).dropna()
-    rows = materialise(with_folds(random_split(dataset, "datetime", TEST_SHARE), "datetime", folds))
+    dataset = materialise(sweep_dataset(features, spec, bundles)).dropna()
+    rows = with_folds(random_split(dataset, "datetime", TEST_SHARE), "datetime", folds)
     names = feature_names(dataset, spec)
     train, test = rows.filter("is_test = 0"), rows.filter("is_test = 1")
     results = []

@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 # Columns of a calendar file, in file order (the first one is a row number).
 CALENDAR_FILE = T.StructType(
     [
-        T.StructField("row_no", T.IntegerType()),
+        T.StructField("row_no", T.LongType()),
         T.StructField("actual", T.StringType()),
         T.StructField("country", T.StringType()),
         T.StructField("datetime", T.TimestampType()),
@@ -22,7 +22,7 @@ CALENDAR_FILE = T.StructType(
 # Second calendar provider: date and time are text.
 PROVIDER_FILE = T.StructType(
     [
-        T.StructField("row_no", T.IntegerType()),
+        T.StructField("row_no", T.LongType()),
         T.StructField("actual", T.StringType()),
         T.StructField("country", T.StringType()),
         T.StructField("date", T.StringType()),
