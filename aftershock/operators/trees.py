@@ -66,9 +66,9 @@ def fit_grid(
 ) -> GridFit:
     """Cross-validated grid search; ``train`` carries a ``fold`` column.
 
-    ``kind`` is ``clf`` (scored by accuracy) or ``reg`` (by RMSE).  Give it
-    a materialised table, it is read many times.  The folds are plain filters, and every fit is a cluster job;
-    ``parallelism`` of them run at a time.
+    ``kind`` is ``clf`` (scored by accuracy) or ``reg`` (by RMSE).  Give it a
+    materialised table, it is read many times.  The folds are plain filters and
+    every fit is a cluster job; ``parallelism`` of them run at a time.
     """
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
     learner = _MODELS[model, kind](featuresCol="features", labelCol=target, seed=SEED)
