@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -37,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(_CHECKPOINT, None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
         raise ValueError(f"set {_CHECKPOINT} to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="aftershock-")
     spark.conf.set(_CHECKPOINT, folder)
