@@ -8,9 +8,12 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aftershock.llm.neighbour_tree import nearest_found
 from aftershock.llm.pieces import decode_pieces, encode_pieces
 from aftershock.llm.token_counts import count_tokens
 from aftershock.llm.token_files import read_token_files, write_token_files
+from aftershock.llm.tiles import vectors_of
+from aftershock.llm.top_products import top_products
 from aftershock.session import new_path
 
 PIECES, BYTE_BPE = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -53,3 +56,36 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(PIECES), limit=4096)
+
+
+OP6_SQL = """
+WITH rows_ AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM rows_ q JOIN rows_ c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scored
+)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <= 5
+"""
+
+
+@query("op6_top_products", OP6_SQL)
+def op6_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five largest inner products of quantised vectors, for each fiftieth vector."""
+    rows = vectors_of(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    rows = rows.withColumn("vec", F.transform("vec", lambda x: F.floor(x * 256).cast("double")))
+    found = top_products(rows.filter("vec_id % 50 = 0"), rows, k=5)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+@query("op10_neighbour_tree")
+def op10_neighbour_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest vectors found for each fiftieth vector."""
+    rows = vectors_of(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    found = nearest_found(rows.filter("vec_id % 50 = 0"), rows, k=5)
+    return found.select("query_id", "rank", "vec_id", "score")
