@@ -8,11 +8,15 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aftershock.llm.common import store
 from aftershock.llm.neighbour_tree import nearest_found
+from aftershock.llm.packing import pack_documents
 from aftershock.llm.pieces import decode_pieces, encode_pieces
 from aftershock.llm.token_counts import count_tokens
 from aftershock.llm.token_files import read_token_files, write_token_files
+from aftershock.llm.quality import fit_quality, score_quality
 from aftershock.llm.tiles import vectors_of
+from aftershock.llm.tokens import encode_documents
 from aftershock.llm.top_products import top_products
 from aftershock.session import new_path
 
@@ -89,3 +93,23 @@ def op10_neighbour_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors_of(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     found = nearest_found(rows.filter("vec_id % 50 = 0"), rows, k=5)
     return found.select("query_id", "rank", "vec_id", "score")
+
+
+def held_out(doc_id: str = "doc_id"):
+    """Whether a document's label may not be learnt from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
+
+
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; a third of the labels is held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+    return score_quality(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 tokens."""
+    tokens = encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), end_id=0)
+    return pack_documents(store(tokens, "tokens"), 1024)

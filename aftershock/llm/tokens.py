@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 
-from aftershock.llm.common import ids_type, kept_in_worker
+from aftershock.llm.common import documents_of, ids_type, kept_in_worker, slices
 
 # White space beside blank, tab and line ends, on which two libraries might differ.
 _RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
@@ -79,3 +83,37 @@ class ByteTokenizer:
         for i, ids in zip(whole, self._ask([texts[i] for i in whole]), strict=True):
             out[i] = np.frombuffer(ids, self.type)
         return out
+
+
+def encode_documents(
+    docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Ids of every whole text and ``end_id``: ``key, doc_id, n_tokens, width, ids``.
+
+    ``key`` is unique and the same in every run over the same files; ``ids`` is
+    binary, little-endian, ``width`` bytes an id.  A null text counts as empty;
+    every row yields one row; other columns are not read.
+    """
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = ByteTokenizer.at(tokenizer)
+        kind = encoder.type if end_id <= np.iinfo(encoder.type).max else np.dtype("<u4")
+        end = np.array([end_id], kind).tobytes()
+        key = TaskContext.get().partitionId() << 40
+        for batch in slices(batches, "text"):
+            ids = encoder.encode(batch.column("text").to_pylist())
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.arange(key, key + n)), batch.column("doc_id"),
+                    pa.array(np.array([len(x) + 1 for x in ids], np.int64)),
+                    pa.array(np.full(n, kind.itemsize, np.int32)),
+                    pa.array([x.astype(kind, copy=False).tobytes() + end for x in ids], pa.binary()),
+                ],
+                ["key", "doc_id", "n_tokens", "width", "ids"],
+            )
+            key += n
+
+    return documents_of(docs, id_col, text_col).mapInArrow(
+        encode, "key long, doc_id long, n_tokens long, width int, ids binary"
+    )
