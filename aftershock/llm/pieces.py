@@ -32,6 +32,12 @@ _UNIGRAM, _BPE = 1, 2  # model types of the model file
 _NEVER = np.int64(1) << 40
 # Words whose ids a worker remembers.
 REMEMBERED = 400_000
+# Bits of the tables that tell most absent hashes without a search.
+_SIEVE = 18
+
+
+def _sieve(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - _SIEVE)).astype(np.int64)
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -146,16 +152,20 @@ class PieceModel:
             key = self.left[made] * n + self.right[made]
             order = np.argsort(key)
             self.pair_keys, self.pair_nodes = key[order], made[order]
+            self.pair_maybe = np.zeros(1 << _SIEVE, bool)
+            self.pair_maybe[_sieve(self.pair_keys.astype(np.uint64) * _BASE)] = True
         self.apart: dict[tuple[int, int], bool] = {}
         # Sorted hashes of the usable pieces, by length.
         self.longest = max((len(text_of[i]) for i in usable), default=1)
-        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         for m in range(1, self.longest + 1):
             nodes = np.array([i for i in usable if len(text_of[i]) == m], np.int64)
             codes = np.array([[ord(c) for c in text_of[i]] for i in nodes], np.int64).reshape(-1, m)
             h = self._prefix_hashes(codes)[:, -1]
             order = np.argsort(h)
-            self.by_length.append((h[order], nodes[order], codes[order]))
+            maybe = np.zeros(1 << _SIEVE, bool)
+            maybe[_sieve(h)] = True
+            self.by_length.append((h[order], nodes[order], codes[order], maybe))
         pairs = {(ord(a) << 21) | ord(b) for i in usable for a, b in zip(text_of[i], text_of[i][1:], strict=False)}
         self.inner_pairs = np.array(sorted(pairs), np.int64)
 
@@ -229,13 +239,17 @@ class PieceModel:
         until_y = np.full(len(at), _NEVER)
         while len(at):
             key = x * n + y
-            found = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            both = self.pair_nodes[found] if len(self.pair_nodes) else np.zeros(len(at), np.int64)
-            hit = (self.pair_keys[found] == key) if len(self.pair_keys) else np.zeros(len(at), bool)
+            some = np.flatnonzero(self.pair_maybe[_sieve(key.astype(np.uint64) * _BASE)])
+            found = np.searchsorted(self.pair_keys, key[some])
+            hit = np.minimum(found, len(self.pair_keys) - 1)
+            hit = self.pair_keys[hit] == key[some] if len(self.pair_keys) else np.zeros(0, bool)
+            some, rank = some[hit], self.rank[self.pair_nodes[found[hit]]]
             # The pair merges while both parts exist: before either is merged
             # into its own whole; of equal merges the left one comes first.
-            merges = hit & (self.rank[both] < until_x) & (self.rank[both] <= until_y)
-            ok[at[merges]] = False
+            some = some[(rank < until_x[some]) & (rank <= until_y[some])]
+            merges = np.zeros(len(at), bool)
+            merges[some] = True
+            ok[at[some]] = False
             rx, ry = self.rank[x], self.rank[y]
             go = ~merges & ((rx >= 0) | (ry >= 0))
             at, x, y, rx, ry = at[go], x[go], y[go], rx[go], ry[go]
@@ -245,6 +259,21 @@ class PieceModel:
             x, y = np.where(open_x, self.right[x], x), np.where(open_x, y, self.left[y])
         return ok
 
+    def _look_up(
+        self, h: np.ndarray, codes: np.ndarray, end: int, m: int, power: np.uint64
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Rows whose ``m`` characters before ``end`` are a piece, and its node."""
+        hashes, nodes, texts, maybe = self.by_length[m - 1]
+        if len(hashes) == 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        sub = h[:, end] - h[:, end - m] * power
+        at = np.flatnonzero(maybe[_sieve(sub)])
+        probe = np.minimum(np.searchsorted(hashes, sub[at]), len(hashes) - 1)
+        same = hashes[probe] == sub[at]
+        for k in range(m):
+            same &= texts[probe, k] == codes[at, end - m + k]
+        return at[same], nodes[probe[same]]
+
     def _search(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Nodes and lengths of the best last piece at each position, for words of one length."""
         n, size = codes.shape
@@ -259,32 +288,32 @@ class PieceModel:
             powers.append(power)
             power = np.uint64((int(power) * int(_BASE)) & 0xFFFFFFFFFFFFFFFF)
         for end in range(1, size + 1):
+            rows, news, sizes = [], [], []
             for m in range(1, min(end, self.longest) + 1):
-                hashes, nodes, texts = self.by_length[m - 1]
-                if len(hashes) == 0 and m > 1:
-                    continue
-                if len(hashes):
-                    sub = h[:, end] - h[:, end - m] * powers[m]
-                    probe = np.minimum(np.searchsorted(hashes, sub), len(hashes) - 1)
-                    at = np.flatnonzero(hashes[probe] == sub)
-                    at = at[(texts[probe[at]] == codes[at, end - m : end]).all(axis=1)]
-                    new = nodes[probe[at]]
-                else:
-                    at, new = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                at, new = self._look_up(h, codes, end, m, powers[m])
                 if m == 1:  # every character is a node
-                    rest = np.setdiff1d(np.arange(n), at, assume_unique=True)
+                    rest = np.ones(n, bool)
+                    rest[at] = False
+                    rest = np.flatnonzero(rest)
                     at = np.concatenate([at, rest])
                     new = np.concatenate([new, np.full(len(rest), self.other)])
-                if self.bpe:
-                    score = np.zeros(len(at))
-                    inner = np.flatnonzero(node[at, end - m] >= 0)
-                    apart = self._stay_apart(node[at[inner], end - m], new[inner])
-                    score[inner[~apart]] = -np.inf
-                else:
-                    score = total[at, end - m] + self.gain[new]
-                better = score > total[at, end]
-                at, new, score = at[better], new[better], score[better]
-                total[at, end], node[at, end], back[at, end] = score, new, m
+                if len(at):
+                    rows.append(at)
+                    news.append(new)
+                    sizes.append(np.full(len(at), m))
+            at, new, m = np.concatenate(rows), np.concatenate(news), np.concatenate(sizes)
+            if self.bpe:
+                last = node[at, end - m]
+                inner = np.flatnonzero(last >= 0)
+                good = np.ones(len(at), bool)
+                good[inner] = self._stay_apart(last[inner], new[inner])
+                at, new, m = at[good], new[good], m[good]  # one for each row
+            else:
+                score = total[at, end - m] + self.gain[new]
+                np.maximum.at(total[:, end], at, score)
+                best = score == total[at, end]
+                at, new, m = at[best][::-1], new[best][::-1], m[best][::-1]  # of equal ones the shortest
+            node[at, end], back[at, end] = new, m
         return node, back
 
     def _node_ids(self, node: int, char: str) -> list[int]:
@@ -294,8 +323,8 @@ class PieceModel:
             return [int(self.byte_ids[b]) for b in char.encode()]
         return [self.unknown]
 
-    def _encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words, by groups of parts of one length."""
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words (as bytes of 32-bit integers), by groups of parts of one length."""
         joined = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
         sizes = np.array([len(w) for w in words], np.int64)
         begin = np.zeros(len(joined) + 1, bool)
@@ -314,27 +343,27 @@ class PieceModel:
             for k in range(0, len(starts), group):
                 at = starts[k : k + group]
                 codes = joined[at[:, None] + np.arange(size)]
-                node, back = self._search(codes)
+                _, first, like = np.unique(self._prefix_hashes(codes)[:, -1], return_index=True, return_inverse=True)
+                if (codes[first[like]] != codes).any():  # two different parts of one hash
+                    first = like = np.arange(len(at))
+                node, back = self._search(codes[first])
                 row, end = np.arange(len(at)), np.full(len(at), size)
                 while len(row):
-                    out_node[at[row] + end - 1] = node[row, end]
-                    end = end - back[row, end]
+                    out_node[at[row] + end - 1] = node[like[row], end]
+                    end = end - back[like[row], end]
                     row, end = row[end > 0], end[end > 0]
-        out = []
         last = np.flatnonzero(out_node >= 0)
         owner = np.searchsorted(np.cumsum(sizes), last, "right")
         nodes = out_node[last]
-        plain = nodes < self.size
         bounds = np.searchsorted(owner, np.arange(len(words) + 1))
-        for w in range(len(words)):
-            a, b = bounds[w], bounds[w + 1]
-            if plain[a:b].all():
-                out.append(nodes[a:b].astype(np.int32))
-                continue
+        raw = nodes.astype(np.int32).tobytes()
+        ends = (4 * bounds).tolist()
+        out = [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        for w in np.unique(owner[nodes >= self.size]).tolist():
             ids: list[int] = []
-            for k in range(a, b):
+            for k in range(bounds[w], bounds[w + 1]):
                 ids += self._node_ids(int(nodes[k]), chr(joined[last[k]]))
-            out.append(np.array(ids, np.int32))
+            out[w] = np.array(ids, np.int32).tobytes()
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -349,7 +378,7 @@ class PieceModel:
             self.known = {k: self.known[k] for k in new if k in self.known}
         missing = [w for w in new if w not in self.known]
         if missing:
-            self.known.update(zip(missing, (x.tobytes() for x in self._encode_words(missing)), strict=True))
+            self.known.update(zip(missing, self._encode_words(missing), strict=True))
         get = self.known.__getitem__
         out = [np.frombuffer(b"".join(map(get, words)), np.int32) for words in split]
         if not self.has_bytes:  # neighbouring unknowns are one piece
@@ -391,7 +420,7 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = PieceModel.at(model)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             ids = pieces.encode(batch.column("text").to_pylist())
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat = np.concatenate([*ids, np.zeros(0, np.int32)])
