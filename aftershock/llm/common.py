@@ -18,6 +18,8 @@ from aftershock.session import new_path
 
 # Text bytes that a Python worker handles at once.
 SLICE_BYTES = 4 << 20
+# Rows of at most some 50 bytes that may be sent to every executor.
+BROADCAST_ROWS = 250_000
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -97,3 +99,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def join_measured(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Joins a large side to a narrow one, which is stored and counted first.
+
+    Up to ``BROADCAST_ROWS`` rows of a few numbers the right side goes to all
+    tasks and the large side stays where it is; beyond that both are shuffled.
+    """
+    right = store(right, "join-side")
+    if right.count() <= BROADCAST_ROWS:
+        right = F.broadcast(right)
+    return left.join(right, on, how)

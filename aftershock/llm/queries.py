@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aftershock.llm.common import store
+from aftershock.llm.near_dups import near_duplicates
 from aftershock.llm.neighbour_tree import nearest_found
 from aftershock.llm.packing import pack_documents
 from aftershock.llm.pieces import decode_pieces, encode_pieces
@@ -113,3 +114,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 1024 tokens."""
     tokens = encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), end_id=0)
     return pack_documents(store(tokens, "tokens"), 1024)
+
+
+@query("op5_near_dups")
+def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share four fifths of their four-word shingles."""
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4)

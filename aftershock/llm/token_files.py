@@ -177,10 +177,12 @@ def write_token_files(
                 disk, top = _disk(folder)
                 disk.create_dir(top, recursive=True)
                 writer = _Writer(disk.open_output_stream(f"{top}/{name}", compression=None), level)
-            ids = encoder.encode(batch.column("text").to_pylist())
-            for doc_id, own in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
-                writer.add(doc_id, own.astype(kind, copy=False).tobytes() + end, len(own) + 1)
-                tokens += len(own) + 1
+            flat, bounds = encoder.encode(batch.column("text"))
+            flat = flat.astype(kind, copy=False)
+            bounds = bounds.tolist()
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), bounds[:-1], bounds[1:], strict=True):
+                writer.add(doc_id, flat[a:b].tobytes() + end, b - a + 1)
+            tokens += len(flat) + batch.num_rows
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict(

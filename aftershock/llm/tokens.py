@@ -5,27 +5,33 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from aftershock.llm.common import documents_of, ids_type, kept_in_worker, slices
+from aftershock.llm.common import documents_of, ids_type, kept_in_worker, slices, text_bytes
+from aftershock.llm.words import span_hashes
 
-# White space beside blank, tab and line ends, on which two libraries might differ.
-_RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
-_CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+# White space beside blank, tab and line ends, on which two libraries might differ, in UTF-8.
+_RARE_SPACE = (
+    rb"[\x0b\x0c\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]"
+    rb"|\xe2\x81[\x9f-\xaf]|\xe3\x80\x80|\xef\xbb\xbf"
+)
 # Chunks whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 1_500_000
 
 
 class ByteTokenizer:
     """Encodes texts exactly as the library does, without added special tokens.
 
-    The pre-tokenizer never joins a visible character with a following space, so
-    a text is cut there and the library is asked once for each different chunk.
-    Texts with special strings or rare spaces go through the library whole.
+    The pre-tokenizer never joins a visible character with a following space, a
+    letter with a following sign, or a single line end with its neighbours, so
+    texts are cut there.  The library is asked once for each different chunk;
+    chunks are told apart by a 64-bit hash of their bytes.  Texts with special
+    strings or rare spaces are one chunk.
     """
 
     def __init__(self, path: str):
@@ -48,41 +54,92 @@ class ByteTokenizer:
             and not pre.get("add_prefix_space")
             and told.get("normalizer") is None
         )
-        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.known: dict[str, bytes] = {}
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.whole = re.compile(b"|".join([_RARE_SPACE, *map(re.escape, self.special)]))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)  # sorted hashes of known chunks
+        self.first = np.zeros(0, np.int64)  # where their ids begin
+        self.size = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, self.type)
 
     @staticmethod
     def at(path: str) -> ByteTokenizer:
         return kept_in_worker(("tokenizer", path), lambda: ByteTokenizer(path))
 
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.type).tobytes() for e in found]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        chunked: list[tuple[int, list[str]]] = []
-        whole: list[int] = []
-        new: set[str] = set()
-        for i, text in enumerate(texts):
-            if not self.cut or _RARE_SPACE.search(text) or self.special and self.special.search(text):
-                whole.append(i)
-                continue
-            chunks = _CHUNK.findall(text)
-            chunked.append((i, chunks))
-            new.update(chunks)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {k: self.known[k] for k in new if k in self.known}
-        missing = [k for k in new if k not in self.known]
-        self.known.update(zip(missing, self._ask(missing), strict=True))
-        get = self.known.__getitem__
-        for i, chunks in chunked:
-            out[i] = np.frombuffer(b"".join(map(get, chunks)), self.type)
-        for i, ids in zip(whole, self._ask([texts[i] for i in whole]), strict=True):
-            out[i] = np.frombuffer(ids, self.type)
-        return out
+    def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Marks bytes with which a chunk begins."""
+        cut = np.zeros(len(data) + 1, bool)
+        if self.cut and len(data) > 1:
+            kind = _KIND[data]
+            letter = kind == 1
+            # Two-byte letters end with a continuation byte.
+            lead = np.flatnonzero(_LEAD[data[:-1]])
+            second = data[lead + 1]
+            low = np.where(data[lead] == 0xD0, 0x90, 0x80)
+            high = np.where(data[lead] == 0xD1, 0x8F, 0xBF)
+            sign = (data[lead] == 0xC3) & ((second == 0x97) | (second == 0xB7))
+            letter[lead[(second >= low) & (second <= high) & ~sign] + 1] = True
+            space = kind == 2
+            cut[1:-1] = space[1:] & ~space[:-1]
+            cut[1:-1] |= (kind[1:] == 3) & letter[:-1]
+            alone = (data[1:-1] == 10) & ~space[:-2] & ~space[2:]
+            cut[2:-1] |= alone
+            raw = data.tobytes()
+            if _MAYBE_RARE[data].any() or any(x in raw for x in self.special):
+                rows = {int(np.searchsorted(offsets, m.start(), "right")) - 1 for m in self.whole.finditer(raw)}
+                for k in rows:
+                    cut[offsets[k] : offsets[k + 1]] = False
+        cut[offsets] = True
+        return cut[:-1]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the offsets of each text's."""
+        data, offsets = text_bytes(column)
+        if len(data) == 0:
+            return np.zeros(0, self.type), np.zeros(len(offsets), np.int64)
+        starts = np.flatnonzero(self._cuts(data, offsets))
+        ends = np.append(starts[1:], len(data))
+        h, at, like = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.keys) > REMEMBERED:
+            self._forget()
+        place = np.searchsorted(self.keys, h)
+        new = np.ones(len(h), bool)
+        inside = place < len(self.keys)
+        new[inside] = self.keys[place[inside]] != h[inside]
+        if new.any():
+            raw = data.tobytes()
+            asked = [raw[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
+            got = [e.ids for e in self.library.encode_batch_fast(asked, add_special_tokens=False)]
+            size = np.array([len(x) for x in got], np.int64)
+            first = len(self.ids) + np.cumsum(size) - size
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), self.type, int(size.sum()))])
+            self.keys = np.insert(self.keys, place[new], h[new])
+            self.first = np.insert(self.first, place[new], first)
+            self.size = np.insert(self.size, place[new], size)
+            place = np.searchsorted(self.keys, h)
+        size, first = self.size[place][like], self.first[place][like]
+        stop = np.cumsum(size)
+        source = np.repeat(first - (stop - size), size) + np.arange(stop[-1])
+        bounds = np.concatenate([[0], stop])[np.searchsorted(starts, offsets)]
+        return self.ids[source], bounds
+
+
+def _kinds() -> np.ndarray:
+    """1: letter, 2: space, 3: visible ASCII that is no letter or digit, 0: any other byte."""
+    kind = np.zeros(256, np.uint8)
+    for c in range(33, 127):
+        kind[c] = 0 if chr(c).isdigit() else 1 if chr(c).isalpha() else 3
+    kind[[9, 10, 13, 32]] = 2
+    return kind
+
+
+_KIND = _kinds()
+# First bytes of rare spaces.
+_MAYBE_RARE = np.isin(np.arange(256), [0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
+# First bytes of two-byte letters: Latin from U+00C0 to U+023F and Russian.
+_LEAD = np.isin(np.arange(256), [0xC3, 0xC4, 0xC5, 0xC6, 0xC7, 0xC8, 0xD0, 0xD1])
 
 
 def encode_documents(
@@ -101,14 +158,15 @@ def encode_documents(
         end = np.array([end_id], kind).tobytes()
         key = TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text"):
-            ids = encoder.encode(batch.column("text").to_pylist())
-            n = batch.num_rows
+            flat, bounds = encoder.encode(batch.column("text"))
+            flat, n = flat.astype(kind, copy=False), batch.num_rows
+            ids = [flat[a:b].tobytes() + end for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(key, key + n)), batch.column("doc_id"),
-                    pa.array(np.array([len(x) + 1 for x in ids], np.int64)),
+                    pa.array(np.diff(bounds) + 1),
                     pa.array(np.full(n, kind.itemsize, np.int32)),
-                    pa.array([x.astype(kind, copy=False).tobytes() + end for x in ids], pa.binary()),
+                    pa.array(ids, pa.binary()),
                 ],
                 ["key", "doc_id", "n_tokens", "width", "ids"],
             )
