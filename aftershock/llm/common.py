@@ -19,7 +19,7 @@ from aftershock.session import new_path
 # Text bytes that a Python worker handles at once.
 SLICE_BYTES = 4 << 20
 # Rows of at most some 50 bytes that may be sent to every executor.
-BROADCAST_ROWS = 250_000
+BROADCAST_ROWS = 400_000
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

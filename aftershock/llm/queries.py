@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aftershock.llm.common import store
+from aftershock.llm.line_dups import drop_repeated_lines
 from aftershock.llm.near_dups import near_duplicates
 from aftershock.llm.neighbour_tree import nearest_found
 from aftershock.llm.packing import pack_documents
@@ -120,3 +121,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that share four fifths of their four-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
+@query("op9_line_dups")
+def op9_line_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without repeated lines."""
+    docs = table(spark, sf_dir, "documents")
+    return drop_repeated_lines(docs).select("doc_id", "text", "removed_lines")
