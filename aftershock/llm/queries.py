@@ -20,6 +20,7 @@ from aftershock.llm.quality import fit_quality, score_quality
 from aftershock.llm.tiles import vectors_of
 from aftershock.llm.tokens import encode_documents
 from aftershock.llm.top_products import top_products
+from aftershock.llm.url_templates import Rule, judge_urls
 from aftershock.session import new_path
 
 PIECES, BYTE_BPE = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -128,3 +129,13 @@ def op9_line_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without repeated lines."""
     docs = table(spark, sf_dir, "documents")
     return drop_repeated_lines(docs).select("doc_id", "text", "removed_lines")
+
+
+# The rules of the url query.
+URL_RULES = ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")
+
+
+@query("op4_url_templates")
+def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's url."""
+    return judge_urls(table(spark, sf_dir, "pages"), [Rule.of(r) for r in URL_RULES])
