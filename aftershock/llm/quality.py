@@ -173,19 +173,35 @@ def fit_quality(
     return QualityModel(np.frombuffer(fitted["weights"], np.float32))
 
 
-def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) of every whole text.
+def score_quality(
+    docs: DataFrame,
+    model: QualityModel,
+    columns: list[str] | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) of every whole text, beside ``columns``.
 
-    A null text counts as empty, and an empty one gets the score of the model's
-    constant; every row yields one row; other columns are not read.
+    ``columns`` is the id alone unless given; columns of the names added are
+    replaced.  A null text counts as empty, and an empty one gets the score of the
+    model's constant; every row yields one row.
     """
+    columns = [c for c in columns or [id_col] if c not in ("score", "predicted")]
     shared = docs.sparkSession.sparkContext.broadcast(model.weights)  # of fixed size
+    text = "_text"
+    while text in columns:
+        text += "_"
+    rows = docs.select(
+        *[F.col(f"`{c}`") for c in columns],
+        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias(text),
+    )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = QualityModel(shared.value)
-        for batch in slices(batches, "text"):
-            found = own.score(*text_bytes(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "score"])
+        for batch in slices(batches, text):
+            found = own.score(*text_bytes(batch.column(text)))
+            kept = [batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found)], [*columns, "score"])
 
-    scored = documents_of(docs, id_col, text_col).mapInArrow(score, "doc_id long, score double")
+    scored = rows.mapInArrow(score, rows.drop(text).withColumn("score", F.lit(0.0)).schema)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
