@@ -437,7 +437,7 @@ def decode_pieces(tokens: DataFrame, model: str, ids_col: str = "ids", out_col:
 
     All other columns stay.  An id outside the model is an error.
     """
-    schema = tokens.drop(out_col).withColumn(out_col, F.lit("")).schema
+    schema = tokens.drop(out_col).schema.add(out_col, "string")
     kept = [c for c in tokens.columns if c != out_col]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
