@@ -24,8 +24,8 @@ from aftershock.llm.tiles import FOUND, HELD_CELLS, TILE_BYTES, best_of_tile, en
 # Rows that a tree is fitted on, at most, and their bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 16_384, 32 << 20
 # Queries of the calibration, and the share of true neighbours it has to find.
-CALIBRATION_QUERIES, TARGET_RECALL = 200, 0.97
-BRANCHES, LEAF_ROWS, ROUNDS = 16, 64, 12
+CALIBRATION_QUERIES, TARGET_RECALL = 200, 0.95
+BRANCHES, LEAF_ROWS, ROUNDS = 16, 256, 12
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
