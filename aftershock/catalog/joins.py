@@ -14,6 +14,8 @@ from aftershock.operators.gates import impact_filter
 from aftershock.settings import HORIZON_ENDS, IMPACTS, horizons
 
 C = F.col
+# Small enough that bundles of the given tables have several parts.
+PART_ROWS = 2
 AFTER = [f"{m}_{a}_{b}_after" for a, b in horizons() for m in market.AFTER_METRICS]
 MAX_PIPS = [f"pips_candle_max_{a}_{b}_after" for a, b in horizons()]
 PROFILE = [
@@ -50,6 +52,29 @@ def _join_release_candle(spark, sf_dir):
     return joined.select("event_id", *[f"{c}_released" for c in market.PRICES])
 
 
+_OF_PAIR = "concat('pair_', event_id % 3)"
+
+
+@query(
+    "join_release_candle_pairs",
+    sql(
+        "SELECT x.event_id, x.pair, k.open AS open_released, k.high AS high_released, k.low AS low_released, "
+        f"k.close AS close_released FROM (SELECT *, {_OF_PAIR} AS pair FROM rs) x LEFT JOIN (SELECT 'pair_0' AS pair, "
+        "* EXCLUDE (pair) FROM c UNION ALL SELECT 'pair_1', c.* EXCLUDE (pair) REPLACE (open + 1 AS open, high + 1 AS high, "
+        "low + 1 AS low, close + 1 AS close) FROM c) k ON k.pair = x.pair AND k.ts = x.datetime_gmt - INTERVAL 5 MINUTE",
+        "rs",
+        "c",
+    ),
+)
+def _join_release_candle_pairs(spark, sf_dir):
+    """Two pairs share all instants, a third has no candles."""
+    first = fx.stored_candles(spark, sf_dir).withColumn("pair", F.lit("pair_0"))
+    second = first.withColumns({"pair": F.lit("pair_1"), **{c: C(c) + 1 for c in market.PRICES}})
+    releases = fx.clean(spark, sf_dir).withColumn("pair", F.expr(_OF_PAIR))
+    joined = impact.join_release_candle(releases, first.unionByName(second))
+    return joined.select("event_id", "pair", *[f"{c}_released" for c in market.PRICES])
+
+
 @query(
     "join_snapshots_5m",
     sql("SELECT event_id, COLUMNS('_(0_5|5_10|10_15|15_20|20_25|25_30)_after$'), close_released FROM cf", "cf"),
@@ -142,15 +167,16 @@ def _needed_candle_join(spark, sf_dir):
 @query(
     "bundle_lists",
     sql(
-        "SELECT datetime, CAST(0 AS BIGINT) AS part, CAST(count(*) AS INT) AS rows, string_agg(indicator, ',' ORDER BY event_id) "
+        "SELECT datetime, part, CAST(count(*) AS INT) AS rows, string_agg(indicator, ',' ORDER BY event_id) "
         "AS indicators, string_agg(CAST(forecast_error_diff AS STRING), ',' ORDER BY event_id) AS surprises, "
-        "arg_min(week, event_id) AS first_week FROM rs GROUP BY datetime",
+        "arg_min(week, event_id) AS first_week FROM (SELECT *, (row_number() OVER (PARTITION BY datetime "
+        f"ORDER BY event_id) - 1) // {PART_ROWS} AS part FROM rs) GROUP BY datetime, part",
         "rs",
     ),
 )
 def _bundle_lists(spark, sf_dir):
     lists = bundles.bundle_lists(
-        fx.clean(spark, sf_dir), ["indicator", "forecast_error_diff"], ["week"]
+        fx.clean(spark, sf_dir), ["indicator", "forecast_error_diff"], ["week"], part_rows=PART_ROWS
     )
     return lists.select(
         "datetime",
@@ -165,13 +191,24 @@ def _bundle_lists(spark, sf_dir):
 @query(
     "bundle_key",
     sql(
-        "SELECT datetime, CAST(0 AS BIGINT) AS part, string_agg(indicator, '_' ORDER BY event_id) AS new_id "
-        "FROM r GROUP BY datetime",
+        "SELECT datetime, part, string_agg(indicator, '_' ORDER BY event_id) AS new_id FROM (SELECT *, (row_number() "
+        f"OVER (PARTITION BY datetime ORDER BY event_id) - 1) // {PART_ROWS} AS part FROM r) GROUP BY datetime, part",
         "r",
     ),
 )
 def _bundle_key(spark, sf_dir):
-    return bundles.bundle_key(fx.releases(spark, sf_dir), "indicator")
+    return bundles.bundle_key(fx.releases(spark, sf_dir), "indicator", part_rows=PART_ROWS)
+
+
+@query(
+    "bundle_rows",
+    sql(
+        "SELECT datetime, event_id, row_number() OVER (PARTITION BY datetime ORDER BY event_id) - 1 AS position FROM r",
+        "r",
+    ),
+)
+def _bundle_rows(spark, sf_dir):
+    return bundles.bundle_rows(fx.releases(spark, sf_dir)).select("datetime", "event_id", "position")
 
 
 @query("bundle_count", sql("SELECT datetime, count(*) AS num_news FROM r GROUP BY datetime", "r"))
@@ -295,15 +332,21 @@ def _share_by_key(spark, sf_dir):
 @query(
     "bundle_rate",
     sql(
-        "SELECT count(*) AS instants, round(100.0 * count(*) FILTER (WHERE n > 1) / CAST(count(*) AS DOUBLE), 6) AS bundled_pct, "
-        "round(100.0 * count(*) FILTER (WHERE n = 1) / CAST(count(*) AS DOUBLE), 6) AS isolated_pct FROM "
-        "(SELECT datetime, count(*) AS n FROM rc WHERE impact = 'High' GROUP BY datetime)",
+        "SELECT impact, count(*) AS instants, round(100.0 * count(*) FILTER (WHERE n > 1) / CAST(count(*) AS DOUBLE), 6) "
+        "AS bundled_pct, round(100.0 * count(*) FILTER (WHERE n = 1) / CAST(count(*) AS DOUBLE), 6) AS isolated_pct FROM "
+        "(SELECT 'High' AS impact, datetime, count(*) AS n FROM rc WHERE impact = 'High' GROUP BY datetime UNION ALL "
+        "SELECT 'ALL', datetime, count(*) FROM rc GROUP BY datetime) GROUP BY impact",
         "rc",
     ),
 )
 def _bundle_rate(spark, sf_dir):
-    high = impact_filter(fx.clean(spark, sf_dir), "High")
-    return stats.bundle_rate(bundles.bundle_count(high))
+    rows = fx.clean(spark, sf_dir)
+    sides = {"High": impact_filter(rows, "High"), "ALL": rows}
+    rates = [
+        stats.bundle_rate(bundles.bundle_count(side)).withColumn("impact", F.lit(name))
+        for name, side in sides.items()
+    ]
+    return rates[0].unionByName(rates[1])
 
 
 @query(

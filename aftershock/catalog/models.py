@@ -18,7 +18,7 @@ from aftershock.plans.sweeps import (
     sweep_plan,
 )
 from aftershock.session import materialise
-from aftershock.settings import NEIGHBOURS, TEST_SHARE
+from aftershock.settings import BOOST_ROUNDS, LEAF_ROWS, NEIGHBOURS, TEST_SHARE, TREE_COUNTS, TREE_DEPTHS
 
 C = F.col
 
@@ -102,7 +102,7 @@ def _knn_regress(spark, sf_dir):
     return neighbours.knn_regress(near, "label")
 
 
-_CV_KS = (1, 11, 21)
+_CV_KS = NEIGHBOURS
 
 
 @query(
@@ -112,7 +112,7 @@ _CV_KS = (1, 11, 21)
         "AS acc FROM (SELECT test_id, fold, y, k, label AS predicted, row_number() OVER (PARTITION BY test_id, k "
         "ORDER BY count(*) DESC, label) AS i FROM (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY dist, train_id) "
         "AS rank FROM (SELECT a.id AS test_id, a.id % 5 AS fold, a.label AS y, b.id AS train_id, b.label, "
-        "round(list_distance(a.vector, b.vector), 6) AS dist FROM e a, e b WHERE a.id % 5 <> b.id % 5) QUALIFY rank <= 21), "
+        "round(list_distance(a.vector, b.vector), 6) AS dist FROM e a, e b WHERE a.id % 5 <> b.id % 5) QUALIFY rank <= 191), "
         f"(SELECT unnest({list(_CV_KS)}) AS k) WHERE rank <= k GROUP BY test_id, fold, y, k, label) WHERE i = 1 "
         "GROUP BY k, fold) GROUP BY k",
         "e",
@@ -151,11 +151,11 @@ _TREE_SPEC = SweepSpec("ALL_NO_1_1_1", "basic", "included", "0_30", "basic", "ma
 def _grid(spark, sf_dir, model, points):
     """Grid scores of both kinds of one model."""
     dataset = materialise(sweep_dataset(scored_features(spark, sf_dir), _TREE_SPEC))
-    rows = trees.with_folds(dataset.dropna(), "datetime", 3)
+    rows = trees.with_folds(dataset.dropna(), "datetime")
     names = feature_names(dataset, _TREE_SPEC)
     out = []
     for kind, target in (("clf", _TREE_SPEC.label), ("reg", _TREE_SPEC.target)):
-        fitted = trees.fit_grid(rows, names, target, model, kind, points, folds=3)
+        fitted = trees.fit_grid(rows, names, target, model, kind, points)
         table = trees.grid_table(spark, fitted)
         out.append(table.withColumn("kind", F.lit(kind)).withColumn("score", F.round("score", 4)))
     return out[0].unionByName(out[1])
@@ -163,26 +163,26 @@ def _grid(spark, sf_dir, model, points):
 
 @query("tree_grid")
 def _tree_grid(spark, sf_dir):
-    points = trees.grid_points(maxDepth=(2, 4), minInstancesPerNode=(10, 50))
+    points = trees.grid_points(maxDepth=TREE_DEPTHS, minInstancesPerNode=LEAF_ROWS)
     return _grid(spark, sf_dir, "dtree", points)
 
 
 @query("forest_grid")
 def _forest_grid(spark, sf_dir):
-    points = trees.grid_points(maxDepth=(3,), minInstancesPerNode=(20,), numTrees=(10, 50))
+    points = trees.grid_points(maxDepth=TREE_DEPTHS, minInstancesPerNode=LEAF_ROWS, numTrees=TREE_COUNTS)
     return _grid(spark, sf_dir, "rforest", points)
 
 
 @query("boost_grid")
 def _boost_grid(spark, sf_dir):
-    points = trees.grid_points(maxIter=(5, 10), maxDepth=(3,))
+    points = trees.grid_points(maxIter=BOOST_ROUNDS, maxDepth=(3,))
     return _grid(spark, sf_dir, "gboosting", points)
 
 
 @query("run_sweeps")
 def _run_sweeps(spark, sf_dir):
     specs = [_TREE_SPEC, SweepSpec("High_NO_1_1_1", "basic", "included", "0_60", "basic", "min")]
-    grids = {"dtree": trees.grid_points(maxDepth=(2, 4), minInstancesPerNode=(20,))}
+    grids = {"dtree": trees.grid_points(maxDepth=TREE_DEPTHS, minInstancesPerNode=LEAF_ROWS)}
     return run_sweeps(scored_features(spark, sf_dir), specs, grids).drop("elapsed_time")
 
 

@@ -59,7 +59,13 @@ def _select_by_prefix(spark, sf_dir):
 
 @query(
     "horizon_columns",
-    sql("SELECT event_id, " + ", ".join(market_columns(SPEC)) + " FROM cf", "cf"),
+    sql(
+        "SELECT event_id, volatility_0_5_after, pips_candle_0_5_after, volatility_5_10_after, pips_candle_5_10_after, "
+        "volatility_10_15_after, pips_candle_10_15_after, volatility_15_20_after, pips_candle_15_20_after, "
+        "volatility_20_25_after, pips_candle_20_25_after, volatility_25_30_after, pips_candle_25_30_after, "
+        "volatility_60_0_before, pips_agg_60_0_before, pips_candle_max_30_60_after FROM cf",
+        "cf",
+    ),
 )
 def _horizon_columns(spark, sf_dir):
     names = [*reshape.horizon_columns(SNAPSHOT_ENDS, [], [], "all", True), SPEC.target]

@@ -84,8 +84,7 @@ def _scan_calendar(spark, sf_dir):
     rows = fx.releases(spark, sf_dir)
     path = new_path(spark, "calendar")
     sink_calendar_by_year(rows, path)
-    back = scan_calendar(spark, f"{path}/year=*", _CALENDAR)
-    return back.withColumn("file_year", F.year("datetime"))
+    return scan_calendar(spark, f"{path}/year=*", _CALENDAR)
 
 
 @query("sink_calendar_by_year", sql("SELECT event_id, CAST(year(datetime) AS INT) AS year, impact FROM r", "r"))

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from aftershock.operators.ordered import WINDOW_ROWS, row_numbers
 from aftershock.settings import IMPACTS
 
-# Entries of one list; a longer bundle continues in further parts.
-LIST_ROWS = 10_000
+
+def bundle_rows(
+    releases: DataFrame, order: Sequence[str] = ("event_id",), limit: int = WINDOW_ROWS
+) -> DataFrame:
+    """Releases with their position inside their instant, from 0: bundles of any size."""
+    return row_numbers(releases, ["datetime"], order, "position", limit)
 
 
 def bundle_lists(
@@ -19,15 +23,16 @@ def bundle_lists(
     columns: Sequence[str],
     first: Sequence[str] = (),
     order: Sequence[str] = ("event_id",),
-    part_rows: int = LIST_ROWS,
+    *,
+    part_rows: int,
     limit: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Lists of every column per instant, all in the same order.
 
-    A bundle of more than ``part_rows`` releases is split into parts, so no
-    list outgrows a row; ``part`` is 0 for all others.
+    A bundle continues in a further part after ``part_rows`` releases, which the
+    caller chooses, so that no list outgrows a row; parts count from 0.
     """
-    numbered = row_numbers(releases, ["datetime"], order, "_n", limit)
+    numbered = bundle_rows(releases, order, limit).withColumnRenamed("position", "_n")
     entry = F.struct("_n", *dict.fromkeys([*columns, *first]))
     lists = (
         numbered.withColumn("part", F.floor(F.col("_n") / part_rows))
@@ -48,12 +53,13 @@ def bundle_key(
     column: str,
     name: str = "new_id",
     order: Sequence[str] = ("event_id",),
-    part_rows: int = LIST_ROWS,
+    *,
+    part_rows: int,
     limit: int = WINDOW_ROWS,
 ) -> DataFrame:
-    """Values of a column per instant, joined by ``_``."""
+    """Values of a column per instant and part, joined by ``_``."""
     text = releases.withColumn(name, F.col(column).cast("string"))
-    lists = bundle_lists(text, [name], (), order, part_rows, limit)
+    lists = bundle_lists(text, [name], (), order, part_rows=part_rows, limit=limit)
     return lists.select("datetime", "part", F.array_join(name, "_").alias(name))
 
 

@@ -1,8 +1,9 @@
 """Joins of releases to the market.
 
-All are equi joins on an instant.  Many releases share an instant, so market
-rows are brought to one row per distinct instant first and the join to the
-releases comes last, by ``join_sized``.
+All are equi joins on an instant, and on the pair where releases have a
+``pair`` column.  Releases without one need a market of a single pair.  Many
+releases share an instant, so market rows are brought to one row per distinct
+instant first and the join to the releases comes last, by ``join_sized``.
 """
 
 from __future__ import annotations
@@ -18,13 +19,27 @@ from aftershock.operators.sized import join_sized
 from aftershock.settings import CANDLE_MINUTES, SNAPSHOT_ENDS
 
 
+def instant_keys(releases: DataFrame, market: DataFrame) -> list[str]:
+    """Join keys of releases and a market table.
+
+    Raises if the releases name no pair while the market has several.
+    """
+    if "pair" in releases.columns:
+        return ["pair", "datetime_gmt"]
+    if "pair" in market.columns and len(market.select("pair").distinct().take(2)) > 1:
+        raise ValueError("the market has several pairs: give the releases a pair, or choose one")
+    return ["datetime_gmt"]
+
+
 def join_release_candle(releases: DataFrame, candles: DataFrame) -> DataFrame:
     """The candle that closes at the release, as ``*_released``."""
-    released = candles.select(
-        shift_minutes(F.col("ts"), CANDLE_MINUTES).alias("datetime_gmt"),
-        *[F.col(c).alias(f"{c}_released") for c in PRICES],
+    keys = instant_keys(releases, candles)
+    released = candles.withColumn("datetime_gmt", shift_minutes(F.col("ts"), CANDLE_MINUTES))
+    # Only candles of wanted instants are measured and joined.
+    released = released.join(releases.select(*keys).distinct(), keys, "leftsemi").select(
+        *keys, *[F.col(c).alias(f"{c}_released") for c in PRICES]
     )
-    return join_sized(releases, released, "datetime_gmt", "left")
+    return join_sized(releases, released, keys, "left")
 
 
 def snapshot_suffix(end: int) -> str:
@@ -48,22 +63,23 @@ def snapshot_columns(end: int) -> dict[str, str]:
 def market_by_instant(
     instants: DataFrame, market: DataFrame, snapshot_ends: Sequence[int] = SNAPSHOT_ENDS
 ) -> DataFrame:
-    """One row per distinct ``datetime_gmt`` with all market columns.
+    """One row per distinct instant (of a pair, if there are pairs) with all market columns.
 
     Release candle and snapshots are looked up by a single equi join over
     exploded offsets that carries prices only; the features of the candle at
-    the release join once.  ``market`` is a candle table of one pair, with any
-    feature columns.
+    the release join once.  ``market`` is a candle table with any feature columns.
     """
+    keys = instant_keys(instants, market)
+    at_ts = [*keys[:-1], "ts"]
     features = [c for c in market.columns if c not in ("pair", "ts", "candle_no", *PRICES)]
     offsets = sorted({-CANDLE_MINUTES, *[e - CANDLE_MINUTES for e in snapshot_ends]})
-    wanted = instants.select("datetime_gmt").distinct().withColumn(
+    wanted = instants.select(*keys).distinct().withColumn(
         "_off", F.explode(F.array(*[F.lit(o) for o in offsets]))
     )
     wanted = wanted.withColumn(
         "ts", round_to_candle(F.col("datetime_gmt") + minutes(F.col("_off")))
     )
-    looked_up = wanted.join(market.select("ts", *PRICES), "ts", "left")
+    looked_up = wanted.join(market.select(*at_ts, *PRICES), at_ts, "left")
 
     def at(offset: int, column: str, name: str) -> Column:
         return F.expr(f"max(CASE WHEN _off = {offset} THEN {column} END) AS {name}")
@@ -71,15 +87,15 @@ def market_by_instant(
     aggs = [at(-CANDLE_MINUTES, c, f"{c}_released") for c in PRICES]
     for end in snapshot_ends:
         aggs += [at(end - CANDLE_MINUTES, c, f"_{c}_{end}") for c in PRICES]
-    found = looked_up.groupBy("datetime_gmt").agg(*aggs)
+    found = looked_up.groupBy(*keys).agg(*aggs)
     if features:
-        at_release = market.selectExpr("ts AS datetime_gmt", *features)
-        found = found.join(at_release, "datetime_gmt", "left")
+        at_release = market.withColumnRenamed("ts", "datetime_gmt").select(*keys, *features)
+        found = found.join(at_release, keys, "left")
     texts: dict[str, str] = {}
     for end in snapshot_ends:
         texts.update(snapshot_columns(end))
     return found.selectExpr(
-        "datetime_gmt",
+        *keys,
         *features,
         *[f"{c}_released" for c in PRICES],
         *[f"{text} AS {name}" for name, text in texts.items()],
@@ -95,15 +111,17 @@ def join_snapshots_5m(
 
 
 def join_market(releases: DataFrame, by_instant: DataFrame) -> DataFrame:
-    """Left join of releases to one market row per instant."""
-    return join_sized(releases, by_instant, "datetime_gmt", "left")
+    """Left join of releases to one market row per instant, and pair if there are pairs."""
+    return join_sized(releases, by_instant, instant_keys(releases, by_instant), "left")
 
 
 def join_candle_features(releases: DataFrame, features: DataFrame) -> DataFrame:
     """Left join to features of the candle that starts at the release."""
-    drop = [c for c in ("pair", "candle_no", *PRICES) if c in features.columns]
+    keys = instant_keys(releases, features)
+    drop = [c for c in ("candle_no", *PRICES, *(["pair"] if "pair" not in keys else []))]
     market = features.drop(*drop).withColumnRenamed("ts", "datetime_gmt")
-    return join_sized(releases, market, "datetime_gmt", "left")
+    market = market.join(releases.select(*keys).distinct(), keys, "leftsemi")
+    return join_sized(releases, market, keys, "left")
 
 
 def join_bundle_market(bundles: DataFrame, features: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from aftershock.functions.moments import minutes
 from aftershock.functions.prices import price_to_pips
 from aftershock.operators.ordered import CHUNK_ROWS, framed
+from aftershock.operators.sized import join_null_safe
 from aftershock.settings import BEFORE_MINUTES, CANDLE_MINUTES, horizons
 
 PRICES = ("open", "high", "low", "close")
@@ -72,9 +73,9 @@ def number_candles(candles: DataFrame) -> DataFrame:
         (F.sum("_rows").over(by_day) - F.col("_rows")).alias("_offset"),
     )
     in_day = Window.partitionBy("pair", "_day").orderBy("ts")
+    rows = days.withColumn("_row", F.row_number().over(in_day))
     return (
-        days.withColumn("_row", F.row_number().over(in_day))
-        .join(offsets, ["pair", "_day"])
+        join_null_safe(rows, offsets, ["pair", "_day"])
         .withColumn("candle_no", F.col("_offset") + F.col("_row") - 1)
         .drop("_day", "_row", "_offset")
     )

@@ -23,6 +23,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from aftershock.operators.sized import join_null_safe
 from aftershock.session import materialise
 
 # Most rows of one key that one window task may sort.
@@ -63,7 +64,7 @@ def running_total(
         return df.withColumns(out)
 
     shuffle_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(shuffle_parts, 2 * longest // limit)
+    parts = max(shuffle_parts, 2 * df.count() // limit)
     ranged = materialise(
         df.withColumn("_weight", weight)
         .repartitionByRange(parts, *keys, *order)
@@ -77,10 +78,9 @@ def running_total(
         {"_earlier": _before(F.col("_sum"), by_range), "_total": F.sum("_sum").over(whole)}
     ).drop("_sum")
     w = Window.partitionBy(*keys, "_range").orderBy(*order)
-    out = (
-        ranged.withColumn("_inside", _before(F.col("_weight"), w))
-        .join(sums, [*keys, "_range"])
-        .withColumn(name, F.col("_inside") + F.col("_earlier"))
+    inside = ranged.withColumn("_inside", _before(F.col("_weight"), w))
+    out = join_null_safe(inside, sums, [*keys, "_range"]).withColumn(
+        name, F.col("_inside") + F.col("_earlier")
     )
     if total is not None:
         out = out.withColumn(total, F.col("_total"))

@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aftershock.operators.ordered import WINDOW_ROWS, largest_group, row_numbers
+from aftershock.operators.ordered import WINDOW_ROWS, largest_group, row_numbers, running_total
+from aftershock.operators.sized import join_null_safe
+from aftershock.session import materialise
 from aftershock.settings import HISTORY_ROWS
 
 # Longest history that is sorted anew for every row.
@@ -94,37 +96,41 @@ def _long_quartiles(
         F.struct(F.lit(i).alias("_field"), F.col(f).cast("double").alias("_v"))
         for i, f in enumerate(fields)
     ]
-    values = df.select(*id_cols, F.inline(F.array(*cells))).filter("_v is not null")
+    every = df.select(*id_cols, F.inline(F.array(*cells)))
     keys = [*keys, "_field"]
-    numbered = row_numbers(values, keys, order, "_n", limit, longest).withColumn(
-        "_chunk", F.floor(F.col("_n") / chunk)
-    )
-    ids = [c for c in id_cols if c not in keys]
+    # Earlier values of a row.  A row without a value has as many as the next
+    # one with a value; behind the last value of a key stands one more place.
+    seen = F.col("_v").isNotNull().cast("bigint")
+    placed = materialise(running_total(every, keys, order, seen, "_n", limit, longest))
+    values = placed.filter("_v is not null").select(*keys, "_n", "_v")
+    ends = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.lit(float("inf")).alias("_v"))
+    numbered = values.unionByName(ends).withColumn("_chunk", F.floor(F.col("_n") / chunk))
     rows = numbered.select(
-        *keys, *ids, "_chunk", "_n", "_v",
+        *keys, "_chunk", "_n", "_v",
         F.lit(0).alias("_kind"), F.lit(0).cast("bigint").alias("_base"),
     )
-    if longest > chunk:
-        rows = rows.unionByName(_slices(numbered, keys, ids, longest, limit, chunk))
+    if longest >= chunk:
+        rows = rows.unionByName(_slices(numbered, keys, longest + 1, limit, chunk))
     # Many short keys share a task; a long key is spread chunk by chunk.
     quartiles = [T.StructField(q, T.DoubleType()) for q in ("q1", "q3")]
     solved = (
         rows.repartition(*keys, "_chunk")
         .sortWithinPartitions(*keys, "_chunk", "_kind", "_n")
         .mapInPandas(
-            _Solver(keys, ids, size),
-            T.StructType([rows.schema[c] for c in [*keys, *ids]] + quartiles),
+            _Solver(keys, size), T.StructType([rows.schema[c] for c in [*keys, "_n"]] + quartiles)
         )
     )
+    answered = join_null_safe(placed, solved, [*keys, "_n"], "left")
     wide = []
     for i, f in enumerate(fields):
         for q in ("q1", "q3"):
-            wide.append(F.max(F.when(F.col("_field") == i, F.col(q))).alias(f"{f}_{q}"))
-    return df.join(solved.groupBy(*id_cols).agg(*wide), id_cols, "left")
+            value = F.when(F.col("_n") >= size, F.col(q)).otherwise(F.col("_v"))
+            wide.append(F.max(F.when(F.col("_field") == i, value)).alias(f"{f}_{q}"))
+    return join_null_safe(df, answered.groupBy(*id_cols).agg(*wide), id_cols, "left")
 
 
 def _slices(
-    numbered: DataFrame, keys: list[str], ids: list[str], longest: int, limit: int, chunk: int
+    numbered: DataFrame, keys: list[str], longest: int, limit: int, chunk: int
 ) -> DataFrame:
     """Values before each chunk among which its quartiles must lie."""
     ranked = row_numbers(numbered, keys, ["_v", "_n"], "_m", limit, longest).withColumn(
@@ -136,7 +142,7 @@ def _slices(
     last = cells.groupBy(*keys).agg(F.max("_chunk").alias("_last"))
     until = F.coalesce(F.lead("_chunk").over(by_time), F.col("_last"))
     seen = (
-        cells.join(last, keys)
+        join_null_safe(cells, last, keys)
         .withColumn("_seen", F.sum("_rows").over(by_time))
         .withColumn("_until", until)
         .filter(F.col("_until") > F.col("_chunk"))
@@ -165,21 +171,17 @@ def _slices(
     asked = needed.groupBy(*keys, "_block").agg(
         F.ceil(F.count(F.lit(1)) / 16).cast("int").alias("_salts")
     )
-    values = (
-        ranked.select(*keys, *ids, "_block", "_v", F.col("_n").alias("_at"))
-        .join(asked, [*keys, "_block"])
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-    )
-    askers = needed.join(asked, [*keys, "_block"]).withColumn(
+    values = join_null_safe(
+        ranked.select(*keys, "_block", "_v", F.col("_n").alias("_at")), asked, [*keys, "_block"]
+    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    askers = join_null_safe(needed, asked, [*keys, "_block"]).withColumn(
         "_salt", F.pmod(F.col("_chunk"), F.col("_salts")).cast("int")
     )
     return (
-        values.drop("_salts")
-        .join(askers, [*keys, "_block", "_salt"])
+        join_null_safe(values.drop("_salts"), askers, [*keys, "_block", "_salt"])
         .filter(F.col("_at") < F.col("_chunk") * chunk)
         .select(
             *keys,
-            *ids,
             "_chunk",
             F.col("_at").alias("_n"),
             "_v",
@@ -189,6 +191,11 @@ def _slices(
     )
 
 
+def _equal(values: pd.Series, one) -> np.ndarray:
+    """Which values equal one; nulls are equal."""
+    return (values.isna() if pd.isna(one) else values == one).to_numpy()
+
+
 class _Solver:
     """Solves the chunks of one task, one at a time.
 
@@ -197,8 +204,8 @@ class _Solver:
     in time order (kind 0).
     """
 
-    def __init__(self, keys: list[str], ids: list[str], size: int):
-        self.keys, self.ids, self.size = keys, ids, size
+    def __init__(self, keys: list[str], size: int):
+        self.keys, self.size = keys, size
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -208,7 +215,7 @@ class _Solver:
             # Everything but the batch's last chunk is complete.
             last = np.ones(len(batch), dtype=bool)
             for column in [*self.keys, "_chunk"]:
-                last &= (batch[column] == batch[column].iloc[-1]).to_numpy()
+                last &= _equal(batch[column], batch[column].iloc[-1])
             start = len(batch) - int(last[::-1].cumprod().sum())
             if start == 0 and held and self._same(held[-1], batch):
                 held.append(batch)
@@ -222,15 +229,19 @@ class _Solver:
             yield self.solve(pd.concat(held))
 
     def _same(self, a: pd.DataFrame, b: pd.DataFrame) -> bool:
-        return all(a[c].iloc[-1] == b[c].iloc[0] for c in [*self.keys, "_chunk"])
+        return all(_equal(b[c].iloc[:1], a[c].iloc[-1])[0] for c in [*self.keys, "_chunk"])
 
     def solve(self, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.reset_index(drop=True)
-        unit = pdf[[*self.keys, "_chunk"]]
-        unit_no = (unit != unit.shift()).any(axis=1).cumsum().to_numpy() - 1
+        change = np.zeros(len(pdf), dtype=bool)
+        change[0] = True
+        for column in [*self.keys, "_chunk"]:
+            a, b = pdf[column], pdf[column].shift()
+            change[1:] |= ((a != b) & ~(a.isna() & b.isna())).to_numpy()[1:]
+        unit_no = change.cumsum() - 1
         kind = pdf["_kind"].to_numpy()
         own = kind == 0
-        out = pdf.loc[own, [*self.keys, *self.ids]].copy()
+        out = pdf.loc[own, [*self.keys, "_n"]].copy()
         for quarter in (1, 3):
             used = own | (kind == -quarter)
             out[f"q{quarter}"] = _prefix_quartile(

@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aftershock.operators.ordered import WINDOW_ROWS, running_total
-from aftershock.operators.sized import join_sized
-from aftershock.session import materialise
-
+from aftershock.operators.sized import join_null_safe, join_sized
+from aftershock.session import materialise, stored
+# Correlations that one aggregate computes.
+PAIRS_AT_ONCE = 26
 
 def row_counts(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     """Number of rows that meet each condition, in one pass."""
@@ -221,7 +222,7 @@ def box_stats(
     value = F.col("_value")
     inside = value.between(F.col("q1") - iqr * 1.5, F.col("q3") + iqr * 1.5)
     return (
-        counts.join(boxes, keys)
+        join_null_safe(counts, boxes, keys)
         .groupBy(*keys, "q1", "median", "q3")
         .agg(
             F.sum("_rows").alias("rows"),
@@ -233,26 +234,24 @@ def box_stats(
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns, from one pass.
+    """Pearson correlation of every pair of columns.
 
-    A row is unfolded into its column pairs and the pairs fold map-side again,
-    which keeps the generated code small.  A pair counts the rows where both
-    values are present.
+    Plain aggregates over the stored columns, a bounded number of pairs at a
+    time, which keeps the generated code small.  A pair counts the rows where
+    both values are present.
     """
+    rows = stored(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "correlated")
     pairs = list(combinations(columns, 2))
-    cells = ", ".join(
-        f"named_struct('_i', {i}, '_x', double({a}), '_y', double({b}))"
-        for i, (a, b) in enumerate(pairs)
-    )
-    names = ", ".join(f"named_struct('a', '{a}', 'b', '{b}')" for a, b in pairs)
-    folded = (
-        df.selectExpr(f"inline(array({cells}))")
-        .groupBy("_i")
-        .agg(F.corr(*[F.expr(f"if(_x IS NULL OR _y IS NULL, NULL, {c})") for c in ("_x", "_y")]).alias("corr"))
-    )
-    return folded.select(
-        F.expr(f"array({names})[_i]").alias("_names"), F.round("corr", 6).alias("corr")
-    ).select("_names.a", "_names.b", "corr")
+    out = None
+    for start in range(0, len(pairs), PAIRS_AT_ONCE):
+        cells = []
+        for a, b in pairs[start : start + PAIRS_AT_ONCE]:
+            both = F.col(a).isNotNull() & F.col(b).isNotNull()
+            corr = F.corr(F.when(both, F.col(a)), F.when(both, F.col(b)))
+            cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(corr, 6).alias("corr")))
+        part = rows.agg(F.array(*cells).alias("_cells")).select(F.inline("_cells"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def scatter_pairs(
@@ -287,7 +286,7 @@ def cell_average(df: DataFrame, keys: Sequence[str], column: str, name: str = "c
         average = df.agg(F.round(F.avg(column), 6).alias(name)).scalar()
         return df.withColumn(name, average)
     cells = df.groupBy(*keys).agg(F.round(F.avg(column), 6).alias(name))
-    return join_sized(df, cells, list(keys))
+    return join_sized(df, cells, list(keys), null_safe=True)
 
 
 def top_counts(counts: DataFrame, n: int, count: str, tie: str) -> DataFrame:
@@ -339,7 +338,7 @@ def week_numbering(df: DataFrame, ts: str) -> DataFrame:
     numbered = weeks.withColumn(
         "week_no", F.dense_rank().over(Window.partitionBy("year").orderBy("week_start"))
     )
-    return join_sized(rows, numbered, ["year", "week_start"])
+    return join_sized(rows, numbered, ["year", "week_start"], null_safe=True)
 
 
 def forward_fill(

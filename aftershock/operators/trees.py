@@ -1,21 +1,30 @@
-"""Grid search over MLlib tree models."""
+"""Grid search over MLlib tree models.
+
+Growing a tree is greedy, so a tree of some depth contains those of smaller
+depths, and the first trees of a forest or of a boosted chain are a smaller
+one.  A grid is therefore fitted once for each combination of its other
+parameters, with the largest depth and number of trees, and all points are
+scored from that model's nodes in one pass over the held-out rows.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Model
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aftershock.operators.reshape import fold_of
+from aftershock.session import new_path
 from aftershock.settings import FOLDS
 
 SEED = 42
@@ -27,6 +36,8 @@ _MODELS = {
     ("gboosting", "clf"): GBTClassifier,
     ("gboosting", "reg"): GBTRegressor,
 }
+# Parameters whose smaller values are parts of the largest one's model.
+_DEPTH, _COUNTS = "maxDepth", ("numTrees", "maxIter")
 
 
 def grid_points(**values: Sequence) -> list[dict]:
@@ -44,16 +55,85 @@ class GridFit:
     """Outcome of a grid search."""
 
     points: Sequence[dict]
-    scores: Sequence[float]
+    scores: Sequence[float | None]
     best: int
-    model: Model
+    model: Model | None
     assembler: VectorAssembler
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        """Rows with a ``prediction`` of the best model."""
+        """Rows with a ``prediction`` of the best model; null if there were no rows to fit on."""
+        if self.model is None:
+            return rows.withColumn("prediction", F.lit(None).cast("double"))
         return self.model.transform(self.assembler.transform(rows))
 
 
+@dataclass(frozen=True)
+class Nodes:
+    """The nodes of a model's trees as arrays; its size is bounded by the grid, not by the data."""
+
+    kind: str
+    boosted: bool
+    roots: np.ndarray
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray  # per node: class shares, or the prediction
+    weights: np.ndarray  # per tree
+
+    @staticmethod
+    def of(model: Model, name: str, kind: str, spark: SparkSession) -> Nodes:
+        path = new_path(spark, "trees")
+        model.write().save(path)
+        data = spark.read.parquet(f"{path}/data")
+        if name == "dtree":
+            data = data.select(F.lit(0).alias("treeID"), F.struct("*").alias("nodeData"))
+        rows = data.select("treeID", "nodeData.*").toPandas().sort_values(["treeID", "id"], ignore_index=True)
+        first = rows.groupby("treeID").size().cumsum().shift(fill_value=0)
+        base = rows["treeID"].map(first).to_numpy()
+        leaf = rows["leftChild"].to_numpy() < 0
+        here = np.arange(len(rows))
+        split = rows["split"]
+        weights = np.ones(len(first))
+        if name == "gboosting":
+            told = spark.read.parquet(f"{path}/treesMetadata").toDF("tree", "metadata", "weight").orderBy("tree").toPandas()
+            weights = told["weight"].to_numpy()
+        if kind == "clf" and name != "gboosting":
+            counts = np.stack(rows["impurityStats"].to_list())
+            value = counts / counts.sum(axis=1, keepdims=True)
+        else:
+            value = rows["prediction"].to_numpy()[:, None]
+        return Nodes(
+            kind,
+            name == "gboosting",
+            first.to_numpy(),
+            np.where(leaf, 0, [s["featureIndex"] for s in split]),
+            np.array([s["leftCategoriesOrThreshold"][0] if not end else np.inf for s, end in zip(split, leaf, strict=True)]),
+            np.where(leaf, here, base + rows["leftChild"].to_numpy()),
+            np.where(leaf, here, base + rows["rightChild"].to_numpy()),
+            value,
+            weights,
+        )
+
+    def predictions(self, x: np.ndarray, depth: int, counts: Sequence[int]) -> list[np.ndarray]:
+        """Predictions of the first trees, for every number of trees, cut off at a depth."""
+        total = np.zeros((len(x), self.value.shape[1]))
+        rows, out = np.arange(len(x)), {}
+        for tree in range(max(counts)):
+            node = np.full(len(x), self.roots[tree])
+            for _ in range(depth):
+                node = np.where(x[rows, self.feature[node]] <= self.threshold[node], self.left[node], self.right[node])
+            total += self.weights[tree] * self.value[node]
+            if tree + 1 in counts:
+                out[tree + 1] = self._decide(total, tree + 1)
+        return [out[n] for n in counts]
+
+    def _decide(self, total: np.ndarray, trees: int) -> np.ndarray:
+        if self.kind == "clf":
+            return (total[:, 0] > 0).astype(float) if self.boosted else total.argmax(axis=1).astype(float)
+        return total[:, 0] if self.boosted else total[:, 0] / trees
+
+
 def fit_grid(
     train: DataFrame,
     features: Sequence[str],
@@ -68,41 +148,86 @@ def fit_grid(
 
     ``kind`` is ``clf`` (scored by accuracy) or ``reg`` (by RMSE).  Give it a
     materialised table, it is read many times.  The folds are plain filters and
-    every fit is a cluster job; ``parallelism`` of them run at a time.
+    every fit is a cluster job; ``parallelism`` of them run at a time.  With rows
+    in fewer than two folds there are no scores and the first point is fitted;
+    without rows there is no model.
     """
+    spark = train.sparkSession
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
     learner = _MODELS[model, kind](featuresCol="features", labelCol=target, seed=SEED)
-    evaluator = (
-        MulticlassClassificationEvaluator(labelCol=target, metricName="accuracy")
-        if kind == "clf"
-        else RegressionEvaluator(labelCol=target, metricName="rmse")
-    )
-    rows = assembler.transform(train).select("features", target, "fold").cache()
+    plain = train.select(*[F.col(f).cast("double").alias(f) for f in features], target, "fold")
+    plain = plain.dropna(subset=list(features)).cache()
+    rows = assembler.transform(plain).select("features", target, "fold").cache()
     used = [r[0] for r in rows.select("fold").distinct().collect() if r[0] < folds]
 
     def fit(data: DataFrame, point: dict) -> Model:
         return learner.copy({learner.getParam(n): v for n, v in point.items()}).fit(data)
 
-    def score(task: tuple[int, int]) -> float:
-        place, fold = task
-        fitted = fit(rows.filter(F.col("fold") != fold), points[place])
-        return evaluator.evaluate(fitted.transform(rows.filter(F.col("fold") == fold)))
-
-    tasks = [(place, fold) for place in range(len(points)) for fold in used]
-    with ThreadPoolExecutor(parallelism) as pool:
-        found = list(pool.map(score, tasks))
-    width = max(len(used), 1)
-    means = [sum(found[i * width : (i + 1) * width]) / width for i in range(len(points))]
-    best = means.index(max(means) if kind == "clf" else min(means))
-    chosen = fit(rows, points[best])
+    # Points by what has to be fitted anew, each with the largest depth and count.
+    groups: dict[tuple, list[int]] = {}
+    for place, point in enumerate(points):
+        rest = tuple(sorted((n, v) for n, v in point.items() if n != _DEPTH and n not in _COUNTS))
+        groups.setdefault(rest, []).append(place)
+
+    def score(task: tuple[tuple, int]) -> dict[int, float]:
+        rest, fold = task
+        places = groups[rest]
+        largest = dict(rest) | {
+            n: max(points[p][n] for p in places) for n in (_DEPTH, *_COUNTS) if n in points[places[0]]
+        }
+        fitted = fit(rows.filter(F.col("fold") != fold), largest)
+        nodes = Nodes.of(fitted, model, kind, spark)
+        return _scores(nodes, plain.filter(F.col("fold") == fold), features, target, points, places)
+
+    means: list[float | None] = [None] * len(points)
+    best = 0
+    if len(used) > 1:
+        tasks = [(rest, fold) for rest in groups for fold in used]
+        sums = [0.0] * len(points)
+        with ThreadPoolExecutor(parallelism) as pool:
+            for found in pool.map(score, tasks):
+                for place, value in found.items():
+                    sums[place] += value
+        means = [s / len(used) for s in sums]
+        best = means.index(max(means) if kind == "clf" else min(means))
+    chosen = fit(rows, points[best]) if used else None
     rows.unpersist()
+    plain.unpersist()
     return GridFit(points, means, best, chosen, assembler)
 
 
+def _scores(
+    nodes: Nodes, rows: DataFrame, features: Sequence[str], target: str, points: Sequence[dict], places: list[int]
+) -> dict[int, float]:
+    """Accuracy or RMSE of every point on the rows, from one pass."""
+    names, deepest = list(features), 30
+    wanted: dict[int, list[tuple[int, int]]] = {}
+    for p in places:
+        count = next((points[p][n] for n in _COUNTS if n in points[p]), len(nodes.roots))
+        wanted.setdefault(points[p].get(_DEPTH, deepest), []).append((min(count, len(nodes.roots)), p))
+
+    def evaluate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x, y = batch[names].to_numpy(), batch[target].to_numpy(dtype=float)
+            out = []
+            for depth, asked in wanted.items():
+                counts = sorted({c for c, _ in asked})
+                found = dict(zip(counts, nodes.predictions(x, depth, counts), strict=True))
+                for count, place in asked:
+                    miss = (found[count] == y) if nodes.kind == "clf" else (found[count] - y) ** 2
+                    out.append((place, len(y), float(miss.sum())))
+            yield pd.DataFrame(out, columns=["place", "n", "total"])
+
+    sums = rows.mapInPandas(evaluate, "place int, n long, total double").groupBy("place")
+    found = sums.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
+    mean = {r["place"]: r["total"] / r["n"] for r in found}
+    return mean if nodes.kind == "clf" else {p: float(np.sqrt(v)) for p, v in mean.items()}
+
+
 def grid_table(spark: SparkSession, fitted: GridFit) -> DataFrame:
     """Mean fold score of every grid point."""
     rows = [
-        (str(dict(sorted(point.items()))), float(score))
+        (str(dict(sorted(point.items()))), None if score is None else float(score))
         for point, score in zip(fitted.points, fitted.scores, strict=True)
     ]
     return spark.createDataFrame(rows, "params string, score double")

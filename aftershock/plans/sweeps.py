@@ -6,7 +6,8 @@ import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,10 +22,12 @@ from aftershock.operators.reshape import column_difference, horizon_columns, ran
 from aftershock.operators.trees import fit_grid, with_folds
 from aftershock.session import materialise, new_path
 from aftershock.schemas import SWEEP_RESULT
-from aftershock.settings import HORIZON_ENDS, HORIZON_STARTS, IMPACTS, SNAPSHOT_ENDS, TEST_SHARE
+from aftershock.settings import FOLDS, HORIZON_ENDS, HORIZON_STARTS, IMPACTS, NEIGHBOURS, SNAPSHOT_ENDS, TEST_SHARE
 from aftershock.sources.tables import sink_partial_results
 
 # --- fixed values: columns of a bundle ---
+# Texts of results without rows to score or to fit on.
+NOTHING_SCORED, NOTHING_FITTED = "no rows to score", "no rows to fit on"
 BUNDLE_SUMS = (
     "forecast_error_diff_deviation",
     "forecast_error_diff_outlier_class",
@@ -248,8 +251,8 @@ def run_sweep(
     features: DataFrame,
     spec: SweepSpec,
     grids: dict[str, Sequence[dict]],
-    neighbours: Sequence[int] = (1, 11, 21),
-    folds: int = 3,
+    neighbours: Sequence[int] = NEIGHBOURS,
+    folds: int = FOLDS,
     parallelism: int = 4,
     bundles: DataFrame | None = None,
 ) -> DataFrame:
@@ -275,6 +278,8 @@ def run_sweep(
                 F.col(target).cast("double").alias("y"), F.col("prediction").alias("yhat")
             )
             score, params = fitted.scores[fitted.best], str(points[fitted.best])
+            if fitted.model is None:
+                scored, params = scored.limit(0), NOTHING_FITTED
             results.append(_result_row(scored, spec, model, kind, score, params, began))
     schema = T.StructType([T.StructField("sweep_id", T.StringType()), *SWEEP_RESULT.fields])
     return spark.createDataFrame(results, schema)
@@ -299,14 +304,15 @@ def _fit_neighbours(train, test, names, target, kind, ks):
         grid = scored.groupBy("k").agg(F.avg((F.col("y") == F.col("yhat")).cast("double")).alias("s"))
     else:
         grid = rmse_report(scored, ["k"], "y", "yhat").withColumnRenamed("rmse", "s")
+    # With fewer than two folds there is nothing to compare: smallest k, no score.
     best = best_by_score(grid.withColumn("g", F.lit(0)), ["g"], "s", ["k"], kind == "clf").first()
-    k = int(best["k"])
+    k, score = (int(best["k"]), float(best["s"])) if best else (min(ks), None)
     outer = predict(nearest(tested, keyed, k, ["_t"]), "_t", [k])
     truth = tested.select(F.col("id").alias("test_id"), F.col("_t").alias("y"))
     result = outer.join(truth, "test_id").select(
         F.col("y").cast("double").alias("y"), F.col("predicted").cast("double").alias("yhat")
     )
-    return result, float(best["s"]), str({"n_neighbors": k})
+    return result, score, str({"n_neighbors": k})
 
 
 def _result_row(scored, spec, model, kind, best_score, params, began) -> tuple:
@@ -314,13 +320,13 @@ def _result_row(scored, spec, model, kind, best_score, params, began) -> tuple:
     names = [f.name for f in SWEEP_RESULT.fields][10:18]
     one = scored.withColumn("_g", F.lit(0))
     if kind == "clf":
-        row = classification_report(one, ["_g"], "y", "yhat").first().asDict()
-        values = [float(row[n]) for n in names]
-        report = str({n: row[n] for n in names})
+        row = classification_report(one, ["_g"], "y", "yhat").first()
+        values = [float(row[n]) if row else None for n in names]
+        report = str({n: row[n] for n in names}) if row else NOTHING_SCORED
     else:
         row = rmse_report(one, ["_g"], "y", "yhat").first()
         values = [None] * len(names)
-        report = f"{row['rmse']:.2f}"
+        report = f"{row['rmse']:.2f}" if row else NOTHING_SCORED
     return (
         spec.sweep_id,
         kind,
@@ -331,7 +337,7 @@ def _result_row(scored, spec, model, kind, best_score, params, began) -> tuple:
         spec.horizon,
         spec.before,
         spec.grid,
-        float(best_score),
+        None if best_score is None else float(best_score),
         params,
         *values,
         report,
@@ -348,14 +354,18 @@ def run_sweeps(
 ) -> DataFrame:
     """Result table of a whole plan.
 
-    Every sweep is written when it is done, so a restarted run keeps what was
-    finished.  The bundles of an aggregation are shared by its variants.
+    Every sweep is written when it is done, and a restarted run into the same
+    path leaves finished sweeps out.  The bundles of an aggregation are shared by
+    its variants.
     """
     spark = features.sparkSession
+    done = finished_sweeps(spark, path) if path else set()
     path = path or new_path(spark, "sweep-results")
     features = materialise(features)
     shared: dict[str, DataFrame] = {}
     for spec in specs:
+        if spec.sweep_id in done:
+            continue
         if spec.aggregation not in shared:
             shared[spec.aggregation] = materialise(bundle_table(features, spec))
         rows = run_sweep(features, spec, grids, bundles=shared[spec.aggregation], **options)
@@ -363,6 +373,15 @@ def run_sweeps(
     return spark.read.parquet(path)
 
 
+def finished_sweeps(spark: SparkSession, path: str) -> set[str]:
+    """Ids of the sweeps whose results are in a folder; it need not exist."""
+    try:
+        written = spark.read.parquet(path)
+    except AnalysisException:
+        return set()
+    return {r[0] for r in written.select(F.col("sweep_id").cast("string")).distinct().collect()}
+
+
 def fit_indicator_ids(train: DataFrame) -> DataFrame:
     """Indicator ids fitted on training rows, to be applied to both sides of a split."""
     return fit_ids(train, "indicator", "indicator_id")

@@ -50,6 +50,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Writes a table to the shared folder as Parquet and reads it from there on.
+
+    Unlike a checkpoint, later steps read only the columns and rows they need.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to reliable storage and read it from there on.
 

@@ -84,3 +84,48 @@ def test_spec_parts():
     assert (spec.impact, spec.isolated, spec.weights, spec.minutes) == ("ALL", False, (3, 2, 1), (30, 60))
     assert spec.target == "pips_candle_min_30_60_after"
     assert spec.sweep_id == "ALL_NO_3_2_1-basic-included-30_60-basic-min"
+
+
+@pytest.fixture(scope="module")
+def grid_rows(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 4)).round(3)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + 0.5 * rng.normal(size=600) > 0).astype(int)
+    z = x[:, 0] * 3 + x[:, 3] + rng.normal(size=600)
+    rows = [(*map(float, r), int(a), float(b), i % 3) for i, (r, a, b) in enumerate(zip(x, y, z, strict=True))]
+    return spark.createDataFrame(rows, "a double, b double, c double, d double, y int, z double, fold int").cache()
+
+
+@pytest.mark.parametrize("name", ["dtree", "rforest", "gboosting"])
+@pytest.mark.parametrize(("kind", "target"), [("clf", "y"), ("reg", "z")])
+def test_nodes_predict_as_the_model_does(spark, grid_rows, name, kind, target):
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=list("abcd"), outputCol="features").transform(grid_rows)
+    more = {"dtree": {}, "rforest": {"numTrees": 6}, "gboosting": {"maxIter": 6}}[name]
+    learner = trees._MODELS[name, kind](featuresCol="features", labelCol=target, seed=1, maxDepth=5, **more)
+    model = learner.fit(rows)
+    told = model.transform(rows).select(*"abcd", "prediction").toPandas()
+    nodes = trees.Nodes.of(model, name, kind, spark)
+    found = nodes.predictions(told[list("abcd")].to_numpy(), 5, [len(nodes.roots)])[0]
+    assert np.allclose(found, told["prediction"].to_numpy())
+    if name == "dtree":  # a smaller depth is a part of the tree
+        small = learner.copy({learner.maxDepth: 3}).fit(rows).transform(rows).toPandas()["prediction"].to_numpy()
+        assert np.allclose(nodes.predictions(told[list("abcd")].to_numpy(), 3, [1])[0], small)
+
+
+def test_a_grid_scores_every_point(grid_rows):
+    points = trees.grid_points(maxDepth=(1, 3, 5), minInstancesPerNode=(1, 40))
+    fitted = trees.fit_grid(grid_rows, list("abcd"), "y", "dtree", "clf", points, folds=3)
+    assert len(fitted.scores) == 6 and all(0.5 < s <= 1 for s in fitted.scores)
+    assert fitted.scores[fitted.best] == max(fitted.scores)
+    one = fitted.predict(grid_rows.filter("fold = 0"))
+    assert one.filter("prediction IS NULL").isEmpty()
+
+
+def test_a_grid_without_folds_or_rows(grid_rows):
+    points = trees.grid_points(maxDepth=(1, 3))
+    single = trees.fit_grid(grid_rows.filter("fold = 1"), list("abcd"), "y", "dtree", "clf", points, folds=3)
+    assert single.scores == [None, None] and single.model is not None
+    none = trees.fit_grid(grid_rows.limit(0), list("abcd"), "y", "dtree", "clf", points, folds=3)
+    assert none.model is None and none.predict(grid_rows).filter("prediction IS NOT NULL").isEmpty()

@@ -8,7 +8,7 @@ from aftershock.catalog import fixtures as fx
 from aftershock.operators import history, market, ordered, stats
 from aftershock.operators.encode import fit_ids
 from aftershock.operators.quartiles import _kth_smallest, expanding_quartiles
-from aftershock.operators.bundles import bundle_lists
+from aftershock.operators.bundles import bundle_lists, bundle_rows
 
 
 def rows(df):
@@ -148,3 +148,62 @@ def test_long_bundles_come_in_parts(skewed):
     lists = bundle_lists(one, ["event_id"], part_rows=900, limit=500).orderBy("part").collect()
     assert [r["rows"] for r in lists] == [900, 900, 900, 900, 400]
     assert [e for r in lists for e in r["event_id"]] == list(range(4000))
+
+
+@pytest.fixture(scope="module")
+def with_nulls(skewed):
+    """A quarter of the keys and, beside the skewed nulls, a run of values is null."""
+    gone = F.col("event_id") % 4 == 1
+    run = F.col("event_id").between(900, 1100) | (F.col("event_id") > 3980)
+    return skewed.withColumns(
+        {
+            "indicator": F.when(~gone, F.col("indicator")),
+            "datetime": F.when(~gone, F.date_trunc("hour", "datetime_gmt")),
+            "v": F.when(~run, F.col("v")),
+            "forecast_error_diff": F.col("v"),
+            "previous_error": F.lit("worse"),
+            "impact": F.lit("High"),
+        }
+    )
+
+
+ORDER_BY = ["datetime_gmt", "event_id"]
+BRANCHES = {
+    "row_numbers": lambda df, **o: ordered.row_numbers(df, ["indicator"], ORDER_BY, "n", **o),
+    "previous_value": lambda df, **o: history.previous_value(df, ["indicator"], ORDER_BY, **o),
+    "revision_surprise": lambda df, **o: history.revision_surprise(df, ["indicator"], ORDER_BY, **o),
+    "rolling_std_mean": lambda df, **o: history.rolling_std_mean(df, ["v"], ["indicator"], ORDER_BY, **o),
+    "deviation_score": lambda df, **o: history.deviation_score(df, ["v"], ["indicator"], ORDER_BY, **o),
+    "outlier_score": lambda df, **o: history.outlier_score(df, ["v"], ["indicator"], ORDER_BY, **o),
+    "box_stats": lambda df, **o: stats.box_stats(df, ["indicator"], "v", **o),
+    "percentiles": lambda df, **o: stats.exact_percentiles(df, ["indicator"], "v", {"half": 0.5}, **o),
+    "bundle_rows": lambda df, **o: bundle_rows(df, **o),
+}
+
+
+def shown(df):
+    return sorted((tuple(str(round(v, 9) if isinstance(v, float) else v) for v in r) for r in df.collect()))
+
+
+@pytest.mark.parametrize("name", BRANCHES)
+def test_null_keys_and_values_give_equal_rows_on_both_branches(with_nulls, name):
+    plain, split = BRANCHES[name](with_nulls), BRANCHES[name](with_nulls, limit=100)
+    assert shown(plain) == shown(split)
+
+
+@pytest.mark.parametrize("chunk", [5, 100, 1 << 18])
+def test_quartiles_with_nulls_are_alike_on_both_branches(with_nulls, chunk):
+    df = with_nulls.withColumn("w", F.when(F.col("event_id") % 3 == 0, F.col("v") * 2))
+    args = (["v", "w"], ["indicator"], ORDER_BY)
+    plain = expanding_quartiles(df, *args, short=1 << 20)
+    split = expanding_quartiles(df, *args, short=10, chunk=chunk, limit=100)
+    columns = ["event_id", "v_q1", "v_q3", "w_q1", "w_q3"]
+    assert shown(plain.select(columns)) == shown(split.select(columns))
+
+
+def test_cells_and_weeks_without_a_key_stay(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0)], "k string, x double")
+    got = {(r["k"], r["x"], r["cell_avg"]) for r in stats.cell_average(df, ["k"], "x").collect()}
+    assert got == {("a", 1.0, 2.0), ("a", 3.0, 2.0), (None, 5.0, 5.0)}
+    times = spark.createDataFrame([("2024-01-03",), (None,)], "t string").withColumn("t", F.col("t").cast("timestamp"))
+    assert sorted(str(r["week_no"]) for r in stats.week_numbering(times, "t").collect()) == ["1", "1"]

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as contract
+from aftershock.plans.sweeps import NOTHING_SCORED
 from compare import connect, differences
 
 QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
@@ -27,7 +28,10 @@ def test_model_jobs_give_rows(spark, sf, name):
         rows = df.collect()
         assert {r["model"] for r in rows} == {"kn", "dtree"}
         assert {r["model_type"] for r in rows} == {"clf", "reg"}
-        assert all((r["f1_microavg"] is None) == (r["model_type"] == "reg") for r in rows)
+        # The second variant keeps too few complete rows of the smallest table to test on.
+        scored = [r for r in rows if r["report"] != NOTHING_SCORED]
+        assert scored and all((r["f1_microavg"] is None) == (r["model_type"] == "reg") for r in scored)
+        assert all(r["f1_microavg"] is None for r in rows if r["report"] == NOTHING_SCORED)
 
 
 def test_entry(spark):
