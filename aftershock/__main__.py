@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from aftershock import settings
 from aftershock.operators.trees import grid_points
 from aftershock.plans.curation import curate
-from aftershock.plans.scoring import score_new
+from aftershock.plans.scoring import score_new, score_report
 from aftershock.plans.sweeps import SweepSpec, run_sweeps
 from aftershock.sources.calendar import scan_calendar
 from aftershock.sources.candles import scan_candles
@@ -127,7 +127,9 @@ def _sweeps(spark: SparkSession, a: argparse.Namespace) -> None:
 def _score(spark: SparkSession, a: argparse.Namespace) -> None:
     spec = SweepSpec(a.aggregation, horizon=a.horizon, direction=a.direction)
     cut = F.lit(a.cut).cast("timestamp")
-    sink_predictions(score_new(scan_features(spark, a.features), cut, spec), a.out)
+    scored = score_new(scan_features(spark, a.features), cut, spec)
+    sink_predictions(scored, a.out)
+    score_report(spark.read.parquet(a.out), spec).show(truncate=False, vertical=True)
 
 
 def main(arguments: Sequence[str] | None = None) -> None:

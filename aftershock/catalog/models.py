@@ -9,7 +9,7 @@ from aftershock.catalog.registry import query
 from aftershock.catalog.scans import CUT, SPEC, dataset_sql, half_hour, scored_features
 from aftershock.catalog.sql import sql
 from aftershock.operators import neighbours, reports, reshape, trees
-from aftershock.plans.scoring import score_new
+from aftershock.plans.scoring import score_new, score_report
 from aftershock.plans.sweeps import (
     SweepSpec,
     feature_names,
@@ -219,3 +219,9 @@ def _score_sql() -> str:
 def _score_new(spark, sf_dir):
     scored = score_new(scored_features(spark, sf_dir), F.lit(CUT).cast("timestamp"), SPEC)
     return scored.select("event_id", f"{SPEC.label}_predicted", f"{SPEC.target}_predicted")
+
+
+@query("score_report")
+def _score_report(spark, sf_dir):
+    scored = score_new(scored_features(spark, sf_dir), F.lit(CUT).cast("timestamp"), SPEC)
+    return score_report(scored, SPEC)

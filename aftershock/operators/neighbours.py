@@ -25,6 +25,8 @@ from aftershock.settings import NEIGHBOURS
 PIVOTS = 32
 BLOCK_ROWS = 16_384
 _SLACK = 1e-5
+# Distances that a task holds at once.
+_CELLS = 1 << 21
 
 
 def nearest(
@@ -182,20 +184,32 @@ def _block_search(k: int, by_fold: bool, payload: list[str]):
         if asked.empty or offered.empty:
             return pd.DataFrame()
         vectors = np.stack(offered["_vector"].to_list()).astype(float)
-        ids = offered["train_id"].to_numpy()
-        folds = offered["_fold"].to_numpy() if by_fold else None
-        found, tests, dists = [], [], []
-        for test_id, vector, fold in zip(
-            asked["test_id"], asked["_vector"], asked["_fold"], strict=True
-        ):
-            dist = np.round(np.sqrt(((vectors - np.asarray(vector, dtype=float)) ** 2).sum(axis=1)), 6)
-            allowed = np.flatnonzero(folds != fold) if by_fold else np.arange(len(ids))
-            best = allowed[np.lexsort((ids[allowed], dist[allowed]))[:k]]
-            found.append(best)
-            tests.append(np.repeat(test_id, len(best)))
-            dists.append(dist[best])
-        rows = np.concatenate(found)
-        out = offered.iloc[rows][["train_id", *payload]].reset_index(drop=True)
+        wanted = np.stack(asked["_vector"].to_list()).astype(float)
+        ids, test_ids = offered["train_id"].to_numpy(), asked["test_id"].to_numpy()
+        squares = (vectors * vectors).sum(axis=1)
+        step = max(1, _CELLS // len(vectors))
+        places, tests, dists = [], [], []
+        for start in range(0, len(wanted), step):
+            part = wanted[start : start + step]
+            # One product gives all distances, good enough to choose from.
+            near = (part * part).sum(axis=1)[:, None] + squares - 2 * (part @ vectors.T)
+            near = np.sqrt(np.maximum(near, 0))
+            if by_fold:
+                own = asked["_fold"].to_numpy()[start : start + step]
+                near[own[:, None] == offered["_fold"].to_numpy()] = np.inf
+            most = min(k, near.shape[1]) - 1
+            bound = np.partition(near, most, axis=1)[:, most]
+            scale = np.sqrt(squares.max() + (part * part).sum(axis=1))
+            test, train = np.nonzero((near <= (bound + _SLACK * (1 + scale))[:, None]) & (near < np.inf))
+            # The chosen ones exactly, best first.
+            dist = np.round(np.sqrt(((vectors[train] - part[test]) ** 2).sum(axis=1)), 6)
+            order = np.lexsort((ids[train], dist, test))
+            test, train, dist = test[order], train[order], dist[order]
+            keep = np.arange(len(test)) - np.searchsorted(test, test) < k
+            places.append(train[keep])
+            tests.append(test_ids[start : start + step][test[keep]])
+            dists.append(dist[keep])
+        out = offered.iloc[np.concatenate(places)][["train_id", *payload]].reset_index(drop=True)
         out.insert(0, "test_id", np.concatenate(tests))
         out.insert(1, "dist", np.concatenate(dists))
         return out

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aftershock.functions.flags import threshold_label
 from aftershock.operators.impact import join_predictions
 from aftershock.operators.neighbours import knn_classify, knn_regress, nearest
+from aftershock.operators.reports import classification_report, rmse_report
 from aftershock.operators.reshape import temporal_split
 from aftershock.plans.sweeps import (
     SweepSpec,
@@ -44,3 +46,24 @@ def score_new(features: DataFrame, cut: Column, spec: SweepSpec, k: int = 11) ->
         F.col("test_id").alias("datetime"), F.col("predicted").alias(f"{spec.target}_predicted")
     )
     return join_predictions(features, classes.join(pips, "datetime"))
+
+
+def score_report(scored: DataFrame, spec: SweepSpec) -> DataFrame:
+    """Classification report and RMSE of what ``score_new`` has scored, one row.
+
+    Counts every scored instant with a known target once.
+    """
+    start, end = spec.minutes
+    target = F.col(spec.target)
+    instants = scored.groupBy("datetime").agg(
+        F.max(spec.target).alias(spec.target),
+        F.max(f"{spec.label}_predicted").alias("yhat"),
+        F.max(f"{spec.target}_predicted").alias("yhat_pips"),
+    )
+    rows = instants.filter(target.isNotNull() & F.col("yhat").isNotNull()).withColumns(
+        {"y": threshold_label(target, F.lit(start), F.lit(end)), "sweep_id": F.lit(spec.sweep_id)}
+    )
+    rows = materialise(rows)
+    classes = classification_report(rows, ["sweep_id"], "y", "yhat")
+    pips = rmse_report(rows.withColumn("pips", target.cast("double")), ["sweep_id"], "pips", "yhat_pips")
+    return classes.join(pips, "sweep_id")

@@ -129,3 +129,21 @@ def test_a_grid_without_folds_or_rows(grid_rows):
     assert single.scores == [None, None] and single.model is not None
     none = trees.fit_grid(grid_rows.limit(0), list("abcd"), "y", "dtree", "clf", points, folds=3)
     assert none.model is None and none.predict(grid_rows).filter("prediction IS NOT NULL").isEmpty()
+
+
+def test_report_of_scored_rows(spark):
+    from aftershock.plans.scoring import score_report
+    from aftershock.settings import THRESHOLDS
+
+    spec = SweepSpec("ALL_NO_1_1_1", horizon="0_30", direction="max")
+    limit = THRESHOLDS[0, 30]
+    pips = [limit + 5, limit + 1, limit - 3, 0, None, limit + 9]
+    guess = [1, 0, 1, 0, 1, None]
+    rows = [(f"2024-01-0{i + 1}", p, g, None if g is None else 10.0) for i, (p, g) in enumerate(zip(pips, guess, strict=True))]
+    df = spark.createDataFrame(
+        rows + rows[:2], f"datetime string, {spec.target} int, {spec.label}_predicted int, {spec.target}_predicted double"
+    )
+    r = score_report(df, spec).first()
+    assert (r["support_above_TH"], r["support_below_TH"], r["f1_microavg"]) == (2, 2, 0.5)
+    errors = [(p - 10.0) ** 2 for p in pips[:4]]
+    assert abs(r["rmse"] - (sum(errors) / 4) ** 0.5) < 1e-4
