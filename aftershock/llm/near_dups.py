@@ -4,10 +4,10 @@ Every distinct shingle set is a node with a signature of minima.  Under each of
 several orders of the signature's positions the nodes form a sorted list; a
 region is a run of nodes that share a prefix.  Candidates come from regions:
 
-* every node of a region is compared with the region's smallest node;
-* then, of regions whose nodes are not yet in one component, the nodes of
-  different components are compared: pair by pair in small regions, and as
-  products of blocks of their shingle sets in larger ones;
+* nodes of a small region are compared with each other, nodes of a larger one
+  with the region's smallest node;
+* then larger regions whose nodes are not yet in one component are compared as
+  products of blocks of their shingle sets;
 * regions too large for that are looked at with a longer prefix and, as a longer
   prefix finds less, in more orders.  At the longest prefix regions of any size
   are compared in blocks.
@@ -36,7 +36,7 @@ SIGNATURE = 96
 LEVELS = ((4, 24), (8, 64), (12, 164))
 # Regions up to this size are compared pair by pair, and up to that size in blocks
 # before a longer prefix is tried.
-SMALL, LARGE, BLOCK = 32, 1024, 256
+SMALL, LARGE, BLOCK = 32, 2048, 256
 # Bits of a sketch (one per position) that may differ; at a similarity of 0.8 a
 # tenth does, and more than this with a probability below 1 in 100,000.
 SKETCH_DIFFERS = 23
@@ -265,8 +265,7 @@ def near_duplicates(
     reps = rows.join(classes.select(F.col("node").alias("row")), "row", "leftsemi")
     reps = store(reps.withColumnRenamed("row", "node"), "nodes")
     sets = _Sets(plain, reps.select("node", "doc_id", "set_key"), words)
-    links = _links(reps, sets, percent)
-    comps = components(links)
+    comps = _components(reps, sets, percent)
     named = _with_comp(classes, comps)
     smallest = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = named.join(smallest, "comp").select("set_key", "component_id")
@@ -277,58 +276,52 @@ def near_duplicates(
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _links(nodes: DataFrame, sets: _Sets, percent: int) -> DataFrame:
-    """Confirmed links that connect all similar nodes; stored."""
-    links, active = None, nodes
+def _components(nodes: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+    """``node, comp`` of all nodes with a confirmed link, over links that connect all similar nodes."""
+    comps, active = None, nodes
     for level in range(len(LEVELS)):
         hits = _hits(active, level)
-        # Every node of a region against the region's smallest one.
-        m, p = hits.filter("node <> pivot").alias("m"), hits.filter("node = pivot").alias("p")
-        pairs = m.join(p, (F.col("m.region") == F.col("p.region")) & F.expr(_alike("m", "p")))
-        pairs = pairs.select(F.col("p.node").alias("a"), F.col("m.node").alias("b")).distinct()
-        links = _confirmed(pairs, sets, percent, links)
-        comps = store(components(links), "components")
-
-        # Regions with more than one component.
-        hits = _with_comp(hits, comps)
-        mixed_ = hits.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        hits = store(hits.join(mixed_.select("region"), "region"), "mixed-hits")
-        small = hits.filter(F.col("size") <= SMALL)
-        x, y = small.alias("x"), small.alias("y")
-        other = F.expr(f"x.node < y.node AND x.comp <> y.comp AND {_alike('x', 'y')}")
-        pairs = x.join(y, (F.col("x.region") == F.col("y.region")) & other)
-        pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        links = _confirmed(pairs, sets, percent, links)
-
+        # Small regions pair by pair; of others every node against the region's smallest one.
+        x, y = hits.alias("x"), hits.alias("y")
+        both = F.expr(f"x.node < y.node AND (x.size <= {SMALL} OR x.node = x.pivot) AND {_alike('x', 'y')}")
+        pairs = x.join(y, (F.col("x.region") == F.col("y.region")) & both)
+        pairs = store(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
+        comps = _joined(comps, _confirm(pairs, sets.of(_ends(pairs).distinct()), percent))
+
+        # Larger regions that are not in one component yet.
+        hits = _with_comp(hits.filter(F.col("size") > SMALL), comps)
+        several = hits.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+        hits = store(hits.join(several.select("region"), "region"), "mixed-hits")
+        if hits.isEmpty():
+            break
         last = level + 1 == len(LEVELS)
-        middle = hits.filter(F.col("size") > SMALL)
-        if not last:
-            middle = middle.filter(F.col("size") <= LARGE)
-        found = _in_blocks(middle, sets, percent)
-        if found is not None:
-            links = store(links.unionByName(found), "links")
+        middle = hits if last else hits.filter(F.col("size") <= LARGE)
+        comps = _joined(comps, _in_blocks(middle, sets.of(middle.select("node").distinct()), percent))
         if last:
             break
         large = hits.filter(F.col("size") > LARGE).select("node").distinct()
         active = store(active.join(large, "node", "leftsemi"), "active")
         if active.isEmpty():
             break
-    return links
+    return comps
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
 
 
-def _confirmed(pairs: DataFrame, sets: _Sets, percent: int, links: DataFrame | None) -> DataFrame:
-    """The links so far and those among the candidate pairs."""
-    pairs = store(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    found = _confirm(pairs, sets.of(wanted), percent)
-    return store(found if links is None else links.unionByName(found), "links")
+def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after further links; stored."""
+    if comps is not None:
+        links = store(links, "links")
+        if links.isEmpty():
+            return comps
+        links = links.unionByName(comps.select(F.col("comp").alias("a"), F.col("node").alias("b")))
+    return store(components(links), "components")
 
 
-def _in_blocks(hits: DataFrame, sets: _Sets, percent: int) -> DataFrame | None:
+def _in_blocks(hits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links found in regions that are compared in blocks."""
-    wanted = store(hits.select("node").distinct(), "block-nodes")
-    if wanted.isEmpty():
-        return None
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = hits.select(
         "region", "node", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own")
@@ -337,4 +330,4 @@ def _in_blocks(hits: DataFrame, sets: _Sets, percent: int) -> DataFrame | None:
     cells = rows.select(
         "region", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "node", "comp"
     )
-    return _block_links(cells.join(sets.of(wanted), "node"), percent)
+    return _block_links(cells.join(sets, "node"), percent)

@@ -67,7 +67,7 @@ def test_odd_documents(odd_docs, no_docs, size):
 
 @pytest.mark.parametrize(
     "levels, small, large, block",
-    [(near_dups.LEVELS, 32, 1024, 256), (((4, 24), (8, 64)), 2, 1 << 20, 8), (((4, 24), (8, 64), (12, 164)), 2, 8, 8)],
+    [(near_dups.LEVELS, 32, 2048, 256), (((4, 24), (8, 64)), 2, 1 << 20, 8), (((4, 24), (8, 64), (12, 164)), 2, 8, 8)],
 )
 def test_dense_groups(spark, monkeypatch, levels, small, large, block):
     """Pair by pair, in blocks, and with longer prefixes: the same groups."""
