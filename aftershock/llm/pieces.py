@@ -14,7 +14,6 @@ merging keeps apart, and exactly one way to each position remains.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,16 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aftershock.llm.common import documents_of, kept_in_worker, slices
+from aftershock.llm.common import documents_of, kept_in_worker, slices, text_bytes
+from aftershock.llm.words import IdStore
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _SPACE = "▁"
-_WORD = re.compile(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+")
+_SPACE_BYTES = _SPACE.encode()
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6  # piece types of the model file
 _UNIGRAM, _BPE = 1, 2  # model types of the model file
 _NEVER = np.int64(1) << 40
 # Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 # Bits of the tables that tell most absent hashes without a search.
 _SIEVE = 18
 
@@ -102,7 +102,7 @@ class PieceModel:
         self._decoder(kinds)
         # Words part where no piece runs from a visible character over a blank.
         self.by_word = not any(_SPACE in pieces[i].lstrip(_SPACE) for i in plain)
-        self.known: dict[str, np.ndarray] = {}
+        self.known = IdStore(np.dtype(np.int32), REMEMBERED)
 
     @staticmethod
     def at(path: str) -> PieceModel:
@@ -316,15 +316,12 @@ class PieceModel:
             node[at, end], back[at, end] = new, m
         return node, back
 
-    def _node_ids(self, node: int, char: str) -> list[int]:
-        if node < self.size:
-            return [node]
-        if self.has_bytes:
-            return [int(self.byte_ids[b]) for b in char.encode()]
-        return [self.unknown]
+    def _char_ids(self, char: str) -> list[int]:
+        """Ids of a character that is no piece."""
+        return [int(self.byte_ids[b]) for b in char.encode()] if self.has_bytes else [self.unknown]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words (as bytes of 32-bit integers), by groups of parts of one length."""
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in a row and how many each has, by groups of parts of one length."""
         joined = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
         sizes = np.array([len(w) for w in words], np.int64)
         begin = np.zeros(len(joined) + 1, bool)
@@ -339,7 +336,7 @@ class PieceModel:
         out_node = np.full(len(joined), -1, np.int64)  # at the last character of each piece
         for size in np.unique(lengths):
             starts = cuts[:-1][lengths == size]
-            group = max(1, 2_000_000 // int(size))
+            group = max(1, 500_000 // int(size))
             for k in range(0, len(starts), group):
                 at = starts[k : k + group]
                 codes = joined[at[:, None] + np.arange(size)]
@@ -355,38 +352,38 @@ class PieceModel:
         last = np.flatnonzero(out_node >= 0)
         owner = np.searchsorted(np.cumsum(sizes), last, "right")
         nodes = out_node[last]
-        bounds = np.searchsorted(owner, np.arange(len(words) + 1))
-        raw = nodes.astype(np.int32).tobytes()
-        ends = (4 * bounds).tolist()
-        out = [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        for w in np.unique(owner[nodes >= self.size]).tolist():
-            ids: list[int] = []
-            for k in range(bounds[w], bounds[w + 1]):
-                ids += self._node_ids(int(nodes[k]), chr(joined[last[k]]))
-            out[w] = np.array(ids, np.int32).tobytes()
-        return out
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, equal to the library's."""
-        split = []
-        new: set[str] = set()
-        for text in self.library.normalize(texts) if texts else []:
-            words = _WORD.findall(text) if self.by_word else [text] * bool(text)
-            split.append(words)
-            new.update(words)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {k: self.known[k] for k in new if k in self.known}
-        missing = [w for w in new if w not in self.known]
-        if missing:
-            self.known.update(zip(missing, self._encode_words(missing), strict=True))
-        get = self.known.__getitem__
-        out = [np.frombuffer(b"".join(map(get, words)), np.int32) for words in split]
-        if not self.has_bytes:  # neighbouring unknowns are one piece
-            for k, ids in enumerate(out):
-                twice = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
-                if twice.any():
-                    out[k] = ids[np.concatenate([[True], ~twice])]
-        return out
+        odd = np.flatnonzero(nodes >= self.size)  # characters without a piece
+        size = np.ones(len(nodes), np.int64)
+        own = [self._char_ids(chr(joined[last[k]])) for k in odd.tolist()]
+        size[odd] = [len(x) for x in own]
+        ids = np.repeat(nodes, size)
+        at = (np.cumsum(size) - size)[odd]
+        for k, x in zip(at.tolist(), own, strict=True):
+            ids[k : k + len(x)] = x
+        return ids.astype(np.int32), np.bincount(owner, size, len(words)).astype(np.int64)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, equal to the library's, and the offsets of each text's."""
+        data, offsets = text_bytes(pa.array(self.library.normalize(texts) if texts else [], pa.string()))
+        if len(data) == 0:
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        begin = np.zeros(len(data) + 1, bool)
+        if self.by_word:  # a word begins with the first of its blanks
+            blank = np.zeros(len(data) + 3, bool)
+            at = np.flatnonzero(data[:-2] == _SPACE_BYTES[0])
+            blank[at[(data[at + 1] == _SPACE_BYTES[1]) & (data[at + 2] == _SPACE_BYTES[2])]] = True
+            begin[:-1] = blank[:-3]
+            begin[3:-1] &= ~blank[:-6]
+        begin[offsets] = True
+        starts = np.flatnonzero(begin[:-1])
+        ids, before = self.known.encode(data, starts, self._encode_words)
+        bounds = before[np.searchsorted(starts, offsets)]
+        if not self.has_bytes:  # neighbouring unknowns of a text are one piece
+            keep = np.ones(len(ids), bool)
+            keep[1:] = (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)
+            keep[bounds[bounds < len(ids)]] = True
+            ids, bounds = ids[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]
+        return ids, bounds
 
     # -- decoding ---------------------------------------------------------
 
@@ -409,8 +406,10 @@ class PieceModel:
         return out
 
 
-def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Piece ids of every whole text: ``doc_id``, ``text``, ``ids``.
+def encode_pieces(
+    docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False
+) -> DataFrame:
+    """Piece ids of every whole text: ``doc_id``, ``text``, ``ids``, and if wanted ``decoded``, made from the ids.
 
     Ids equal the library's, without begin and end.  A null text counts as empty
     and has no ids; every row yields one row, repeated ids too; an empty table
@@ -420,16 +419,15 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = PieceModel.at(model)
-        for batch in slices(batches, "text"):
-            ids = pieces.encode(batch.column("text").to_pylist())
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = np.concatenate([*ids, np.zeros(0, np.int32)])
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text"), lists], ["doc_id", "text", "ids"]
-            )
-
-    return documents_of(docs, id_col, text_col).mapInArrow(encode, "doc_id long, text string, ids array<int>")
+        for batch in slices(batches, "text", 2 << 20):
+            ids, offsets = pieces.encode(batch.column("text").to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+            more = [pa.array(pieces.decode(ids, offsets), pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), lists, *more], names)
+
+    names = ["doc_id", "text", "ids"] + ["decoded"] * decoded
+    schema = "doc_id long, text string, ids array<int>" + ", decoded string" * decoded
+    return documents_of(docs, id_col, text_col).mapInArrow(encode, schema)
 
 
 def decode_pieces(tokens: DataFrame, model: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

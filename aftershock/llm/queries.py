@@ -13,7 +13,7 @@ from aftershock.llm.line_dups import drop_repeated_lines
 from aftershock.llm.near_dups import near_duplicates
 from aftershock.llm.neighbour_tree import nearest_found
 from aftershock.llm.packing import pack_documents
-from aftershock.llm.pieces import decode_pieces, encode_pieces
+from aftershock.llm.pieces import encode_pieces
 from aftershock.llm.token_counts import count_tokens
 from aftershock.llm.token_files import read_token_files, write_token_files
 from aftershock.llm.quality import fit_quality, score_quality
@@ -45,8 +45,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op1_pieces")
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and whether decoding gives its text back."""
-    model = tokenizer_path(PIECES)
-    coded = decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), model), model)
+    coded = encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path(PIECES), decoded=True)
     restored = F.col("decoded") == F.translate("text", "▁", " ")
     return coded.select("doc_id", "ids", F.size("ids").alias("n_pieces"), restored.alias("restored"))
 

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from aftershock.llm.common import documents_of, ids_type, kept_in_worker, slices, text_bytes
-from aftershock.llm.words import span_hashes
+from aftershock.llm.words import IdStore
 
 # White space beside blank, tab and line ends, on which two libraries might differ, in UTF-8.
 _RARE_SPACE = (
@@ -21,7 +21,7 @@ _RARE_SPACE = (
     rb"|\xe2\x81[\x9f-\xaf]|\xe3\x80\x80|\xef\xbb\xbf"
 )
 # Chunks whose ids a worker remembers.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 
 
 class ByteTokenizer:
@@ -56,13 +56,7 @@ class ByteTokenizer:
         )
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.whole = re.compile(b"|".join([_RARE_SPACE, *map(re.escape, self.special)]))
-        self._forget()
-
-    def _forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # sorted hashes of known chunks
-        self.first = np.zeros(0, np.int64)  # where their ids begin
-        self.size = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, self.type)
+        self.known = IdStore(self.type, REMEMBERED)
 
     @staticmethod
     def at(path: str) -> ByteTokenizer:
@@ -100,30 +94,13 @@ class ByteTokenizer:
         if len(data) == 0:
             return np.zeros(0, self.type), np.zeros(len(offsets), np.int64)
         starts = np.flatnonzero(self._cuts(data, offsets))
-        ends = np.append(starts[1:], len(data))
-        h, at, like = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) > REMEMBERED:
-            self._forget()
-        place = np.searchsorted(self.keys, h)
-        new = np.ones(len(h), bool)
-        inside = place < len(self.keys)
-        new[inside] = self.keys[place[inside]] != h[inside]
-        if new.any():
-            raw = data.tobytes()
-            asked = [raw[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
-            got = [e.ids for e in self.library.encode_batch_fast(asked, add_special_tokens=False)]
-            size = np.array([len(x) for x in got], np.int64)
-            first = len(self.ids) + np.cumsum(size) - size
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), self.type, int(size.sum()))])
-            self.keys = np.insert(self.keys, place[new], h[new])
-            self.first = np.insert(self.first, place[new], first)
-            self.size = np.insert(self.size, place[new], size)
-            place = np.searchsorted(self.keys, h)
-        size, first = self.size[place][like], self.first[place][like]
-        stop = np.cumsum(size)
-        source = np.repeat(first - (stop - size), size) + np.arange(stop[-1])
-        bounds = np.concatenate([[0], stop])[np.searchsorted(starts, offsets)]
-        return self.ids[source], bounds
+        ids, before = self.known.encode(data, starts, self._ask)
+        return ids, before[np.searchsorted(starts, offsets)]
+
+    def _ask(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
+        size = np.array([len(x) for x in got], np.int64)
+        return np.fromiter(chain.from_iterable(got), self.type, int(size.sum())), size
 
 
 def _kinds() -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 from aftershock.llm.common import kept_in_worker, mixed
@@ -42,17 +44,17 @@ def spans(inside: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None = N
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    def grow(size: int) -> tuple[np.ndarray, np.ndarray]:
-        out = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, base, np.uint64)
+    """Powers of the base and of its inverse; as many as were needed so far are kept."""
+    kept = kept_in_worker("powers", dict)
+    if len(kept.get("up", ())) < n:
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            p = np.full(n + (1 << 16), base, np.uint64)
             p[0] = 1
-            out.append(np.cumprod(p, dtype=np.uint64))
-        return out[0], out[1]
-
-    if n > 1 << 23:
-        return grow(n)
-    return kept_in_worker("powers", lambda: grow((1 << 23) + 1))
+            kept[name] = np.cumprod(p, out=p)
+    up, down = kept["up"], kept["down"]
+    if len(up) > 1 << 23:  # a very long text
+        kept.clear()
+    return up, down
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -110,3 +112,51 @@ def shingle_sets(
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
     return owner[new], key[new]
+
+
+class IdStore:
+    """Ids of chunks of text by the chunks' hashes, as sorted arrays."""
+
+    def __init__(self, kind: np.dtype, limit: int):
+        self.kind, self.limit = kind, limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.first = np.zeros(0, np.int64)  # where a chunk's ids begin
+        self.size = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, self.kind)
+
+    def encode(
+        self,
+        data: np.ndarray,
+        starts: np.ndarray,
+        ask: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks in a row, and the number of ids before each chunk and in all.
+
+        Chunks begin at ``starts`` and fill the data.  ``ask`` gives the ids of new
+        chunks in a row and how many each has; different chunks are asked for once.
+        """
+        ends = np.append(starts[1:], len(data))
+        h, at, like = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.keys) > self.limit:
+            self._forget()
+        place = np.searchsorted(self.keys, h)
+        new = np.ones(len(h), bool)
+        inside = place < len(self.keys)
+        new[inside] = self.keys[place[inside]] != h[inside]
+        if new.any():
+            raw = data.tobytes()
+            asked = [raw[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
+            ids, size = ask(asked)
+            first = len(self.ids) + np.cumsum(size) - size
+            self.ids = np.concatenate([self.ids, ids.astype(self.kind, copy=False)])
+            self.keys = np.insert(self.keys, place[new], h[new])
+            self.first = np.insert(self.first, place[new], first)
+            self.size = np.insert(self.size, place[new], size)
+            place = np.searchsorted(self.keys, h)
+        size, first = self.size[place][like], self.first[place][like]
+        stop = np.cumsum(size)
+        source = np.repeat(first - (stop - size), size) + np.arange(stop[-1])
+        return self.ids[source], np.concatenate([[0], stop])
