@@ -131,7 +131,7 @@ class Nodes:
     def _decide(self, total: np.ndarray, trees: int) -> np.ndarray:
         if self.kind == "clf":
             return (total[:, 0] > 0).astype(float) if self.boosted else total.argmax(axis=1).astype(float)
-        return total[:, 0] if self.boosted else total[:, 0] / trees
+        return total[:, 0] / (1 if self.boosted else trees)
 
 
 def fit_grid(
