@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from aftershock.session import new_path
 
-# Text bytes that a Python worker handles at once.
-SLICE_BYTES = 4 << 20
+# Text bytes that a Python worker handles at once; work on them takes up to a hundred times as much memory.
+SLICE_BYTES = 1 << 20
 # Rows of at most some 50 bytes that may be sent to every executor.
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 300_000
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -101,13 +101,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def join_measured(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+def join_measured(
+    left: DataFrame, right: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS
+) -> DataFrame:
     """Joins a large side to a narrow one, which is stored and counted first.
 
-    Up to ``BROADCAST_ROWS`` rows of a few numbers the right side goes to all
-    tasks and the large side stays where it is; beyond that both are shuffled.
+    Up to ``limit`` rows of a few numbers the right side goes to all tasks and the
+    large side stays where it is; beyond that both are shuffled.
     """
     right = store(right, "join-side")
-    if right.count() <= BROADCAST_ROWS:
+    if right.count() <= limit:
         right = F.broadcast(right)
     return left.join(right, on, how)

@@ -1,22 +1,24 @@
 """Near-duplicate lines, removed by an exact set-similarity join in DataFrame functions.
 
 A line is the set of its words.  Words are ordered by rarity, so two similar
-lines share one of a few rare words, their prefixes.  Lines meet by these words;
+lines share some of a few rare words, their prefixes.  Lines meet by these words;
 pairs are thinned out by length, by the word's position and by a bit map of the
 words, and the rest is verified on all words.  Equal lines are one class from
 the start.  Words that many lines have in their prefix are first used to compare
-those lines with the earliest one; only lines without a match there are compared
-with the others.
+those lines with the earliest one, then those without a match with the earliest
+of them; only lines without a match there are compared with the others.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aftershock.llm.common import join_measured, store
+from aftershock.llm import common
+from aftershock.llm.common import store
 
 # Counts of words are kept in as many cells.
 CELLS = 1 << 16
@@ -24,49 +26,78 @@ CELLS = 1 << 16
 CROWD = 8
 _SPACES = r"[\x09-\x0D ]+"
 _HASH_BITS, _LENGTH_BITS = 48, 5
+# Rounds in which lines with a frequent word are compared with the earliest one not settled.
+ROUNDS = 2
+# Rows of a table that is sent to all tasks, at most; copies of lines are too many for it early on.
+FEW_ROWS, FEW_COPIES = 300_000, 20_000
+# Words that two similar lines share in their prefixes, at least.
+SHARED = 2
+# Numbers of words and of a line's place are kept in this many bits.
+_COUNT_BITS, _MOST = 16, (1 << 16) - 1
 
 
 def _words(text: Column) -> Column:
     return F.split(F.lower(text), _SPACES)
 
 
-def _cell(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(CELLS))
-
-
-def word_levels(docs: DataFrame, text_col: str) -> bytes:
-    """Binary logarithm of the count of the words in each cell, over all texts, as printable bytes."""
-    words = docs.select(F.explode(_words(F.col(text_col))).alias("w")).filter("w <> ''")
-    cells = words.groupBy(_cell(F.col("w")).cast("int").alias("cell")).count().collect()  # at most CELLS rows
-    levels = bytearray(b"!" * CELLS)
+def word_levels(docs: DataFrame, text_col: str) -> list[int]:
+    """Binary logarithm of the count of the words in each cell, over all texts."""
+    words = docs.select(F.explode(_words(F.col(text_col))).alias("w"))
+    cell = F.pmod(F.xxhash64("w"), F.lit(CELLS)).cast("int")
+    cells = words.groupBy(cell.alias("cell")).count().collect()  # at most CELLS rows
+    levels = [0] * CELLS
     for cell, n in cells:
-        levels[cell] = 33 + int(math.log2(n))
-    return bytes(levels)
+        levels[cell] = int(math.log2(n))
+    return levels
 
 
-def _tokens(line: Column, levels: bytes) -> Column:
+def _tokens(line: Column, levels: list[int]) -> Column:
     """Sorted numbers of a line's distinct words: rare words first, of equal ones the longer."""
+    mask = (1 << _HASH_BITS) - 1
+    # A text that becomes one constant array when the query is planned.
+    level_of = F.from_json(F.lit(json.dumps(levels, separators=(",", ":"))), "array<tinyint>")
 
     def number(w: Column) -> Column:
-        level = F.ascii(F.substring(F.lit(levels), _cell(w).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
-        short = (F.lit(31) - F.least(F.length(w), F.lit(31))).cast("long")
-        key = F.xxhash64(w).bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
-        return (
-            F.shiftleft(level, _HASH_BITS + _LENGTH_BITS)
-            .bitwiseOR(F.shiftleft(short, _HASH_BITS))
-            .bitwiseOR(key)
-        )
+        short = F.shiftleft((F.lit(31) - F.least(F.length(w), F.lit(31))).cast("long"), _HASH_BITS)
+        return short.bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(mask)))
 
-    words = F.filter(F.array_distinct(_words(line)), lambda w: w != "")
-    return F.sort_array(F.transform(words, number))
+    def with_level(x: Column) -> Column:
+        # The mask keeps the low bits, so this is the word's cell.
+        level = F.get(level_of, x.bitwiseAND(F.lit(CELLS - 1)).cast("int")).cast("long")
+        return x.bitwiseOR(F.shiftleft(level, _HASH_BITS + _LENGTH_BITS))
 
+    empty = F.shiftleft(F.lit(31).cast("long"), _HASH_BITS).bitwiseOR(F.xxhash64(F.lit("")).bitwiseAND(F.lit(mask)))
+    numbers = F.array_remove(F.array_distinct(F.transform(_words(line), number)), empty)
+    return F.sort_array(F.transform(numbers, with_level))
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``th`` (hash of the text), ``no`` and ``line``; no line of null texts."""
-    text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    rows = rows.withColumn("id", F.coalesce("id", F.lit(-(1 << 63))))  # no id comes before all ids
-    return rows.select("id", "th", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """``id``, ``th`` (hash of the text) and ``text``."""
+    return docs.select(
+        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"),  # no id comes before all ids
+        F.xxhash64("text").alias("th"),
+        "text",
+    )
+
+
+def _lines(texts: DataFrame, *keep: str) -> DataFrame:
+    """``no`` and ``line`` beside other columns; no line of null texts."""
+    return texts.select(*keep, F.posexplode(F.split("text", "\n")).alias("no", "line"))
+
+
+def _packed(no: Column, n: Column, pos: Column) -> Column:
+    """A line's place, its number of words and a word's position in one number."""
+    few = lambda x: F.least(x, F.lit(_MOST)).cast("long")
+    return (
+        F.shiftleft(no.cast("long"), 2 * _COUNT_BITS)
+        .bitwiseOR(F.shiftleft(few(n), _COUNT_BITS))
+        .bitwiseOR(few(pos))
+    )
+
+
+def _with_bit(bits: Column, t: Column) -> Column:
+    place = t.bitwiseAND(F.lit(63)).cast("int")
+    return bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
 
 
 def find_repeated_lines(
@@ -77,89 +108,130 @@ def find_repeated_lines(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")
     )
     levels = word_levels(plain, "text")
-    lines = _lines(plain, "doc_id", "text")
-    tokens = _tokens(F.col("line"), levels)
-    n = F.size("t")
+    texts, n = _texts(plain), F.size("t")
+    lines = _lines(texts, "id", "th")
     # Lines with fewer words in common than this are not similar.
     least = F.ceil(n * percent / 100)
-    bits = F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(_bit(t)))
+    # A map of 128 bits with one for each word, in two halves.
+    halves = F.filter("t", lambda t: t.bitwiseAND(F.lit(64)) == 0), F.filter("t", lambda t: t.bitwiseAND(F.lit(64)) != 0)
+    bits = [F.aggregate(half, F.lit(0).cast("long"), _with_bit) for half in halves]
     seen = store(
-        lines.select("id", "th", "no", tokens.alias("t"))
-        .filter(n >= min_words)
-        .select(
-            "id", "th", "no", F.xxhash64("t").alias("c"), n.alias("n"), bits.alias("bits"),
-            F.slice("t", 1, (n - least + 1).cast("int")).alias("prefix"),
+        # No filter here: it would be pushed below the words, which would be made twice.
+        lines.select("id", "th", "no", _tokens(F.col("line"), levels).alias("t")).select(
+            F.monotonically_increasing_id().alias("row"), "id", "th", "no",
+            F.xxhash64("t").alias("c"), n.alias("n"), bits[0].alias("bits"), bits[1].alias("more"),
+            # A shorter number of each word: two words of one number only meet in vain.
+            F.transform(F.slice("t", 1, (n - least + SHARED).cast("int")), lambda t: F.hash(t)).alias("prefix"),
         ),
         "lines",
-    )
+    ).filter(F.col("n") >= min_words)
 
     # Classes of lines with equal words, at their first place.
-    first = seen.groupBy("c").agg(F.min("id").alias("first_id"))
-    at_first = seen.join(first, "c").filter("id = first_id")
-    first = at_first.groupBy("c").agg(F.min("id").alias("first_id"), F.min("no").alias("first_no"))
-    first = store(first, "first-lines")
-    reps = seen.join(
-        first.select(F.col("c").alias("_c"), "first_id", "first_no"),
-        F.expr("c = _c AND id = first_id AND no = first_no"), "leftsemi",
-    )
-    reps = store(reps.dropDuplicates(["c"]), "line-classes")
-
-    posts = reps.select("c", "id", "no", "n", "bits", F.posexplode("prefix").alias("pos", "w"))
+    places = seen.select("c", "row", "id", "th", "no")
+    first = places.groupBy("c").agg(F.min("id").alias("first_id"))
+    first = places.join(first, "c").filter("id = first_id").groupBy("c").agg(
+        F.min("id").alias("first_id"), F.min("no").alias("first_no")
+    )
+    copies = places.join(first, "c").filter("id <> first_id OR no <> first_no")
+    copies = store(copies.select("row", "id", "th", "no"), "line-copies")
+    reps = common.join_measured(
+        seen, copies.select(F.col("row").alias("_row")), F.col("row") == F.col("_row"), "leftanti", FEW_COPIES
+    )
+
+    posts = reps.select("row", "id", "no", "n", "bits", "more", F.posexplode("prefix").alias("pos", "w"))
+    posts = posts.select("w", "row", "id", _packed(F.col("no"), F.col("n"), F.col("pos")).alias("at"), "bits", "more")
     crowds = posts.groupBy("w").agg(F.count(F.lit(1)).alias("many"), F.min("id").alias("head"))
-    crowds = crowds.filter(F.col("many") > CROWD).drop("many")
-    posts = store(join_measured(posts, crowds, "w", "left"), "line-posts")
-
-    places = reps.select("c", F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("no").alias("_no"))
-    similar = _Verifier(lines, places, levels, percent)
-    x, y = posts.filter("head < id"), posts.filter("head = id")
-    done = similar.later(_pairs(x, y, percent))
-    x = posts.join(done.withColumn("done", F.lit(True)), "c", "left").filter("head IS NULL OR done IS NULL")
-    done = done.unionByName(similar.later(_pairs(x, posts, percent))).distinct()
-
-    later = seen.select("id", "th", "no", "c").join(first, "c").join(done.withColumn("done", F.lit(True)), "c", "left")
-    later = later.filter("done OR id > first_id OR no > first_no")
+    crowds = crowds.filter(F.col("many") > CROWD).select(F.col("w").alias("_w"), "head")
+    crowds = store(crowds, "crowds")
+    places = reps.select("row", "id", "th", "no")
+    similar = _Verifier(texts, places, levels, percent)
+
+    as_earlier = {c: f"y_{c}" for c in posts.columns}
+    crowded = store(join_measured(posts, crowds, F.col("w") == F.col("_w")).drop("_w"), "crowded")
+    done = None
+    for _ in range(ROUNDS):
+        heads = crowded.filter("id = head").drop("head").withColumnsRenamed(as_earlier)
+        found = similar.later(_pairs(join_measured(crowded.filter("id > head").drop("head"), heads, _meet(percent))))
+        done = found if done is None else store(done.unionByName(found), "settled")
+        # Next the earliest of those without a match, and no line before it.
+        settled = found.withColumnRenamed("row", "_row")
+        crowded = join_measured(crowded.filter("id > head"), settled, F.col("row") == F.col("_row"), "leftanti")
+        crowded = store(crowded.drop("head"), "crowded")
+        heads = crowded.groupBy(F.col("w").alias("_w")).agg(F.min("id").alias("head"))
+        crowded = join_measured(crowded, heads, F.col("w") == F.col("_w")).drop("_w")
+
+    # The others: one exchange serves both sides.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = posts.repartition(parts, "w")
+    settled = crowds.withColumn("_crowd", F.lit(True)).drop("head")
+    x = dealt.join(_few(settled), F.col("w") == F.col("_w"), "left").join(
+        _few(done.withColumnRenamed("row", "_row")), (F.col("row") == F.col("_row")) & F.col("_crowd"), "leftanti"
+    )
+    y = dealt.withColumnsRenamed(as_earlier)
+    done = done.unionByName(similar.later(_pairs(x.join(y, _meet(percent))))).distinct()
+
+    later = places.join(done, "row").unionByName(copies)
     return store(later.select("id", "th", "no"), "repeated-lines")
 
 
-def _bit(t: Column) -> Column:
-    return F.element_at(F.lit([1 << k if k < 63 else -(1 << 63) for k in range(64)]), (t % 64).cast("int") + 1)
+def _few(df: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+
+
+def join_measured(left: DataFrame, right: DataFrame, on: Column, how: str = "inner") -> DataFrame:
+    return common.join_measured(left, right, on, how, FEW_ROWS)
 
 
-def _pairs(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of a line and an earlier one that meet by a word and may be similar: ``c, d``."""
-    x, y = x.alias("x"), y.alias("y")
-    # Words of both lines that are in one of them only, at most, times 100 + percent.
-    apart = f"(x.n + y.n) * {100 - percent}"
-    meet = F.expr(
-        "x.w = y.w AND (y.id < x.id OR y.id = x.id AND y.no < x.no)"
-        f" AND 100 * x.n >= {percent} * y.n AND 100 * y.n >= {percent} * x.n"
+def _meet(percent: int) -> Column:
+    """Whether a post and another line's, with the prefix ``y_``, may show two similar lines, the other earlier."""
+    n, m = f"(at >> {_COUNT_BITS} & {_MOST})", f"(y_at >> {_COUNT_BITS} & {_MOST})"
+    i, j = f"(at & {_MOST})", f"(y_at & {_MOST})"
+    place = 2 * _COUNT_BITS
+    exact = f"{n} < {_MOST} AND {m} < {_MOST}"  # larger counts are not kept
+    return F.expr(
+        f"w = y_w AND (y_id < id OR y_id = id AND y_at >> {place} < at >> {place})"
+        f" AND (NOT ({exact}) OR 100 * {n} >= {percent} * {m} AND 100 * {m} >= {percent} * {n}"
         # Before the shared word at most the smaller position is shared, from it on the shorter rest.
-        f" AND {100 + percent} * (least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos)) >= {percent} * (x.n + y.n)"
+        f" AND {100 + percent} * (least({i}, {j}) + least({n} - {i}, {m} - {j})) >= {percent} * ({n} + {m})"
         # Each differing bit is a word that only one line has.
-        f" AND {100 + percent} * bit_count(x.bits ^ y.bits) <= {apart}"
+        f" AND {100 + percent} * (bit_count(bits ^ y_bits) + bit_count(more ^ y_more))"
+        f" <= {100 - percent} * ({n} + {m}))"
     )
-    return x.join(y, meet).select(F.col("x.c").alias("c"), F.col("y.c").alias("d")).distinct()
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """Pairs that met by enough words: ``a`` and the earlier ``b``."""
+    met = met.groupBy(F.col("row").alias("a"), F.col("y_row").alias("b")).agg(F.count(F.lit(1)).alias("_met"))
+    return met.filter(F.col("_met") >= SHARED).drop("_met")
 
 
 class _Verifier:
     """Compares lines on all words, made again from the texts."""
 
-    def __init__(self, lines: DataFrame, places: DataFrame, levels: bytes, percent: int):
-        self.lines, self.places, self.levels, self.percent = lines, places, levels, percent
+    def __init__(self, texts: DataFrame, places: DataFrame, levels: list[int], percent: int):
+        self.texts, self.places, self.levels, self.percent = texts, places, levels, percent
 
     def later(self, pairs: DataFrame) -> DataFrame:
-        """``c`` of the lines that are similar to an earlier one; stored."""
+        """``row`` of the lines that are similar to an earlier one; stored."""
         pairs = store(pairs, "line-pairs")
-        wanted = pairs.select("c").unionByName(pairs.select(F.col("d").alias("c"))).distinct()
-        places = self.places.join(wanted, "c")
-        rows = join_measured(self.lines, places, F.expr("id = _id AND th = _th AND no = _no"))
-        full = store(
-            rows.select("c", _tokens(F.col("line"), self.levels).alias("t")).dropDuplicates(["c"]), "line-words"
+        wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+        places = join_measured(self.places, wanted, F.col("row") == F.col("a"))
+        # One row for each text: its wanted lines.
+        places = places.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(
+            F.collect_list(F.struct("no", "a")).alias("_want")
         )
-        other = full.select(F.col("c").alias("d"), F.col("t").alias("u"))
+        rows = _lines(join_measured(self.texts, places, F.expr("id = _id AND th = _th")), "_want")
+        at = F.array_position("_want.no", F.col("no"))
+        rows = rows.withColumn("_at", at.cast("int")).filter("_at > 0")
+        rows = rows.select(F.element_at("_want.a", F.col("_at")).alias("a"), "line")
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        full = rows.select("a", _tokens(F.col("line"), self.levels).alias("t")).repartition(parts, "a")
+        other = full.withColumnsRenamed({"a": "b", "t": "u"})
         both = F.size(F.array_intersect("t", "u"))
         alike = 100 * both >= self.percent * (F.size("t") + F.size("u") - both)
-        return store(pairs.join(full, "c").join(other, "d").filter(alike).select("c").distinct(), "later-lines")
+        found = pairs.join(full, "a").join(other, "b").filter(alike)
+        return store(found.select(F.col("a").alias("row")).distinct(), "later-lines")
 
 
 def drop_repeated_lines(
