@@ -5,8 +5,8 @@ lines share some of a few rare words, their prefixes.  Lines meet by these words
 pairs are thinned out by length, by the word's position and by a bit map of the
 words, and the rest is verified on all words.  Equal lines are one class from
 the start.  Words that many lines have in their prefix are first used to compare
-those lines with the earliest one, then those without a match with the earliest
-of them; only lines without a match there are compared with the others.
+those lines with the earliest one; only lines without a match there are compared
+with the others.
 """
 
 from __future__ import annotations
@@ -26,8 +26,6 @@ CELLS = 1 << 16
 CROWD = 8
 _SPACES = r"[\x09-\x0D ]+"
 _HASH_BITS, _LENGTH_BITS = 48, 5
-# Rounds in which lines with a frequent word are compared with the earliest one not settled.
-ROUNDS = 2
 # Rows of a table that is sent to all tasks, at most; copies of lines are too many for it early on.
 FEW_ROWS, FEW_COPIES = 300_000, 20_000
 # Words that two similar lines share in their prefixes, at least.
@@ -147,18 +145,9 @@ def find_repeated_lines(
     similar = _Verifier(texts, places, levels, percent)
 
     as_earlier = {c: f"y_{c}" for c in posts.columns}
-    crowded = store(join_measured(posts, crowds, F.col("w") == F.col("_w")).drop("_w"), "crowded")
-    done = None
-    for _ in range(ROUNDS):
-        heads = crowded.filter("id = head").drop("head").withColumnsRenamed(as_earlier)
-        found = similar.later(_pairs(join_measured(crowded.filter("id > head").drop("head"), heads, _meet(percent))))
-        done = found if done is None else store(done.unionByName(found), "settled")
-        # Next the earliest of those without a match, and no line before it.
-        settled = found.withColumnRenamed("row", "_row")
-        crowded = join_measured(crowded.filter("id > head"), settled, F.col("row") == F.col("_row"), "leftanti")
-        crowded = store(crowded.drop("head"), "crowded")
-        heads = crowded.groupBy(F.col("w").alias("_w")).agg(F.min("id").alias("head"))
-        crowded = join_measured(crowded, heads, F.col("w") == F.col("_w")).drop("_w")
+    crowded = join_measured(posts, crowds, F.col("w") == F.col("_w")).drop("_w")
+    heads = crowded.filter("id = head").drop("head").withColumnsRenamed(as_earlier)
+    done = similar.later(_pairs(join_measured(crowded.filter("id > head").drop("head"), heads, _meet(percent))))
 
     # The others: one exchange serves both sides.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
