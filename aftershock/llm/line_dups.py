@@ -28,7 +28,8 @@ _SPACES = r"[\x09-\x0D ]+"
 _HASH_BITS, _LENGTH_BITS = 48, 5
 # Rows of a table that is sent to all tasks, at most; copies of lines are too many for it early on.
 FEW_ROWS, FEW_COPIES = 300_000, 20_000
-# Words that two similar lines share in their prefixes, at least.
+# Words that two similar lines share in their prefixes, at least; one where different
+# lines can be similar by a single common word.
 SHARED = 2
 # Numbers of words and of a line's place are kept in this many bits.
 _COUNT_BITS, _MOST = 16, (1 << 16) - 1
@@ -110,6 +111,7 @@ def find_repeated_lines(
     lines = _lines(texts, "id", "th")
     # Lines with fewer words in common than this are not similar.
     least = F.ceil(n * percent / 100)
+    shared = SHARED if percent > 50 else 1
     # A map of 128 bits with one for each word, in two halves.
     halves = F.filter("t", lambda t: t.bitwiseAND(F.lit(64)) == 0), F.filter("t", lambda t: t.bitwiseAND(F.lit(64)) != 0)
     bits = [F.aggregate(half, F.lit(0).cast("long"), _with_bit) for half in halves]
@@ -119,7 +121,7 @@ def find_repeated_lines(
             F.monotonically_increasing_id().alias("row"), "id", "th", "no",
             F.xxhash64("t").alias("c"), n.alias("n"), bits[0].alias("bits"), bits[1].alias("more"),
             # A shorter number of each word: two words of one number only meet in vain.
-            F.transform(F.slice("t", 1, (n - least + SHARED).cast("int")), lambda t: F.hash(t)).alias("prefix"),
+            F.transform(F.slice("t", 1, (n - least + shared).cast("int")), lambda t: F.hash(t)).alias("prefix"),
         ),
         "lines",
     ).filter(F.col("n") >= min_words)
@@ -136,7 +138,9 @@ def find_repeated_lines(
         seen, copies.select(F.col("row").alias("_row")), F.col("row") == F.col("_row"), "leftanti", FEW_COPIES
     )
 
-    posts = reps.select("row", "id", "no", "n", "bits", "more", F.posexplode("prefix").alias("pos", "w"))
+    # A line with fewer words is only similar to an equal one, and those are classes already.
+    posts = reps.filter(100 * F.col("n") >= percent * (F.col("n") + 1))
+    posts = posts.select("row", "id", "no", "n", "bits", "more", F.posexplode("prefix").alias("pos", "w"))
     posts = posts.select("w", "row", "id", _packed(F.col("no"), F.col("n"), F.col("pos")).alias("at"), "bits", "more")
     crowds = posts.groupBy("w").agg(F.count(F.lit(1)).alias("many"), F.min("id").alias("head"))
     crowds = crowds.filter(F.col("many") > CROWD).select(F.col("w").alias("_w"), "head")
@@ -147,7 +151,7 @@ def find_repeated_lines(
     as_earlier = {c: f"y_{c}" for c in posts.columns}
     crowded = join_measured(posts, crowds, F.col("w") == F.col("_w")).drop("_w")
     heads = crowded.filter("id = head").drop("head").withColumnsRenamed(as_earlier)
-    done = similar.later(_pairs(join_measured(crowded.filter("id > head").drop("head"), heads, _meet(percent))))
+    done = similar.later(_pairs(join_measured(crowded.filter("id > head").drop("head"), heads, _meet(percent)), shared))
 
     # The others: one exchange serves both sides.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -157,7 +161,7 @@ def find_repeated_lines(
         _few(done.withColumnRenamed("row", "_row")), (F.col("row") == F.col("_row")) & F.col("_crowd"), "leftanti"
     )
     y = dealt.withColumnsRenamed(as_earlier)
-    done = done.unionByName(similar.later(_pairs(x.join(y, _meet(percent))))).distinct()
+    done = done.unionByName(similar.later(_pairs(x.join(y, _meet(percent)), shared))).distinct()
 
     later = places.join(done, "row").unionByName(copies)
     return store(later.select("id", "th", "no"), "repeated-lines")
@@ -189,10 +193,10 @@ def _meet(percent: int) -> Column:
     )
 
 
-def _pairs(met: DataFrame) -> DataFrame:
+def _pairs(met: DataFrame, shared: int) -> DataFrame:
     """Pairs that met by enough words: ``a`` and the earlier ``b``."""
     met = met.groupBy(F.col("row").alias("a"), F.col("y_row").alias("b")).agg(F.count(F.lit(1)).alias("_met"))
-    return met.filter(F.col("_met") >= SHARED).drop("_met")
+    return met.filter(F.col("_met") >= shared).drop("_met")
 
 
 class _Verifier:
@@ -226,7 +230,7 @@ class _Verifier:
 def drop_repeated_lines(
     docs: DataFrame,
     percent: int = 80,
-    min_words: int = 5,
+    min_words: int = 1,
     id_col: str = "doc_id",
     text_col: str = "text",
     count_col: str = "removed_lines",
@@ -235,7 +239,7 @@ def drop_repeated_lines(
 
     Two lines are similar if their sets of words (lower case, parted by white
     space) share at least ``percent`` percent of their union; lines with fewer
-    than ``min_words`` different words are left alone.  Earlier means in a
+    than ``min_words`` different words (by default, without any) are left alone.  Earlier means in a
     document with a smaller id or, in one document, further up; a document
     without an id comes first; rows of one id count as one document, and lines
     with equal numbers in them do not precede each other.  A removed line still

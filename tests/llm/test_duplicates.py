@@ -135,3 +135,24 @@ def test_similar_lines(spark):
     docs += [(None, lines[5]), (3, docs[3][1]), (500, lines[5])]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     assert dropped(df) == expected_lines(docs)
+
+
+def test_short_lines(spark):
+    """Lines of any number of words count; four words are like five that hold them."""
+    texts = ["Les.\n\nA b c d", "x y\nles.\n \n", "e a b c d\nY x x\nx y z", "a b c\nb A c\nx"]
+    docs = list(enumerate(texts)) + [(9, "d c b a\nx y z w\nw z"), (10, "x z y\nz w")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert dropped(df) == expected_lines(docs, least=1)
+    assert sum(r[2] for r in dropped(df)) == 7
+
+
+def test_short_lines_of_the_smallest_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert dropped(docs) == expected_lines(rows, least=1)
+
+
+def test_lines_alike_by_one_word(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "a b"), (3, "c b"), (4, "a c d")], "doc_id long, text string")
+    found = {r["doc_id"]: r["removed_lines"] for r in drop_repeated_lines(docs, percent=50).collect()}
+    assert found == {1: 0, 2: 1, 3: 0, 4: 0}
