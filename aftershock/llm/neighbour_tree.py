@@ -3,8 +3,9 @@
 The tree is fitted on a bounded sample and sent to the tasks.  Every row is put
 into a leaf.  A query walks the tree best bin first: a priority queue over all
 branches not yet taken, nearest centre first, until it has visited as many
-leaves as a calibration found to be enough.  The calibration compares sample
-queries with an exact search over all rows.
+leaves as a calibration found to be enough, and goes on if they hold too few
+rows for its neighbours.  The calibration compares sample queries with an exact
+search over all rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aftershock.llm.common import store
+from aftershock.llm.common import join_measured, store
 from aftershock.llm.tiles import FOUND, HELD_CELLS, TILE_BYTES, best_of_tile, enough_copies, matrices, merge_best, pack, unpack
 
 # Rows that a tree is fitted on, at most, and their bytes.
@@ -85,23 +86,32 @@ class Tree:
 
     def visits(self, x: np.ndarray, leaves: int) -> np.ndarray:
         """The first ``leaves`` leaves of each row's walk, best bin first."""
+        leaves = min(leaves, self.leaves)
+        none = np.zeros(self.leaves, np.int64), np.zeros(len(x), np.int64)
+        return np.array(self.walks(x, leaves, *none), np.int32).reshape(len(x), leaves)
+
+    def walks(self, x: np.ndarray, leaves: int, held: np.ndarray, least: np.ndarray) -> list[list[int]]:
+        """The leaves of each row's walk: ``leaves`` and on until they hold the row's ``least`` rows, or all.
+
+        ``held`` are the rows in each leaf.
+        """
         x = _unit(x)
         leaves = min(leaves, self.leaves)
         # Squared distance but for the row's own length, which is 1 for all.
         far = (self.centres * self.centres).sum(axis=1) - 2 * (x @ self.centres.T)
-        out = np.empty((len(x), leaves), np.int32)
+        out = []
         for k in range(len(x)):
             own = far[k]
-            queue = [(0.0, 0)]
-            seen = 0
-            while seen < leaves:
+            queue, seen, rows = [(0.0, 0)], [], 0
+            while queue and (len(seen) < leaves or rows < least[k]):
                 _, node = heapq.heappop(queue)
                 if self.count[node] == 0:
-                    out[k, seen] = self.leaf[node]
-                    seen += 1
+                    seen.append(int(self.leaf[node]))
+                    rows += held[self.leaf[node]]
                     continue
                 for child in range(self.first[node], self.first[node] + self.count[node]):
                     heapq.heappush(queue, (float(own[child]), child))
+            out.append(seen)
         return out
 
 
@@ -183,6 +193,9 @@ class NeighbourIndex:
 
         placed = own.select("vec_id", "vec").mapInArrow(place, "vec_id long, vec array<double>, leaf int")
         self.rows = store(placed, "neighbour-index")
+        self.held = np.zeros(self.tree.leaves, np.int64)
+        for leaf, count in self.rows.groupBy("leaf").count().collect():  # no more rows than leaves
+            self.held[leaf] = count
         self.visited = self._calibrate(sample[:: max(1, len(sample) // CALIBRATION_QUERIES)][:CALIBRATION_QUERIES], target)
 
     def _calibrate(self, queries: np.ndarray, target: float) -> int:
@@ -196,19 +209,20 @@ class NeighbourIndex:
         return int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))])
 
     def search(self, queries: DataFrame) -> DataFrame:
-        """Best rows found for queries with ``uid``, ``vec_id`` and ``vec``, per pair of tiles."""
-        tree, visited = self.tree, self.visited
+        """Best rows found for queries with ``uid``, ``vec_id``, ``vec`` and ``own``, per pair of tiles.
+
+        ``own`` is the number of rows that may have the query's id.
+        """
+        tree, visited, held, most = self.tree, self.visited, self.held, self.k
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at, data in matrices(batch):
-                    leaves = tree.visits(data, visited)
-                    lists = pa.ListArray.from_arrays(
-                        pa.array(np.arange(len(at) + 1, dtype=np.int32) * leaves.shape[1]), pa.array(leaves.ravel())
-                    )
-                    yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["uid", "vec_id", "vec", "leaves"])
+                    leaves = tree.walks(data, visited, held, most + batch.column("own").to_numpy()[at])
+                    lists = pa.array(leaves, pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["uid", "vec_id", "vec", "leaves"])
 
-        walked = queries.select("uid", "vec_id", "vec").mapInArrow(
+        walked = queries.select("uid", "vec_id", "vec", "own").mapInArrow(
             walk, "uid long, vec_id long, vec array<double>, leaves array<int>"
         )
         asked = walked.select("uid", "vec_id", "vec", F.explode("leaves").alias("leaf")).sortWithinPartitions("leaf")
@@ -258,13 +272,14 @@ def nearest_found(queries: DataFrame, rows: DataFrame, k: int, target: float = T
     vectors take no part; rows with the query's own id and of another dimension
     are no candidates; ties go to the smaller id; repeated rows and queries
     count one by one.  Columns: ``uid`` (of the query row), ``query_id``,
-    ``rank``, ``vec_id``, ``score``.  A query whose leaves hold fewer than ``k``
-    candidates while there are more gets the fewer ones; empty tables give no
-    rows.
+    ``rank``, ``vec_id``, ``score``.  Every query gets ``k`` rows, or all if there
+    are fewer; empty tables give no rows.
     """
     some = F.exists("vec", lambda x: x != 0)
     rows = rows.filter(some)
     queries = queries.filter(some).select("vec_id", "vec", F.monotonically_increasing_id().alias("uid"))
+    repeated = rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("own")).filter("own > 1")
+    queries = join_measured(queries, repeated, "vec_id", "left").withColumn("own", F.coalesce("own", F.lit(1)))
     queries = store(queries, "queries")
     found = queries.sparkSession.createDataFrame([], FOUND.format("double"))
     lists = 1
@@ -272,7 +287,8 @@ def nearest_found(queries: DataFrame, rows: DataFrame, k: int, target: float = T
     for dim, n in rows.groupBy(F.size("vec")).count().collect():
         index = NeighbourIndex(rows, dim, n, k, target)
         found = found.unionByName(index.search(queries.filter(F.size("vec") == dim)))
-        lists = max(lists, index.visited * (1 + n * dim * 8 // TILE_BYTES // index.tree.leaves))
+        # Leaves beyond the calibrated number hold a row or more each, or give no list.
+        lists = max(lists, (index.visited + k) * (1 + n * dim * 8 // TILE_BYTES // index.tree.leaves))
     return merge_best(found, k, lists)
 
 

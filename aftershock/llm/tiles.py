@@ -118,17 +118,29 @@ def unpack(ids: bytes, uids: bytes, data: bytes, dim: int) -> tuple[np.ndarray,
 
 
 def enough_copies(ids: np.ndarray, data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of equal vectors, the ones with the ``k + 1`` smallest ids; no other can be among a query's best ``k``."""
+    """Of equal vectors, the ones with the ``k + 1`` smallest ids; no other can be among a query's best ``k``.
+
+    Rows of one id stay ``k`` times at most, and as many others beside them, as a query leaves out its own id.
+    """
     order = np.lexsort((ids, *data.T[::-1]))
     ids, data = ids[order], data[order]
     new = np.ones(len(ids), bool)
     new[1:] = (data[1:] != data[:-1]).any(axis=1)
-    first = np.flatnonzero(new)
-    rank = np.arange(len(ids)) - first[np.cumsum(new) - 1]
-    keep = rank <= k
+    keep = _rank(new | (np.diff(ids, prepend=ids[:1]) != 0)) < k
+    group = (np.cumsum(new) - 1)[keep]
+    ids, data = ids[keep], data[keep]
+    new = np.diff(group, prepend=-1) != 0
+    times = _rank(new | (np.diff(ids, prepend=ids[:1]) != 0)) + 1
+    most = np.maximum.reduceat(times, np.flatnonzero(new)) if len(ids) else times
+    keep = _rank(new) < k + most[group]
     return ids[keep], data[keep]
 
 
+def _rank(new: np.ndarray) -> np.ndarray:
+    """Number of each row in its group; ``new`` marks the groups' first rows."""
+    return np.arange(len(new)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+
+
 def best_of_tile(
     near: np.ndarray,
     exact: Callable[[np.ndarray, np.ndarray], np.ndarray],

@@ -93,6 +93,28 @@ def test_recall_on_many_vectors(spark, sf):
     assert recall(nearest_found(queries, rows, 5), exact) >= 0.9
 
 
+def test_small_leaves_do_not_shorten_results(spark, monkeypatch):
+    """Leaves of up to three rows, of which one is visited at first: still five rows for each query."""
+    monkeypatch.setattr("aftershock.llm.neighbour_tree.LEAF_ROWS", 3)
+    rng = np.random.default_rng(5)
+    vectors = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 4)))]
+    vectors += [(50, vectors[50][1])] * 9  # its own leaf holds nothing else
+    rows = spark.createDataFrame(vectors, "vec_id long, vec array<double>")
+    found = nearest_found(rows.filter("vec_id % 50 = 0"), rows, 5, target=0.1).collect()
+    ranks = {}
+    for r in found:
+        assert r["vec_id"] != r["query_id"]
+        ranks.setdefault(r["uid"], []).append(r["rank"])
+    assert len(ranks) == 13 and all(sorted(r) == [1, 2, 3, 4, 5] for r in ranks.values())
+    few = rows.filter("vec_id < 3")
+    assert nearest_found(few.filter("vec_id = 0"), few, 5).count() == 2
+
+
+def test_rows_of_the_own_id_do_not_displace_equal_vectors():
+    ids, data = tiles.enough_copies(np.array([7, 7, 7, 7, 8, 9, 10]), np.ones((7, 2)), 2)
+    assert ids.tolist() == [7, 7, 8, 9]
+
+
 def test_a_walk_visits_every_leaf_once():
     rng = np.random.default_rng(1)
     data = rng.normal(size=(3000, 8))
