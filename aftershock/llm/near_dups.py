@@ -9,8 +9,9 @@ region is a run of nodes that share a prefix.  Candidates come from regions:
 * then larger regions whose nodes are not yet in one component are compared as
   products of blocks of their shingle sets;
 * regions too large for that are looked at with a longer prefix and, as a longer
-  prefix finds less, in more orders.  At the longest prefix regions of any size
-  are compared in blocks.
+  prefix finds less, in more orders.  Each order has positions of its own, so
+  longer signatures of these nodes are made from their sets.  At the longest
+  prefix regions of any size are compared in blocks.
 
 Every link is confirmed on the full sets.
 """
@@ -32,25 +33,31 @@ from aftershock.llm.words import shingle_sets
 
 SIGNATURE = 96
 # Prefix lengths and the number of orders for each: two sets with a similarity of
-# 0.8 meet in no order with a probability below 1 in 100,000.
+# 0.8 meet in no order of a level with a probability of 0.3, 0.8 and 0.9 in 100,000,
+# as no two orders have a position in common.
 LEVELS = ((4, 24), (8, 64), (12, 164))
 # Regions up to this size are compared pair by pair, and up to that size in blocks
 # before a longer prefix is tried.
 SMALL, LARGE, BLOCK = 32, 2048, 256
 # Bits of a sketch (one per position) that may differ; at a similarity of 0.8 a
-# tenth does, and more than this with a probability below 1 in 100,000.
+# tenth does, and more than this with a probability of 2 in 100,000.
 SKETCH_DIFFERS = 23
-_SEEDS = mixed(np.arange(1, 2 * SIGNATURE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SEEDS = mixed(np.arange(1, 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SETS = "row long, doc_id long, n_shingles long, set_key binary, signature binary, s1 long, s2 long"
 
 
 def _orders(level: int) -> np.ndarray:
-    """Positions that make up the prefix in each order of a level."""
+    """Positions that make up the prefix in each order of a level; no position is used twice."""
     depth, count = LEVELS[level]
-    if depth * count == SIGNATURE:
-        return np.arange(SIGNATURE).reshape(count, depth)
-    rng = np.random.default_rng(level)
-    return np.array([rng.permutation(SIGNATURE)[:depth] for _ in range(count)])
+    first = sum(d * c for d, c in LEVELS[:level])
+    return first + np.arange(depth * count).reshape(count, depth)
+
+
+def _minima(key: np.ndarray, starts: np.ndarray, position: int) -> np.ndarray:
+    """A position of the signatures of sets that begin at ``starts``."""
+    a, b = mixed(np.array([2 * position + 1, 2 * position + 2], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    # A multiplication by an odd number is a permutation; its top bits are well mixed.
+    return np.minimum.reduceat(key * (a | np.uint64(1)) + b, starts) >> np.uint64(32)
 
 
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -86,9 +93,7 @@ def shingle_signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text
             starts = np.searchsorted(owner, has)
             signature = np.empty((len(has), SIGNATURE), "<u4")
             for k in range(SIGNATURE if len(has) else 0):
-                # A multiplication by an odd number is a permutation; its top bits are well mixed.
-                h = key * (_SEEDS[2 * k] | np.uint64(1)) + _SEEDS[2 * k + 1]
-                signature[:, k] = np.minimum.reduceat(h, starts) >> np.uint64(32)
+                signature[:, k] = _minima(key, starts, k)
             odd = (mixed(signature.astype(np.uint64)) >> np.uint64(63)).astype(bool)
             sketch = np.zeros((2, n), np.int64)
             for half, part in enumerate((odd[:, :64], odd[:, 64:])):
@@ -108,27 +113,42 @@ def shingle_signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text
     return documents_of(docs, id_col, text_col).mapInArrow(sign, _SETS)
 
 
+def _regions(n: int, orders: np.ndarray, position) -> np.ndarray:
+    """Hash of each set's prefix in each order; ``position`` gives that position of all signatures."""
+    out = np.empty((n, len(orders)), np.uint64)
+    for t, order in enumerate(orders):
+        h = np.full(n, t + 1, np.uint64)
+        for p in order:
+            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + position(int(p)))
+        out[:, t] = h
+    return out
+
+
 def _hits(nodes: DataFrame, level: int) -> DataFrame:
-    """``region, node, s1, s2``: a row for each node and order whose prefix another node shares."""
+    """``region, node, s1, s2``: a row for each node and order whose prefix another node shares.
+
+    The first level reads ``signature``, others read the sets, ``items``.
+    """
     orders = _orders(level)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = b"".join(batch.column("signature").to_pylist())
-            signature = np.frombuffer(raw, "<u4").reshape(-1, SIGNATURE).astype(np.uint64)
-            out = np.empty((len(signature), len(orders)), np.uint64)
-            for t, order in enumerate(orders):
-                h = np.full(len(signature), t + 1, np.uint64)
-                for p in order:
-                    h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + signature[:, p])
-                out[:, t] = h
-            offsets = np.arange(len(signature) + 1, dtype=np.int32) * len(orders)
+        for batch in batches if level == 0 else slices(batches, "items"):
+            n = batch.num_rows
+            if level == 0:
+                raw = b"".join(batch.column("signature").to_pylist())
+                signature = np.frombuffer(raw, "<u4").reshape(-1, SIGNATURE).astype(np.uint64)
+                out = _regions(n, orders, lambda p: signature[:, p])
+            else:
+                raw, offsets = text_bytes(batch.column("items"))
+                key, starts = raw.view("<u8") if len(raw) else np.zeros(0, np.uint64), offsets[:-1] // 8
+                out = _regions(n, orders, lambda p: _minima(key, starts, p))
+            offsets = np.arange(n + 1, dtype=np.int32) * len(orders)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in ("node", "s1", "s2")] + [lists], ["node", "s1", "s2", "regions"]
             )
 
-    hits = nodes.select("node", "s1", "s2", "signature").mapInArrow(
+    hits = nodes.select("node", "s1", "s2", "signature" if level == 0 else "items").mapInArrow(
         keys, "node long, s1 long, s2 long, regions array<long>"
     )
     hits = hits.select("node", "s1", "s2", F.explode("regions").alias("region"))
@@ -300,9 +320,9 @@ def _components(nodes: DataFrame, sets: _Sets, percent: int) -> DataFrame:
         if last:
             break
         large = hits.filter(F.col("size") > LARGE).select("node").distinct()
-        active = store(active.join(large, "node", "leftsemi"), "active")
-        if active.isEmpty():
+        if large.isEmpty():
             break
+        active = nodes.select("node", "s1", "s2").join(sets.of(large), "node")
     return comps
 
 
