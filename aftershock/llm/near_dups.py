@@ -43,7 +43,7 @@ SMALL, LARGE, BLOCK = 32, 2048, 256
 # tenth does, and more than this with a probability of 2 in 100,000.
 SKETCH_DIFFERS = 23
 _SEEDS = mixed(np.arange(1, 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_SETS = "row long, doc_id long, n_shingles long, set_key binary, signature binary, s1 long, s2 long"
+_SETS = "row long, doc_id long, th long, n_shingles long, set_key binary, signature binary, s1 long, s2 long"
 
 
 def _orders(level: int) -> np.ndarray:
@@ -79,7 +79,7 @@ def _set_keys(owner: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, l
 def shingle_signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: set size, key of the set, signature and its sketch.
 
-    ``row`` is unique.  Documents without words have size 0 and nulls.
+    ``row`` is unique, ``th`` a hash of the text.  Documents without words have size 0 and nulls.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,14 +103,15 @@ def shingle_signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text
                 raw[i] = s.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(row, row + n)), batch.column("doc_id"), pa.array(sizes),
+                    pa.array(np.arange(row, row + n)), batch.column("doc_id"), batch.column("th"), pa.array(sizes),
                     pa.array(keys, pa.binary()), pa.array(raw, pa.binary()), pa.array(sketch[0]), pa.array(sketch[1]),
                 ],
-                ["row", "doc_id", "n_shingles", "set_key", "signature", "s1", "s2"],
+                ["row", "doc_id", "th", "n_shingles", "set_key", "signature", "s1", "s2"],
             )
             row += n
 
-    return documents_of(docs, id_col, text_col).mapInArrow(sign, _SETS)
+    plain = documents_of(docs, id_col, text_col)
+    return plain.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(sign, _SETS)
 
 
 def _regions(n: int, orders: np.ndarray, position) -> np.ndarray:
@@ -276,16 +277,7 @@ def near_duplicates(
     smallest id of its component, or null, and is not kept.  Equal sets are one node from the
     start, so copies cost nothing.  An empty table gives no rows.
     """
-    plain = documents_of(docs, id_col, text_col)
-    rows = store(shingle_signatures(plain, words), "signatures")
-    classes = store(
-        rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")),
-        "classes",
-    )
-    reps = rows.join(classes.select(F.col("node").alias("row")), "row", "leftsemi")
-    reps = store(reps.withColumnRenamed("row", "node"), "nodes")
-    sets = _Sets(plain, reps.select("node", "doc_id", "set_key"), words)
-    comps = _components(reps, sets, percent)
+    rows, classes, comps = _grouped(documents_of(docs, id_col, text_col), words, percent)
     named = _with_comp(classes, comps)
     smallest = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = named.join(smallest, "comp").select("set_key", "component_id")
@@ -296,6 +288,48 @@ def near_duplicates(
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def _grouped(plain: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their signatures, classes of equal sets, and the components of the classes' nodes."""
+    rows = store(shingle_signatures(plain, words), "signatures")
+    classes = store(
+        rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")),
+        "classes",
+    )
+    reps = rows.join(classes.select(F.col("node").alias("row")), "row", "leftsemi")
+    reps = store(reps.withColumnRenamed("row", "node"), "nodes")
+    sets = _Sets(plain, reps.select("node", "doc_id", "set_key"), words)
+    return rows, classes, _components(reps, sets, percent)
+
+
+def one_of_each_component(
+    docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component of linked rows exactly one stays.
+
+    It is the one with the smallest id, rows without an id last; of rows of that id
+    one by a hash of the text, and of equal rows any.  Texts without a shingle all stay.
+    """
+    rows, classes, comps = _grouped(documents_of(docs, id_col, text_col), words, percent)
+    named = _with_comp(classes, comps).select("set_key", "comp")
+    full = rows.filter("n_shingles > 0").join(named, "set_key")
+    texts = store(full.groupBy("comp", "doc_id", "th").agg(F.count(F.lit(1)).alias("n")), "texts")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    first = texts.groupBy("comp").agg(F.min(place).alias("first"))
+    # All rows of a text go, or all but one; a text that stays and comes once needs no row here.
+    marked = texts.join(first, "comp").select(
+        F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "n", (place == F.col("first")).alias("_stays")
+    )
+    marked = store(marked.filter("NOT _stays OR n > 1").drop("n"), "marked")
+    id_, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    same = id_.eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th"))
+    out = join_measured(docs, marked.select("_id", "_th"), same, "leftanti")
+    repeated = marked.filter("_stays")
+    if repeated.isEmpty():
+        return out
+    once = join_measured(docs, repeated.select("_id", "_th"), same).dropDuplicates(["_id", "_th"])
+    return out.unionByName(once.select(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
 def _components(nodes: DataFrame, sets: _Sets, percent: int) -> DataFrame:
     """``node, comp`` of all nodes with a confirmed link, over links that connect all similar nodes."""
     comps, active = None, nodes

@@ -6,9 +6,9 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aftershock.llm.common import join_measured, store
+from aftershock.llm.common import store
 from aftershock.llm.line_dups import drop_repeated_lines
-from aftershock.llm.near_dups import near_duplicates
+from aftershock.llm.near_dups import one_of_each_component
 from aftershock.llm.packing import pack_documents
 from aftershock.llm.quality import fit_quality, score_quality
 from aftershock.llm.queries import held_out
@@ -34,10 +34,8 @@ def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
-    found = near_duplicates(docs, words=5, percent=80)
-    drops = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_kept")).filter("NOT _kept")
-    return join_measured(docs, drops.select("_id"), F.col("doc_id") == F.col("_id"), "leftanti")
+    """One row of each group of near duplicates, one with the smallest id."""
+    return one_of_each_component(docs, words=5, percent=80)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

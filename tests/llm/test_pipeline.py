@@ -56,3 +56,17 @@ def test_queries_match_their_sql(spark, sf):
     for name, sql in ORACLES.items():
         found, _ = differences(spark, con, QUERIES[name], sql, sf)
         assert not found, name
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, repeated ids and rows without ids."""
+    words = [f"w{i}" for i in range(100)]
+    text, near, other, lone = " ".join(words), " ".join(words[1:]), "some other text of seven words", "one two three four five"
+    rows = [
+        (None, near), (None, text), (7, near), (7, text), (5, text), (5, text), (7, "its own text without any copy"),
+        (None, other), (None, other), (None, lone), (9, ""), (None, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = pipeline.one_of_each_group(spark, docs, "")
+    kept = [(5, text), (7, "its own text without any copy"), (None, other), (None, lone), (9, ""), (None, None)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(kept, key=str)
