@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aftershock.llm.common import store
+from aftershock.llm.hard_negatives import hard_negatives
 from aftershock.llm.line_dups import drop_repeated_lines
 from aftershock.llm.near_dups import near_duplicates
 from aftershock.llm.neighbour_tree import nearest_found
@@ -138,3 +139,43 @@ URL_RULES = ("allow org/", "block example.org/es/", "block example.org/en/1", "a
 def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page's url."""
     return judge_urls(table(spark, sf_dir, "pages"), [Rule.of(r) for r in URL_RULES])
+
+
+OP13_SQL = """
+WITH rows_ AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), scored AS (
+    SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+        CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+    FROM rows_ a JOIN rows_ r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id AND len(r.v) = len(a.v)
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), negatives AS (
+    SELECT anchor_id, positive_id, s.vec_id AS negative_id, positive_score, s.score AS negative_score,
+        row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS n
+    FROM positives JOIN scored s USING (anchor_id)
+    WHERE NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(n AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM negatives WHERE n <= 10
+"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hard negatives for each of five positives of every hundredth vector."""
+    given = table(spark, sf_dir, "embeddings").filter("label IS NOT NULL")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    # The label passes the checks of vectors as a last component.
+    vector = F.concat(F.col("embedding").cast("array<double>"), F.array(moved.cast("double")))
+    rows = vectors_of(given.withColumn("embedding", vector), "vec_id", "embedding")
+    rows = rows.filter("size(vec) > 1").select(
+        "vec_id", F.element_at("vec", -1).cast("long").alias("label"),
+        F.transform(F.slice("vec", 1, F.size("vec") - 1), lambda x: F.floor(x * 256).cast("double")).alias("vec"),
+    )
+    return hard_negatives(rows.filter("vec_id % 100 = 0"), rows)
