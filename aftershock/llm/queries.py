@@ -17,6 +17,7 @@ from aftershock.llm.packing import pack_documents
 from aftershock.llm.pieces import encode_pieces
 from aftershock.llm.token_counts import count_tokens
 from aftershock.llm.token_files import read_token_files, write_token_files
+from aftershock.llm.suffix_dedup import drop_repeated_strings
 from aftershock.llm.quality import fit_quality, score_quality
 from aftershock.llm.tiles import vectors_of
 from aftershock.llm.tokens import encode_documents
@@ -179,3 +180,14 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform(F.slice("vec", 1, F.size("vec") - 1), lambda x: F.floor(x * 256).cast("double")).alias("vec"),
     )
     return hard_negatives(rows.filter("vec_id % 100 = 0"), rows)
+
+
+@query("op12_suffix_dups")
+def op12_suffix_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated strings of 400 bytes."""
+    cut = drop_repeated_strings(table(spark, sf_dir, "documents"), span=400)
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["begin"])
+    return cut.select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), n_removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
