@@ -8,6 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aftershock.llm.alignment import align_tokens
 from aftershock.llm.common import store
 from aftershock.llm.hard_negatives import hard_negatives
 from aftershock.llm.line_dups import drop_repeated_lines
@@ -191,3 +192,10 @@ def op12_suffix_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), n_removed.alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op11_alignment")
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers over each other in every document."""
+    docs = table(spark, sf_dir, "documents")
+    return align_tokens(docs, tokenizer_path(BYTE_BPE), tokenizer_path(PIECES), hashed=True)

@@ -31,10 +31,11 @@ class ByteTokenizer:
     letter with a following sign, or a single line end with its neighbours, so
     texts are cut there.  The library is asked once for each different chunk;
     chunks are told apart by a 64-bit hash of their bytes.  Texts with special
-    strings or rare spaces are one chunk.
+    strings or rare spaces are one chunk.  With ``plain``, special strings are
+    ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -54,13 +55,15 @@ class ByteTokenizer:
             and not pre.get("add_prefix_space")
             and told.get("normalizer") is None
         )
-        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.library.encode_special_tokens = plain
+        added = [] if plain else self.library.get_added_tokens_decoder().values()
+        self.special = [t.content.encode() for t in added]
         self.whole = re.compile(b"|".join([_RARE_SPACE, *map(re.escape, self.special)]))
         self.known = IdStore(self.type, REMEMBERED)
 
     @staticmethod
-    def at(path: str) -> ByteTokenizer:
-        return kept_in_worker(("tokenizer", path), lambda: ByteTokenizer(path))
+    def at(path: str, plain: bool = False) -> ByteTokenizer:
+        return kept_in_worker(("tokenizer", path, plain), lambda: ByteTokenizer(path, plain))
 
     def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Marks bytes with which a chunk begins."""
