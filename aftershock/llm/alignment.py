@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -101,7 +102,7 @@ class Aligner:
             owner += [i] * len(own)
         ids = self.b.encode(parts, num_threads=1)
         n = np.bincount(owner, [len(x) for x in ids], len(texts)).astype(np.int64)
-        flat = np.fromiter((i for x in ids for i in x), np.int64, int(n.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
         return flat, np.concatenate([[0], np.cumsum(n)])
 
     def align(self, column: pa.Array) -> Alignment:
@@ -148,27 +149,31 @@ class Alignment:
     def __init__(self, aligner: Aligner, good: np.ndarray, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray):
         self.aligner, self.a, self.b, self.n_a, self.n_b = aligner, a, b, n_a, n_b
         a_ends, b_ends = np.cumsum(aligner.a_bytes.size[a]), np.cumsum(aligner.b_bytes.size[b])
+        # Ends as marks on all byte places; counts of marks number the tokens, links and groups.
+        in_a, in_b = (np.zeros((int(e[-1]) if len(e) else 0) + 1, bool) for e in (a_ends, b_ends))
+        in_a[a_ends], in_b[b_ends] = True, True
+        upto_a, upto_b, upto_cut = (np.cumsum(m, dtype=np.int32) for m in (in_a, in_b, in_a & in_b))
         # Between two neighbouring ends lies exactly one token of each side: a link.
-        ends = np.union1d(a_ends, b_ends)
-        self.link_a, self.link_b = a[np.searchsorted(a_ends, ends)], b[np.searchsorted(b_ends, ends)]
-        self.a_last, self.b_last = np.isin(a_ends, b_ends), np.isin(b_ends, a_ends)
-        cuts = a_ends[self.a_last]
-        self.a_group, self.b_group = np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)
-        link_group = np.searchsorted(cuts, ends)
-        single = (np.bincount(self.a_group, minlength=len(cuts)) == 1) & (np.bincount(self.b_group, minlength=len(cuts)) == 1)
+        ends = np.flatnonzero(in_a | in_b)
+        self.link_a, self.link_b = a[upto_a[ends - 1]], b[upto_b[ends - 1]]
+        self.a_last, self.b_last = in_b[a_ends], in_a[b_ends]
+        self.a_group, self.b_group = upto_cut[a_ends - 1], upto_cut[b_ends - 1]
+        groups = int(upto_cut[-1])
+        self.many_a, self.many_b = (np.bincount(g, minlength=groups) for g in (self.a_group, self.b_group))
+        single = (self.many_a == 1) & (self.many_b == 1)
         # One token of each side, with the ids that the vocabularies give.
         single[single] = aligner.same[a[single[self.a_group]]] == b[single[self.b_group]]
-        self.a_single, self.link_odd = single[self.a_group], ~single[link_group]
-        stops = np.cumsum(np.concatenate([[0], n_a]))  # of tokens, as offsets of each text
-        reach = np.concatenate([[0], a_ends])[stops]
-        self.group_at = np.searchsorted(cuts, reach, "right")
-        self.link_at = np.searchsorted(ends, reach, "right")
-        self.a_at = stops
+        self.a_single, self.link_odd = single[self.a_group], ~single[upto_cut[ends - 1]]
+        self.a_at = np.cumsum(np.concatenate([[0], n_a]))  # offsets of each text's tokens
+        reach = np.concatenate([[0], a_ends])[self.a_at]
+        self.group_at = upto_cut[reach].astype(np.int64)
+        # Every end of A, and those of B that are not ends of A.
+        self.link_at = self.a_at + upto_b[reach] - upto_cut[reach]
 
     def groups(self) -> list[bytes]:
         """The groups of each text, written as ``a1,a2|b1;a3|b2,b3``."""
-        before_b = np.concatenate([[0], np.cumsum(np.bincount(self.b_group, minlength=len(self.a_group[self.a_last])))])
-        upto_a = np.cumsum(np.bincount(self.a_group, minlength=1))
+        before_b = np.cumsum(self.many_b) - self.many_b
+        upto_a = np.cumsum(self.many_a)
         written_a, written_b = self.aligner.written
         width = max(written_a.dtype.itemsize, written_b.dtype.itemsize)
         out = np.zeros(len(self.a) + len(self.b), f"S{width}")

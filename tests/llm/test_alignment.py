@@ -1,6 +1,7 @@
 """Alignment of two tokenizers against a plain loop over the libraries' tokens."""
 
 import hashlib
+from bisect import bisect_left
 from collections import Counter
 
 import pytest
@@ -64,11 +65,11 @@ def brute(tools, texts):
                 j += 1
         counts.update(links)
         ends = sorted({y for _, y, _ in left} & {y for _, y, _ in right})
-        groups, begin = [], 0
-        for end in ends:
-            ids = [",".join(str(i) for x, y, i in side if begin <= x and y <= end) for side in (left, right)]
-            groups.append("|".join(ids))
-            begin = end
+        groups = [([], []) for _ in ends]
+        for k, side in enumerate((left, right)):
+            for _, y, i in side:
+                groups[bisect_left(ends, y)][k].append(str(i))
+        groups = ["|".join([",".join(x), ",".join(y)]) for x, y in groups]
         each.append((left, right, links, groups))
     best = Counter()
     for (_, b), n in counts.items():
