@@ -30,7 +30,7 @@ class ByteTokenizer:
     The pre-tokenizer never joins a visible character with a following space, a
     letter with a following sign, or a single line end with its neighbours, so
     texts are cut there.  The library is asked once for each different chunk;
-    chunks are told apart by a 64-bit hash of their bytes.  Texts with special
+    chunks are found by a hash and told apart by their bytes.  Texts with special
     strings or rare spaces are one chunk.  With ``plain``, special strings are
     ordinary text.
     """

@@ -43,27 +43,32 @@ def spans(inside: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None = N
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse; as many as were needed so far are kept."""
-    kept = kept_in_worker("powers", dict)
-    if len(kept.get("up", ())) < n:
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(n + (1 << 16), base, np.uint64)
-            p[0] = 1
-            kept[name] = np.cumprod(p, out=p)
-    up, down = kept["up"], kept["down"]
-    if len(up) > 1 << 23:  # a very long text
-        kept.clear()
-    return up, down
+# Places in a span for which the values of all bytes are kept.
+_KEPT_PLACES = 64
+
+
+def _values(code: np.ndarray) -> np.ndarray:
+    """A number for each byte at each place (``256 * place + byte``), without any structure."""
+    return mixed(mixed((code.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE)) + np.uint64(_ODD[3]))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, the same in every text and task."""
-    power, inverse = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-    raw = (total[ends] - total[starts]) * inverse[starts]
-    return mixed(raw ^ ((ends - starts).astype(np.uint64) * np.uint64(_ODD[4])))
+    """A 64-bit hash of each span's bytes, the same in every text and task; spans do not overlap.
+
+    The sum of one mixed number for each byte and its place, mixed with the
+    length.  Unlike a polynomial it has no known texts with equal hashes.
+    """
+    table = kept_in_worker("byte-values", lambda: _values(np.arange(256 * _KEPT_PLACES)))
+    size = ends - starts
+    stops = np.cumsum(size)
+    total = np.zeros(int(stops[-1]) + 1 if len(stops) else 1, np.uint64)
+    place = np.arange(len(total) - 1) - np.repeat(stops - size, size)
+    code = (place << 8) + data[place + np.repeat(starts, size)]
+    values = table[np.minimum(code, len(table) - 1)]
+    far = np.flatnonzero(place >= _KEPT_PLACES)
+    values[far] = _values(code[far])
+    np.cumsum(values, out=total[1:])
+    return mixed((total[stops] - total[stops - size]) ^ (size.astype(np.uint64) * np.uint64(_ODD[4])))
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -115,7 +120,7 @@ def shingle_sets(
 
 
 class IdStore:
-    """Ids of chunks of text by the chunks' hashes, as sorted arrays."""
+    """Ids of chunks of text, found by hash and told apart by their bytes."""
 
     def __init__(self, kind: np.dtype, limit: int):
         self.kind, self.limit = kind, limit
@@ -126,6 +131,22 @@ class IdStore:
         self.first = np.zeros(0, np.int64)  # where a chunk's ids begin
         self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, self.kind)
+        self.begin = np.zeros(0, np.int64)  # where a chunk's bytes begin
+        self.length = np.zeros(0, np.int64)
+        self.bytes = np.zeros(0, np.uint8)
+
+    def _others(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Chunks whose bytes are not those of the known chunk at their place."""
+        length = ends - starts
+        other = self.length[place] != length
+        like = np.flatnonzero(~other)
+        length = length[like]
+        inside = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        differ = self.bytes[inside + np.repeat(self.begin[place[like]], length)] != data[
+            inside + np.repeat(starts[like], length)
+        ]
+        other[like[np.repeat(np.arange(len(like)), length)[differ]]] = True
+        return np.flatnonzero(other)
 
     def encode(
         self,
@@ -148,15 +169,26 @@ class IdStore:
         new[inside] = self.keys[place[inside]] != h[inside]
         if new.any():
             raw = data.tobytes()
-            asked = [raw[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
-            ids, size = ask(asked)
+            spans = list(zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True))
+            ids, size = ask([raw[a:b].decode() for a, b in spans])
             first = len(self.ids) + np.cumsum(size) - size
+            length = np.array([b - a for a, b in spans], np.int64)
+            begin = len(self.bytes) + np.cumsum(length) - length
+            fresh = np.frombuffer(b"".join([raw[a:b] for a, b in spans]), np.uint8)
+            self.bytes = np.concatenate([self.bytes, fresh])
+            self.begin = np.insert(self.begin, place[new], begin)
+            self.length = np.insert(self.length, place[new], length)
             self.ids = np.concatenate([self.ids, ids.astype(self.kind, copy=False)])
             self.keys = np.insert(self.keys, place[new], h[new])
             self.first = np.insert(self.first, place[new], first)
             self.size = np.insert(self.size, place[new], size)
             place = np.searchsorted(self.keys, h)
         size, first = self.size[place][like], self.first[place][like]
+        pool, other = self.ids, self._others(data, starts, ends, place[like])
+        if len(other):  # chunks with the hash of another one are not remembered
+            ids, own = ask([data[starts[k] : ends[k]].tobytes().decode() for k in other.tolist()])
+            size[other], first[other] = own, len(pool) + np.cumsum(own) - own
+            pool = np.concatenate([pool, ids.astype(self.kind, copy=False)])
         stop = np.cumsum(size)
         source = np.repeat(first - (stop - size), size) + np.arange(stop[-1])
-        return self.ids[source], np.concatenate([[0], stop])
+        return pool[source], np.concatenate([[0], stop])

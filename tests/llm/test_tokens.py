@@ -90,6 +90,47 @@ def test_byte_tokenizer_equals_the_library(bpe):
     assert found == [e.ids for e in bpe.encode_batch(texts, add_special_tokens=False)]
 
 
+def thue_morse(n):
+    """A word and its complement, whose polynomial hashes modulo powers of two are equal for every odd base."""
+    flip = str.maketrans("ab", "ba")
+    word = "a"
+    while len(word) < n:
+        word += word.translate(flip)
+    return word, word.translate(flip)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_polynomials_take_for_equal(n, library, bpe):
+    texts = [*thue_morse(n), " ".join(thue_morse(n)[::-1]), "x " + thue_morse(n)[1]]
+    flat, at = ByteTokenizer(BPE).encode(pa.array(texts))
+    found = [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert found == [e.ids for e in bpe.encode_batch(texts, add_special_tokens=False)]
+    flat, at = PieceModel(MODEL).encode(texts)
+    assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == library.encode(texts)
+
+
+def test_words_of_equal_hashes_keep_their_own_ids(monkeypatch, library, bpe):
+    """All words of one length get the same hash, in one batch and over several."""
+    monkeypatch.setattr("aftershock.llm.words.span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    texts = texts_of(8, 300, PARTS)
+    byte, piece = ByteTokenizer(BPE), PieceModel(MODEL)
+    for part in (texts[:100], texts[100:], texts):
+        flat, at = byte.encode(pa.array(part))
+        found = [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+        assert found == [e.ids for e in bpe.encode_batch(part, add_special_tokens=False)]
+        flat, at = piece.encode(part)
+        assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == library.encode(part)
+
+
+def test_plain_special_strings(bpe):
+    own = tokenizers.Tokenizer.from_file(BPE)
+    own.encode_special_tokens = True
+    texts = ["a<|endoftext|> b", "<|endoftext|>", *texts_of(5, 200, PARTS)]
+    flat, at = ByteTokenizer(BPE, plain=True).encode(pa.array(texts))
+    found = [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert found == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_encoded_documents(odd_docs, no_docs, bpe):
     rows = encode_documents(odd_docs, BPE, end_id=9).collect()
     expected = sorted(bpe.encode(r["text"] or "", add_special_tokens=False).ids + [9] for r in odd_docs.collect())
