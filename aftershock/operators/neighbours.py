@@ -1,32 +1,155 @@
-"""Exact k nearest neighbours by Euclidean distance.
-
-Comparing every test row with every training row does not scale, so the
-training rows are grouped around a few pivot vectors.  By the triangle
-inequality a cell can hold a neighbour only if the distance to its pivot minus
-its radius is not larger than an upper bound for the k-th neighbour.  A test
-row is sent to just those cells.  Cells are cut into blocks of bounded size on
-both sides, every block pair returns its k best only, and a ranked window
-keeps the k best overall.
+"""Exact k nearest neighbours by Euclidean distance, as a Voronoi join.
+
+Comparing every test row with every training row does not scale.  Training rows
+are parted into cells around pivots, about as many as the root of their number;
+cells that lie together form groups, groups are cut into blocks of bounded size,
+and a block travels as one matrix.  Test rows are parted by cell as well.
+
+Each part asks for blocks twice.  The first time it takes the nearest cells that
+hold ``k`` rows.  The distance of the k-th row found there bounds what is left: a
+cell is asked for in the second round only if, by the triangle inequality and by
+the plane between its pivot and the row's own, it may hold a row that is not
+farther.  Blocks are sent to just the parts that asked.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from aftershock.session import stored
 from aftershock.settings import NEIGHBOURS
 
-PIVOTS = 32
-BLOCK_ROWS = 16_384
+# Workers need not be able to import this module.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Pivots go to every task; beyond this many cells grow instead, and are cut into blocks.
+MOST_PIVOTS = 2048
+# Training rows of a block and test rows of a part.
+BLOCK_ROWS, PART_ROWS = 8192, 2048
 _SLACK = 1e-5
 # Distances that a task holds at once.
 _CELLS = 1 << 21
+_ASKED = "group int, block int, part long, row binary, vectors binary, fold binary, reach binary, ids binary"
+
+
+@dataclass(frozen=True)
+class Cells:
+    """What all tasks know of the training rows; its size is bounded by the number of pivots and folds."""
+
+    centres: np.ndarray
+    group: np.ndarray  # of each cell
+    near: np.ndarray  # smallest and largest distance of a cell's rows to its pivot
+    far: np.ndarray
+    rows: np.ndarray  # of each cell
+    folds: dict[int, np.ndarray]  # rows of each cell by fold
+    blocks: np.ndarray  # of each group
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        return _distances(x, self.centres)
+
+    def usable(self, fold: np.ndarray, by_fold: bool) -> np.ndarray:
+        """Rows of each cell that count for each test row."""
+        if not by_fold:
+            return np.broadcast_to(self.rows, (len(fold), len(self.rows)))
+        none = np.zeros_like(self.rows)
+        own, which = np.unique(fold, return_inverse=True)
+        return (self.rows - np.stack([self.folds.get(int(f), none) for f in own]))[which]
+
+    def first(self, d: np.ndarray, usable: np.ndarray, k: int) -> np.ndarray:
+        """Groups of the nearest cells that hold ``k`` rows."""
+        order = np.argsort(d, axis=1, kind="stable")
+        before = np.cumsum(np.take_along_axis(usable, order, axis=1), axis=1)
+        before -= np.take_along_axis(usable, order, axis=1)
+        chosen = np.zeros(d.shape, bool)
+        np.put_along_axis(chosen, order, before < k, axis=1)
+        return self._groups(chosen & (usable > 0))
+
+    def second(self, x: np.ndarray, d: np.ndarray, usable: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """Groups of cells that may hold a row within ``reach``."""
+        own = d.argmin(axis=1)
+        least = np.maximum(np.maximum(d - self.far, self.near - d), 0)
+        used, which = np.unique(own, return_inverse=True)
+        apart = _distances(self.centres[used], self.centres)[which]
+        # Distance from the plane between both pivots, for the cells behind it.
+        plane = (d * d - (d * d)[np.arange(len(d)), own][:, None]) / np.maximum(2 * apart, 1e-300)
+        least = np.maximum(least, np.where(apart > 0, plane, 0))
+        scale = 1 + np.sqrt((x * x).sum(axis=1)) + np.sqrt((self.centres * self.centres).sum(axis=1).max())
+        return self._groups((least <= (reach + _SLACK * scale)[:, None]) & (usable > 0))
+
+    def _groups(self, cells: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(cells), len(self.blocks)), bool)
+        row, cell = np.nonzero(cells)
+        out[row, self.group[cell]] = True
+        return out
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    squares = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * (x @ y.T)
+    return np.sqrt(np.maximum(squares, 0))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1)
+
+
+def _packed(table: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_batch(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
+def _assigned(rows: DataFrame, cells: np.ndarray) -> DataFrame:
+    """Rows with their cell and the distance to its pivot; stored."""
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x = _matrix(batch.column("_vector"))
+            step = max(1, _CELLS // len(cells))
+            cell, dist = [], []
+            for a in range(0, len(x), step):
+                d = _distances(x[a : a + step], cells)
+                cell.append(d.argmin(axis=1))
+                dist.append(d.min(axis=1))
+            more = [pa.array(np.concatenate(cell).astype(np.int32)), pa.array(np.concatenate(dist))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "_cell", "_dist"])
+
+    fields = [*rows.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_dist", T.DoubleType())]
+    return stored(rows.mapInArrow(assign, T.StructType(fields)), "cells")
+
+
+def _tiles(rows: DataFrame, place: list[str], keep: list[str]) -> DataFrame:
+    """The rows of each place as one row: matrix, folds and the other columns; stored."""
+    fixed = ", ".join(f"{c} {t}" for c, t in rows.select(*place).dtypes)
+
+    def pack(table: pa.Table) -> pa.Table:
+        batch = table.combine_chunks().to_batches()[0]
+        columns = {c: batch.column(c)[:1] for c in place}
+        columns["vectors"] = pa.array([_matrix(batch.column("_vector")).tobytes()])
+        columns["fold"] = pa.array([batch.column("_fold").fill_null(-1).to_numpy(zero_copy_only=False).astype("<i4").tobytes()])
+        columns["rest"] = pa.array([_packed(batch.select(keep))])
+        return pa.table(columns)
+
+    packed = rows.groupBy(*place).applyInArrow(pack, f"{fixed}, vectors binary, fold binary, rest binary")
+    return stored(packed, "tiles")
 
 
 def nearest(
@@ -37,182 +160,181 @@ def nearest(
     key: str = "id",
     vector: str = "vector",
     fold: str | None = None,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The k nearest training rows of every test row.
 
-    Both frames carry a ``key`` and a ``vector`` of doubles; ``payload`` names
-    training columns to return.  With ``fold``, rows of the test row's own fold
-    do not count.  Distances are rounded to 6 decimals and ties go to the
-    smaller training key.  Returns (test_id, rank, train_id, dist, payload...).
+    Both frames carry a ``key`` and a ``vector`` of doubles, all of one length
+    and without nulls; ``payload`` names training columns to return.  With
+    ``fold`` (an int), rows of the test row's own fold do not count.  Distances are rounded
+    to 6 decimals and ties go to the smaller training key.  A test row with fewer
+    than ``k`` rows to compare gets them all; an empty side gives no rows.
+    Returns (test_id, rank, train_id, dist, payload...).
     """
-    centres = [
-        list(map(float, r[0]))
-        for r in train.select(vector).orderBy(F.xxhash64(key), key).limit(pivots).collect()
-    ]
-    if not centres:  # nothing to be near to
-        fields = [
-            T.StructField("test_id", test.schema[key].dataType),
-            T.StructField("rank", T.IntegerType()),
-            T.StructField("train_id", train.schema[key].dataType),
-            T.StructField("dist", T.DoubleType()),
-            *[train.schema[p] for p in payload],
-        ]
-        return train.sparkSession.createDataFrame([], T.StructType(fields))
-    cell_of = _cell_udf(np.array(centres))
-    own_fold = F.col(fold) if fold else F.lit(None).cast("int")
-    trained = train.withColumn("_at", cell_of(vector)).withColumns(
-        {"_cell": F.col("_at.nearest"), "_dist": F.col("_at.distances")[F.col("_at.nearest")]}
-    )
-    # At most (pivots x folds) rows.
-    cells = (
-        trained.groupBy("_cell", own_fold.alias("_fold"))
-        .agg(F.count(F.lit(1)).alias("rows"), F.max("_dist").alias("far"), F.min("_dist").alias("near"))
-        .collect()
-    )
-    summary: dict[int, dict] = {}
-    for c in cells:
-        s = summary.setdefault(c["_cell"], {"rows": 0, "far": 0.0, "near": math.inf, "folds": {}})
-        s["rows"] += c["rows"]
-        s["far"] = max(s["far"], c["far"])
-        s["near"] = min(s["near"], c["near"])
-        s["folds"][c["_fold"]] = c["rows"]
-    blocks = {c: max(1, math.ceil(s["rows"] / block_rows)) for c, s in summary.items()}
-
-    test_rows = test.count()
-    test_blocks = max(1, math.ceil(test_rows / block_rows))
-    reach = _reach_udf(summary, blocks, k)
-    asked = (
-        test.withColumn("_at", cell_of(vector))
-        .withColumn("_to", F.explode(reach("_at", own_fold.cast("int"))))
-        .select(
-            F.col(key).alias("test_id"),
-            F.col(vector).alias("_vector"),
-            own_fold.alias("_fold"),
-            F.col("_to.cell").alias("_cell"),
-            F.col("_to.block").alias("_block"),
-            F.pmod(F.xxhash64(key), F.lit(test_blocks)).cast("int").alias("_part"),
-        )
-    )
-    block_count = F.create_map(*[F.lit(x) for item in blocks.items() for x in item])
-    offered = trained.select(
-        F.col(key).alias("train_id"),
-        F.col(vector).alias("_vector"),
-        own_fold.alias("_fold"),
-        "_cell",
-        F.pmod(F.xxhash64(key), block_count[F.col("_cell")].cast("bigint")).cast("int").alias("_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(test_blocks - 1))).alias("_part"),
-        *payload,
-    )
-    place = ["_cell", "_block", "_part"]
-    schema = T.StructType(
+    payload = list(payload)
+    n = train.count()
+    kinds = T.StructType(
         [
-            T.StructField("test_id", test.schema[key].dataType),
-            T.StructField("dist", T.DoubleType()),
-            *[
-                T.StructField(f.name, f.dataType)
-                for f in offered.select("train_id", *payload).schema.fields
-            ],
+            T.StructField("part", T.LongType()), T.StructField("row", T.IntegerType()),
+            T.StructField("test_id", test.schema[key].dataType), T.StructField("dist", T.DoubleType()),
+            T.StructField("train_id", train.schema[key].dataType), *[train.schema[p] for p in payload],
         ]
+    )
+    result = ["test_id", "rank", "train_id", "dist", *payload]
+    if n == 0:  # nothing to be near to
+        none = train.sparkSession.createDataFrame([], kinds.add("rank", T.IntegerType()))
+        return none.select(*result)
+    most = pivots or min(MOST_PIVOTS, math.ceil(math.sqrt(n)))
+    chosen = train.select(vector).orderBy(F.xxhash64(key), key).limit(most).collect()
+    centres = np.unique(np.array([r[0] for r in chosen], float), axis=0)
+    by_fold, own_fold = fold is not None, F.col(fold).cast("int") if fold else F.lit(None).cast("int")
+
+    known = train.select(
+        F.col(key).alias("train_id"), F.col(vector).alias("_vector"), own_fold.alias("_fold"), *payload
+    )
+    known = _assigned(known, centres)
+    cells = _summary(known, centres, block_rows, by_fold)
+    groups = known.sparkSession.createDataFrame(
+        [(i, int(g), int(cells.blocks[g])) for i, g in enumerate(cells.group)], "_cell int, group int, _blocks int"
     )
-    pairs = (
-        asked.groupBy(*place)
-        .cogroup(offered.groupBy(*place))
-        .applyInPandas(_block_search(k, bool(fold), list(payload)), schema)
+    # One row for each pivot.
+    known = known.join(F.broadcast(groups), "_cell").withColumn(
+        "block", F.pmod(F.xxhash64("train_id"), F.col("_blocks")).cast("int")
     )
-    best = Window.partitionBy("test_id").orderBy("dist", "train_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("test_id", "rank", "train_id", "dist", *payload)
+    blocks = _tiles(known, ["group", "block"], ["train_id", *payload])
 
+    asking = test.select(F.col(key).alias("test_id"), F.col(vector).alias("_vector"), own_fold.alias("_fold"))
+    asking = _assigned(asking, centres).join(F.broadcast(groups), "_cell")
+    sizes = asking.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("_parts"))
+    asking = asking.join(F.broadcast(sizes), "group")
+    sub = F.pmod(F.xxhash64("test_id", F.monotonically_increasing_id()), F.col("_parts"))
+    parts = _tiles(asking.withColumn("part", F.shiftleft(F.col("group").cast("long"), 32) + sub), ["part"], ["test_id"])
 
-def _cell_udf(centres: np.ndarray):
-    schema = T.StructType(
-        [
-            T.StructField("nearest", T.IntegerType()),
-            T.StructField("distances", T.ArrayType(T.DoubleType())),
-        ]
-    )
+    best = Window.partitionBy("part", "row").orderBy("dist", "train_id")
+    ranked = F.row_number().over(best)
 
-    @F.pandas_udf(schema)
-    def cell(vectors: pd.Series) -> pd.DataFrame:
-        rows = np.stack(vectors.to_list()).astype(float) if len(vectors) else np.empty((0, 1))
-        distances = np.empty((len(rows), len(centres)))
-        for i, centre in enumerate(centres):
-            distances[:, i] = np.sqrt(((rows - centre) ** 2).sum(axis=1))
-        return pd.DataFrame(
-            {"nearest": distances.argmin(axis=1).astype("int32"), "distances": list(distances)}
-        )
+    def search(asked: DataFrame) -> DataFrame:
+        met = asked.join(blocks.withColumnsRenamed({"vectors": "_vectors", "fold": "_folds"}), ["group", "block"])
+        return met.mapInArrow(_block_search(k, by_fold, kinds), kinds)
 
-    return cell
+    found = search(_asked(parts.withColumn("reach", F.lit(None).cast("binary")), cells, k, by_fold))
+    found = stored(found.withColumn("rank", ranked).filter(F.col("rank") <= k), "found")
+    # The k-th distance of each row, in the order of the part's rows.
+    reach = found.filter(F.col("rank") == k).groupBy("part").agg(F.collect_list(F.struct("row", "dist")).alias("_reach"))
+    again = parts.join(reach, "part", "left")
+    more = search(_asked(again, cells, k, by_fold))
+    ranks = found.drop("rank").unionByName(more).withColumn("rank", ranked)
+    return ranks.filter(F.col("rank") <= k).select(*result)
 
 
-def _reach_udf(summary: dict[int, dict], blocks: dict[int, int], k: int):
-    """Blocks a test row has to visit, from its distances to the pivots."""
-    schema = T.ArrayType(
-        T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("block", T.IntegerType())])
-    )
-    cells = sorted(summary)
-    near = np.array([summary[c]["near"] for c in cells])
-    far = np.array([summary[c]["far"] for c in cells])
-
-    @F.pandas_udf(schema)
-    def reach(at: pd.DataFrame, fold: pd.Series) -> pd.Series:
-        out = []
-        for distances, own in zip(at["distances"], fold, strict=True):
-            d = np.asarray(distances)[cells]
-            usable = np.array(
-                [
-                    summary[c]["rows"] - (0 if pd.isna(own) else summary[c]["folds"].get(int(own), 0))
-                    for c in cells
-                ]
-            )
-            upper = d + far
-            order = np.argsort(upper)
-            enough = np.flatnonzero(np.cumsum(usable[order]) >= k)
-            bound = upper[order[enough[0]]] if len(enough) else math.inf
-            lower = np.maximum(np.maximum(d - far, near - d), 0.0)
-            chosen = [cells[i] for i in np.flatnonzero((lower <= bound + _SLACK) & (usable > 0))]
-            out.append([{"cell": c, "block": b} for c in chosen for b in range(blocks[c])])
-        return pd.Series(out)
-
-    return reach
-
-
-def _block_search(k: int, by_fold: bool, payload: list[str]):
-    def search(asked: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or offered.empty:
-            return pd.DataFrame()
-        vectors = np.stack(offered["_vector"].to_list()).astype(float)
-        wanted = np.stack(asked["_vector"].to_list()).astype(float)
-        ids, test_ids = offered["train_id"].to_numpy(), asked["test_id"].to_numpy()
-        squares = (vectors * vectors).sum(axis=1)
-        step = max(1, _CELLS // len(vectors))
-        places, tests, dists = [], [], []
-        for start in range(0, len(wanted), step):
-            part = wanted[start : start + step]
-            # One product gives all distances, good enough to choose from.
-            near = (part * part).sum(axis=1)[:, None] + squares - 2 * (part @ vectors.T)
-            near = np.sqrt(np.maximum(near, 0))
-            if by_fold:
-                own = asked["_fold"].to_numpy()[start : start + step]
-                near[own[:, None] == offered["_fold"].to_numpy()] = np.inf
-            most = min(k, near.shape[1]) - 1
-            bound = np.partition(near, most, axis=1)[:, most]
-            scale = np.sqrt(squares.max() + (part * part).sum(axis=1))
-            test, train = np.nonzero((near <= (bound + _SLACK * (1 + scale))[:, None]) & (near < np.inf))
-            # The chosen ones exactly, best first.
-            dist = np.round(np.sqrt(((vectors[train] - part[test]) ** 2).sum(axis=1)), 6)
-            order = np.lexsort((ids[train], dist, test))
-            test, train, dist = test[order], train[order], dist[order]
-            keep = np.arange(len(test)) - np.searchsorted(test, test) < k
-            places.append(train[keep])
-            tests.append(test_ids[start : start + step][test[keep]])
-            dists.append(dist[keep])
-        out = offered.iloc[np.concatenate(places)][["train_id", *payload]].reset_index(drop=True)
-        out.insert(0, "test_id", np.concatenate(tests))
-        out.insert(1, "dist", np.concatenate(dists))
-        return out
+def _summary(known: DataFrame, centres: np.ndarray, block_rows: int, by_fold: bool) -> Cells:
+    """Sizes of all cells, and the groups they form."""
+    # At most (pivots x folds) rows.
+    told = known.groupBy("_cell", "_fold").agg(
+        F.count(F.lit(1)).alias("n"), F.max("_dist").alias("far"), F.min("_dist").alias("near")
+    ).collect()
+    m = len(centres)
+    rows, near, far = np.zeros(m, np.int64), np.full(m, np.inf), np.zeros(m)
+    folds: dict[int, np.ndarray] = {}
+    for c in told:
+        at = c["_cell"]
+        rows[at] += c["n"]
+        far[at], near[at] = max(far[at], c["far"]), min(near[at], c["near"])
+        if by_fold and c["_fold"] is not None:
+            folds.setdefault(c["_fold"], np.zeros(m, np.int64))[at] += c["n"]
+    # A few of the pivots gather the others around them.
+    heads = max(1, min(m, math.ceil(rows.sum() / block_rows)))
+    picks = np.linspace(0, m - 1, heads).astype(int)
+    group = _distances(centres, centres[picks]).argmin(axis=1)
+    sizes = np.bincount(group, rows, heads)
+    return Cells(centres, group, near, far, rows, folds, np.maximum(1, np.ceil(sizes / block_rows)).astype(np.int64))
+
+
+def _asked(parts: DataFrame, cells: Cells, k: int, by_fold: bool) -> DataFrame:
+    """Test rows by the blocks they ask for, in the first round or, with ``_reach``, in the second."""
+    again = "_reach" in parts.columns
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                fold = np.frombuffer(batch.column("fold")[i].as_py(), "<i4")
+                x = np.frombuffer(batch.column("vectors")[i].as_py()).reshape(len(fold), -1)
+                ids = _unpacked(batch.column("rest")[i].as_py())
+                reach = np.full(len(x), np.inf)
+                if again and batch.column("_reach")[i].is_valid:
+                    told = batch.column("_reach")[i].values
+                    reach[told.field("row").to_numpy()] = told.field("dist").to_numpy()
+                step = max(1, _CELLS // (4 * len(cells.centres)))
+                masks = []
+                for a in range(0, len(x), step):
+                    part = x[a : a + step]
+                    d, usable = cells.distances(part), cells.usable(fold[a : a + step], by_fold)
+                    mask = cells.first(d, usable, k)
+                    if again:
+                        mask = cells.second(part, d, usable, reach[a : a + step]) & ~mask
+                    masks.append(mask)
+                mask = np.concatenate(masks)
+                for g in np.flatnonzero(mask.any(axis=0)).tolist():
+                    row = np.flatnonzero(mask[:, g])
+                    names = ["row", "vectors", "fold", "reach"]
+                    values = [row.astype("<i4"), x[row], fold[row], reach[row]]
+                    columns = {n: [v.tobytes()] for n, v in zip(names, values, strict=True)}
+                    columns["ids"] = [_packed(ids.take(pa.array(row)))]
+                    columns["part"] = batch.column("part")[i : i + 1]
+                    for block in range(int(cells.blocks[g])):
+                        at = {"group": pa.array([g], pa.int32()), "block": pa.array([block], pa.int32())}
+                        names = ["group", "block", "part", "row", "vectors", "fold", "reach", "ids"]
+                        yield pa.RecordBatch.from_pydict({n: (at | columns)[n] for n in names})
+
+    return parts.mapInArrow(ask, _ASKED)
+
+
+def _block_search(k: int, by_fold: bool, kinds: T.StructType):
+    """The k best rows of a block for each of the test rows that asked for it."""
+    names = kinds.names
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                pair = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                rest = _unpacked(pair["rest"])
+                known = np.frombuffer(pair["_vectors"]).reshape(rest.num_rows, -1)
+                folds = np.frombuffer(pair["_folds"], "<i4")
+                row, own = (np.frombuffer(pair[c], "<i4") for c in ("row", "fold"))
+                wanted = np.frombuffer(pair["vectors"]).reshape(len(row), -1)
+                reach = np.frombuffer(pair["reach"])
+                # Place of each training key in their order.
+                order = pa.compute.sort_indices(rest.column("train_id")).to_numpy()
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                squares = (known * known).sum(axis=1)
+                step = max(1, _CELLS // len(known))
+                tests, trains, dists = [], [], []
+                for a in range(0, len(wanted), step):
+                    part = wanted[a : a + step]
+                    # One product gives all distances, good enough to choose from.
+                    near = (part * part).sum(axis=1)[:, None] + squares - 2 * (part @ known.T)
+                    near = np.sqrt(np.maximum(near, 0))
+                    if by_fold:
+                        near[own[a : a + step, None] == folds] = np.inf
+                    last = min(k, near.shape[1]) - 1
+                    bound = np.minimum(np.partition(near, last, axis=1)[:, last], reach[a : a + step])
+                    scale = np.sqrt(squares.max() + (part * part).sum(axis=1))
+                    test, train = np.nonzero((near <= (bound + _SLACK * (1 + scale))[:, None]) & (near < np.inf))
+                    # The chosen ones exactly, best first.
+                    dist = np.round(np.sqrt(((known[train] - part[test]) ** 2).sum(axis=1)), 6)
+                    order = np.lexsort((place[train], dist, test))
+                    test, train, dist = test[order], train[order], dist[order]
+                    keep = np.arange(len(test)) - np.searchsorted(test, test) < k
+                    tests.append(test[keep] + a)
+                    trains.append(train[keep])
+                    dists.append(dist[keep])
+                test, train = pa.array(np.concatenate(tests)), pa.array(np.concatenate(trains))
+                ids, taken = _unpacked(pair["ids"]).column("test_id").take(test), rest.take(train)
+                columns = [pa.array(np.full(len(test), pair["part"])), pa.array(row).take(test), ids]
+                columns += [pa.array(np.concatenate(dists)), *taken.columns]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return search
 

@@ -41,6 +41,64 @@ def test_nearest_leaves_out_the_own_fold(points):
     assert found.filter("test_id % 3 = train_id % 3").isEmpty()
 
 
+def _brute(test, train, k):
+    out = []
+    for i, x in test:
+        dist = sorted((round(float(np.sqrt(((np.array(x) - y) ** 2).sum())), 6), j) for j, y in train)
+        out += [(i, rank, j, d) for rank, (d, j) in enumerate(dist[:k], 1)]
+    return sorted(out)
+
+
+def test_nearest_with_few_rows_ties_and_other_keys(spark, monkeypatch):
+    """Fewer rows than k, repeated vectors and test rows, text keys, parts of one row."""
+    monkeypatch.setattr(neighbours, "PART_ROWS", 1)
+    train = [(f"t{i}", [float(i % 3), 1.0]) for i in range(7)]
+    test = [("a", [0.0, 1.0]), ("b", [2.0, 1.0]), ("b", [2.0, 1.0]), ("far", [1e6, -1e6])]
+    schema = "id string, vector array<double>"
+    a, b = spark.createDataFrame(test, schema), spark.createDataFrame(train, schema)
+    for k in (3, 9):
+        found = neighbours.nearest(a, b, k, []).select("test_id", "rank", "train_id", "dist").collect()
+        assert sorted(map(tuple, found)) == _brute(test, train, k)
+    assert neighbours.nearest(a.limit(0), b, 3, []).count() == 0
+    assert neighbours.nearest(a, b.limit(0), 3, []).count() == 0
+
+
+def _searched(spark, n):
+    """Test rows times blocks searched, and rows of blocks sent, for ``n`` clustered vectors."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(60, 8)) * 20
+    data = centres[rng.integers(0, 60, n)] + rng.normal(size=(n, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, vector array<double>")
+    sent, plain = [], neighbours._asked
+
+    def counted(parts, cells, k, by_fold):
+        asked = neighbours.stored(plain(parts, cells, k, by_fold), "asked")
+        size = F.octet_length("row") / 4
+        sizes = spark.createDataFrame(
+            [(g, int(b), int(cells.rows[cells.group == g].sum() / b)) for g, b in enumerate(cells.blocks)],
+            "group int, blocks int, rows int",
+        )
+        sent.append(asked.join(sizes, "group").agg(F.sum(size), F.sum("rows")).first())
+        return asked
+
+    neighbours._asked = counted
+    try:
+        test, train = rows.filter("id % 5 = 0"), rows.filter("id % 5 <> 0")
+        found = neighbours.nearest(test, train, 5, [], block_rows=max(64, n // 100))
+        assert found.count() == n
+    finally:
+        neighbours._asked = plain
+    return sum(float(s[0] or 0) for s in sent), sum(float(s[1] or 0) for s in sent)
+
+
+def test_rows_sent_grow_with_the_rows(spark):
+    """Ten times the vectors, far less than a hundred times the rows sent."""
+    few, many = _searched(spark, 5_000), _searched(spark, 50_000)
+    assert many[0] < 15 * few[0] and many[1] < 30 * few[1]
+    # All rows to all parts would be at least 40,000 rows for each of some hundred blocks.
+    assert many[0] < 10 * 10_000
+
+
 def test_votes_and_means(spark):
     near = spark.createDataFrame(
         [(1, 1, 2, 10.0), (1, 2, 3, 20.0), (1, 3, 3, 60.0)], "test_id int, rank int, label int, pips double"
