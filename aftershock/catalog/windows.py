@@ -98,11 +98,6 @@ def _market_after(spark, sf_dir):
     return market.market_after(fx.pair_candles(spark, sf_dir)).select("pair", "ts", *AFTER)
 
 
-def _framed(spark, sf_dir, columns):
-    numbered = market.number_candles(fx.stored_candles(spark, sf_dir))
-    return ordered.framed(numbered, ["pair"], "candle_no", columns, 0, 47)
-
-
 @query(
     "forward_extremes",
     sql(
@@ -118,14 +113,9 @@ def _framed(spark, sf_dir, columns):
     ),
 )
 def _forward_extremes(spark, sf_dir):
-    def columns(w):
-        out = {}
-        for a, b in horizons():
-            out[f"high_{a}_{b}"], out[f"low_{a}_{b}"] = market.forward_extremes(w, a, b)
-        return out
-
+    numbered = market.number_candles(fx.stored_candles(spark, sf_dir))
     names = [f"{side}_{a}_{b}" for a, b in horizons() for side in ("high", "low")]
-    return _framed(spark, sf_dir, columns).select("ts", *names)
+    return market.with_extremes(numbered, horizons()).select("ts", *names)
 
 
 @query(
@@ -149,7 +139,8 @@ def _forward_closes(spark, sf_dir):
         return out
 
     names = [f"{side}_{a}_{b}" for a, b in horizons() for side in ("from", "to")]
-    return _framed(spark, sf_dir, columns).select("ts", *names)
+    numbered = market.number_candles(fx.stored_candles(spark, sf_dir))
+    return ordered.framed(numbered, ["pair"], "candle_no", columns, 0, 47).select("ts", *names)
 
 
 @query(

@@ -61,17 +61,22 @@ def snapshot_columns(end: int) -> dict[str, str]:
 
 
 def market_by_instant(
-    instants: DataFrame, market: DataFrame, snapshot_ends: Sequence[int] = SNAPSHOT_ENDS
+    instants: DataFrame,
+    market: DataFrame,
+    snapshot_ends: Sequence[int] = SNAPSHOT_ENDS,
+    features_at: DataFrame | None = None,
 ) -> DataFrame:
     """One row per distinct instant (of a pair, if there are pairs) with all market columns.
 
     Release candle and snapshots are looked up by a single equi join over
     exploded offsets that carries prices only; the features of the candle at
-    the release join once.  ``market`` is a candle table with any feature columns.
+    the release join once.  ``market`` is a candle table with any feature columns;
+    or ``features_at`` has the features of the instants' candles (pair, ts, ...).
     """
     keys = instant_keys(instants, market)
     at_ts = [*keys[:-1], "ts"]
-    features = [c for c in market.columns if c not in ("pair", "ts", "candle_no", *PRICES)]
+    features_at = market if features_at is None else features_at
+    features = [c for c in features_at.columns if c not in ("pair", "ts", "candle_no", *PRICES)]
     offsets = sorted({-CANDLE_MINUTES, *[e - CANDLE_MINUTES for e in snapshot_ends]})
     wanted = instants.select(*keys).distinct().withColumn(
         "_off", F.explode(F.array(*[F.lit(o) for o in offsets]))
@@ -79,7 +84,9 @@ def market_by_instant(
     wanted = wanted.withColumn(
         "ts", round_to_candle(F.col("datetime_gmt") + minutes(F.col("_off")))
     )
-    looked_up = wanted.join(market.select(*at_ts, *PRICES), at_ts, "left")
+    # Only candles of wanted instants are shuffled.
+    near = join_sized(market.select(*at_ts, *PRICES), wanted.select(*at_ts).distinct(), at_ts, "leftsemi")
+    looked_up = wanted.join(near, at_ts, "left")
 
     def at(offset: int, column: str, name: str) -> Column:
         return F.expr(f"max(CASE WHEN _off = {offset} THEN {column} END) AS {name}")
@@ -89,7 +96,7 @@ def market_by_instant(
         aggs += [at(end - CANDLE_MINUTES, c, f"_{c}_{end}") for c in PRICES]
     found = looked_up.groupBy(*keys).agg(*aggs)
     if features:
-        at_release = market.withColumnRenamed("ts", "datetime_gmt").select(*keys, *features)
+        at_release = features_at.withColumnRenamed("ts", "datetime_gmt").select(*keys, *features)
         found = found.join(at_release, keys, "left")
     texts: dict[str, str] = {}
     for end in snapshot_ends:

@@ -2,6 +2,11 @@
 
 Frames count candles, not minutes: over a gap in the data they reach across
 it.  Candles are unique on (pair, ts).
+
+Extremes come from a sparse table: level ``j`` holds the highest high and lowest
+low of ``2 ** j`` candles, made of two values of the level below, and any frame is
+covered by two blocks of one level.  So a frame costs two lookups, however long
+it is.
 """
 
 from __future__ import annotations
@@ -13,8 +18,9 @@ from pyspark.sql import functions as F
 
 from aftershock.functions.moments import minutes
 from aftershock.functions.prices import price_to_pips
-from aftershock.operators.ordered import CHUNK_ROWS, framed
-from aftershock.operators.sized import join_null_safe
+from aftershock.operators.ordered import CHUNK_ROWS, window_text, with_halo
+from aftershock.operators.sized import join_null_safe, join_sized
+from aftershock.session import stored
 from aftershock.settings import BEFORE_MINUTES, CANDLE_MINUTES, horizons
 
 PRICES = ("open", "high", "low", "close")
@@ -58,38 +64,89 @@ def ohlc_resample(candles: DataFrame, size: int) -> DataFrame:
     )
 
 
-def number_candles(candles: DataFrame) -> DataFrame:
+def _days(candles: DataFrame) -> DataFrame:
+    """Rows and first position of every day of a pair."""
+    per_day = candles.groupBy("pair", F.to_date("ts").alias("_day")).agg(F.count(F.lit(1)).alias("_rows"))
+    by_day = Window.partitionBy("pair").orderBy("_day")
+    return per_day.withColumn("_offset", F.sum("_rows").over(by_day) - F.col("_rows"))
+
+
+def number_candles(candles: DataFrame, days: DataFrame | None = None) -> DataFrame:
     """Adds ``candle_no``, the position of a candle in its pair's series.
 
     Two levels keep every task small: a day of a pair holds at most
-    1440 / candle size rows, and a pair has one count row per day.
+    1440 / candle size rows, and a pair has one count row per day.  With
+    ``days`` (some of ``_days``), only candles of these days come back.
     """
-    days = candles.withColumn("_day", F.to_date("ts"))
-    per_day = days.groupBy("pair", "_day").agg(F.count(F.lit(1)).alias("_rows"))
-    by_day = Window.partitionBy("pair").orderBy("_day")
-    offsets = per_day.select(
-        "pair",
-        "_day",
-        (F.sum("_rows").over(by_day) - F.col("_rows")).alias("_offset"),
-    )
+    offsets = (_days(candles) if days is None else days).select("pair", "_day", "_offset")
+    rows = candles.withColumn("_day", F.to_date("ts"))
     in_day = Window.partitionBy("pair", "_day").orderBy("ts")
-    rows = days.withColumn("_row", F.row_number().over(in_day))
-    return (
-        join_null_safe(rows, offsets, ["pair", "_day"])
-        .withColumn("candle_no", F.col("_offset") + F.col("_row") - 1)
-        .drop("_day", "_row", "_offset")
-    )
+    numbered = F.col("_offset") + F.row_number().over(in_day) - 1
+    if days is None:
+        rows = rows.withColumn("_row", F.row_number().over(in_day))
+        numbered = F.col("_offset") + F.col("_row") - 1
+        joined = join_null_safe(rows, offsets, ["pair", "_day"])
+    else:  # before the rows are sorted, as few of them stay
+        joined = join_sized(rows, offsets, ["pair", "_day"], null_safe=True)
+    return joined.withColumn("candle_no", numbered).drop("_day", "_row", "_offset")
 
 
 def suffix(start: int, end: int) -> str:
     return f"_{start}_{end}_after"
 
 
+def level_of(rows: int) -> int:
+    """Level of the two blocks that cover a frame."""
+    return rows.bit_length() - 1
+
+
+def levels_needed(pairs: Sequence[tuple[int, int]]) -> int:
+    """Highest level that the horizons' frames use."""
+    return max(level_of((end - start) // CANDLE_MINUTES) for start, end in pairs)
+
+
+def _level(price: str, j: int, ahead: bool) -> str:
+    """Column of a level; level 0 is the candle itself."""
+    return f"_{price}_{'on' if ahead else 'back'}{j}" if j else price
+
+
+def with_levels(df: DataFrame, w: str, highest: int, ahead: bool = True) -> DataFrame:
+    """Adds the levels up to ``highest`` of candles from each one on, or up to each one.
+
+    Nulls beyond the ends of the series do not count.
+    """
+    step = "lead" if ahead else "lag"
+    for j in range(highest):
+        texts = [
+            f"{best}({_level(p, j, ahead)}, {step}({_level(p, j, ahead)}, {1 << j}) OVER ({w})) "
+            f"AS {_level(p, j + 1, ahead)}"
+            for p, best in (("high", "greatest"), ("low", "least"))
+        ]
+        df = df.selectExpr("*", *texts)
+    return df
+
+
+def _frame_blocks(first: int, last: int, ahead: bool) -> tuple[int, list[int]]:
+    """Level and places of the blocks that cover a frame."""
+    j = level_of(last - first + 1)
+    rest = (1 << j) - 1
+    return j, sorted({first, last - rest} if ahead else {last, first + rest})
+
+
+def _best_of(best: str, found: list[str]) -> str:
+    """``greatest`` and ``least`` want at least two values."""
+    return f"{best}({', '.join(found)})" if len(found) > 1 else found[0]
+
+
 def forward_extremes(w: str, start: int, end: int) -> tuple[str, str]:
-    """Highest high and lowest low of the candles from ``start`` up to ``end``."""
-    first, last = start // CANDLE_MINUTES, end // CANDLE_MINUTES - 1
-    frame = f"OVER ({w} ROWS BETWEEN {first} FOLLOWING AND {last} FOLLOWING)"
-    return f"coalesce(max(high) {frame}, high)", f"coalesce(min(low) {frame}, low)"
+    """Highest high and lowest low of the candles from ``start`` up to ``end``, out of the levels."""
+    j, places = _frame_blocks(start // CANDLE_MINUTES, end // CANDLE_MINUTES - 1, True)
+
+    def ahead(price: str, best: str) -> str:
+        found = [f"lead({_level(price, j, True)}, {k}) OVER ({w})" if k else _level(price, j, True) for k in places]
+        return f"coalesce({_best_of(best, found)}, {price})"
+
+    return ahead("high", "greatest"), ahead("low", "least")
 
 
 def forward_closes(w: str, start: int, end: int) -> tuple[str, str]:
@@ -128,32 +185,68 @@ def after_columns(w: str, pairs: Sequence[tuple[int, int]]) -> dict[str, str]:
 def before_columns(
     w: str, span: int = BEFORE_MINUTES, include_release_candle: bool = True
 ) -> dict[str, str]:
-    """Volatility and change of the open over the ``span`` minutes before."""
+    """Volatility and change of the open over the ``span`` minutes before, out of the levels."""
     rows = span // CANDLE_MINUTES
-    last = 0 if include_release_candle else 1
-    frame = f"OVER ({w} ROWS BETWEEN {last + rows - 1} PRECEDING AND {last} PRECEDING)"
-    high, low = f"coalesce(max(high) {frame}, high)", f"coalesce(min(low) {frame}, low)"
+    last = 0 if include_release_candle else -1
+    j, places = _frame_blocks(last - rows + 1, last, False)
+
+    def back(price: str, best: str) -> str:
+        found = [f"lag({_level(price, j, False)}, {-k}) OVER ({w})" if k else _level(price, j, False) for k in places]
+        return f"coalesce({_best_of(best, found)}, {price})"
+
     return {
-        f"volatility_{span}_0_before": f"{high} - {low}",
+        f"volatility_{span}_0_before": f"{back('high', 'greatest')} - {back('low', 'least')}",
         f"pips_agg_{span}_0_before": f"open - coalesce(lag(open, {rows}) OVER ({w}), open)",
     }
 
 
+def _framed(
+    numbered: DataFrame,
+    pairs: Sequence[tuple[int, int]],
+    span: int,
+    include_release_candle: bool,
+    chunk: int,
+) -> DataFrame:
+    """Numbered candles with all columns; levels and columns share one exchange and one sort.
+
+    Chunks carry copies of as many neighbours as the frames reach for.
+    """
+    before, after = span // CANDLE_MINUTES, _reach(pairs)
+    w = window_text(["pair", "_chunk"], ["candle_no"])
+    rows, columns = with_halo(numbered, "candle_no", before, after, chunk), {}
+    if pairs:
+        rows, columns = with_levels(rows, w, levels_needed(pairs)), after_columns(w, pairs)
+    if span:
+        rows = with_levels(rows, w, level_of(before), ahead=False)
+        columns |= before_columns(w, span, include_release_candle)
+    texts = [f"{text} AS `{name}`" for name, text in columns.items()]
+    return rows.selectExpr(*numbered.columns, "_own", *texts).filter("_own").drop("_own")
+
+
+def _reach(pairs: Sequence[tuple[int, int]]) -> int:
+    """Candles that the horizons look ahead."""
+    return max((end for _, end in pairs), default=CANDLE_MINUTES) // CANDLE_MINUTES - 1
+
+
+def with_extremes(
+    numbered: DataFrame, pairs: Sequence[tuple[int, int]], chunk: int = CHUNK_ROWS
+) -> DataFrame:
+    """Numbered candles with ``high_{a}_{b}`` and ``low_{a}_{b}`` of every horizon."""
+    w = window_text(["pair", "_chunk"], ["candle_no"])
+    rows = with_levels(with_halo(numbered, "candle_no", 0, _reach(pairs), chunk), w, levels_needed(pairs))
+    texts = []
+    for a, b in pairs:
+        high, low = forward_extremes(w, a, b)
+        texts += [f"{high} AS high_{a}_{b}", f"{low} AS low_{a}_{b}"]
+    return rows.selectExpr(*numbered.columns, "_own", *texts).filter("_own").drop("_own")
+
+
 def market_after(
     candles: DataFrame, pairs: Sequence[tuple[int, int]] | None = None, chunk: int = CHUNK_ROWS
 ) -> DataFrame:
     """Candles with the reaction metrics of all horizons, in one shuffle and sort."""
     pairs = horizons() if pairs is None else pairs
-    reach = max(end for _, end in pairs) // CANDLE_MINUTES - 1
-    return framed(
-        number_candles(candles),
-        ["pair"],
-        "candle_no",
-        lambda w: after_columns(w, pairs),
-        before=0,
-        after=reach,
-        chunk=chunk,
-    )
+    return _framed(number_candles(candles), pairs, 0, True, chunk)
 
 
 def market_before(
@@ -163,15 +256,7 @@ def market_before(
     chunk: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Candles with the market before them."""
-    return framed(
-        number_candles(candles),
-        ["pair"],
-        "candle_no",
-        lambda w: before_columns(w, span, include_release_candle),
-        before=span // CANDLE_MINUTES,
-        after=0,
-        chunk=chunk,
-    )
+    return _framed(number_candles(candles), [], span, include_release_candle, chunk)
 
 
 def market_features(
@@ -188,18 +273,90 @@ def market_features(
         return _time_features(candles, pairs, span, include_release_candle)
     if frame != "rows":
         raise ValueError(f"frame must be 'rows' or 'time', not {frame!r}")
-    return framed(
-        number_candles(candles),
-        ["pair"],
-        "candle_no",
-        lambda w: {
-            **after_columns(w, pairs),
-            **before_columns(w, span, include_release_candle),
-        },
-        before=span // CANDLE_MINUTES,
-        after=max(end for _, end in pairs) // CANDLE_MINUTES - 1,
-        chunk=chunk,
-    )
+    return _framed(number_candles(candles), pairs, span, include_release_candle, chunk)
+
+
+# Positions that are looked for together when days are chosen.
+_STRIDE = 64
+
+
+def _days_in_reach(candles: DataFrame, instants: DataFrame, before: int, after: int) -> DataFrame:
+    """Days (see ``_days``) that hold any candle within reach of an instant; all is per day."""
+    days = stored(_days(candles), "days")
+    asked = instants.select("pair", F.to_date("ts").alias("_day")).distinct()
+    asked = join_null_safe(asked, days, ["pair", "_day"])
+
+    def strides(first: Column, last: Column) -> Column:
+        return F.explode(F.sequence(F.floor(first / _STRIDE), F.floor(last / _STRIDE)))
+
+    last = F.col("_offset") + F.col("_rows") - 1
+    wanted = asked.select(
+        "pair", strides(F.greatest(F.col("_offset") - before, F.lit(0)), last + after).alias("_stride")
+    ).distinct()
+    held = days.withColumn("_stride", strides(F.col("_offset"), last))
+    found = join_null_safe(held, wanted, ["pair", "_stride"], "leftsemi")
+    return found.drop("_stride").dropDuplicates(["pair", "_day"])
+
+
+def market_at(
+    instants: DataFrame,
+    candles: DataFrame,
+    pairs: Sequence[tuple[int, int]] | None = None,
+    span: int = BEFORE_MINUTES,
+    include_release_candle: bool = True,
+    chunk: int = CHUNK_ROWS,
+) -> DataFrame:
+    """``market_features`` of the candles at given instants only: ``pair, ts`` and the features.
+
+    ``instants`` has (pair, ts); those without a candle give no row.  All candles
+    are counted per day, and only those of days within reach of an instant are
+    shuffled, numbered and laid out as levels; a frame is two lookups into these,
+    by equi joins on (pair, candle_no).
+    """
+    pairs = horizons() if pairs is None else pairs
+    instants = instants.select("pair", "ts").distinct()
+    before, after = span // CANDLE_MINUTES, _reach(pairs)
+    days = _days_in_reach(candles, instants, before, after)
+    numbered = number_candles(candles.select("pair", "ts", *PRICES), days)
+    numbered = stored(numbered, "numbered")
+
+    # What is looked up where: (offset, column).
+    top = 0 if include_release_candle else -1
+    wanted: dict[str, tuple[str, list[tuple[int, str]]]] = {}
+    for start, end in pairs:
+        s, first, last = suffix(start, end), start // CANDLE_MINUTES, end // CANDLE_MINUTES - 1
+        j, places = _frame_blocks(first, last, True)
+        wanted[f"_h{s}"] = ("greatest", [(k, _level("high", j, True)) for k in places])
+        wanted[f"_l{s}"] = ("least", [(k, _level("low", j, True)) for k in places])
+        wanted[f"_f{s}"], wanted[f"_t{s}"] = ("", [(first, "close")]), ("", [(last, "close")])
+    j, places = _frame_blocks(top - before + 1, top, False)
+    wanted["_hb"] = ("greatest", [(k, _level("high", j, False)) for k in places])
+    wanted["_lb"] = ("least", [(k, _level("low", j, False)) for k in places])
+    wanted["_ob"] = ("", [(-before, "open")])
+    offsets = sorted({k for _, parts in wanted.values() for k, _ in parts})
+
+    w = window_text(["pair", "_chunk"], ["candle_no"])
+    levels = with_halo(numbered, "candle_no", before, after, chunk)
+    levels = with_levels(with_levels(levels, w, levels_needed(pairs)), w, level_of(before), ahead=False)
+    used = sorted({c for _, parts in wanted.values() for _, c in parts})
+    levels = levels.filter("_own").select("pair", "candle_no", *used)
+
+    at = join_null_safe(numbered, instants, ["pair", "ts"], "leftsemi")
+    own = [f"_{c}0" for c in PRICES]
+    asked = at.select(
+        "pair", "ts", *[F.col(c).alias(f"_{c}0") for c in PRICES], "candle_no",
+        F.explode(F.array(*[F.lit(k) for k in offsets])).alias("_k"),
+    )
+    asked = asked.withColumn("candle_no", F.col("candle_no") + F.col("_k"))
+    met = join_null_safe(asked, levels, ["pair", "candle_no"], "left")
+
+    def found(best: str, parts: list[tuple[int, str]]) -> str:
+        return _best_of(best, [f"max(CASE WHEN _k = {k} THEN {c} END)" for k, c in parts])
+
+    folded = met.groupBy("pair", "ts", *own).agg(*[F.expr(f"{found(*v)} AS {n}") for n, v in wanted.items()])
+    first, reactions = _from_near(pairs, span)
+    texts = {k: v for part in reactions.values() for k, v in part.items()} | first
+    return folded.selectExpr("pair", "ts", *[f"{text} AS `{name}`" for name, text in texts.items()])
 
 
 def _near_prices(pairs: Sequence[tuple[int, int]], span: int, top: int) -> list[str]:

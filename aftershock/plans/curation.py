@@ -15,10 +15,10 @@ from aftershock.operators.history import (
     outlier_score,
     revision_surprise,
 )
-from aftershock.operators.impact import join_market, market_by_instant
-from aftershock.operators.market import market_features
+from aftershock.operators.impact import instant_keys, join_market, market_by_instant
+from aftershock.operators.market import market_at, market_features
 from aftershock.operators.ordered import largest_group
-from aftershock.session import materialise
+from aftershock.session import stored
 from aftershock.settings import CurationConfig, horizons
 
 SURPRISES = ("forecast_error_diff", "previous_error_diff", "total_error_diff")
@@ -68,14 +68,18 @@ def market_table(
     """All market columns, one row per distinct instant of the releases."""
     if config.pair is not None:
         candles = candles.filter(F.col("pair") == config.pair)
-    market = market_features(
-        candles,
-        horizons(config.starts, config.ends),
-        config.before_minutes,
-        config.include_release_candle,
-        config.frame,
-    )
-    return market_by_instant(releases, market, config.snapshot_ends)
+    pairs = horizons(config.starts, config.ends)
+    if config.frame != "rows":
+        market = market_features(
+            candles, pairs, config.before_minutes, config.include_release_candle, config.frame
+        )
+        return market_by_instant(releases, market, config.snapshot_ends)
+    keys = instant_keys(releases, candles)
+    instants = releases.select(*keys[:-1], F.col("datetime_gmt").alias("ts"))
+    if len(keys) == 1:  # a single pair
+        instants = instants.withColumn("pair", candles.select("pair").limit(1).scalar())
+    features = market_at(instants, candles, pairs, config.before_minutes, config.include_release_candle)
+    return market_by_instant(releases, candles, config.snapshot_ends, features)
 
 
 def curate(
@@ -88,5 +92,5 @@ def curate(
 
     Cleaned releases are read by several steps, so they are written once.
     """
-    releases = materialise(clean_releases(calendar, config, gmt_input))
+    releases = stored(clean_releases(calendar, config, gmt_input), "releases")
     return join_market(score_history(releases), market_table(releases, candles, config))
