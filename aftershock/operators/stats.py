@@ -1,8 +1,7 @@
 """Profile statistics.
 
-Exact order statistics come from counts per distinct value: the counts combine
-map-side, a running total over the distinct values gives the ranks, and no
-task sees the raw rows of a group.
+Exact order statistics are selected by narrowing (see ``selection``), all else is
+plain aggregates; no task sees the raw rows of a group.
 """
 
 from __future__ import annotations
@@ -13,12 +12,15 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aftershock.operators.ordered import WINDOW_ROWS, running_total
-from aftershock.operators.sized import join_null_safe, join_sized
-from aftershock.session import materialise, stored
+from aftershock.operators.ordered import WINDOW_ROWS
+from aftershock.operators.selection import COLUMNS_AT_ONCE, order_statistics
+from aftershock.operators.sized import join_sized
+from aftershock.session import stored
+
 # Correlations that one aggregate computes.
 PAIRS_AT_ONCE = 26
 
+
 def row_counts(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     """Number of rows that meet each condition, in one pass."""
     return df.agg(*[F.count_if(c).alias(name) for name, c in conditions.items()])
@@ -88,30 +90,6 @@ def null_audit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
 
 
-def long_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Rows (keep..., column, value) of several numeric columns, nulls left out."""
-    pairs = F.array(
-        *[
-            F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
-            for c in columns
-        ]
-    )
-    return (
-        df.select(*keep, F.explode(pairs).alias("_p"))
-        .select(*keep, "_p.*")
-        .filter("value is not null")
-    )
-
-
-def counted_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Rows per key and distinct value, written once because several steps read it."""
-    return materialise(
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
-    )
-
-
 def exact_percentiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -120,36 +98,7 @@ def exact_percentiles(
     limit: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Percentiles of ``value`` per key, linear between two ranks."""
-    return _percentiles(counted_values(df, keys, value), keys, shares, limit)
-
-
-def _percentiles(
-    counts: DataFrame, keys: Sequence[str], shares: dict[str, float], limit: int
-) -> DataFrame:
-    ranked = running_total(
-        counts, keys, ["_value"], F.col("_rows"), "_first", limit, total="_all"
-    )
-
-    def at(rank: Column) -> Column:
-        inside = (F.col("_first") <= rank) & (rank < F.col("_first") + F.col("_rows"))
-        return F.max(F.when(inside, F.col("_value")))
-
-    aggs = []
-    for i, share in enumerate(shares.values()):
-        place = F.lit(share) * (F.col("_all") - 1)
-        aggs += [
-            at(F.floor(place)).alias(f"_lo{i}"),
-            at(F.ceil(place)).alias(f"_hi{i}"),
-            F.max(place - F.floor(place)).alias(f"_part{i}"),
-        ]
-    found = ranked.groupBy(*keys).agg(*aggs)
-    return found.selectExpr(
-        *keys,
-        *[
-            f"_lo{i} + (_hi{i} - _lo{i}) * _part{i} AS {name}"
-            for i, name in enumerate(shares)
-        ],
-    )
+    return order_statistics(df, keys, [value], shares, limit).drop("column", "count")
 
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -160,32 +109,27 @@ def describe_stats(
 ) -> DataFrame:
     """count, mean, std, min, quartiles and max of several columns.
 
-    All of them come out of one table of counted values.
+    The columns stay side by side: a bounded number of them is aggregated at a
+    time, and no row is made for each value.
     """
-    counts = counted_values(long_values(df, columns), ["column"], "value")
-    n, x = F.col("_rows"), F.col("_value")
-    means = counts.groupBy("column").agg(
-        F.sum("_rows").alias("count"),
-        (F.sum(x * n) / F.sum(n)).alias("_mean"),
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
-    )
-    spread = counts.join(means.select("column", "_mean"), "column").groupBy("column").agg(
-        F.sum(n * (x - F.col("_mean")) * (x - F.col("_mean"))).alias("_squares")
-    )
-    std = F.sqrt(F.try_divide(F.col("_squares"), F.col("count") - 1))
-    return (
-        means.join(spread, "column")
-        .join(_percentiles(counts, ["column"], QUARTILES, limit), "column")
-        .select(
-            "column",
-            "count",
-            F.round("_mean", 6).alias("mean"),
-            F.round(std, 6).alias("std"),
-            "min",
-            "max",
-            *[F.round(q, 6).alias(q) for q in QUARTILES],
-        )
+    columns = list(columns)
+    rows = stored(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "described")
+    plain = None
+    for start in range(0, len(columns), COLUMNS_AT_ONCE):
+        cells = []
+        for c in columns[start : start + COLUMNS_AT_ONCE]:
+            cells.append(
+                F.struct(
+                    F.lit(c).alias("column"), F.round(F.avg(c), 6).alias("mean"),
+                    F.round(F.stddev_samp(c), 6).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
+                )
+            )
+        part = rows.agg(F.array(*cells).alias("_cells")).select(F.inline("_cells"))
+        plain = part if plain is None else plain.unionByName(part)
+    ranks = order_statistics(rows, [], columns, QUARTILES, limit)
+    # One row for each column.
+    return ranks.join(F.broadcast(plain), "column").select(
+        "column", "count", "mean", "std", "min", "max", *[F.round(q, 6).alias(q) for q in QUARTILES]
     )
 
 
@@ -214,21 +158,22 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 def box_stats(
     df: DataFrame, keys: Sequence[str], column: str, limit: int = WINDOW_ROWS
 ) -> DataFrame:
-    """Median, quartiles and whiskers at 1.5 IQR per key, out of counted values."""
+    """Median, quartiles and whiskers at 1.5 IQR per key."""
     keys = list(keys)
-    counts = counted_values(df, keys, column)
-    boxes = _percentiles(counts, keys, QUARTILES, limit)
-    iqr = F.col("q3") - F.col("q1")
     value = F.col("_value")
+    rows = df.select(*keys, F.col(column).cast("double").alias("_value")).filter(value.isNotNull())
+    rows = stored(rows, "boxed")
+    boxes = order_statistics(rows, keys, ["_value"], QUARTILES, limit).drop("column", "count")
+    iqr = F.col("q3") - F.col("q1")
     inside = value.between(F.col("q1") - iqr * 1.5, F.col("q3") + iqr * 1.5)
     return (
-        join_null_safe(counts, boxes, keys)
+        join_sized(rows, boxes, keys, null_safe=True)
         .groupBy(*keys, "q1", "median", "q3")
         .agg(
-            F.sum("_rows").alias("rows"),
+            F.count(F.lit(1)).alias("rows"),
             F.min(F.when(inside, value)).alias("whisker_low"),
             F.max(F.when(inside, value)).alias("whisker_high"),
-            F.sum(F.when(inside, F.lit(0)).otherwise(F.col("_rows"))).alias("outliers"),
+            F.count_if(~inside).alias("outliers"),
         )
     )
 
