@@ -122,6 +122,39 @@ def test_needed_candles_equal_window(candles):
         )
 
 
+@pytest.mark.parametrize(("keep", "included", "chunk"), [(1, True, 65536), (7, False, 10), (97, True, 30), (10**9, True, 100)])
+def test_features_at_instants_equal_window(candles, keep, included, chunk):
+    """All instants, some of them, and none; instants without a candle give no row."""
+    pairs = [(0, 30), (30, 60), (0, 240), (60, 65), (0, 5), (5, 20)]
+    whole = market.market_features(candles, pairs, include_release_candle=included).drop("candle_no", *market.PRICES)
+    some = F.pmod(F.xxhash64("pair", "ts"), F.lit(keep)) == 0
+    asked = candles.select("pair", "ts").filter(some)
+    more = asked.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 SECOND"))
+    found = market.market_at(asked.union(asked).union(more), candles, pairs, 60, included, chunk)
+    assert rows(found.select(*whole.columns)) == rows(whole.filter(some))
+
+
+def test_features_at_instants_of_odd_candles(spark):
+    """Null pairs and times, several days, single candles, gaps of days between instants."""
+    rng = np.random.default_rng(8)
+    data = [(None if i % 5 == 0 else f"P{i % 3}", None if i % 97 == 0 else int(t) * 300) for i, t in enumerate(rng.integers(0, 4000, 700))]
+    df = spark.createDataFrame(sorted(set(data), key=str), "pair string, t long").dropDuplicates()
+    df = df.withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    df = df.withColumns({c: F.pmod(F.xxhash64("pair", "ts", F.lit(c)), F.lit(50)) for c in market.PRICES}).cache()
+    whole = market.market_features(df, [(0, 30), (30, 120)], 30).drop("candle_no", *market.PRICES)
+    some = F.pmod(F.xxhash64("pair", "ts"), F.lit(9)) == 0
+    found = market.market_at(df.filter(some), df, [(0, 30), (30, 120)], 30)
+    assert sorted(map(str, found.select(*whole.columns).collect())) == sorted(map(str, whole.filter(some).collect()))
+    df.unpersist()
+
+
+def test_only_days_in_reach_are_numbered(spark):
+    slots = spark.range(40 * 288).select(F.lit("P").alias("pair"), F.timestamp_seconds(F.col("id") * 300).alias("ts"))
+    asked = slots.filter("ts IN (timestamp'1970-01-05 12:00:00', timestamp'1970-01-20 23:00:00')")
+    days = market._days_in_reach(slots, asked, 12, 47)
+    assert sorted(r["_day"].day for r in days.collect()) == [4, 5, 6, 19, 20, 21]
+
+
 def test_time_frames_equal_row_frames_without_gaps(spark):
     slots = spark.range(400).select(
         F.lit("P").alias("pair"),
