@@ -8,7 +8,7 @@ from aftershock.catalog import fixtures as fx
 from aftershock.catalog.registry import query
 from aftershock.catalog.scans import CUT, SPEC, dataset_sql, half_hour, scored_features
 from aftershock.catalog.sql import sql
-from aftershock.operators import neighbours, reports, reshape, trees
+from aftershock.operators import neighbours, reports, reshape, tree_levels, trees
 from aftershock.plans.scoring import score_new, score_report
 from aftershock.plans.sweeps import (
     SweepSpec,
@@ -17,8 +17,18 @@ from aftershock.plans.sweeps import (
     sweep_dataset,
     sweep_plan,
 )
-from aftershock.session import materialise
-from aftershock.settings import BOOST_ROUNDS, LEAF_ROWS, NEIGHBOURS, TEST_SHARE, TREE_COUNTS, TREE_DEPTHS
+from aftershock.session import materialise, stored
+from aftershock.settings import (
+    BOOST_ROUNDS,
+    FLAGS,
+    FOLDS,
+    IMPACTS,
+    LEAF_ROWS,
+    NEIGHBOURS,
+    TEST_SHARE,
+    TREE_COUNTS,
+    TREE_DEPTHS,
+)
 
 C = F.col
 
@@ -143,7 +153,83 @@ def _vote_ensemble(spark, sf_dir):
     return reports.vote_ensemble(predictions, keys)
 
 
-# --- tree models: no SQL equivalent -------------------------------------------------------------
+# --- tree models --------------------------------------------------------------------------------
+
+_TREE_FEATURES = sorted(
+    [f"{m}_{e - 5}_{e}_after" for e in (5, 10, 15, 20, 25, 30) for m in ("volatility", "pips_candle")]
+    + ["volatility_60_0_before", "pips_agg_60_0_before", "num_news", "year", "week", "weekday", *IMPACTS]
+    + [f"{e}_error_diff_{v}" for e in ("forecast", "previous") for v in ("deviation", "outlier_class")]
+    + [f"{p}_{v}" for p in ("fe", "pe") for v in FLAGS]
+)
+
+
+def _levels_sql() -> str:
+    """Best splits of the first two levels: every row of a node beside every bound of a bin."""
+    n = len(_TREE_FEATURES)
+    names = "[" + ", ".join(f"'{f}'" for f in _TREE_FEATURES) + "]"
+    values = "[" + ", ".join(f'CAST("{f}" AS DOUBLE)' for f in _TREE_FEATURES) + "]"
+    full = " AND ".join(f'"{f}" IS NOT NULL' for f in (*_TREE_FEATURES, SPEC.label, SPEC.target))
+    share = "CAST(concat('0x', substr(md5(concat('fold', CAST(datetime AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0"
+    sums = ", ".join(
+        f"{a}({v}) FILTER (v <= edge) AS l{c}, {a}({v}) AS t{c}"
+        for c, a, v in (("n", "count", "*"), ("s", "sum", "y"), ("q", "sum", "y * y"))
+    )
+
+    def spread(c: str) -> str:
+        m, s, q = (f"({c.format(k)})" for k in "nsq")
+        return f"CASE kind WHEN 'clf' THEN 2 * {s} * ({m} - {s}) / {m} ELSE {q} - {s} * {s} / {m} END"
+
+    def gains(counted: str) -> str:
+        return (
+            f"SELECT *, round(({spread('t{0}')} - ({spread('l{0}')}) - ({spread('t{0} - l{0}')})) / tn, 10) AS gain "
+            f"FROM {counted} WHERE ln > 0 AND ln < tn"
+        )
+
+    best = "QUALIFY row_number() OVER (PARTITION BY kind, held, leaf, path ORDER BY gain DESC, f, b) = 1"
+    return (
+        f", d AS (SELECT datetime AS id, CAST(floor({share} * 5) AS INT) AS fold, CAST({SPEC.label} AS DOUBLE) AS c, "
+        f"CAST({SPEC.target} AS DOUBLE) AS r, {values} AS x FROM ({dataset_sql()}) WHERE {full}), "
+        f"x AS (SELECT id, f, x[f + 1] AS v FROM d, (SELECT unnest(range({n})) AS f)), "
+        "ranks AS (SELECT f, list_sort(list(v)) AS vs, count(*) AS n, max(v) AS most FROM x GROUP BY f), "
+        "e AS (SELECT f, v AS edge, row_number() OVER (PARTITION BY f ORDER BY v) - 1 AS b FROM (SELECT DISTINCT f, most, "
+        "vs[CAST(ceil(i * n / 32.0) AS BIGINT)] AS v FROM ranks, (SELECT unnest(range(1, 32)) AS i)) WHERE v < most), "
+        "y AS (SELECT id, kind, held, CASE kind WHEN 'clf' THEN c ELSE r END AS y FROM d, (SELECT unnest(['clf', 'reg']) AS kind), "
+        "(SELECT unnest([0, 1, 2, 3, 4, -1]) AS held) WHERE fold <> held), "
+        f"n0 AS (SELECT kind, held, '' AS path, f, b, edge, {sums} FROM y JOIN x USING (id) JOIN e USING (f) "
+        "GROUP BY kind, held, f, b, edge), "
+        f"leaves AS (SELECT unnest({list(LEAF_ROWS)}) AS leaf), "
+        f"s0 AS (SELECT * FROM ({gains('n0')}), leaves WHERE gain > 0 AND least(ln, tn - ln) >= leaf {best}), "
+        # The children of each different split.
+        "k AS (SELECT y.id, kind, held, s.f AS sf, s.b AS sb, CASE WHEN x.v <= s.edge THEN 'L' ELSE 'R' END AS path, y.y "
+        "FROM y JOIN (SELECT DISTINCT kind, held, f, b, edge FROM s0) s USING (kind, held) JOIN x ON x.id = y.id AND x.f = s.f), "
+        f"n1 AS (SELECT kind, held, sf, sb, path, f, b, edge, {sums} FROM k JOIN x USING (id) JOIN e USING (f) "
+        "GROUP BY kind, held, sf, sb, path, f, b, edge), "
+        f"s1 AS (SELECT g.*, s0.leaf FROM ({gains('n1')}) g JOIN s0 ON g.kind = s0.kind AND g.held = s0.held AND g.sf = s0.f "
+        f"AND g.sb = s0.b WHERE g.gain > 0 AND least(g.ln, g.tn - g.ln) >= s0.leaf "
+        "QUALIFY row_number() OVER (PARTITION BY g.kind, g.held, s0.leaf, g.path ORDER BY g.gain DESC, g.f, g.b) = 1) "
+        f"SELECT kind, CAST(held AS INT) AS held_fold, CAST(leaf AS INT) AS leaf_rows, path, ({names})[f + 1] AS feature, edge FROM s0 "
+        f"UNION ALL SELECT kind, CAST(held AS INT), CAST(leaf AS INT), path, ({names})[f + 1], edge FROM s1"
+    )
+
+
+@query("tree_levels", sql("", "cs").rstrip() + _levels_sql())
+def _tree_levels(spark, sf_dir):
+    """The first two levels of the trees of a grid: one row for each split of a fold and leaf size."""
+    rows = trees.with_folds(stored(sweep_dataset(scored_features(spark, sf_dir), SPEC)).dropna(), "datetime")
+    edges = tree_levels.bin_edges(rows, _TREE_FEATURES)
+    out = []
+    for kind, target in (("clf", SPEC.label), ("reg", SPEC.target)):
+        cells = tree_levels.binned(rows, _TREE_FEATURES, target, edges)
+        grown = tree_levels.grow(cells, edges, range(FOLDS), LEAF_ROWS, 2, kind)
+        for held, root in grown.roots.items():
+            for leaf in LEAF_ROWS:
+                splits = list(grown.path(held, leaf, 2))
+                names = {root: ""} | {s[k]: side for s in splits if s[0] == root for k, side in ((3, "L"), (4, "R"))}
+                for node, f, b, _, _ in splits:
+                    out.append((kind, held, leaf, names[node], _TREE_FEATURES[f], float(edges[f][b])))
+    schema = "kind string, held_fold int, leaf_rows int, path string, feature string, edge double"
+    return spark.createDataFrame(out, schema)
+
 
 _TREE_SPEC = SweepSpec("ALL_NO_1_1_1", "basic", "included", "0_30", "basic", "max")
 

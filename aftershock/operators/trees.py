@@ -1,10 +1,12 @@
-"""Grid search over MLlib tree models.
-
-Growing a tree is greedy, so a tree of some depth contains those of smaller
-depths, and the first trees of a forest or of a boosted chain are a smaller
-one.  A grid is therefore fitted once for each combination of its other
-parameters, with the largest depth and number of trees, and all points are
-scored from that model's nodes in one pass over the held-out rows.
+"""Grid search over tree models.
+
+Decision trees are grown for all points and folds together (see ``tree_levels``).
+Forests and boosted chains are MLlib's.  The first trees of a forest or chain are a
+smaller one, and a tree cut off at a depth is a tree of that depth, so these are
+fitted once for each combination of the other parameters, with the largest depth
+and number of trees, and all points are scored from that model's nodes in one pass
+over the held-out rows.  A forest cut off this way is not the one that MLlib would
+grow with the smaller values, whose draws depend on them, but one of the same kind.
 """
 
 from __future__ import annotations
@@ -17,20 +19,19 @@ from itertools import product
 import numpy as np
 import pandas as pd
 from pyspark.ml import Model
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aftershock.operators import tree_levels
 from aftershock.operators.reshape import fold_of
 from aftershock.session import new_path
 from aftershock.settings import FOLDS
 
 SEED = 42
 _MODELS = {
-    ("dtree", "clf"): DecisionTreeClassifier,
-    ("dtree", "reg"): DecisionTreeRegressor,
     ("rforest", "clf"): RandomForestClassifier,
     ("rforest", "reg"): RandomForestRegressor,
     ("gboosting", "clf"): GBTClassifier,
@@ -57,14 +58,29 @@ class GridFit:
     points: Sequence[dict]
     scores: Sequence[float | None]
     best: int
-    model: Model | None
+    model: Model | Column | None
     assembler: VectorAssembler
+    # Rows with and without a null feature or target.
+    fitted_rows: int
+    left_out_rows: int
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        """Rows with a ``prediction`` of the best model; null if there were no rows to fit on."""
+        """All rows with a ``prediction`` of the best model.
+
+        Null where a feature is null, and everywhere if there were no rows to fit on.
+        """
         if self.model is None:
             return rows.withColumn("prediction", F.lit(None).cast("double"))
-        return self.model.transform(self.assembler.transform(rows))
+        if isinstance(self.model, Column):
+            return rows.withColumn("prediction", self.model)
+        names = self.assembler.getInputCols()
+        known = F.lit(True)
+        for f in names:
+            known = known & F.col(f"`{f}`").isNotNull()
+        filled = {f"_in{i}": F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)) for i, f in enumerate(names)}
+        assembler = VectorAssembler(inputCols=list(filled), outputCol="features")
+        scored = self.model.transform(assembler.transform(rows.withColumns(filled)))
+        return scored.select(*rows.columns, F.when(known, F.col("prediction")).alias("prediction"))
 
 
 @dataclass(frozen=True)
@@ -86,8 +102,6 @@ class Nodes:
         path = new_path(spark, "trees")
         model.write().save(path)
         data = spark.read.parquet(f"{path}/data")
-        if name == "dtree":
-            data = data.select(F.lit(0).alias("treeID"), F.struct("*").alias("nodeData"))
         rows = data.select("treeID", "nodeData.*").toPandas().sort_values(["treeID", "id"], ignore_index=True)
         first = rows.groupby("treeID").size().cumsum().shift(fill_value=0)
         base = rows["treeID"].map(first).to_numpy()
@@ -146,17 +160,26 @@ def fit_grid(
 ) -> GridFit:
     """Cross-validated grid search; ``train`` carries a ``fold`` column.
 
-    ``kind`` is ``clf`` (scored by accuracy) or ``reg`` (by RMSE).  Give it a
-    materialised table, it is read many times.  The folds are plain filters and
-    every fit is a cluster job; ``parallelism`` of them run at a time.  With rows
-    in fewer than two folds there are no scores and the first point is fitted;
-    without rows there is no model.
+    ``kind`` is ``clf`` (scored by accuracy; decision trees take classes 0 and 1)
+    or ``reg`` (by RMSE).  Give it a materialised table, it is read many times.
+    Rows with a null feature or target are counted and left out.  The folds are
+    plain filters; MLlib's fits are cluster jobs, ``parallelism`` of them at a time.  With
+    rows in fewer than two folds there are no scores and the first point is
+    fitted; without rows there is no model.
     """
     spark = train.sparkSession
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+    columns = [*features, target]
+    whole = F.lit(True)
+    for c in columns:
+        whole = whole & F.col(f"`{c}`").isNotNull()
+    sizes = train.agg(F.count_if(whole).alias("kept"), F.count_if(~whole).alias("lost")).first()
+    train = train.filter(whole)
+    if model == "dtree":
+        return _fit_trees(train, features, target, kind, points, folds, sizes["kept"], sizes["lost"])
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     learner = _MODELS[model, kind](featuresCol="features", labelCol=target, seed=SEED)
     plain = train.select(*[F.col(f).cast("double").alias(f) for f in features], target, "fold")
-    plain = plain.dropna(subset=list(features)).cache()
+    plain = plain.cache()
     rows = assembler.transform(plain).select("features", target, "fold").cache()
     used = [r[0] for r in rows.select("fold").distinct().collect() if r[0] < folds]
 
@@ -193,7 +216,38 @@ def fit_grid(
     chosen = fit(rows, points[best]) if used else None
     rows.unpersist()
     plain.unpersist()
-    return GridFit(points, means, best, chosen, assembler)
+    return GridFit(points, means, best, chosen, assembler, sizes["kept"], sizes["lost"])
+
+
+# Defaults of a decision tree.
+_TREE_DEPTH, _TREE_LEAF = 5, 1
+
+
+def _fit_trees(
+    train: DataFrame, features: Sequence[str], target: str, kind: str, points: Sequence[dict], folds: int, kept: int, lost: int
+) -> GridFit:
+    """The grid of decision trees: one pass for each level, one for the scores."""
+    names, assembler = list(features), VectorAssembler(inputCols=list(features), outputCol="features")
+    places = [(p.get("minInstancesPerNode", _TREE_LEAF), p.get(_DEPTH, _TREE_DEPTH)) for p in points]
+    leaves, depths = sorted({m for m, _ in places}), sorted({d for _, d in places})
+    if not kept:
+        return GridFit(points, [None] * len(points), 0, None, assembler, kept, lost)
+    edges = tree_levels.bin_edges(train, names)
+    rows = tree_levels.binned(train, names, target, edges)
+    used = sorted(r[0] for r in rows.select("fold").distinct().collect() if r[0] is not None and r[0] < folds)
+    scored = used if len(used) > 1 else []
+    trees = tree_levels.grow(rows, edges, scored, leaves, max(depths), kind)
+    means: list[float | None] = [None] * len(points)
+    best = 0
+    if scored:
+        told = tree_levels.held_out_errors(rows, trees, leaves, depths, kind).collect()
+        mean = {(r["fold"], r["leaf"], r["depth"]): r["total"] / r["n"] for r in told}
+        for i, (leaf, depth) in enumerate(places):
+            each = [mean[f, leaf, depth] for f in scored]
+            means[i] = float(np.mean(each if kind == "clf" else np.sqrt(each)))
+        best = means.index(max(means) if kind == "clf" else min(means))
+    chosen = trees.expression(names, tree_levels.ALL_ROWS, *places[best])
+    return GridFit(points, means, best, chosen, assembler, kept, lost)
 
 
 def _scores(

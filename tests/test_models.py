@@ -154,13 +154,13 @@ def grid_rows(spark):
     return spark.createDataFrame(rows, "a double, b double, c double, d double, y int, z double, fold int").cache()
 
 
-@pytest.mark.parametrize("name", ["dtree", "rforest", "gboosting"])
+@pytest.mark.parametrize("name", ["rforest", "gboosting"])
 @pytest.mark.parametrize(("kind", "target"), [("clf", "y"), ("reg", "z")])
 def test_nodes_predict_as_the_model_does(spark, grid_rows, name, kind, target):
     from pyspark.ml.feature import VectorAssembler
 
     rows = VectorAssembler(inputCols=list("abcd"), outputCol="features").transform(grid_rows)
-    more = {"dtree": {}, "rforest": {"numTrees": 6}, "gboosting": {"maxIter": 6}}[name]
+    more = {"rforest": {"numTrees": 6}, "gboosting": {"maxIter": 6}}[name]
     learner = trees._MODELS[name, kind](featuresCol="features", labelCol=target, seed=1, maxDepth=5, **more)
     model = learner.fit(rows)
     told = model.transform(rows).select(*"abcd", "prediction").toPandas()
@@ -172,9 +172,69 @@ def test_nodes_predict_as_the_model_does(spark, grid_rows, name, kind, target):
         x, y = grid_rows.toPandas()[list("abcd")].to_numpy(), grid_rows.toPandas()["z"].to_numpy()
         rounds = nodes.predictions(x, 5, range(1, 7))
         assert np.allclose([((r - y) ** 2).mean() for r in rounds], told)
-    if name == "dtree":  # a smaller depth is a part of the tree
-        small = learner.copy({learner.maxDepth: 3}).fit(rows).transform(rows).toPandas()["prediction"].to_numpy()
-        assert np.allclose(nodes.predictions(told[list("abcd")].to_numpy(), 3, [1])[0], small)
+
+
+def _plain_tree(x, y, edges, leaf, depth, kind):
+    """A decision tree grown by trying every split; returns a function that predicts one row."""
+    n, s = len(y), float(sum(y))
+    value = float(2 * s > n) if kind == "clf" else s / n
+
+    def spread(v):
+        return 2 * v.sum() * (len(v) - v.sum()) / len(v) if kind == "clf" else (v * v).sum() - v.sum() ** 2 / len(v)
+
+    best = None
+    for f, cuts in enumerate(edges if depth else []):
+        for cut in cuts:
+            left = x[:, f] <= cut
+            if min(left.sum(), (~left).sum()) < max(leaf, 1):
+                continue
+            gain = round(float(spread(y) - spread(y[left]) - spread(y[~left])) / n, 10)
+            if gain > 0 and (best is None or gain > best[0]):
+                best = (gain, f, cut, left)
+    if best is None:
+        return lambda row: value
+    _, f, cut, left = best
+    small = _plain_tree(x[left], y[left], edges, leaf, depth - 1, kind)
+    large = _plain_tree(x[~left], y[~left], edges, leaf, depth - 1, kind)
+    return lambda row: small(row) if row[f] <= cut else large(row)
+
+
+@pytest.mark.parametrize(("kind", "target"), [("clf", "y"), ("reg", "z")])
+def test_levels_grow_the_trees_of_a_plain_search(grid_rows, kind, target):
+    points = trees.grid_points(maxDepth=(1, 2, 4), minInstancesPerNode=(1, 25, 120))
+    fitted = trees.fit_grid(grid_rows, list("abcd"), target, "dtree", kind, points, folds=3)
+    told = grid_rows.toPandas()
+    x, y, fold = told[list("abcd")].to_numpy(), told[target].to_numpy(float), told["fold"].to_numpy()
+    edges = []
+    for f in range(4):
+        ranks = np.sort(x[:, f])
+        cuts = np.unique([ranks[int(np.ceil(i / 32 * len(ranks))) - 1] for i in range(1, 32)])
+        edges.append(cuts[cuts < ranks[-1]])
+    for point, score in zip(points, fitted.scores, strict=True):
+        each = []
+        for held in range(3):
+            on = fold != held
+            tree = _plain_tree(x[on], y[on], edges, point["minInstancesPerNode"], point["maxDepth"], kind)
+            guess = np.array([tree(r) for r in x[~on]])
+            each.append((guess == y[~on]).mean() if kind == "clf" else np.sqrt(((guess - y[~on]) ** 2).mean()))
+        assert abs(np.mean(each) - score) < 1e-9, point
+    assert fitted.best == fitted.scores.index(max(fitted.scores) if kind == "clf" else min(fitted.scores))
+    best = points[fitted.best]
+    tree = _plain_tree(x, y, edges, best["minInstancesPerNode"], best["maxDepth"], kind)
+    guess = fitted.predict(grid_rows).select("prediction").toPandas()["prediction"].to_numpy()
+    assert np.allclose(guess, [tree(r) for r in x])
+
+
+@pytest.mark.parametrize("name", ["dtree", "rforest"])
+def test_rows_with_nulls_are_counted_and_come_back(grid_rows, name):
+    holes = grid_rows.withColumn("b", F.when(F.col("a") > 1, None).otherwise(F.col("b")))
+    lost = holes.filter("b IS NULL").count()
+    points = trees.grid_points(maxDepth=(2,))
+    fitted = trees.fit_grid(holes, list("abcd"), "y", name, "clf", points, folds=3)
+    assert lost > 0 and (fitted.fitted_rows, fitted.left_out_rows) == (600 - lost, lost)
+    scored = fitted.predict(holes)
+    assert scored.count() == 600
+    assert scored.filter("prediction IS NULL").count() == lost == scored.filter("prediction IS NULL AND b IS NULL").count()
 
 
 def test_a_grid_scores_every_point(grid_rows):
