@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from threading import Lock
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,10 +20,10 @@ from aftershock.operators.neighbours import knn_classify, knn_regress, nearest
 from aftershock.operators.reports import best_by_score, classification_report, rmse_report
 from aftershock.operators.reshape import column_difference, horizon_columns, random_split
 from aftershock.operators.trees import fit_grid, with_folds
-from aftershock.session import materialise, new_path
+from aftershock.plans.worktable import WorkTable
 from aftershock.schemas import SWEEP_RESULT
+from aftershock.session import new_path, stored
 from aftershock.settings import FOLDS, HORIZON_ENDS, HORIZON_STARTS, IMPACTS, NEIGHBOURS, SNAPSHOT_ENDS, TEST_SHARE
-from aftershock.sources.tables import sink_partial_results
 
 # --- fixed values: columns of a bundle ---
 # Texts of results without rows to score or to fit on.
@@ -247,72 +247,85 @@ def vectors(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     return rows.withColumn("vector", F.array(*[F.col(c).cast("double") for c in names]))
 
 
-def run_sweep(
-    features: DataFrame,
-    spec: SweepSpec,
-    grids: dict[str, Sequence[dict]],
-    neighbours: Sequence[int] = NEIGHBOURS,
-    folds: int = FOLDS,
-    parallelism: int = 4,
-    bundles: DataFrame | None = None,
-) -> DataFrame:
-    """Result rows of one variant: one per model and kind.
+@dataclass(frozen=True)
+class SweepData:
+    """Complete rows of a variant's training table; stored."""
 
-    ``grids`` names tree models and their grid points; ``neighbours`` is the
-    grid of the nearest-neighbour model.
-    """
-    spark = features.sparkSession
-    dataset = materialise(sweep_dataset(features, spec, bundles)).dropna()
-    rows = with_folds(random_split(dataset, "datetime", TEST_SHARE), "datetime", folds)
-    names = feature_names(dataset, spec)
-    train, test = rows.filter("is_test = 0"), rows.filter("is_test = 1")
-    results = []
-    for kind, target in (("clf", spec.label), ("reg", spec.target)):
-        began = time.time()
-        scored, best, params = _fit_neighbours(train, test, names, target, kind, neighbours)
-        results.append(_result_row(scored, spec, "kn", kind, best, params, began))
-        for model, points in grids.items():
-            began = time.time()
-            fitted = fit_grid(train, names, target, model, kind, points, folds, parallelism)
-            scored = fitted.predict(test).select(
-                F.col(target).cast("double").alias("y"), F.col("prediction").alias("yhat")
-            )
-            score, params = fitted.scores[fitted.best], str(points[fitted.best])
-            if fitted.model is None:
-                scored, params = scored.limit(0), NOTHING_FITTED
-            results.append(_result_row(scored, spec, model, kind, score, params, began))
-    schema = T.StructType([T.StructField("sweep_id", T.StringType()), *SWEEP_RESULT.fields])
-    return spark.createDataFrame(results, schema)
-
-
-def _fit_neighbours(train, test, names, target, kind, ks):
-    """Grid over k by folds of the training rows, then the chosen k on the test rows."""
-    spark = train.sparkSession
-    keyed = vectors(train, names).select(
-        F.col("datetime").alias("id"), "vector", F.col(target).alias("_t"), "fold"
-    )
-    tested = vectors(test, names).select(
-        F.col("datetime").alias("id"), "vector", F.col(target).alias("_t"), "fold"
-    )
+    train: DataFrame
+    test: DataFrame
+    names: list[str]
+
+
+def sweep_data(
+    features: DataFrame, spec: SweepSpec, folds: int = FOLDS, bundles: DataFrame | None = None
+) -> SweepData:
+    """Training and test rows of a variant, with folds; rows with nulls are left out."""
+    dataset = sweep_dataset(features, spec, bundles).dropna()
+    rows = stored(with_folds(random_split(dataset, "datetime", TEST_SHARE), "datetime", folds), "sweep")
+    return SweepData(rows.filter("is_test = 0"), rows.filter("is_test = 1"), feature_names(rows, spec))
+
+
+def neighbour_results(data: SweepData, spec: SweepSpec, ks: Sequence[int] = NEIGHBOURS) -> DataFrame:
+    """Result rows of the nearest-neighbour model, both kinds from one search for the grid and one for the test."""
+    began = time.time()
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        return vectors(rows, data.names).select(
+            F.col("datetime").alias("id"), "vector", F.col(spec.label).alias("_clf"), F.col(spec.target).alias("_reg"), "fold"
+        )
+
+    train, test = keyed(data.train), keyed(data.test)
+    inner = stored(nearest(train, train, max(ks), ["_clf", "_reg"], fold="fold"), "neighbours")
+    chosen = {kind: _best_k(inner, train, kind, ks) for kind in ("clf", "reg")}
+    outer = stored(nearest(test, train, max(k for k, _ in chosen.values()), ["_clf", "_reg"]), "neighbours")
+    rows = []
+    for kind, (k, score) in chosen.items():
+        scored = _guessed(outer, test, kind, [k]).select("y", "yhat")
+        rows.append(_result_row(scored, spec, "kn", kind, score, str({"n_neighbors": k}), began))
+    return _result_table(data.train.sparkSession, rows)
+
+
+def _guessed(found: DataFrame, rows: DataFrame, kind: str, ks: Sequence[int]) -> DataFrame:
+    """``k, y, yhat`` of all rows with neighbours."""
     predict = knn_classify if kind == "clf" else knn_regress
-    inner = predict(nearest(keyed, keyed, max(ks), ["_t"], fold="fold"), "_t", ks)
-    truth = keyed.select(F.col("id").alias("test_id"), F.col("_t").alias("y"))
-    scored = inner.join(truth, "test_id").select(
-        "k", F.col("y").cast("double").alias("y"), F.col("predicted").cast("double").alias("yhat")
+    truth = rows.select(F.col("id").alias("test_id"), F.col(f"_{kind}").cast("double").alias("y"))
+    return predict(found, f"_{kind}", ks).join(truth, "test_id").select(
+        "k", "y", F.col("predicted").cast("double").alias("yhat")
     )
+
+
+def _best_k(found: DataFrame, rows: DataFrame, kind: str, ks: Sequence[int]) -> tuple[int, float | None]:
+    """The best k over the folds and its score."""
+    scored = _guessed(found, rows, kind, ks)
     if kind == "clf":
         grid = scored.groupBy("k").agg(F.avg((F.col("y") == F.col("yhat")).cast("double")).alias("s"))
     else:
         grid = rmse_report(scored, ["k"], "y", "yhat").withColumnRenamed("rmse", "s")
     # With fewer than two folds there is nothing to compare: smallest k, no score.
     best = best_by_score(grid.withColumn("g", F.lit(0)), ["g"], "s", ["k"], kind == "clf").first()
-    k, score = (int(best["k"]), float(best["s"])) if best else (min(ks), None)
-    outer = predict(nearest(tested, keyed, k, ["_t"]), "_t", [k])
-    truth = tested.select(F.col("id").alias("test_id"), F.col("_t").alias("y"))
-    result = outer.join(truth, "test_id").select(
-        F.col("y").cast("double").alias("y"), F.col("predicted").cast("double").alias("yhat")
-    )
-    return result, score, str({"n_neighbors": k})
+    return (int(best["k"]), float(best["s"])) if best else (min(ks), None)
+
+
+def grid_results(
+    data: SweepData, spec: SweepSpec, model: str, points: Sequence[dict], folds: int = FOLDS, parallelism: int = 4
+) -> DataFrame:
+    """Result rows of a tree model's grid, both kinds."""
+    rows = []
+    for kind, target in (("clf", spec.label), ("reg", spec.target)):
+        began = time.time()
+        fitted = fit_grid(data.train, data.names, target, model, kind, points, folds, parallelism)
+        scored = fitted.predict(data.test).select(
+            F.col(target).cast("double").alias("y"), F.col("prediction").alias("yhat")
+        )
+        score, params = fitted.scores[fitted.best], str(points[fitted.best])
+        if fitted.model is None:
+            scored, params = scored.limit(0), NOTHING_FITTED
+        rows.append(_result_row(scored, spec, model, kind, score, params, began))
+    return _result_table(data.train.sparkSession, rows)
+
+
+def _result_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, T.StructType([T.StructField("sweep_id", T.StringType()), *SWEEP_RESULT.fields]))
 
 
 def _result_row(scored, spec, model, kind, best_score, params, began) -> tuple:
@@ -350,36 +363,63 @@ def run_sweeps(
     specs: Sequence[SweepSpec],
     grids: dict[str, Sequence[dict]],
     path: str | None = None,
-    **options,
+    neighbours: Sequence[int] = NEIGHBOURS,
+    folds: int = FOLDS,
+    parallelism: int = 4,
+    workers: int = 2,
+    lease_minutes: float = 0.0,
 ) -> DataFrame:
-    """Result table of a whole plan.
-
-    Every sweep is written when it is done, and a restarted run into the same
-    path leaves finished sweeps out.  The bundles of an aggregation are shared by
-    its variants.
+    """Result rows of a whole plan: one for each variant, model and kind.
+
+    ``grids`` names tree models and their grid points; ``neighbours`` is the grid
+    of the nearest-neighbour model (empty: without it).  A unit of work is a
+    variant and a model.  Units are claimed, done and failed in a table in
+    ``path`` (see ``worktable``), ``workers`` of them at a time: a run with other
+    models adds to what is there, a killed run goes on where it was, and a failed
+    unit does not keep the others from being done.  Returns what all runs into
+    ``path`` have done so far.  The bundles of an aggregation and the training table of a
+    variant are made once, when the first unit needs them.
     """
     spark = features.sparkSession
-    done = finished_sweeps(spark, path) if path else set()
-    path = path or new_path(spark, "sweep-results")
-    features = materialise(features)
-    shared: dict[str, DataFrame] = {}
+    work = WorkTable(spark, path or new_path(spark, "sweep-results"), lease_minutes)
+    features = stored(features, "features")
+    bundles, data = _Once(), _Once()
+
+    def data_of(spec: SweepSpec) -> SweepData:
+        shared = bundles.get(spec.aggregation, lambda: stored(bundle_table(features, spec), "bundles"))
+        return data.get(spec.sweep_id, lambda: sweep_data(features, spec, folds, shared))
+
+    jobs: dict[str, Callable[[], DataFrame]] = {}
     for spec in specs:
-        if spec.sweep_id in done:
-            continue
-        if spec.aggregation not in shared:
-            shared[spec.aggregation] = materialise(bundle_table(features, spec))
-        rows = run_sweep(features, spec, grids, bundles=shared[spec.aggregation], **options)
-        sink_partial_results(rows, path)
-    return spark.read.parquet(path)
-
-
-def finished_sweeps(spark: SparkSession, path: str) -> set[str]:
-    """Ids of the sweeps whose results are in a folder; it need not exist."""
-    try:
-        written = spark.read.parquet(path)
-    except AnalysisException:
-        return set()
-    return {r[0] for r in written.select(F.col("sweep_id").cast("string")).distinct().collect()}
+        if neighbours:
+            jobs[f"{spec.sweep_id}/kn"] = lambda spec=spec: neighbour_results(data_of(spec), spec, neighbours)
+        for model, points in grids.items():
+            jobs[f"{spec.sweep_id}/{model}"] = lambda spec=spec, model=model, points=points: grid_results(
+                data_of(spec), spec, model, points, folds, parallelism
+            )
+    work.run_all(jobs, workers)
+    return sweep_results(spark, work.path)
+
+
+def sweep_results(spark: SparkSession, path: str) -> DataFrame:
+    """Result rows of all done units of a folder."""
+    rows = WorkTable(spark, path).results()
+    return _result_table(spark, []) if rows is None else rows
+
+
+class _Once:
+    """Values that are made once, whichever thread asks first."""
+
+    def __init__(self):
+        self.lock, self.locks, self.values = Lock(), {}, {}
+
+    def get(self, key, make: Callable):
+        with self.lock:
+            own = self.locks.setdefault(key, Lock())
+        with own:
+            if key not in self.values:
+                self.values[key] = make()
+            return self.values[key]
 
 
 def fit_indicator_ids(train: DataFrame) -> DataFrame:
