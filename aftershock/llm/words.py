@@ -43,6 +43,8 @@ def spans(inside: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None = N
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+# Spans of as many bytes are numbers themselves, so different ones have different hashes.
+SHORT = 7
 # Places in a span for which the values of all bytes are kept.
 _KEPT_PLACES = 64
 
@@ -52,16 +54,14 @@ def _values(code: np.ndarray) -> np.ndarray:
     return mixed(mixed((code.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE)) + np.uint64(_ODD[3]))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, the same in every text and task; spans do not overlap.
+def _long_hashes(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The sum of one mixed number for each byte and its place, mixed with the length.
 
-    The sum of one mixed number for each byte and its place, mixed with the
-    length.  Unlike a polynomial it has no known texts with equal hashes.
+    Unlike a polynomial it has no known texts with equal hashes.
     """
     table = kept_in_worker("byte-values", lambda: _values(np.arange(256 * _KEPT_PLACES)))
-    size = ends - starts
     stops = np.cumsum(size)
-    total = np.zeros(int(stops[-1]) + 1 if len(stops) else 1, np.uint64)
+    total = np.zeros(int(stops[-1]) + 1, np.uint64)
     place = np.arange(len(total) - 1) - np.repeat(stops - size, size)
     code = (place << 8) + data[place + np.repeat(starts, size)]
     values = table[np.minimum(code, len(table) - 1)]
@@ -71,6 +71,22 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed((total[stops] - total[stops - size]) ^ (size.astype(np.uint64) * np.uint64(_ODD[4])))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span's bytes, the same in every text and task; spans do not overlap."""
+    if len(starts) == 0:
+        return np.zeros(0, np.uint64)
+    size = (ends - starts).astype(np.int64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    first = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[starts]).view("<u8").ravel()
+    short = np.minimum(size, SHORT).astype(np.uint64)
+    kept = (np.uint64(1) << (short * np.uint64(8))) - np.uint64(1)
+    out = mixed((first & kept) | (short << np.uint64(56)))
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        out[long] = _long_hashes(data, starts[long], size[long])
+    return out
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z in lower case, all else as it is."""
     return data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
@@ -139,13 +155,15 @@ class IdStore:
         """Chunks whose bytes are not those of the known chunk at their place."""
         length = ends - starts
         other = self.length[place] != length
-        like = np.flatnonzero(~other)
+        # Short ones of one length and hash are equal.
+        like = np.flatnonzero(~other & (length > SHORT))
         length = length[like]
         inside = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
         differ = self.bytes[inside + np.repeat(self.begin[place[like]], length)] != data[
             inside + np.repeat(starts[like], length)
         ]
-        other[like[np.repeat(np.arange(len(like)), length)[differ]]] = True
+        if differ.any():
+            other[like[np.repeat(np.arange(len(like)), length)[differ]]] = True
         return np.flatnonzero(other)
 
     def encode(

@@ -14,6 +14,7 @@ from aftershock.llm.pieces import PieceModel, decode_pieces, encode_pieces
 from aftershock.llm.token_counts import PART_CHARS, _Counter, count_tokens
 from aftershock.llm.token_files import TokenFile, _disk, read_token_files, write_token_files
 from aftershock.llm.tokens import ByteTokenizer, encode_documents
+from aftershock.llm.words import span_hashes
 from aftershock.session import new_path
 
 MODEL, BPE = path("piece_bpe_32k.model"), path("byte_bpe_50k.json")
@@ -111,6 +112,7 @@ def test_words_that_polynomials_take_for_equal(n, library, bpe):
 
 def test_words_of_equal_hashes_keep_their_own_ids(monkeypatch, library, bpe):
     """All words of one length get the same hash, in one batch and over several."""
+    monkeypatch.setattr("aftershock.llm.words.SHORT", 0)
     monkeypatch.setattr("aftershock.llm.words.span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
     texts = texts_of(8, 300, PARTS)
     byte, piece = ByteTokenizer(BPE), PieceModel(MODEL)
@@ -122,6 +124,15 @@ def test_words_of_equal_hashes_keep_their_own_ids(monkeypatch, library, bpe):
         assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == library.encode(part)
 
 
+def test_hashes_of_short_spans_differ():
+    """Equal bytes have equal hashes wherever they stand, with zero bytes and at the end of the data."""
+    data = np.frombuffer(b"ab\x00ab\x00\x00abcdefgabcdefghabcdefgabcdefgh\x00", np.uint8)
+    starts = np.array([0, 3, 7, 14, 22, 29, 37])
+    ends = np.array([3, 7, 14, 22, 29, 37, 38])
+    h = span_hashes(data, starts, ends)
+    assert h[2] == h[4] and h[3] == h[5] and len(set(h.tolist())) == 5
+
+
 def test_plain_special_strings(bpe):
     own = tokenizers.Tokenizer.from_file(BPE)
     own.encode_special_tokens = True
