@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from aftershock.operators.sized import join_null_safe
-from aftershock.session import materialise
+from aftershock.session import stored
 
 # Most rows of one key that one window task may sort.
 WINDOW_ROWS = 1_000_000
@@ -63,13 +63,7 @@ def running_total(
             out[total] = F.sum(weight).over(whole)
         return df.withColumns(out)
 
-    shuffle_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(shuffle_parts, 2 * df.count() // limit)
-    ranged = materialise(
-        df.withColumn("_weight", weight)
-        .repartitionByRange(parts, *keys, *order)
-        .withColumn("_range", F.spark_partition_id())
-    )
+    ranged = _in_ranges(df.withColumn("_weight", weight), keys, order, limit)
     # A key meets at most ``parts`` ranges, so these windows stay small.
     by_range = Window.partitionBy(*keys).orderBy("_range")
     whole = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -87,6 +81,55 @@ def running_total(
     return out.drop("_weight", "_range", "_inside", "_earlier", "_total")
 
 
+def _in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int) -> DataFrame:
+    """Rows with ``_range``, the number of their part of the table in key and row order; stored.
+
+    Ranges hold about ``limit`` rows at most, also of one key.
+    """
+    shuffle_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(shuffle_parts, 2 * df.count() // limit)
+    ranged = df.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id())
+    return stored(ranged, "ranges")
+
+
+def last_values(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    values: dict[str, Column],
+    limit: int = WINDOW_ROWS,
+    longest: int | None = None,
+) -> DataFrame:
+    """Sets columns to the last value that is not null, of the row itself or an earlier one of its key.
+
+    Null keys are a key of their own; ``order`` must be unique inside a key.  Long
+    keys are scanned in two levels: every range has its last values, and each
+    range begins with those that the ranges before it leave.
+    """
+    keys, order = list(keys), list(order)
+    longest = largest_group(df, keys) if longest is None else longest
+    if longest <= limit:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({c: F.last(v, ignorenulls=True).over(w) for c, v in values.items()})
+    named = {f"_value{i}": v for i, v in enumerate(values.values())}
+    ranged = _in_ranges(df.withColumns(named), keys, order, limit)
+    # A struct is never null, so rows without an order count too.
+    place = F.struct(*order)
+    ends = ranged.groupBy(*keys, "_range").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in named]
+    )
+    # A key meets as many ranges as there are, so these windows stay small.
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    left = ends.select(
+        *keys, "_range", *[F.last(c, ignorenulls=True).over(earlier).alias(f"_before{c}") for c in named]
+    )
+    w = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = ranged.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in named})
+    joined = join_null_safe(inside, left, [*keys, "_range"])
+    filled = {c: F.coalesce(n, f"_before{n}") for c, n in zip(values, named, strict=True)}
+    return joined.withColumns(filled).select(*df.columns)
+
+
 def _before(weight: Column, w: WindowSpec) -> Column:
     frame = w.rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(weight).over(frame), F.lit(0))

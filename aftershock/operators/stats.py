@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aftershock.operators.ordered import WINDOW_ROWS
+from aftershock.operators.ordered import WINDOW_ROWS, last_values
 from aftershock.operators.selection import COLUMNS_AT_ONCE, order_statistics
 from aftershock.operators.sized import join_sized
 from aftershock.session import stored
@@ -287,12 +287,8 @@ def week_numbering(df: DataFrame, ts: str) -> DataFrame:
 
 
 def forward_fill(
-    rows: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]
+    rows: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], limit: int = WINDOW_ROWS
 ) -> DataFrame:
-    """Empty cells take the last non-empty value above them.
-
-    Grouped by page, whose rows come out of one document.
-    """
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    fill = {c: F.last(F.nullif(F.col(c), F.lit("")), ignorenulls=True).over(w) for c in columns}
-    return rows.withColumns(fill)
+    """Empty cells take the last non-empty value above them, however long a page is."""
+    values = {c: F.nullif(F.col(c), F.lit("")) for c in columns}
+    return last_values(rows, keys, [order], values, limit)

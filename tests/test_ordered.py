@@ -155,6 +155,24 @@ def test_only_days_in_reach_are_numbered(spark):
     assert sorted(r["_day"].day for r in days.collect()) == [4, 5, 6, 19, 20, 21]
 
 
+@pytest.mark.parametrize("limit", [1, 7, 200])
+def test_long_pages_are_filled_as_short_ones(spark, limit):
+    """Pages of any length, null pages and row numbers, empty cells at the begin and over whole ranges."""
+    rng = np.random.default_rng(3)
+    data = []
+    for i in range(900):
+        page = None if i % 4 == 0 else "hot" if i % 4 < 3 else f"p{i % 7}"
+        cell = [None, "", f"v{i}"][int(rng.integers(3))] if i > 300 and not 500 < i < 700 else ""
+        data.append((page, None if i == 450 else i, cell, f"w{i}" if i % 50 == 49 else ""))
+    df = spark.createDataFrame(data, "page string, no int, a string, b string").repartition(6)
+    whole = stats.forward_fill(df, ["page"], "no", ["a", "b"])
+    parts = stats.forward_fill(df, ["page"], "no", ["a", "b"], limit=limit)
+    assert parts.columns == df.columns
+    assert sorted(map(str, parts.collect())) == sorted(map(str, whole.collect()))
+    filled = {(r["page"], r["no"]): r["b"] for r in parts.collect()}
+    assert filled["hot", 897] == "w849" and filled[None, 896] is None
+
+
 def test_time_frames_equal_row_frames_without_gaps(spark):
     slots = spark.range(400).select(
         F.lit("P").alias("pair"),
