@@ -9,10 +9,14 @@ from aftershock.catalog.registry import query
 from aftershock.catalog.scans import CUT, SPEC, dataset_sql, half_hour, scored_features
 from aftershock.catalog.sql import sql
 from aftershock.operators import neighbours, reports, reshape, tree_levels, trees
+from aftershock.operators.lattice import all_bundles
 from aftershock.plans.scoring import score_new, score_report
 from aftershock.plans.sweeps import (
+    BUNDLE_FIRSTS,
+    BUNDLE_SUMS,
     SweepSpec,
     feature_names,
+    lattice_of,
     run_sweeps,
     sweep_dataset,
     sweep_plan,
@@ -53,6 +57,38 @@ def _sweep_plan(spark, sf_dir):
     return sweep_plan(fx.clean(spark, sf_dir))
 
 
+def _bundles_sql() -> str:
+    """Every aggregation as a query of its own."""
+    flags = {f"{p}_{v}": f"{n} = '{v}'" for p, n in (("fe", "forecast_error"), ("pe", "previous_error")) for v in FLAGS}
+    parts = []
+    for impact in ("ALL", *IMPACTS):
+        for text in ("1_1_1", "3_2_1"):
+            high, medium, low = text.split("_") if impact == "ALL" else "111"
+            w = f"CASE impact WHEN 'High' THEN {high} WHEN 'Medium' THEN {medium} WHEN 'Low' THEN {low} ELSE 0 END"
+            sums = [
+                f"CAST(sum(CASE WHEN {flags[c]} THEN {w} ELSE 0 END) AS BIGINT) AS {c}" if c in flags
+                else f"CAST(sum({c} * {w}) AS BIGINT) AS {c}" if c.endswith("class")
+                else f"round(sum({c} * {w}), 2) AS {c}"
+                for c in BUNDLE_SUMS
+            ]
+            sums += [f"count(*) FILTER (WHERE impact = '{i}') AS \"{i}\"" for i in IMPACTS]
+            sums += [f"arg_min({c}, event_id) AS {c}" for c in BUNDLE_FIRSTS]
+            where = "" if impact == "ALL" else f"WHERE impact = '{impact}' "
+            for alone, having in (("NO", ""), ("YES", " HAVING count(*) = 1")):
+                parts.append(
+                    f"SELECT '{impact}_{alone}_{text}' AS aggregation, datetime, count(*) AS num_news, {', '.join(sums)} "
+                    f"FROM cs {where}GROUP BY datetime{having}"
+                )
+    return " UNION ALL ".join(parts)
+
+
+@query("bundle_lattice", sql(_bundles_sql(), "cs"))
+def _bundle_lattice(spark, sf_dir):
+    """Bundles of all sixteen aggregations from one scan of the features."""
+    lattice = stored(lattice_of(scored_features(spark, sf_dir)), "lattice")
+    return all_bundles(lattice, BUNDLE_SUMS, BUNDLE_FIRSTS)
+
+
 @query("sweep_dataset", sql(dataset_sql(), "cs"))
 def _sweep_dataset(spark, sf_dir):
     return sweep_dataset(scored_features(spark, sf_dir), SPEC)

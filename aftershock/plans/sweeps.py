@@ -16,6 +16,7 @@ from aftershock.operators.bundles import first_of, impact_counts, weighted_bundl
 from aftershock.operators.encode import apply_ids, fit_ids
 from aftershock.operators.gates import impact_filter, isolated_only
 from aftershock.operators.impact import join_bundle_market
+from aftershock.operators.lattice import bundle_lattice, bundles_of
 from aftershock.operators.neighbours import knn_classify, knn_regress, nearest
 from aftershock.operators.reports import best_by_score, classification_report, rmse_report
 from aftershock.operators.reshape import column_difference, horizon_columns, random_split
@@ -103,7 +104,7 @@ def parse_sweep_spec(aggregation: Column, horizon: Column) -> dict[str, Column]:
 
 
 def sweep_plan(
-    releases: DataFrame,
+    releases: DataFrame | None,
     isolation: Sequence[str] = ("NO", "YES"),
     weights: Sequence[str] = ("1_1_1", "3_2_1"),
     features: Sequence[str] = ("basic", "all"),
@@ -112,14 +113,16 @@ def sweep_plan(
     grid: Sequence[str] = ("basic",),
     starts: Sequence[int] = HORIZON_STARTS,
     ends: Sequence[int] = HORIZON_ENDS,
+    lattice: DataFrame | None = None,
 ) -> DataFrame:
     """All variants for the impacts that occur, with the bundles each can train on.
 
     ``valid`` is false for a horizon outside the extracted ones.  The lists
-    are exploded on one row per impact.
+    are exploded on one row per impact.  With a ``lattice`` the releases are not
+    needed.
     """
     # One row per instant and impact, then per instant: hot instants fold map-side.
-    per_impact = releases.groupBy("datetime", "impact").agg(F.count(F.lit(1)).alias("_n"))
+    per_impact = bundle_lattice(releases, ()) if lattice is None else lattice.select("datetime", "impact", "_n")
     overall = per_impact.groupBy("datetime").agg(F.sum("_n").alias("_n"))
     counted = per_impact.select("impact", "_n").unionByName(
         overall.select(F.lit("ALL").alias("impact"), "_n")
@@ -205,6 +208,22 @@ def bundle_table(
     return isolated_only(bundles) if spec.isolated else bundles
 
 
+def lattice_of(features: DataFrame, market: Sequence[str] = ()) -> DataFrame:
+    """The parts that bundles of all aggregations are made of, with market columns to keep."""
+    flags = dummies(F.col("forecast_error"), F.col("previous_error"), F.col("impact"))
+    rows = features.withColumns({k: v for k, v in flags.items() if k not in IMPACTS})
+    return bundle_lattice(rows, BUNDLE_SUMS, BUNDLE_FIRSTS, market)
+
+
+def lattice_dataset(lattice: DataFrame, spec: SweepSpec) -> DataFrame:
+    """``sweep_dataset`` of a variant from the lattice, without another look at the releases."""
+    start, end = spec.minutes
+    market = market_columns(spec)
+    rows = bundles_of(lattice, spec.impact, spec.weights, spec.isolated, BUNDLE_SUMS, BUNDLE_FIRSTS, market)
+    label = threshold_label(F.col(spec.target), F.lit(start), F.lit(end))
+    return rows.withColumn(spec.label, label)
+
+
 def market_columns(spec: SweepSpec) -> list[str]:
     """Market features known when the position is opened, and the target."""
     start, _ = spec.minutes
@@ -257,10 +276,10 @@ class SweepData:
 
 
 def sweep_data(
-    features: DataFrame, spec: SweepSpec, folds: int = FOLDS, bundles: DataFrame | None = None
+    lattice: DataFrame, spec: SweepSpec, folds: int = FOLDS
 ) -> SweepData:
     """Training and test rows of a variant, with folds; rows with nulls are left out."""
-    dataset = sweep_dataset(features, spec, bundles).dropna()
+    dataset = lattice_dataset(lattice, spec).dropna()
     rows = stored(with_folds(random_split(dataset, "datetime", TEST_SHARE), "datetime", folds), "sweep")
     return SweepData(rows.filter("is_test = 0"), rows.filter("is_test = 1"), feature_names(rows, spec))
 
@@ -377,17 +396,18 @@ def run_sweeps(
     ``path`` (see ``worktable``), ``workers`` of them at a time: a run with other
     models adds to what is there, a killed run goes on where it was, and a failed
     unit does not keep the others from being done.  Returns what all runs into
-    ``path`` have done so far.  The bundles of an aggregation and the training table of a
-    variant are made once, when the first unit needs them.
+    ``path`` have done so far.  The features are scanned once, for the lattice of all
+    aggregations; the training table of a variant is made from it when its first unit
+    needs it.
     """
     spark = features.sparkSession
     work = WorkTable(spark, path or new_path(spark, "sweep-results"), lease_minutes)
-    features = stored(features, "features")
-    bundles, data = _Once(), _Once()
+    market = sorted({c for spec in specs for c in market_columns(spec)})
+    once = _Once()
 
     def data_of(spec: SweepSpec) -> SweepData:
-        shared = bundles.get(spec.aggregation, lambda: stored(bundle_table(features, spec), "bundles"))
-        return data.get(spec.sweep_id, lambda: sweep_data(features, spec, folds, shared))
+        lattice = once.get("lattice", lambda: stored(lattice_of(features, market), "lattice"))
+        return once.get(spec.sweep_id, lambda: sweep_data(lattice, spec, folds))
 
     jobs: dict[str, Callable[[], DataFrame]] = {}
     for spec in specs:

@@ -6,7 +6,16 @@ from pyspark.sql import functions as F
 
 from aftershock.catalog import scans
 from aftershock.operators import neighbours, reports, trees
-from aftershock.plans.sweeps import SweepSpec, bundle_table, feature_names, sweep_dataset
+from aftershock.plans.sweeps import (
+    SweepSpec,
+    bundle_table,
+    feature_names,
+    lattice_dataset,
+    lattice_of,
+    market_columns,
+    sweep_dataset,
+    sweep_plan,
+)
 
 
 @pytest.fixture(scope="module")
@@ -133,6 +142,22 @@ def test_shared_bundles_give_the_same_table(spark, sf):
     features.unpersist()
 
 
+def test_the_lattice_gives_the_same_tables(spark, sf):
+    features = scans.scored_features(spark, sf).cache()
+    names = ("ALL_NO_3_2_1", "ALL_YES_1_1_1", "High_YES_1_1_1", "Low_NO_3_2_1")
+    specs = [SweepSpec(n, "all", "excluded", "30_60", "basic", "min") for n in names]
+    lattice = lattice_of(features, market_columns(specs[0])).cache()
+    for spec in specs:
+        plain = sweep_dataset(features, spec)
+        found = lattice_dataset(lattice, spec)
+        assert dict(found.dtypes) == dict(plain.dtypes)
+        assert sorted(map(str, found.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+    plan = sweep_plan(None, lattice=lattice)
+    assert sorted(map(str, plan.collect())) == sorted(map(str, sweep_plan(features).collect()))
+    features.unpersist()
+    lattice.unpersist()
+
+
 def test_grid_points():
     assert trees.grid_points(a=(1, 2), b=(3,)) == [{"a": 1, "b": 3}, {"a": 2, "b": 3}]
 
