@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from aftershock.llm.common import ascii_lower, join_measured, store
 
-# Segments that the tree looks at; what follows is one wildcard.
-DEPTH = 4
 # A segment stays if it makes up this share of its parent's pages, and so many of them.
 LEAST_SHARE, LEAST_PAGES = 0.02, 4
 # Templates are merged below this difference in standard deviations.
@@ -67,29 +65,39 @@ def longest_rule(rules: list[Rule], host: Column, path: Column) -> tuple[Column,
     return name, verdict
 
 
-def with_templates(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
+def with_templates(rows: DataFrame) -> DataFrame:
     """Adds ``template`` to rows with ``host`` and ``path``.
 
-    Each level counts the segments below a node of the tree, decides which of
-    them stay, and moves every row one segment down.
+    The tree is grown over different paths with their numbers of pages.  Each
+    level counts the segments below a node, decides which of them stay, and moves
+    every path one segment down, until none has a segment left.  Below a node with
+    too few pages for any segment to stay, all that is left are wildcards at once.
     """
     segments = F.filter(F.split(F.replace("path", F.lit("*"), F.lit("%2A")), "/"), lambda s: s != "")
-    rows = rows.withColumns({"_rest": segments, "template": F.lit("")})
-    for level in range(depth):
-        rows = rows.withColumn("_seg", F.get("_rest", F.lit(level)))
-        counts = rows.groupBy("host", "template", "_seg").agg(F.count(F.lit(1)).alias("_n"))
-        counts = store(counts.filter("_seg is not null"), "segments")
-        nodes = counts.groupBy("host", "template").agg(F.sum("_n").alias("_all"))
-        kept = counts.join(nodes, ["host", "template"]).filter(
-            (F.col("_n") >= LEAST_PAGES) & (F.col("_n") >= LEAST_SHARE * F.col("_all"))
-        )
-        kept = kept.select("host", "template", "_seg", F.lit(True).alias("_stays"))
-        shown = F.when(F.col("_stays"), F.col("_seg")).otherwise("*")
-        step = F.when(F.col("_seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), shown))
-        rows = join_measured(rows, kept, ["host", "template", "_seg"], "left")
-        rows = store(rows.withColumn("template", step).drop("_stays", "_seg"), "tree-level")
-    more = F.when(F.size("_rest") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
-    return rows.withColumn("template", more).drop("_rest")
+    paths = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("_n"))
+    open_ = store(paths.withColumns({"_rest": segments, "template": F.lit("")}), "paths")
+    done = open_.filter("size(_rest) = 0").select("host", "path", "template")
+    level = 0
+    while True:
+        left = open_.filter(F.size("_rest") > level).withColumn("_seg", F.get("_rest", F.lit(level)))
+        counts = store(left.groupBy("host", "template", "_seg").agg(F.sum("_n").alias("_pages")), "segments")
+        if counts.isEmpty():
+            break
+        nodes = counts.groupBy("host", "template").agg(F.sum("_pages").alias("_all"))
+        kept = counts.join(nodes.filter(F.col("_all") >= LEAST_PAGES), ["host", "template"])
+        stays = (F.col("_pages") >= LEAST_PAGES) & (F.col("_pages") >= LEAST_SHARE * F.col("_all"))
+        kept = kept.select("host", "template", "_seg", stays.alias("_stays"))
+        moved = join_measured(left, kept, ["host", "template", "_seg"], "left")
+        rest = F.repeat(F.lit("/*"), (F.size("_rest") - level).cast("int"))
+        shown = F.concat("template", F.lit("/"), F.when(F.col("_stays"), F.col("_seg")).otherwise("*"))
+        last = F.col("_stays").isNull() | (F.size("_rest") == level + 1)
+        template = F.when(F.col("_stays").isNull(), F.concat("template", rest)).otherwise(shown)
+        moved = moved.select("host", "path", "_n", "_rest", template.alias("template"), last.alias("_last"))
+        moved = store(moved, "tree-level")
+        done = done.unionByName(moved.filter("_last").select("host", "path", "template"))
+        open_ = moved.filter("NOT _last").drop("_last")
+        level += 1
+    return join_measured(rows, done, ["host", "path"])
 
 
 def template_purities(rows: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def templates(rows):
     """Template of each (host, path), level by level."""
     segs = [[s for s in p.replace("*", "%2A").split("/") if s] for _, p in rows]
     out = [""] * len(rows)
-    for level in range(u.DEPTH):
+    for level in range(max(map(len, segs), default=0)):
         nodes = defaultdict(Counter)
         for k, (host, _) in enumerate(rows):
             if len(segs[k]) > level:
@@ -42,7 +42,7 @@ def templates(rows):
                 stays = n >= u.LEAST_PAGES and n >= u.LEAST_SHARE * sum(seen.values())
                 new[k] = f"{out[k]}/{segs[k][level] if stays else '*'}"
         out = new
-    return [t + "/**" * (len(s) > u.DEPTH) for t, s in zip(out, segs, strict=True)]
+    return out
 
 
 ODD = [
@@ -79,6 +79,20 @@ def test_given_pages(spark):
         assert r["verdict"] == (rule.verdict if rule else "block" if r["purity"] >= u.REJECT else "allow")
 
 
+def test_templates_that_differ_far_down(spark):
+    """Pages of one host that differ in their sixth segment, single long paths, and stars in paths."""
+    urls = [f"http://deep.org/en/2024/{m}/{d}/list/{kind}/{d * m}/x" for m in (1, 2) for d in range(1, 30) for kind in ("casino", "news")]
+    urls += ["http://deep.org/" + "/".join("abcdefghijkl"), "http://deep.org/en/2024", "http://h/*/x", "http://h/a", "http://h"] * 2
+    urls += [f"http://bad.com/de/a/b/c/d/spam/{i}" for i in range(9)] + [f"http://bad.com/fr/a/b/c/d/fine/{i}" for i in range(9)]
+    rules = [u.Rule.of(r) for r in ("block bad.com/de/", "allow bad.com/fr/")]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(4)
+    rows = sorted(u.judge_urls(df, rules).collect(), key=lambda r: r["page_id"])
+    assert [r["template"] for r in rows] == templates([parts(x) for x in urls])
+    shown = {r["template"] for r in rows if r["host"] == "deep.org"}
+    deep = {f"/en/2024/{m}/*/list/{kind}/*/x" for m in (1, 2) for kind in ("casino", "news")}
+    assert deep | {"/en/2024", "/*" * 12} == shown
+
+
 def test_purity_merges_like_shares_and_leans_on_other_hosts(spark):
     rows = []
     for host, template, blocked, allowed in (
