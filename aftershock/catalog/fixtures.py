@@ -1,7 +1,7 @@
 """The given tables in the shapes the operators work on.
 
-``releases``: events of type signup as calendar rows.  ``candles``: all other
-events folded into five-minute candles.  ``histories``: orders as many
+``releases``: events of type signup as calendar rows (``every_release``: all
+events).  ``candles``: all other events folded into five-minute candles.  ``histories``: orders as many
 indicators.  ``scores``: order lines as predictions of seven sweeps.
 """
 
@@ -32,8 +32,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signups = table(spark, sf_dir, "events").filter("event_type = 'signup'")
-    rows = signups.selectExpr(
+    return _as_releases(table(spark, sf_dir, "events").filter("event_type = 'signup'"))
+
+
+def every_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as calendar rows, for what needs no candles beside them."""
+    return _as_releases(table(spark, sf_dir, "events"))
+
+
+def every_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_releases(every_release(spark, sf_dir), CONFIG, gmt_input=True)
+
+
+def _as_releases(events: DataFrame) -> DataFrame:
+    rows = events.selectExpr(
         "*",
         "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS level",
         "element_at(array('%', 'K', 'M', ''), CAST(user_id % 4 AS INT) + 1) AS unit",

@@ -8,7 +8,7 @@ from aftershock.catalog import fixtures as fx
 from aftershock.catalog.registry import query
 from aftershock.catalog.scans import features, half_hour, scored_features
 from aftershock.catalog.scalars import horizon_sql
-from aftershock.catalog.sql import sql
+from aftershock.catalog.sql import sql, sql_all
 from aftershock.operators import bundles, impact, market, reports, reshape, stats
 from aftershock.operators.gates import impact_filter
 from aftershock.settings import HORIZON_ENDS, IMPACTS, horizons
@@ -190,14 +190,14 @@ def _bundle_lists(spark, sf_dir):
 
 @query(
     "bundle_key",
-    sql(
+    sql_all(
         "SELECT datetime, part, string_agg(indicator, '_' ORDER BY event_id) AS new_id FROM (SELECT *, (row_number() "
         f"OVER (PARTITION BY datetime ORDER BY event_id) - 1) // {PART_ROWS} AS part FROM r) GROUP BY datetime, part",
         "r",
     ),
 )
 def _bundle_key(spark, sf_dir):
-    return bundles.bundle_key(fx.releases(spark, sf_dir), "indicator", part_rows=PART_ROWS)
+    return bundles.bundle_key(fx.every_release(spark, sf_dir), "indicator", part_rows=PART_ROWS)
 
 
 @query(
@@ -211,9 +211,9 @@ def _bundle_rows(spark, sf_dir):
     return bundles.bundle_rows(fx.releases(spark, sf_dir)).select("datetime", "event_id", "position")
 
 
-@query("bundle_count", sql("SELECT datetime, count(*) AS num_news FROM r GROUP BY datetime", "r"))
+@query("bundle_count", sql_all("SELECT datetime, count(*) AS num_news FROM r GROUP BY datetime", "r"))
 def _bundle_count(spark, sf_dir):
-    return bundles.bundle_count(fx.releases(spark, sf_dir))
+    return bundles.bundle_count(fx.every_release(spark, sf_dir))
 
 
 @query(
@@ -231,7 +231,7 @@ def _weighted_bundle_sum(spark, sf_dir):
 
 @query(
     "impact_counts",
-    sql(
+    sql_all(
         "SELECT datetime, "
         + ", ".join(f"count(*) FILTER (WHERE impact = '{i}') AS \"{i}\"" for i in IMPACTS)
         + " FROM r GROUP BY datetime",
@@ -239,7 +239,7 @@ def _weighted_bundle_sum(spark, sf_dir):
     ),
 )
 def _impact_counts(spark, sf_dir):
-    return fx.releases(spark, sf_dir).groupBy("datetime").agg(*bundles.impact_counts())
+    return fx.every_release(spark, sf_dir).groupBy("datetime").agg(*bundles.impact_counts())
 
 
 @query(
@@ -261,7 +261,7 @@ def _bundle_summary(spark, sf_dir):
 
 @query(
     "first_per_key",
-    sql(
+    sql_all(
         "SELECT indicator, arg_min(forecast, event_id) FILTER (WHERE forecast IS NOT NULL) AS forecast, "
         "arg_min(forecast_error, event_id) FILTER (WHERE forecast_error IS NOT NULL) AS forecast_error "
         "FROM r GROUP BY indicator",
@@ -270,7 +270,7 @@ def _bundle_summary(spark, sf_dir):
 )
 def _first_per_key(spark, sf_dir):
     return bundles.first_per_key(
-        fx.releases(spark, sf_dir), ["indicator"], ["forecast", "forecast_error"]
+        fx.every_release(spark, sf_dir), ["indicator"], ["forecast", "forecast_error"]
     )
 
 
@@ -279,7 +279,7 @@ def _first_per_key(spark, sf_dir):
 
 @query(
     "row_count",
-    sql(
+    sql_all(
         "SELECT count(*) AS all_rows, count(*) FILTER (WHERE forecast IS NOT NULL AND country = 'USD') AS macro_rows, "
         "count(*) FILTER (WHERE impact = 'High') AS high_rows FROM r",
         "r",
@@ -287,7 +287,7 @@ def _first_per_key(spark, sf_dir):
 )
 def _row_count(spark, sf_dir):
     return stats.row_counts(
-        fx.releases(spark, sf_dir),
+        fx.every_release(spark, sf_dir),
         {
             "all_rows": F.lit(True),
             "macro_rows": C("forecast").isNotNull() & (C("country") == "USD"),
@@ -298,35 +298,35 @@ def _row_count(spark, sf_dir):
 
 @query(
     "count_by_key",
-    sql("SELECT impact, indicator, count(*) AS rows FROM rc GROUP BY impact, indicator", "rc"),
+    sql_all("SELECT impact, indicator, count(*) AS rows FROM rc GROUP BY impact, indicator", "rc"),
 )
 def _count_by_key(spark, sf_dir):
-    return stats.count_by_key(fx.clean(spark, sf_dir), ["impact", "indicator"])
+    return stats.count_by_key(fx.every_clean(spark, sf_dir), ["impact", "indicator"])
 
 
 @query(
     "distinct_per_impact",
-    sql("SELECT impact, count(DISTINCT indicator) AS distinct_values FROM rc GROUP BY impact", "rc"),
+    sql_all("SELECT impact, count(DISTINCT indicator) AS distinct_values FROM rc GROUP BY impact", "rc"),
 )
 def _distinct_per_impact(spark, sf_dir):
-    return stats.distinct_per_impact(fx.clean(spark, sf_dir))
+    return stats.distinct_per_impact(fx.every_clean(spark, sf_dir))
 
 
-@query("distinct_values", sql("SELECT DISTINCT indicator FROM r", "r"))
+@query("distinct_values", sql_all("SELECT DISTINCT indicator FROM r", "r"))
 def _distinct_values(spark, sf_dir):
-    return stats.distinct_values(fx.releases(spark, sf_dir), "indicator")
+    return stats.distinct_values(fx.every_release(spark, sf_dir), "indicator")
 
 
 @query(
     "share_by_key",
-    sql(
+    sql_all(
         "SELECT forecast_error, rows, round(rows * 100.0 / (SELECT CAST(count(*) AS DOUBLE) FROM rc), 6) AS share "
         "FROM (SELECT forecast_error, count(*) AS rows FROM rc GROUP BY forecast_error)",
         "rc",
     ),
 )
 def _share_by_key(spark, sf_dir):
-    return stats.share_by_key(fx.clean(spark, sf_dir), "forecast_error")
+    return stats.share_by_key(fx.every_clean(spark, sf_dir), "forecast_error")
 
 
 @query(
@@ -360,7 +360,7 @@ def _mean_by_key(spark, sf_dir):
 
 @query(
     "value_counts",
-    sql(
+    sql_all(
         " UNION ALL ".join(
             f"SELECT '{c}' AS \"column\", {c} AS value, count(*) AS rows FROM rc GROUP BY {c}"
             for c in ("forecast_error", "impact", "previous_error")
@@ -369,7 +369,7 @@ def _mean_by_key(spark, sf_dir):
     ),
 )
 def _value_counts(spark, sf_dir):
-    return stats.value_counts(fx.clean(spark, sf_dir), ["forecast_error", "impact", "previous_error"])
+    return stats.value_counts(fx.every_clean(spark, sf_dir), ["forecast_error", "impact", "previous_error"])
 
 
 # --- distributions ------------------------------------------------------------------------------

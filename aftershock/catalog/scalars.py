@@ -15,6 +15,7 @@ from aftershock.catalog.sql import (
     ratio_sql,
     round2,
     sql,
+    sql_all,
     surprise,
     threshold_sql,
     to_slot,
@@ -91,7 +92,7 @@ def _column_difference(spark, sf_dir):
 
 @query(
     "numeric_token",
-    sql(
+    sql_all(
         "SELECT event_id, "
         + ", ".join(f"{num(c)} AS {c}" for c in ("actual", "forecast", "previous"))
         + " FROM r",
@@ -99,7 +100,7 @@ def _column_difference(spark, sf_dir):
     ),
 )
 def _numeric_token(spark, sf_dir):
-    return fx.releases(spark, sf_dir).select(
+    return fx.every_release(spark, sf_dir).select(
         "event_id",
         *[numbers.numeric_token(C(c)).alias(c) for c in ("actual", "forecast", "previous")],
     )
@@ -107,14 +108,14 @@ def _numeric_token(spark, sf_dir):
 
 @query(
     "signed_surprise",
-    sql(
+    sql_all(
         f"SELECT event_id, {surprise('forecast', 'actual', 'forecast_error')} AS surprise, "
         f"coalesce({surprise('previous', 'actual', 'previous_error')}, 9999.0) AS surprise_or_9999 FROM r",
         "r",
     ),
 )
 def _signed_surprise(spark, sf_dir):
-    return fx.releases(spark, sf_dir).select(
+    return fx.every_release(spark, sf_dir).select(
         "event_id",
         numbers.signed_surprise(C("forecast"), C("actual"), C("forecast_error")).alias("surprise"),
         numbers.signed_surprise(C("previous"), C("actual"), C("previous_error"), 9999.0).alias(
@@ -134,36 +135,36 @@ def _round_decimals(spark, sf_dir):
 
 @query(
     "fill_category",
-    sql(
+    sql_all(
         "SELECT event_id, coalesce(forecast_error, 'accurate') AS forecast_error, "
         "coalesce(previous_error, 'accurate') AS previous_error FROM r",
         "r",
     ),
 )
 def _fill_category(spark, sf_dir):
-    return fx.releases(spark, sf_dir).select(
+    return fx.every_release(spark, sf_dir).select(
         "event_id",
         *[flags.fill_category(C(c)).alias(c) for c in ("forecast_error", "previous_error")],
     )
 
 
-@query("unit_of", sql(f"SELECT event_id, {unit_sql('actual')} AS unit FROM r", "r"))
+@query("unit_of", sql_all(f"SELECT event_id, {unit_sql('actual')} AS unit FROM r", "r"))
 def _unit_of(spark, sf_dir):
-    return fx.releases(spark, sf_dir).select("event_id", numbers.unit_of(C("actual")).alias("unit"))
+    return fx.every_release(spark, sf_dir).select("event_id", numbers.unit_of(C("actual")).alias("unit"))
 
 
 def _scaled_sql(c: str) -> str:
     return f"{num(c)} * CASE {unit_sql(c)} WHEN 'K' THEN 1000.0 WHEN 'M' THEN 1000000.0 ELSE 1.0 END"
 
 
-@query("scaled_value", sql(f"SELECT event_id, {_scaled_sql('actual')} AS value FROM r", "r"))
+@query("scaled_value", sql_all(f"SELECT event_id, {_scaled_sql('actual')} AS value FROM r", "r"))
 def _scaled_value(spark, sf_dir):
-    return fx.releases(spark, sf_dir).select("event_id", numbers.scaled_value(C("actual")).alias("value"))
+    return fx.every_release(spark, sf_dir).select("event_id", numbers.scaled_value(C("actual")).alias("value"))
 
 
 @query(
     "pct_error",
-    sql(
+    sql_all(
         "SELECT event_id, round(CASE WHEN f <> 0 THEN CASE WHEN f >= a THEN 1 ELSE -1 END * "
         "abs(a - f) * 100.0 / abs(f) END, 6) AS error_pct FROM "
         f"(SELECT event_id, {_scaled_sql('forecast')} AS f, {_scaled_sql('actual')} AS a FROM r)",
@@ -172,7 +173,7 @@ def _scaled_value(spark, sf_dir):
 )
 def _pct_error(spark, sf_dir):
     error = numbers.pct_error(numbers.scaled_value(C("forecast")), numbers.scaled_value(C("actual")))
-    return fx.releases(spark, sf_dir).select("event_id", F.round(error, 6).alias("error_pct"))
+    return fx.every_release(spark, sf_dir).select("event_id", F.round(error, 6).alias("error_pct"))
 
 
 # --- time ----------------------------------------------------------------------
@@ -408,14 +409,14 @@ def _threshold_label(spark, sf_dir):
 
 @query(
     "ordinal_encode",
-    sql(
+    sql_all(
         "SELECT event_id, indicator, (SELECT count(DISTINCT s.indicator) FROM r s WHERE s.indicator < r.indicator) "
         "AS indicator_id FROM r",
         "r",
     ),
 )
 def _ordinal_encode(spark, sf_dir):
-    rows = fx.releases(spark, sf_dir).select("event_id", "indicator")
+    rows = fx.every_release(spark, sf_dir).select("event_id", "indicator")
     return ordinal_encode(rows, "indicator", "indicator_id")
 
 
@@ -425,15 +426,15 @@ def _hot_sql(column: str, values: tuple[str, ...], prefix: str = "") -> str:
     )
 
 
-@query("one_hot", sql(f"SELECT event_id, {_hot_sql('impact', IMPACTS)} FROM r", "r"))
+@query("one_hot", sql_all(f"SELECT event_id, {_hot_sql('impact', IMPACTS)} FROM r", "r"))
 def _one_hot(spark, sf_dir):
     hot = flags.one_hot(C("impact"), IMPACTS)
-    return fx.releases(spark, sf_dir).select("event_id", *[v.alias(k) for k, v in hot.items()])
+    return fx.every_release(spark, sf_dir).select("event_id", *[v.alias(k) for k, v in hot.items()])
 
 
 @query(
     "pivot_dummies_concat",
-    sql(
+    sql_all(
         f"SELECT event_id, {_hot_sql('forecast_error', FLAGS, 'fe_')}, {_hot_sql('previous_error', FLAGS, 'pe_')}, "
         f"{_hot_sql('impact', IMPACTS)} FROM rc",
         "rc",
@@ -441,7 +442,7 @@ def _one_hot(spark, sf_dir):
 )
 def _pivot_dummies_concat(spark, sf_dir):
     columns = flags.dummies(C("forecast_error"), C("previous_error"), C("impact"))
-    return fx.clean(spark, sf_dir).withColumns(columns).select("event_id", *columns)
+    return fx.every_clean(spark, sf_dir).withColumns(columns).select("event_id", *columns)
 
 
 def _score_sql(flag: str) -> str:
@@ -480,10 +481,10 @@ def _predictable_flag(spark, sf_dir):
 
 @query(
     "chosen_flag",
-    sql("SELECT event_id, CASE WHEN indicator = 'IND_3' THEN 1 ELSE 0 END AS chosen FROM r", "r"),
+    sql_all("SELECT event_id, CASE WHEN indicator = 'IND_3' THEN 1 ELSE 0 END AS chosen FROM r", "r"),
 )
 def _chosen_flag(spark, sf_dir):
-    return fx.releases(spark, sf_dir).select(
+    return fx.every_release(spark, sf_dir).select(
         "event_id", flags.chosen_flag(C("indicator"), "IND_3").alias("chosen")
     )
 
@@ -491,76 +492,64 @@ def _chosen_flag(spark, sf_dir):
 @query(
     "value_alias",
     sql(
-        "SELECT sweep_id, rows, CASE sweep_id % 3 WHEN 0 THEN 'max number of pips increased is above the TH' "
-        "WHEN 1 THEN 'max number of pips decreased is above the TH' ELSE 'other' END AS shown "
-        "FROM (SELECT sweep_id, count(*) AS rows FROM x GROUP BY sweep_id)",
+        "SELECT l_orderkey, sweep_id, CASE (l_orderkey + sweep_id) % 3 WHEN 0 THEN 'max number of pips increased is above "
+        "the TH' WHEN 1 THEN 'max number of pips decreased is above the TH' ELSE 'other' END AS shown FROM x",
         "x",
     ),
 )
 def _value_alias(spark, sf_dir):
-    code = (
-        F.when(C("sweep_id") % 3 == 0, F.lit("max"))
-        .when(C("sweep_id") % 3 == 1, F.lit("min"))
-        .otherwise(F.lit("other"))
-    )
-    rows = fx.scores(spark, sf_dir).groupBy("sweep_id").agg(F.count(F.lit(1)).alias("rows"))
-    return rows.withColumn("shown", flags.value_alias(code))
+    names = F.array(*[F.lit(n) for n in ("max", "min", "other")])
+    code = F.get(names, ((C("l_orderkey") + C("sweep_id")) % 3).cast("int"))
+    return fx.scores(spark, sf_dir).select("l_orderkey", "sweep_id", flags.value_alias(code).alias("shown"))
 
 
 @query(
     "string_to_float",
     sql(
-        "SELECT sweep_id, CASE WHEN sweep_id % 2 = 0 THEN round(rmse, 2) END AS report_agg FROM "
-        "(SELECT sweep_id, sqrt(avg((y_reg - yhat_reg) * (y_reg - yhat_reg))) AS rmse FROM x GROUP BY sweep_id)",
+        "SELECT l_orderkey, sweep_id, CASE WHEN l_orderkey % 2 = 0 THEN round(CAST(yhat_reg AS DOUBLE), 2) END AS report_agg "
+        "FROM x",
         "x",
     ),
 )
 def _string_to_float(spark, sf_dir):
-    report = F.when(C("sweep_id") % 2 == 0, F.round("rmse", 2).cast("string")).otherwise(
-        F.lit("{'0': {'precision': 0.7}}")
-    )
-    return rmse_report(fx.scores(spark, sf_dir)).select(
-        "sweep_id", numbers.string_to_float(report).alias("report_agg")
+    number = F.round(C("yhat_reg").cast("double"), 2).cast("string")
+    report = F.when(C("l_orderkey") % 2 == 0, number).otherwise(F.lit("{'0': {'precision': 0.7}}"))
+    return fx.scores(spark, sf_dir).select(
+        "l_orderkey", "sweep_id", numbers.string_to_float(report).alias("report_agg")
     )
 
 
 @query(
     "parse_sweep_spec",
     sql(
-        "SELECT sweep_id, rows, CASE WHEN sweep_id % 2 = 0 THEN 'ALL' ELSE 'High' END AS impact_filter, "
-        "CASE WHEN sweep_id % 3 = 0 THEN 'YES' ELSE 'NO' END AS standalone, 3 AS high_weight, 2 AS medium_weight, "
-        "1 AS low_weight, 30 AS from_min, CAST(30 * (sweep_id + 1) AS INT) AS to_min FROM "
-        "(SELECT sweep_id, count(*) AS rows FROM x GROUP BY sweep_id)",
+        "SELECT l_orderkey, sweep_id, ['ALL', 'High', 'Medium', 'Low'][l_orderkey % 4 + 1] AS impact_filter, "
+        "CASE WHEN sweep_id % 3 = 0 THEN 'YES' ELSE 'NO' END AS standalone, CAST(l_orderkey % 5 AS INT) AS high_weight, "
+        "2 AS medium_weight, CAST(sweep_id % 2 AS INT) AS low_weight, CAST(30 * (l_orderkey % 3) AS INT) AS from_min, "
+        "CAST(30 * (sweep_id + 1) AS INT) AS to_min FROM x",
         "x",
     ),
 )
 def _parse_sweep_spec(spark, sf_dir):
-    rows = fx.scores(spark, sf_dir).groupBy("sweep_id").agg(F.count(F.lit(1)).alias("rows"))
-    s = C("sweep_id")
-    text = rows.select(
+    rows = fx.scores(spark, sf_dir).selectExpr(
+        "l_orderkey",
         "sweep_id",
-        "rows",
-        F.concat(
-            F.when(s % 2 == 0, F.lit("ALL")).otherwise(F.lit("High")),
-            F.lit("_"),
-            F.when(s % 3 == 0, F.lit("YES")).otherwise(F.lit("NO")),
-            F.lit("_3_2_1"),
-        ).alias("aggregation"),
-        F.concat(F.lit("30_"), (30 * (s + 1)).cast("string")).alias("horizon"),
+        "concat_ws('_', element_at(array('ALL', 'High', 'Medium', 'Low'), CAST(l_orderkey % 4 AS INT) + 1), "
+        "IF(sweep_id % 3 = 0, 'YES', 'NO'), CAST(l_orderkey % 5 AS STRING), '2', CAST(sweep_id % 2 AS STRING)) AS aggregation",
+        "concat_ws('_', CAST(30 * (l_orderkey % 3) AS STRING), CAST(30 * (sweep_id + 1) AS STRING)) AS horizon",
     )
     parts = parse_sweep_spec(C("aggregation"), C("horizon"))
-    return text.withColumns(parts).drop("aggregation", "horizon")
+    return rows.withColumns(parts).drop("aggregation", "horizon")
 
 
 @query(
     "first_word",
-    sql(
+    sql_all(
         "SELECT event_id, impact, country FROM r",
         "r",
     ),
 )
 def _first_word(spark, sf_dir):
-    titles = fx.releases(spark, sf_dir).select(
+    titles = fx.every_release(spark, sf_dir).select(
         "event_id",
         F.concat("impact", F.lit(" Impact Expected")).alias("title"),
         F.concat("country", F.lit(" "), "indicator", F.lit(" (DEC)")).alias("name"),
@@ -574,7 +563,7 @@ def _first_word(spark, sf_dir):
 
 @query(
     "provider_flag_map",
-    sql(
+    sql_all(
         "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'better' WHEN 1 THEN 'worse' WHEN 2 THEN 'accurate' END "
         "AS flag FROM r",
         "r",
@@ -582,7 +571,7 @@ def _first_word(spark, sf_dir):
 )
 def _provider_flag_map(spark, sf_dir):
     code = F.element_at(F.array(*[F.lit(c) for c in "ud-?"]), (C("event_id") % 4 + 1).cast("int"))
-    return fx.releases(spark, sf_dir).select("event_id", flags.provider_flag_map(code).alias("flag"))
+    return fx.every_release(spark, sf_dir).select("event_id", flags.provider_flag_map(code).alias("flag"))
 
 
 # --- filters and gates -------------------------------------------------------------------

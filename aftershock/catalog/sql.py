@@ -143,7 +143,9 @@ def _snapshots() -> tuple[str, str]:
 
 _SNAP_COLS, _SNAP_JOINS = _snapshots()
 
-_RELEASES = """
+# Without it all events are releases.
+_SIGNUPS = " WHERE event_type = 'signup'"
+_RELEASES = f"""
 SELECT event_id,
  date_trunc('hour', ts)
    + CASE WHEN extract(minute FROM ts) >= 30 THEN INTERVAL '30' MINUTE ELSE INTERVAL '0' MINUTE END
@@ -159,7 +161,7 @@ SELECT event_id,
  CASE event_id % 4 WHEN 0 THEN 'better' WHEN 1 THEN 'worse' ELSE NULL END AS previous_error
 FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k,
         CASE user_id % 4 WHEN 0 THEN '%' WHEN 1 THEN 'K' WHEN 2 THEN 'M' ELSE '' END AS u
-      FROM events WHERE event_type = 'signup')
+      FROM events{_SIGNUPS})
 """
 
 
@@ -267,3 +269,8 @@ def sql(body: str, *names: str) -> str:
         return body
     parts = ", ".join(f"{n} AS ({CTES[n][1]})" for n in done)
     return f"WITH {parts} {body}"
+
+
+def sql_all(body: str, *names: str) -> str:
+    """As ``sql``, with all events as releases."""
+    return sql(body, *names).replace(_SIGNUPS, "")

@@ -249,10 +249,10 @@ def _rank_by_sum(spark, sf_dir):
 @query(
     "fixed_order",
     sql(
-        "SELECT variant, rows, CASE variant WHEN 'High_YES_1_1_1' THEN 1 WHEN 'High_NO_1_1_1' THEN 2 "
+        "SELECT l_orderkey, sweep_id, variant, CASE variant WHEN 'High_YES_1_1_1' THEN 1 WHEN 'High_NO_1_1_1' THEN 2 "
         "WHEN 'ALL_NO_1_1_1' THEN 3 WHEN 'ALL_NO_3_2_1' THEN 4 WHEN 'ALL_YES_1_1_1' THEN 5 ELSE 0 END AS place FROM "
-        "(SELECT ['ALL_NO_1_1_1', 'ALL_NO_3_2_1', 'ALL_YES_1_1_1', 'High_NO_1_1_1', 'High_YES_1_1_1', 'Low_NO_1_1_1', "
-        "'Low_YES_1_1_1'][sweep_id] AS variant, count(*) AS rows FROM x GROUP BY sweep_id)",
+        "(SELECT l_orderkey, sweep_id, ['ALL_NO_1_1_1', 'ALL_NO_3_2_1', 'ALL_YES_1_1_1', 'High_NO_1_1_1', 'High_YES_1_1_1', "
+        "'Low_NO_1_1_1', 'Low_YES_1_1_1'][sweep_id] AS variant FROM x)",
         "x",
     ),
 )
@@ -269,9 +269,8 @@ def _fixed_order(spark, sf_dir):
         "Low_YES_1_1_1",
     ]
     variant = F.element_at(F.array(*[F.lit(n) for n in names]), C("sweep_id"))
-    rows = fx.scores(spark, sf_dir).groupBy("sweep_id").agg(F.count(F.lit(1)).alias("rows"))
-    shown = rows.select(variant.alias("variant"), "rows")
-    return shown.withColumn("place", list_position(C("variant"), VARIANT_ORDER)).orderBy("place")
+    shown = fx.scores(spark, sf_dir).select("l_orderkey", "sweep_id", variant.alias("variant"))
+    return shown.withColumn("place", list_position(C("variant"), VARIANT_ORDER)).orderBy("place", "l_orderkey", "sweep_id")
 
 
 @query(
