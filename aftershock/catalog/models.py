@@ -9,6 +9,7 @@ from aftershock.catalog.registry import query
 from aftershock.catalog.scans import CUT, SPEC, dataset_sql, half_hour, scored_features
 from aftershock.catalog.sql import sql
 from aftershock.operators import neighbours, reports, reshape, tree_levels, trees
+from aftershock.operators.accounting import keep_complete, ledger
 from aftershock.operators.lattice import all_bundles
 from aftershock.plans.scoring import score_new, score_report
 from aftershock.plans.sweeps import (
@@ -21,7 +22,7 @@ from aftershock.plans.sweeps import (
     sweep_dataset,
     sweep_plan,
 )
-from aftershock.session import materialise, stored
+from aftershock.session import stored
 from aftershock.settings import (
     BOOST_ROUNDS,
     FLAGS,
@@ -251,7 +252,8 @@ def _levels_sql() -> str:
 @query("tree_levels", sql("", "cs").rstrip() + _levels_sql())
 def _tree_levels(spark, sf_dir):
     """The first two levels of the trees of a grid: one row for each split of a fold and leaf size."""
-    rows = trees.with_folds(stored(sweep_dataset(scored_features(spark, sf_dir), SPEC)).dropna(), "datetime")
+    dataset, _, _ = keep_complete(sweep_dataset(scored_features(spark, sf_dir), SPEC), "levels")
+    rows = trees.with_folds(dataset, "datetime")
     edges = tree_levels.bin_edges(rows, _TREE_FEATURES)
     out = []
     for kind, target in (("clf", SPEC.label), ("reg", SPEC.target)):
@@ -272,8 +274,8 @@ _TREE_SPEC = SweepSpec("ALL_NO_1_1_1", "basic", "included", "0_30", "basic", "ma
 
 def _grid(spark, sf_dir, model, points):
     """Grid scores of both kinds of one model."""
-    dataset = materialise(sweep_dataset(scored_features(spark, sf_dir), _TREE_SPEC))
-    rows = trees.with_folds(dataset.dropna(), "datetime")
+    dataset, _, _ = keep_complete(sweep_dataset(scored_features(spark, sf_dir), _TREE_SPEC), model)
+    rows = trees.with_folds(dataset, "datetime")
     names = feature_names(dataset, _TREE_SPEC)
     out = []
     for kind, target in (("clf", _TREE_SPEC.label), ("reg", _TREE_SPEC.target)):
@@ -343,6 +345,35 @@ def _score_new(spark, sf_dir):
     return scored.select("event_id", f"{SPEC.label}_predicted", f"{SPEC.target}_predicted")
 
 
+_ACCOUNT_COLUMNS = sorted([*_TREE_FEATURES, SPEC.label, SPEC.target])
+
+
+def _accounts_sql() -> str:
+    """Rows of two jobs: read, kept, and left out by the first null column."""
+
+    def job(name: str, columns: list[str], source: str) -> str:
+        first = "coalesce(" + ", ".join(f"CASE WHEN \"{c}\" IS NULL THEN '{c}' END" for c in columns) + ")"
+        return (
+            f"SELECT '{name}' AS job, coalesce({first}, 'kept') AS reason, count(*) AS rows FROM {source} GROUP BY reason "
+            f"UNION ALL SELECT '{name}', 'read', count(*) FROM {source}"
+        )
+
+    return (
+        f", d AS ({dataset_sql()}) {job('releases', ['actual', 'forecast', 'previous'], 'r')} UNION ALL "
+        f"{job('sweep', _ACCOUNT_COLUMNS, 'd')}"
+    )
+
+
+@query("row_accounts", sql("", "cs").rstrip() + _accounts_sql())
+def _row_accounts(spark, sf_dir):
+    """Where the rows went that a job does not use: rows read are rows kept and rows left out by reason."""
+    columns = ["actual", "forecast", "previous"]
+    _, _, releases = keep_complete(fx.releases(spark, sf_dir), "releases", columns)
+    dataset = sweep_dataset(scored_features(spark, sf_dir), SPEC)
+    _, _, sweep = keep_complete(dataset, "sweep", _ACCOUNT_COLUMNS)
+    return ledger(spark, [releases, sweep])
+
+
 @query("score_report")
 def _score_report(spark, sf_dir):
     scored = score_new(scored_features(spark, sf_dir), F.lit(CUT).cast("timestamp"), SPEC)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aftershock.functions.flags import dummies, threshold_label
+from aftershock.operators.accounting import LEDGER, Account, keep_complete, ledger
 from aftershock.operators.bundles import first_of, impact_counts, weighted_bundle_sum
 from aftershock.operators.encode import apply_ids, fit_ids
 from aftershock.operators.gates import impact_filter, isolated_only
@@ -273,15 +274,16 @@ class SweepData:
     train: DataFrame
     test: DataFrame
     names: list[str]
+    account: Account
 
 
 def sweep_data(
     lattice: DataFrame, spec: SweepSpec, folds: int = FOLDS
 ) -> SweepData:
-    """Training and test rows of a variant, with folds; rows with nulls are left out."""
-    dataset = lattice_dataset(lattice, spec).dropna()
-    rows = stored(with_folds(random_split(dataset, "datetime", TEST_SHARE), "datetime", folds), "sweep")
-    return SweepData(rows.filter("is_test = 0"), rows.filter("is_test = 1"), feature_names(rows, spec))
+    """Training and test rows of a variant, with folds; rows with nulls are left out and counted."""
+    dataset = with_folds(random_split(lattice_dataset(lattice, spec), "datetime", TEST_SHARE), "datetime", folds)
+    rows, _, account = keep_complete(dataset, spec.sweep_id)
+    return SweepData(rows.filter("is_test = 0"), rows.filter("is_test = 1"), feature_names(rows, spec), account)
 
 
 def neighbour_results(data: SweepData, spec: SweepSpec, ks: Sequence[int] = NEIGHBOURS) -> DataFrame:
@@ -398,16 +400,21 @@ def run_sweeps(
     unit does not keep the others from being done.  Returns what all runs into
     ``path`` have done so far.  The features are scanned once, for the lattice of all
     aggregations; the training table of a variant is made from it when its first unit
-    needs it.
+    needs it, and what rows it left out is told in ``sweep_accounts``.
     """
     spark = features.sparkSession
     work = WorkTable(spark, path or new_path(spark, "sweep-results"), lease_minutes)
     market = sorted({c for spec in specs for c in market_columns(spec)})
     once = _Once()
 
-    def data_of(spec: SweepSpec) -> SweepData:
+    def made(spec: SweepSpec) -> SweepData:
         lattice = once.get("lattice", lambda: stored(lattice_of(features, market), "lattice"))
-        return once.get(spec.sweep_id, lambda: sweep_data(lattice, spec, folds))
+        data = sweep_data(lattice, spec, folds)
+        ledger(spark, [data.account]).write.mode("overwrite").parquet(f"{work.path}/accounts/{spec.sweep_id}")
+        return data
+
+    def data_of(spec: SweepSpec) -> SweepData:
+        return once.get(spec.sweep_id, lambda: made(spec))
 
     jobs: dict[str, Callable[[], DataFrame]] = {}
     for spec in specs:
@@ -427,6 +434,11 @@ def sweep_results(spark: SparkSession, path: str) -> DataFrame:
     return _result_table(spark, []) if rows is None else rows
 
 
+def sweep_accounts(spark: SparkSession, path: str) -> DataFrame:
+    """``job, reason, rows`` of the training tables of a folder: rows read, kept, and left out by column."""
+    return spark.read.schema(LEDGER).option("recursiveFileLookup", True).parquet(f"{path}/accounts")
+
+
 class _Once:
     """Values that are made once, whichever thread asks first."""
 

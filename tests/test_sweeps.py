@@ -6,7 +6,9 @@ import pytest
 
 from aftershock.catalog import scans
 from aftershock.operators import trees
+from aftershock.operators.accounting import Account, keep_complete, ledger
 from aftershock.plans import sweeps
+from aftershock.plans.scoring import score_accounted
 from aftershock.plans.sweeps import SweepSpec, run_sweeps, sweep_results
 from aftershock.plans.worktable import CLAIMED, DONE, FAILED, WorkTable
 
@@ -38,6 +40,38 @@ def test_two_runs_with_other_models_give_the_union(spark, features, tmp_path, mo
     assert units(second) == expected("dtree", "kn")
     # One search for the grid and one for the test rows, for both kinds.
     assert len(searches) == 2 * len(SPECS)
+    accounts = {}
+    for r in sweeps.sweep_accounts(spark, path).collect():
+        accounts.setdefault(r["job"], {})[r["reason"]] = r["rows"]
+    assert set(accounts) == {s.sweep_id for s in SPECS}
+    for told in accounts.values():
+        assert told["read"] == sum(n for reason, n in told.items() if reason != "read") > told["kept"] > 0
+
+
+def test_every_row_is_kept_or_has_a_reason(spark):
+    rows = [(1, "a", 1.0), (2, None, 2.0), (3, "c", None), (4, None, None), (None, "e", 5.0)]
+    df = spark.createDataFrame(rows, "id int, `odd name` string, x double")
+    kept, rejects, account = keep_complete(df, "job", ["odd name", "x"])
+    assert sorted(map(str, kept.collect())) == sorted(map(str, df.filter("`odd name` IS NOT NULL AND x IS NOT NULL").collect()))
+    assert {(r["id"], r["reason"]) for r in rejects.collect()} == {(2, "odd name"), (3, "x"), (4, "odd name")}
+    assert (account.read, account.kept, account.left_out, account.balanced) == (5, 2, {"odd name": 2, "x": 1}, True)
+    none, _, empty = keep_complete(df.limit(0), "none")
+    assert none.count() == 0 and (empty.read, empty.kept) == (0, 0)
+    assert ledger(spark, [account, empty]).count() == 6
+    with pytest.raises(ValueError, match="do not add up"):
+        ledger(spark, [Account("bad", 3, 1, {"x": 1})])
+
+
+def test_scoring_tells_what_it_left_out(spark, features):
+    from pyspark.sql import functions as F
+
+    scored, accounts = score_accounted(features, F.lit(scans.CUT).cast("timestamp"), SPECS[0], 3)
+    learnt, later = accounts
+    assert learnt.balanced and later.balanced and scored.count() == features.count()
+    instants = features.select("datetime").distinct()
+    assert learnt.read + later.read == instants.count()
+    guessed = scored.filter(f"{SPECS[0].label}_predicted IS NOT NULL").select("datetime").distinct()
+    assert guessed.count() == later.kept
 
 
 @pytest.mark.filterwarnings("ignore::pytest.PytestUnhandledThreadExceptionWarning")
