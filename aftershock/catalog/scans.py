@@ -23,7 +23,7 @@ from aftershock.sources.calendar import (
     split_rejects,
 )
 from aftershock.sources.candles import TIME_FORMAT, scan_candles
-from aftershock.sources.pages import extract_page_rows
+from aftershock.sources.pages import extract_page_rows, scan_page_rows
 from aftershock.sources.tables import (
     scan_features,
     scan_union_results,
@@ -307,3 +307,16 @@ CELLS = {"href": r'href="([^"]*)"', "text": r">([^<]*)<"}
 )
 def _extract_page_rows(spark, sf_dir):
     return extract_page_rows(fx.table(spark, sf_dir, "pages"), ROW_REGEX, CELLS)
+
+
+@query(
+    "scan_page_rows",
+    sql(
+        "SELECT page_id, CAST(pos AS INT) AS pos, regexp_extract(row, 'href=\"([^\"]*)\"', 1) AS href, "
+        "regexp_extract(row, '>([^<]*)<', 1) AS text FROM p",
+        "p",
+    ),
+)
+def _scan_page_rows(spark, sf_dir):
+    """The same rows by scanning tags; rows over lines or with further rows inside would be found too."""
+    return scan_page_rows(fx.table(spark, sf_dir, "pages"), "li", CELLS)

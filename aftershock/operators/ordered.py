@@ -130,6 +130,31 @@ def last_values(
     return joined.withColumns(filled).select(*df.columns)
 
 
+def running_min(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: Column,
+    name: str,
+    limit: int = WINDOW_ROWS,
+    longest: int | None = None,
+) -> DataFrame:
+    """Smallest ``value`` of the row itself and the earlier rows of its key, in two levels for long keys."""
+    keys, order = list(keys), list(order)
+    longest = largest_group(df, keys) if longest is None else longest
+    if longest <= limit:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, F.min(value).over(w))
+    ranged = _in_ranges(df.withColumn("_value", value), keys, order, limit)
+    least = ranged.groupBy(*keys, "_range").agg(F.min("_value").alias("_least"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    least = least.select(*keys, "_range", F.min("_least").over(earlier).alias("_before"))
+    w = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = ranged.withColumn("_inside", F.min("_value").over(w))
+    joined = join_null_safe(inside, least, [*keys, "_range"])
+    return joined.withColumn(name, F.least("_inside", "_before")).select(*df.columns, name)
+
+
 def _before(weight: Column, w: WindowSpec) -> Column:
     frame = w.rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(weight).over(frame), F.lit(0))

@@ -1,5 +1,6 @@
 """Files, gates and rejects."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from aftershock.__main__ import main
@@ -10,6 +11,7 @@ from aftershock.plans.curation import clean_releases, curate
 from aftershock.settings import CurationConfig
 from aftershock.sources.calendar import scan_calendar, scan_provider
 from aftershock.sources.candles import scan_candles
+from aftershock.sources.pages import scan_page_rows
 from aftershock.sources.tables import feature_table_name
 
 HEADER = ",actual,country,datetime,forecast,forecast_error,impact,new,previous,previous_error,week\n"
@@ -119,3 +121,26 @@ def test_curate_keeps_every_release(spark, sf):
 
 def test_table_name():
     assert feature_table_name("USD", "EURUSD", 2007, 2018) == "features_news_USD_pair_EURUSD_2007_2018"
+
+
+PAGES = [
+    (1, '<ul><li>one <a href="a">A</a></li>\n<li class="x">\n two\n<a\nhref="b">B</a>\n</li></ul>'),
+    (2, '</li><LI>outer <a href="c">C</a><ul><li>inner <a href="d">D</a></li></ul> end</LI></li><li>last <a href="e">E'),
+    (3, '<!-- <li><a href="no">N</a></li> --><script>if (a<li>b) "</li>"</script><li/><link><li><a href="f">F</a></li>'),
+    (4, None), (5, ""), (6, "no rows < at > all"), (7, "<li></li><li><</li>"),
+]
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 3])
+def test_rows_of_pages_over_lines_and_nested(spark, limit):
+    """Long pages are scanned in ranges, with the same rows."""
+    cells = {"href": r'href="([^"]*)"', "text": r"<a[^>]*>([^<]*)"}
+    df = spark.createDataFrame(PAGES, "page_id long, html string").withColumn("pos", F.lit(0))
+    got = sorted(map(tuple, scan_page_rows(df, "li", cells, limit=limit).collect()))
+    assert got == [
+        (1, 0, "a", "A"), (1, 1, "b", "B"), (2, 0, "c", "C"), (2, 1, "e", "E"), (3, 0, "f", "F"), (7, 0, "", ""), (7, 1, "", ""),
+    ]
+    twice = scan_page_rows(df.union(df), "li", cells, limit=limit)
+    assert sorted(map(tuple, twice.collect())) == sorted(2 * got)
+    whole = scan_page_rows(df, "li", {"all": "(.*)"}, limit=limit).filter("page_id = 2 AND pos = 0").first()["all"]
+    assert whole == 'outer <a href="c">C</a><ul><li>inner <a href="d">D</a></li></ul> end'
