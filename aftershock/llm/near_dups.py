@@ -40,8 +40,8 @@ LEVELS = ((4, 24), (8, 64), (12, 164))
 # before a longer prefix is tried.
 SMALL, LARGE, BLOCK = 32, 2048, 256
 # Bits of a sketch (one per position) that may differ; at a similarity of 0.8 a
-# tenth does, and more than this with a probability of 2 in 100,000.
-SKETCH_DIFFERS = 23
+# tenth does, and more than this with a probability of 1 in 1,000,000,000.
+SKETCH_DIFFERS = 30
 _SEEDS = mixed(np.arange(1, 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SETS = "row long, doc_id long, th long, n_shingles long, set_key binary, signature binary, s1 long, s2 long"
 
@@ -167,16 +167,17 @@ class _Sets:
     """Shingle sets of wanted nodes, made again from their texts."""
 
     docs: DataFrame
-    nodes: DataFrame  # node, doc_id, set_key
+    nodes: DataFrame  # node, doc_id, th, set_key
     words: int
 
     def of(self, wanted: DataFrame) -> DataFrame:
         """``node, n, items`` (sorted 64-bit hashes as binary) for the given distinct nodes; stored."""
         words = self.words
-        asked = self.nodes.join(wanted, "node").select(F.col("doc_id").alias("_id"), "set_key", "node")
-        rows = join_measured(
-            self.docs, asked, F.col("doc_id").eqNullSafe(F.col("_id"))
-        )
+        asked = self.nodes.join(wanted, "node")
+        asked = asked.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "set_key", "node")
+        # Rows of one id, or without one, meet only their own text's node.
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
+        rows = join_measured(self.docs, asked, same)
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
@@ -184,7 +185,7 @@ class _Sets:
                 owner, key = shingle_sets(*text_bytes(batch.column("text")), words)
                 sizes, keys = _set_keys(owner, key, n)
                 ends = np.cumsum(sizes)
-                # Rows of one id may have other texts; only the node's own set counts.
+                # Texts of one hash may differ; only the node's own set counts.
                 own = [k is not None and k == w for k, w in zip(keys, batch.column("set_key").to_pylist(), strict=True)]
                 at = np.flatnonzero(own)
                 yield pa.RecordBatch.from_arrays(
@@ -297,7 +298,7 @@ def _grouped(plain: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
     )
     reps = rows.join(classes.select(F.col("node").alias("row")), "row", "leftsemi")
     reps = store(reps.withColumnRenamed("row", "node"), "nodes")
-    sets = _Sets(plain, reps.select("node", "doc_id", "set_key"), words)
+    sets = _Sets(plain, reps.select("node", "doc_id", "th", "set_key"), words)
     return rows, classes, _components(reps, sets, percent)
 
 

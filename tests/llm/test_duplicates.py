@@ -104,6 +104,29 @@ def test_words_that_polynomials_take_for_equal(spark, n):
     assert found(df, words=4) == [(1, 1, 1), (2, 1, 2), (3, 1, 3), (4, 1, 4), (5, 1, 1)]
 
 
+def test_sets_of_documents_without_id_are_fetched_once(spark):
+    """As many rows for ``n`` documents of one id, or without any, as there are documents."""
+    for doc_id in (None, 7):
+        docs = [(doc_id, " ".join(f"w{i}x{k}" for k in range(9))) for i in range(40)]
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        plain = near_dups.documents_of(df, "doc_id", "text")
+        rows = near_dups.store(near_dups.shingle_signatures(plain, 4), "signatures").withColumnRenamed("row", "node")
+        sets = near_dups._Sets(plain, rows, 4)
+        seen, join = [], near_dups.join_measured
+
+        def counted(*a, **b):
+            joined = join(*a, **b)
+            seen.append(joined.count())
+            return joined
+
+        near_dups.join_measured = counted
+        try:
+            assert sets.of(rows.select("node")).count() == 40
+        finally:
+            near_dups.join_measured = join
+        assert seen == [40]
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     star = [(5, i) for i in range(200, 260)]
