@@ -13,13 +13,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aftershock.session import new_path
 
 # Text bytes that a Python worker handles at once; work on them takes up to a hundred times as much memory.
 SLICE_BYTES = 1 << 20
-# Rows of at most some 50 bytes that may be sent to every executor.
-BROADCAST_ROWS = 300_000
+# Bytes of a table that may be sent to every executor.
+BROADCAST_BYTES = 8 << 20
+# Size in memory of a number, and of a row's overhead.
+_VALUE_BYTES, _ROW_BYTES = 16, 32
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -101,15 +104,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def measured_bytes(df: DataFrame) -> int:
+    """Size of a stored table in memory, from one aggregate; texts and arrays count in full."""
+    sizes = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            sizes.append(F.octet_length(f"`{f.name}`"))
+        elif isinstance(f.dataType, T.ArrayType):
+            sizes.append(_VALUE_BYTES * F.greatest(F.size(f"`{f.name}`"), F.lit(0)))
+    sums = [F.coalesce(F.sum(x), F.lit(0)) for x in sizes]
+    row = df.agg(F.count(F.lit(1)), *sums).first()
+    return row[0] * (_ROW_BYTES + _VALUE_BYTES * len(df.columns)) + sum(row[1:])
+
+
 def join_measured(
-    left: DataFrame, right: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS
+    left: DataFrame, right: DataFrame, on, how: str = "inner", limit: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Joins a large side to a narrow one, which is stored and counted first.
+    """Joins a large side to another one, which is stored and measured first.
 
-    Up to ``limit`` rows of a few numbers the right side goes to all tasks and the
-    large side stays where it is; beyond that both are shuffled.
+    Up to ``limit`` bytes the right side goes to all tasks and the large side
+    stays where it is; beyond that both are shuffled.
     """
     right = store(right, "join-side")
-    if right.count() <= limit:
+    if measured_bytes(right) <= limit:
         right = F.broadcast(right)
     return left.join(right, on, how)

@@ -26,8 +26,8 @@ CELLS = 1 << 16
 CROWD = 8
 _SPACES = r"[\x09-\x0D ]+"
 _HASH_BITS, _LENGTH_BITS = 48, 5
-# Rows of a table that is sent to all tasks, at most; copies of lines are too many for it early on.
-FEW_ROWS, FEW_COPIES = 300_000, 20_000
+# Bytes of a table that is sent to all tasks, at most.
+FEW_BYTES = 1 << 20
 # Words that two similar lines share in their prefixes, at least; one where different
 # lines can be similar by a single common word.
 SHARED = 2
@@ -134,9 +134,7 @@ def find_repeated_lines(
     )
     copies = places.join(first, "c").filter("id <> first_id OR no <> first_no")
     copies = store(copies.select("row", "id", "th", "no"), "line-copies")
-    reps = common.join_measured(
-        seen, copies.select(F.col("row").alias("_row")), F.col("row") == F.col("_row"), "leftanti", FEW_COPIES
-    )
+    reps = join_measured(seen, copies.select(F.col("row").alias("_row")), F.col("row") == F.col("_row"), "leftanti")
 
     # A line with fewer words is only similar to an equal one, and those are classes already.
     posts = reps.filter(100 * F.col("n") >= percent * (F.col("n") + 1))
@@ -169,11 +167,11 @@ def find_repeated_lines(
 
 def _few(df: DataFrame) -> DataFrame:
     """A stored table, marked for broadcast if it is small."""
-    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+    return F.broadcast(df) if common.measured_bytes(df) <= FEW_BYTES else df
 
 
 def join_measured(left: DataFrame, right: DataFrame, on: Column, how: str = "inner") -> DataFrame:
-    return common.join_measured(left, right, on, how, FEW_ROWS)
+    return common.join_measured(left, right, on, how, FEW_BYTES)
 
 
 def _meet(percent: int) -> Column:
