@@ -249,6 +249,25 @@ def _levels_sql() -> str:
     )
 
 
+@query(
+    "grid_folds",
+    sql(
+        f", d AS ({dataset_sql()}) SELECT CAST(floor(CAST(concat('0x', substr(md5(concat('fold', CAST(datetime AS VARCHAR))), "
+        f"1, 8)) AS BIGINT) / 4294967296.0 * 5) AS INT) AS fold, count(*) AS rows, CAST(sum({SPEC.label}) AS BIGINT) AS reached, "
+        f"CAST(sum({SPEC.target}) AS BIGINT) AS pips FROM d WHERE "
+        + " AND ".join(f'"{f}" IS NOT NULL' for f in (*_TREE_FEATURES, SPEC.label, SPEC.target))
+        + " GROUP BY fold",
+        "cs",
+    ).replace(") , d AS", "), d AS"),
+)
+def _grid_folds(spark, sf_dir):
+    """The rows that grids of tree models are fitted and scored on, by fold."""
+    rows, _, _ = keep_complete(sweep_dataset(scored_features(spark, sf_dir), SPEC), "folds")
+    return trees.with_folds(rows, "datetime").groupBy("fold").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(SPEC.label).alias("reached"), F.sum(SPEC.target).alias("pips")
+    )
+
+
 @query("tree_levels", sql("", "cs").rstrip() + _levels_sql())
 def _tree_levels(spark, sf_dir):
     """The first two levels of the trees of a grid: one row for each split of a fold and leaf size."""

@@ -59,6 +59,26 @@ def _expanding_quartiles(spark, sf_dir):
     return q.select("release_id", "v_q1", "v_q3")
 
 
+# All customers as one long indicator, beyond what is sorted in a window.
+_ONE = (
+    "SELECT c_custkey, CAST(c_acctbal AS DOUBLE) AS v, coalesce(list_sort(list(CAST(c_acctbal AS DOUBLE)) OVER (ORDER BY "
+    "c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), []) AS past FROM customer"
+)
+
+
+@query(
+    "long_quartiles",
+    f"SELECT c_custkey, {quartile_sql('past', 'v', 1)} AS v_q1, {quartile_sql('past', 'v', 3)} AS v_q3 FROM ({_ONE})",
+)
+def _long_quartiles(spark, sf_dir):
+    """Quartiles of earlier values of one key with more rows than are sorted in a window."""
+    rows = fx.table(spark, sf_dir, "customer").select(
+        "c_custkey", F.lit("ONE").alias("indicator"), C("c_acctbal").cast("double").alias("v")
+    )
+    found = expanding_quartiles(rows, ["v"], ["indicator"], ["c_custkey"], short=128, chunk=512)
+    return found.select("c_custkey", "v_q1", "v_q3")
+
+
 _RB_SCORED = history_sql("rb", ["v"], "indicator", "datetime_gmt, release_id")
 
 

@@ -271,6 +271,21 @@ def test_a_grid_scores_every_point(grid_rows):
     assert one.filter("prediction IS NULL").isEmpty()
 
 
+@pytest.mark.parametrize(
+    ("name", "more", "kind", "target"),
+    [("rforest", {"numTrees": (2, 5), "maxDepth": (2, 3)}, "reg", "z"), ("gboosting", {"maxIter": (2, 4), "maxDepth": (2,)}, "clf", "y")],
+)
+def test_grids_of_forests_and_chains(spark, grid_rows, name, more, kind, target):
+    """Every point once, accuracies from 0 to 1, errors below the target's own spread."""
+    points = trees.grid_points(**more)
+    fitted = trees.fit_grid(grid_rows, list("abcd"), target, name, kind, points, folds=3)
+    table = trees.grid_table(spark, fitted).collect()
+    assert sorted(r["params"] for r in table) == sorted(str(dict(sorted(p.items()))) for p in points)
+    spread = float(grid_rows.agg(F.stddev("z")).first()[0])
+    assert all(0.5 < s <= 1 if kind == "clf" else 0 < s < spread for s in fitted.scores)
+    assert (fitted.fitted_rows, fitted.left_out_rows) == (600, 0)
+
+
 def test_a_grid_without_folds_or_rows(grid_rows):
     points = trees.grid_points(maxDepth=(1, 3))
     single = trees.fit_grid(grid_rows.filter("fold = 1"), list("abcd"), "y", "dtree", "clf", points, folds=3)
