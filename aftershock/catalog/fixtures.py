@@ -14,7 +14,7 @@ from aftershock.functions.moments import floor_to_candle, minutes
 from aftershock.operators.history import ORDER
 from aftershock.operators.market import candles_from_ticks
 from aftershock.plans.curation import clean_releases
-from aftershock.session import materialise
+from aftershock.session import stored
 from aftershock.settings import CurationConfig
 
 HISTORY_KEYS = ("indicator",)
@@ -84,7 +84,7 @@ def candles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candles written once: numbering reads them twice, the ticks only once."""
-    return materialise(candles(spark, sf_dir))
+    return stored(candles(spark, sf_dir), "candles")
 
 
 def pair_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,7 @@ def pair_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
         slot=floor_to_candle(F.col("ts")),
         pips=F.rint(F.col("value") * 100).cast("bigint"),
     )
-    return materialise(folded)
+    return stored(folded, "candles")
 
 
 def histories(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from aftershock.operators.ordered import WINDOW_ROWS, largest_group, row_numbers, running_total
 from aftershock.operators.sized import join_null_safe
-from aftershock.session import materialise
+from aftershock.session import stored
 from aftershock.settings import HISTORY_ROWS
 
 # Longest history that is sorted anew for every row.
@@ -101,7 +101,7 @@ def _long_quartiles(
     # Earlier values of a row.  A row without a value has as many as the next
     # one with a value; behind the last value of a key stands one more place.
     seen = F.col("_v").isNotNull().cast("bigint")
-    placed = materialise(running_total(every, keys, order, seen, "_n", limit, longest))
+    placed = stored(running_total(every, keys, order, seen, "_n", limit, longest), "placed")
     values = placed.filter("_v is not null").select(*keys, "_n", "_v")
     ends = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.lit(float("inf")).alias("_v"))
     numbered = values.unionByName(ends).withColumn("_chunk", F.floor(F.col("_n") / chunk))

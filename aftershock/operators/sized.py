@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aftershock.session import materialise
+from aftershock.session import stored
 
 # Largest side that is sent to every executor.
 BROADCAST_BYTES = 64 * 2**20
@@ -48,7 +48,7 @@ def join_sized(
     beyond the limit the join shuffles and AQE splits skewed partitions.  With
     ``null_safe`` null keys are equal.
     """
-    right = materialise(right)
+    right = stored(right, "join-side")
     if measured_bytes(right) <= limit:
         right = F.broadcast(right)
     if null_safe:

@@ -161,7 +161,7 @@ def fit_grid(
     """Cross-validated grid search; ``train`` carries a ``fold`` column.
 
     ``kind`` is ``clf`` (scored by accuracy; decision trees take classes 0 and 1)
-    or ``reg`` (by RMSE).  Give it a materialised table, it is read many times.
+    or ``reg`` (by RMSE).  Give it a stored table, it is read many times.
     Rows with a null feature or target are counted and left out.  The folds are
     plain filters; MLlib's fits are cluster jobs, ``parallelism`` of them at a time.  With
     rows in fewer than two folds there are no scores and the first point is

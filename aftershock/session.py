@@ -58,15 +58,3 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to reliable storage and read it from there on.
-
-    Needed where two branches of a plan must see the same partition numbers.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
