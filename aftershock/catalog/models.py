@@ -373,8 +373,9 @@ def _accounts_sql() -> str:
     def job(name: str, columns: list[str], source: str) -> str:
         first = "coalesce(" + ", ".join(f"CASE WHEN \"{c}\" IS NULL THEN '{c}' END" for c in columns) + ")"
         return (
-            f"SELECT '{name}' AS job, coalesce({first}, 'kept') AS reason, count(*) AS rows FROM {source} GROUP BY reason "
-            f"UNION ALL SELECT '{name}', 'read', count(*) FROM {source}"
+            f"SELECT '{name}' AS job, {first} AS reason, count(*) AS rows FROM {source} WHERE {first} IS NOT NULL GROUP BY reason "
+            f"UNION ALL SELECT '{name}', 'read', count(*) FROM {source} "
+            f"UNION ALL SELECT '{name}', 'kept', count(*) FROM {source} WHERE {first} IS NULL"
         )
 
     return (

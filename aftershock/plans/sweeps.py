@@ -410,7 +410,7 @@ def run_sweeps(
     def made(spec: SweepSpec) -> SweepData:
         lattice = once.get("lattice", lambda: stored(lattice_of(features, market), "lattice"))
         data = sweep_data(lattice, spec, folds)
-        ledger(spark, [data.account]).write.mode("overwrite").parquet(f"{work.path}/accounts/{spec.sweep_id}")
+        ledger(spark, [data.account]).write.mode("overwrite").parquet(f"{work.path}/_accounts/{spec.sweep_id}")
         return data
 
     def data_of(spec: SweepSpec) -> SweepData:
@@ -436,7 +436,7 @@ def sweep_results(spark: SparkSession, path: str) -> DataFrame:
 
 def sweep_accounts(spark: SparkSession, path: str) -> DataFrame:
     """``job, reason, rows`` of the training tables of a folder: rows read, kept, and left out by column."""
-    return spark.read.schema(LEDGER).option("recursiveFileLookup", True).parquet(f"{path}/accounts")
+    return spark.read.schema(LEDGER).option("recursiveFileLookup", True).parquet(f"{path}/_accounts")
 
 
 class _Once:

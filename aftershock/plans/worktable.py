@@ -5,6 +5,10 @@ last state of a unit counts; once done it stays done, by the attempt that was fi
 Results carry their attempt, and only those of done attempts are read, so rows of an
 attempt that died after writing, or of two runs that did the same, never show twice.
 The table has some rows for each unit of a plan, whatever the size of the data.
+
+Results lie in ``attempt=...`` folders, so the folder as a whole reads as one table,
+that of all attempts; the states are beside them in ``_work``, which Spark's readers
+leave out.
 """
 
 from __future__ import annotations
@@ -36,9 +40,9 @@ class WorkTable:
     lease_minutes: float = 0.0
     run: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def _read(self, name: str) -> DataFrame | None:
+    def _events(self) -> DataFrame | None:
         try:
-            return self.spark.read.option("recursiveFileLookup", True).parquet(f"{self.path}/{name}")
+            return self.spark.read.schema(EVENT).option("recursiveFileLookup", True).parquet(f"{self.path}/_work")
         except AnalysisException:  # nothing written yet
             return None
 
@@ -46,11 +50,11 @@ class WorkTable:
         row = (unit, state, attempt, self.run, time.time(), note[:_NOTE])
         event = self.spark.createDataFrame([row], EVENT).coalesce(1)
         # Writers that share a folder clear each other's temporary files away, so each has its own.
-        event.write.parquet(f"{self.path}/work/{attempt}/{state}")
+        event.write.parquet(f"{self.path}/_work/{attempt}/{state}")
 
     def states(self) -> DataFrame:
         """``unit, state, attempt, run, at, note``: the state of every unit that was ever claimed."""
-        events = self._read("work")
+        events = self._events()
         if events is None:
             return self.spark.createDataFrame([], EVENT)
         # Done before all else, the first of these; then the latest.
@@ -77,8 +81,7 @@ class WorkTable:
         attempt = uuid.uuid4().hex
         self._append(unit, CLAIMED, attempt)
         try:
-            rows = job().withColumns({"unit": F.lit(unit), "attempt": F.lit(attempt)})
-            rows.write.parquet(f"{self.path}/results/{attempt}")
+            job().withColumn("unit", F.lit(unit)).write.parquet(f"{self.path}/attempt={attempt}")
         except Exception as error:  # noqa: BLE001  told in the table, and raised by run_all
             self._append(unit, FAILED, attempt, f"{type(error).__name__}: {error}")
             return False
@@ -109,12 +112,11 @@ class WorkTable:
         with ThreadPoolExecutor(workers) as pool:
             failed = [u for u in pool.map(work, left) if u]
         if failed:
-            raise RuntimeError(f"{len(failed)} of {len(left)} units failed, see {self.path}/work: {failed[:5]}")
+            raise RuntimeError(f"{len(failed)} of {len(left)} units failed, see {self.path}/_work: {failed[:5]}")
 
     def results(self) -> DataFrame | None:
         """Rows of all done units, whichever run did them; None if there are none."""
-        rows = self._read("results")
-        if rows is None:
+        done = [r["attempt"] for r in self.states().filter(F.col("state") == DONE).collect()]
+        if not done:
             return None
-        done = self.states().filter(F.col("state") == DONE).select("unit", "attempt")
-        return rows.join(F.broadcast(done), ["unit", "attempt"], "leftsemi").drop("unit", "attempt")
+        return self.spark.read.parquet(*[f"{self.path}/attempt={a}" for a in done]).drop("unit")
