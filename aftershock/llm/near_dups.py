@@ -40,8 +40,8 @@ LEVELS = ((4, 24), (8, 64), (12, 164))
 # before a longer prefix is tried.
 SMALL, LARGE, BLOCK = 32, 2048, 256
 # Bits of a sketch (one per position) that may differ; at a similarity of 0.8 a
-# tenth does, and more than this with a probability of 1 in 1,000,000,000.
-SKETCH_DIFFERS = 30
+# tenth does, and more than this with a probability of 5 in 10,000,000.
+SKETCH_DIFFERS = 26
 _SEEDS = mixed(np.arange(1, 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SETS = "row long, doc_id long, th long, n_shingles long, set_key binary, signature binary, s1 long, s2 long"
 
