@@ -6,10 +6,11 @@ cells that lie together form groups, groups are cut into blocks of bounded size,
 and a block travels as one matrix.  Test rows are parted by cell as well.
 
 Each part asks for blocks twice.  The first time it takes the nearest cells that
-hold ``k`` rows.  The distance of the k-th row found there bounds what is left: a
-cell is asked for in the second round only if, by the triangle inequality and by
+hold ``k`` rows, of which only the distance of each row's k-th is kept.  It bounds
+the second round: a cell is asked for only if, by the triangle inequality and by
 the plane between its pivot and the row's own, it may hold a row that is not
-farther.  Blocks are sent to just the parts that asked.
+farther.  Blocks are sent to just the parts that asked; a part reads them one
+after the other and keeps the best rows so far, so no others leave the task.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,12 +36,16 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Pivots go to every task; beyond this many cells grow instead, and are cut into blocks.
 MOST_PIVOTS = 2048
-# Training rows of a block and test rows of a part.
-BLOCK_ROWS, PART_ROWS = 8192, 2048
+# Training rows of a block and test rows of a part, at most; a part keeps about so many neighbours.
+BLOCK_ROWS, PART_ROWS, PART_FOUND = 32768, 32768, 1 << 22
+# So many parts of test rows, if there are as many rows.
+LEAST_PARTS = 24
+# Training rows that are compared at once, and neighbours that leave a task at once.
+_STEP_ROWS, _OUT_ROWS = 8192, 1 << 16
 _SLACK = 1e-5
 # Distances that a task holds at once.
-_CELLS = 1 << 21
-_ASKED = "group int, block int, part long, row binary, vectors binary, fold binary, reach binary, ids binary"
+_CELLS = 1 << 20
+_ASKED = "group int, block int, part long, row binary"
 
 
 @dataclass(frozen=True)
@@ -104,6 +109,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _vector_bytes(x: np.ndarray) -> bytes:
+    """All numbers in a row, in half the bytes if that loses nothing."""
+    with np.errstate(over="ignore"):
+        short = x.astype("<f4")
+    return (short if (short == x).all() else x).tobytes()
+
+
+def _vectors(data: bytes, rows: int, length: int) -> np.ndarray:
+    kind = "<f4" if len(data) < 8 * rows * length else "<f8"
+    return np.frombuffer(data, kind).reshape(rows, length).astype(float, copy=False)
+
+
 def _packed(table: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
@@ -143,7 +160,7 @@ def _tiles(rows: DataFrame, place: list[str], keep: list[str]) -> DataFrame:
     def pack(table: pa.Table) -> pa.Table:
         batch = table.combine_chunks().to_batches()[0]
         columns = {c: batch.column(c)[:1] for c in place}
-        columns["vectors"] = pa.array([_matrix(batch.column("_vector")).tobytes()])
+        columns["vectors"] = pa.array([_vector_bytes(_matrix(batch.column("_vector")))])
         columns["fold"] = pa.array([batch.column("_fold").fill_null(-1).to_numpy(zero_copy_only=False).astype("<i4").tobytes()])
         columns["rest"] = pa.array([_packed(batch.select(keep))])
         return pa.table(columns)
@@ -176,14 +193,14 @@ def nearest(
     n = train.count()
     kinds = T.StructType(
         [
-            T.StructField("part", T.LongType()), T.StructField("row", T.IntegerType()),
-            T.StructField("test_id", test.schema[key].dataType), T.StructField("dist", T.DoubleType()),
-            T.StructField("train_id", train.schema[key].dataType), *[train.schema[p] for p in payload],
+            T.StructField("test_id", test.schema[key].dataType), T.StructField("rank", T.IntegerType()),
+            T.StructField("dist", T.DoubleType()), T.StructField("train_id", train.schema[key].dataType),
+            *[train.schema[p] for p in payload],
         ]
     )
     result = ["test_id", "rank", "train_id", "dist", *payload]
     if n == 0:  # nothing to be near to
-        none = train.sparkSession.createDataFrame([], kinds.add("rank", T.IntegerType()))
+        none = train.sparkSession.createDataFrame([], kinds)
         return none.select(*result)
     most = pivots or min(MOST_PIVOTS, math.ceil(math.sqrt(n)))
     chosen = train.select(vector).orderBy(F.xxhash64(key), key).limit(most).collect()
@@ -205,27 +222,39 @@ def nearest(
     blocks = _tiles(known, ["group", "block"], ["train_id", *payload])
 
     asking = test.select(F.col(key).alias("test_id"), F.col(vector).alias("_vector"), own_fold.alias("_fold"))
-    asking = _assigned(asking, centres).join(F.broadcast(groups), "_cell")
-    sizes = asking.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("_parts"))
-    asking = asking.join(F.broadcast(sizes), "group")
+    asking = _assigned(asking, centres).join(F.broadcast(groups.drop("_blocks")), "_cell")
+    asking, count = _dealt(asking, k)
+    parts = _tiles(asking, ["part"], ["test_id"])
+    length = centres.shape[1]
+
+    def search(parts: DataFrame, last: bool) -> DataFrame:
+        met = _asked(parts.withColumnRenamed("reach", "_reach") if last else parts, cells, k, by_fold)
+        sent = met.join(blocks, ["group", "block"]).withColumn("reach", F.lit(None).cast("binary"))
+        columns = ["part", "group", "block", "row", "vectors", "fold", "rest", "reach"]
+        own = parts if last else parts.withColumn("reach", F.lit(None).cast("binary"))
+        own = own.withColumns({c: F.lit(None).cast(t) for c, t in (("group", "int"), ("block", "int"), ("row", "binary"))})
+        # A part's test rows come before the blocks it asked for.
+        dealt = own.select(columns).unionByName(sent.select(columns)).repartitionById(count, F.col("part").cast("int"))
+        dealt = dealt.sortWithinPartitions("part", F.col("group").asc_nulls_first(), "block")
+        schema = kinds if last else T.StructType.fromDDL("part long, reach binary")
+        return dealt.mapInArrow(_part_search(k, by_fold, length, None if last else schema, kinds), schema)
+
+    reach = stored(search(parts, False), "reach")
+    return search(parts.join(reach, "part"), True).select(*result)
+
+
+def _dealt(asking: DataFrame, k: int) -> tuple[DataFrame, int]:
+    """Test rows with the number of their part, and how many parts there are."""
+    told = asking.groupBy("group").count().collect()  # as many rows as groups
+    rows = min(PART_ROWS, max(1, PART_FOUND // k), math.ceil(sum(r["count"] for r in told) / LEAST_PARTS) or 1)
+    sizes, count = [], 0
+    for g, n in sorted(map(tuple, told)):
+        sizes.append((g, count, math.ceil(n / rows)))
+        count += sizes[-1][2]
+    sizes = asking.sparkSession.createDataFrame(sizes, "group int, _first long, _parts int")
     sub = F.pmod(F.xxhash64("test_id", F.monotonically_increasing_id()), F.col("_parts"))
-    parts = _tiles(asking.withColumn("part", F.shiftleft(F.col("group").cast("long"), 32) + sub), ["part"], ["test_id"])
-
-    best = Window.partitionBy("part", "row").orderBy("dist", "train_id")
-    ranked = F.row_number().over(best)
-
-    def search(asked: DataFrame) -> DataFrame:
-        met = asked.join(blocks.withColumnsRenamed({"vectors": "_vectors", "fold": "_folds"}), ["group", "block"])
-        return met.mapInArrow(_block_search(k, by_fold, kinds), kinds)
-
-    found = search(_asked(parts.withColumn("reach", F.lit(None).cast("binary")), cells, k, by_fold))
-    found = stored(found.withColumn("rank", ranked).filter(F.col("rank") <= k), "found")
-    # The k-th distance of each row, in the order of the part's rows.
-    reach = found.filter(F.col("rank") == k).groupBy("part").agg(F.collect_list(F.struct("row", "dist")).alias("_reach"))
-    again = parts.join(reach, "part", "left")
-    more = search(_asked(again, cells, k, by_fold))
-    ranks = found.drop("rank").unionByName(more).withColumn("rank", ranked)
-    return ranks.filter(F.col("rank") <= k).select(*result)
+    asking = asking.join(F.broadcast(sizes), "group").withColumn("part", F.col("_first") + sub)
+    return asking, max(1, count)
 
 
 def _summary(known: DataFrame, centres: np.ndarray, block_rows: int, by_fold: bool) -> Cells:
@@ -252,89 +281,155 @@ def _summary(known: DataFrame, centres: np.ndarray, block_rows: int, by_fold: bo
 
 
 def _asked(parts: DataFrame, cells: Cells, k: int, by_fold: bool) -> DataFrame:
-    """Test rows by the blocks they ask for, in the first round or, with ``_reach``, in the second."""
+    """Blocks that parts ask for and for which of their rows, in the first round or, with ``_reach``, in the second."""
     again = "_reach" in parts.columns
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 fold = np.frombuffer(batch.column("fold")[i].as_py(), "<i4")
-                x = np.frombuffer(batch.column("vectors")[i].as_py()).reshape(len(fold), -1)
-                ids = _unpacked(batch.column("rest")[i].as_py())
-                reach = np.full(len(x), np.inf)
-                if again and batch.column("_reach")[i].is_valid:
-                    told = batch.column("_reach")[i].values
-                    reach[told.field("row").to_numpy()] = told.field("dist").to_numpy()
+                x = _vectors(batch.column("vectors")[i].as_py(), len(fold), cells.centres.shape[1])
+                reach = np.frombuffer(batch.column("_reach")[i].as_py()) if again else None
                 step = max(1, _CELLS // (4 * len(cells.centres)))
                 masks = []
                 for a in range(0, len(x), step):
                     part = x[a : a + step]
                     d, usable = cells.distances(part), cells.usable(fold[a : a + step], by_fold)
-                    mask = cells.first(d, usable, k)
                     if again:
-                        mask = cells.second(part, d, usable, reach[a : a + step]) & ~mask
-                    masks.append(mask)
+                        masks.append(cells.second(part, d, usable, reach[a : a + step]))
+                    else:
+                        masks.append(cells.first(d, usable, k))
                 mask = np.concatenate(masks)
                 for g in np.flatnonzero(mask.any(axis=0)).tolist():
-                    row = np.flatnonzero(mask[:, g])
-                    names = ["row", "vectors", "fold", "reach"]
-                    values = [row.astype("<i4"), x[row], fold[row], reach[row]]
-                    columns = {n: [v.tobytes()] for n, v in zip(names, values, strict=True)}
-                    columns["ids"] = [_packed(ids.take(pa.array(row)))]
-                    columns["part"] = batch.column("part")[i : i + 1]
+                    row = [np.flatnonzero(mask[:, g]).astype("<i4").tobytes()]
                     for block in range(int(cells.blocks[g])):
-                        at = {"group": pa.array([g], pa.int32()), "block": pa.array([block], pa.int32())}
-                        names = ["group", "block", "part", "row", "vectors", "fold", "reach", "ids"]
-                        yield pa.RecordBatch.from_pydict({n: (at | columns)[n] for n in names})
-
-    return parts.mapInArrow(ask, _ASKED)
-
-
-def _block_search(k: int, by_fold: bool, kinds: T.StructType):
-    """The k best rows of a block for each of the test rows that asked for it."""
+                        at = [pa.array([g], pa.int32()), pa.array([block], pa.int32()), batch.column("part")[i : i + 1]]
+                        yield pa.RecordBatch.from_arrays([*at, pa.array(row)], ["group", "block", "part", "row"])
+
+    wanted = ["part", "fold", "vectors", *(["_reach"] if again else [])]
+    return parts.select(wanted).mapInArrow(ask, _ASKED)
+
+
+class _Best:
+    """The best rows so far for each of a part's test rows, nearest first."""
+
+    def __init__(self, k: int, by_fold: bool, x: np.ndarray, fold: np.ndarray, ids: pa.Array, reach: np.ndarray):
+        self.k, self.by_fold, self.x, self.fold, self.ids, self.reach = k, by_fold, x, fold, ids, reach
+        self.dist = np.full((len(x), k), np.inf)
+        # Where a row is in the table of all that are among the best, with some that were.
+        self.at = np.zeros((len(x), k), np.int32)
+        self.rows, self.most = None, 0
+
+    def add(self, row: np.ndarray, known: np.ndarray, folds: np.ndarray, rest: pa.RecordBatch) -> None:
+        """Compares the test rows ``row`` with a block."""
+        for a in range(0, len(known), _STEP_ROWS):
+            b = a + _STEP_ROWS
+            self._add(row, known[a:b], folds[a:b], pa.Table.from_batches([rest.slice(a, _STEP_ROWS)]))
+
+    def _add(self, rows: np.ndarray, known: np.ndarray, folds: np.ndarray, rest: pa.Table) -> None:
+        held = self.rows.num_rows if self.rows is not None else 0
+        both = pa.concat_tables([self.rows, rest]) if held else rest
+        place = _places(both.column("train_id"))
+        squares = (known * known).sum(axis=1)
+        most = math.sqrt(squares.max())
+        step = max(1, _CELLS // len(known))
+        for a in range(0, len(rows), step):
+            row = rows[a : a + step]
+            part = self.x[row]
+            own = (part * part).sum(axis=1)
+            # One product gives all distances, good enough to choose from.
+            near = own[:, None] + squares - 2 * (part @ known.T)
+            near = np.sqrt(np.maximum(near, 0, out=near), out=near)
+            if self.by_fold:
+                near[self.fold[row, None] == folds] = np.inf
+            slack = _SLACK * (1 + np.sqrt(most * most + own))
+            bound = np.minimum(self.dist[row, -1], self.reach[row]) + slack
+            chosen = near <= bound[:, None]
+            many = np.flatnonzero(np.count_nonzero(chosen, axis=1) > self.k)
+            if len(many):
+                last = np.partition(near[many], self.k - 1, axis=1)[:, self.k - 1] + slack[many]
+                chosen[many] = near[many] <= np.minimum(bound[many], last)[:, None]
+            chosen &= near < np.inf
+            test, train = np.nonzero(chosen)
+            if len(test):
+                self._keep(row, test, _exact(known, train, part, test), train + held, place)
+        self.rows = both
+        if both.num_rows > self.most:
+            used, at = np.unique(np.where(self.dist < np.inf, self.at, 0), return_inverse=True)
+            self.at, self.rows = at.reshape(self.dist.shape).astype(np.int32), both.take(pa.array(used)).combine_chunks()
+            self.most = 2 * len(used) + 4 * _STEP_ROWS
+
+    def _keep(self, row: np.ndarray, test: np.ndarray, dist: np.ndarray, at: np.ndarray, place: np.ndarray) -> None:
+        """Merges new rows into the best of those test rows that have some."""
+        own, which = np.unique(test, return_inverse=True)
+        old, k = row[own], self.k
+        test = np.concatenate([np.repeat(np.arange(len(own)), k), which])
+        dist = np.concatenate([self.dist[old].ravel(), dist])
+        at = np.concatenate([self.at[old].ravel(), at])
+        order = np.lexsort((place[at], dist, test))
+        test, dist, at = test[order], dist[order], at[order]
+        first = np.arange(len(test)) - np.searchsorted(test, test) < k
+        self.dist[old], self.at[old] = dist[first].reshape(-1, k), at[first].reshape(-1, k)
+
+    def found(self, names: list[str]) -> Iterator[pa.RecordBatch]:
+        """The best rows with their rank."""
+        step = max(1, _OUT_ROWS // self.k)
+        for a in range(0, len(self.x), step):
+            test, rank = np.nonzero(self.dist[a : a + step] < np.inf)
+            if len(test):
+                taken = self.rows.take(pa.array(self.at[a : a + step][test, rank])).combine_chunks().to_batches()[0]
+                columns = [self.ids.take(pa.array(test + a)), pa.array((rank + 1).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(self.dist[a : a + step][test, rank]), *taken.columns], names
+                )
+
+
+def _places(keys: pa.ChunkedArray) -> np.ndarray:
+    """Numbers in the order of the keys."""
+    if pa.types.is_signed_integer(keys.type) and keys.null_count == 0:
+        return keys.to_numpy()
+    order = pa.compute.sort_indices(keys, null_placement="at_start").to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return place
+
+
+def _exact(known: np.ndarray, train: np.ndarray, part: np.ndarray, test: np.ndarray) -> np.ndarray:
+    """Rounded distances of pairs of rows."""
+    out, step = np.empty(len(test)), max(1, _CELLS // known.shape[1])
+    for a in range(0, len(test), step):
+        b = a + step
+        out[a:b] = np.sqrt(((known[train[a:b]] - part[test[a:b]]) ** 2).sum(axis=1))
+    return np.round(out, 6)
+
+
+def _part_search(k: int, by_fold: bool, length: int, told: T.StructType | None, kinds: T.StructType):
+    """Neighbours of each part's rows or, with ``told``, only the distance of the k-th."""
     names = kinds.names
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, best = None, None
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if best is not None and told is None:
+                yield from best.found(names)
+            elif best is not None:
+                columns = [pa.array([part], pa.int64()), pa.array([best.dist[:, -1].tobytes()])]
+                yield pa.RecordBatch.from_arrays(columns, told.names)
+
         for batch in batches:
             for i in range(batch.num_rows):
-                pair = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                rest = _unpacked(pair["rest"])
-                known = np.frombuffer(pair["_vectors"]).reshape(rest.num_rows, -1)
-                folds = np.frombuffer(pair["_folds"], "<i4")
-                row, own = (np.frombuffer(pair[c], "<i4") for c in ("row", "fold"))
-                wanted = np.frombuffer(pair["vectors"]).reshape(len(row), -1)
-                reach = np.frombuffer(pair["reach"])
-                # Place of each training key in their order.
-                order = pa.compute.sort_indices(rest.column("train_id")).to_numpy()
-                place = np.empty(len(order), np.int64)
-                place[order] = np.arange(len(order))
-                squares = (known * known).sum(axis=1)
-                step = max(1, _CELLS // len(known))
-                tests, trains, dists = [], [], []
-                for a in range(0, len(wanted), step):
-                    part = wanted[a : a + step]
-                    # One product gives all distances, good enough to choose from.
-                    near = (part * part).sum(axis=1)[:, None] + squares - 2 * (part @ known.T)
-                    near = np.sqrt(np.maximum(near, 0))
-                    if by_fold:
-                        near[own[a : a + step, None] == folds] = np.inf
-                    last = min(k, near.shape[1]) - 1
-                    bound = np.minimum(np.partition(near, last, axis=1)[:, last], reach[a : a + step])
-                    scale = np.sqrt(squares.max() + (part * part).sum(axis=1))
-                    test, train = np.nonzero((near <= (bound + _SLACK * (1 + scale))[:, None]) & (near < np.inf))
-                    # The chosen ones exactly, best first.
-                    dist = np.round(np.sqrt(((known[train] - part[test]) ** 2).sum(axis=1)), 6)
-                    order = np.lexsort((place[train], dist, test))
-                    test, train, dist = test[order], train[order], dist[order]
-                    keep = np.arange(len(test)) - np.searchsorted(test, test) < k
-                    tests.append(test[keep] + a)
-                    trains.append(train[keep])
-                    dists.append(dist[keep])
-                test, train = pa.array(np.concatenate(tests)), pa.array(np.concatenate(trains))
-                ids, taken = _unpacked(pair["ids"]).column("test_id").take(test), rest.take(train)
-                columns = [pa.array(np.full(len(test), pair["part"])), pa.array(row).take(test), ids]
-                columns += [pa.array(np.concatenate(dists)), *taken.columns]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                fold = np.frombuffer(batch.column("fold")[i].as_py(), "<i4")
+                x = _vectors(batch.column("vectors")[i].as_py(), len(fold), length)
+                rest = _unpacked(batch.column("rest")[i].as_py())
+                if batch.column("group")[i].is_valid:
+                    best.add(np.frombuffer(batch.column("row")[i].as_py(), "<i4"), x, fold, rest)
+                    continue
+                yield from ended()
+                reach = batch.column("reach")[i].as_py()
+                reach = np.full(len(x), np.inf) if reach is None else np.frombuffer(reach)
+                part, best = batch.column("part")[i].as_py(), _Best(k, by_fold, x, fold, rest.column("test_id"), reach)
+        yield from ended()
 
     return search
 
@@ -349,6 +444,8 @@ def knn_classify(
     votes = neighbours.groupBy("test_id", label).agg(
         *[F.count_if(F.col("rank") <= k).alias(f"_{k}") for k in ks]
     )
+    # Dealt by row before there is a line for each k.
+    votes = votes.repartition("test_id")
     long = votes.select("test_id", label, _by_k(ks)).select("test_id", label, "_k.*")
     order = F.struct(F.col("value"), -F.col(label))
     return long.groupBy("test_id", "k").agg(F.max_by(label, order).alias("predicted"))

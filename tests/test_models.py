@@ -108,6 +108,27 @@ def test_rows_sent_grow_with_the_rows(spark):
     assert many[0] < 10 * 10_000
 
 
+def test_only_the_best_rows_leave_a_search(spark, monkeypatch):
+    """No table of candidates is written, and votes are dealt before there is a row for each k."""
+    rng = np.random.default_rng(2)
+    data = [(i, v.tolist(), int(i % 3), i % 5) for i, v in enumerate(rng.normal(size=(1500, 6)))]
+    rows = spark.createDataFrame(data, "id long, vector array<double>, label int, fold int")
+    kept, plain = {}, neighbours.stored
+
+    def counted(df, name="table"):
+        table = plain(df, name)
+        kept[name] = max(kept.get(name, 0), table.count())
+        return table
+
+    monkeypatch.setattr(neighbours, "stored", counted)
+    found = neighbours.nearest(rows, rows, 40, ["label"], fold="fold", block_rows=100)
+    assert max(kept.values()) <= 1500
+    assert found.count() == 1500 * 40
+    votes = neighbours.knn_classify(found, "label", (1, 20, 40))
+    plan = votes._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "Exchange" not in plan[: plan.index("Generate")]
+
+
 def test_votes_and_means(spark):
     near = spark.createDataFrame(
         [(1, 1, 2, 10.0), (1, 2, 3, 20.0), (1, 3, 3, 60.0)], "test_id int, rank int, label int, pips double"
