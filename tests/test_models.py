@@ -1,6 +1,9 @@
 """Neighbours against brute force, and the parts of a sweep."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +132,23 @@ def test_only_the_best_rows_leave_a_search(spark, monkeypatch):
     assert "Generate" in plan and "Exchange" not in plan[: plan.index("Generate")]
 
 
+def test_many_equal_rows_take_little_memory():
+    """A block of one vector: all its rows are as near as the k-th."""
+    known, x = np.ones((8192, 64)), np.zeros((256, 64))
+    rest = pa.RecordBatch.from_arrays([pa.array(np.arange(8192)[::-1].copy())], ["train_id"])
+    none = np.zeros(256, np.int32)
+    best = neighbours._Best(5, False, x, none, pa.array(np.arange(256)), np.full(256, np.inf))
+    tracemalloc.start()
+    for _ in range(2):
+        best.add(np.arange(256), known, np.zeros(8192, np.int32), rest)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6  # all pairs of vectors: 1,074 MB
+    rows = pa.Table.from_batches(best.found(["test_id", "rank", "dist", "train_id"])).to_pydict()
+    assert rows["train_id"] == [0, 0, 1, 1, 2] * 256 and rows["rank"] == [1, 2, 3, 4, 5] * 256
+    assert set(rows["dist"]) == {8.0}
+
+
 def test_votes_and_means(spark):
     near = spark.createDataFrame(
         [(1, 1, 2, 10.0), (1, 2, 3, 20.0), (1, 3, 3, 60.0)], "test_id int, rank int, label int, pips double"
