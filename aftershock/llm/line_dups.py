@@ -2,7 +2,7 @@
 
 A line is the set of its words.  Words are ordered by rarity, so two similar
 lines share some of a few rare words, their prefixes.  Lines meet by these words;
-pairs are thinned out by length, by the word's position and by a bit map of the
+pairs are thinned out by length, by the word's position and by parities of the
 words, and the rest is verified on all words.  Equal lines are one class from
 the start.  Words that many lines have in their prefix are first used to compare
 those lines with the earliest one; only lines without a match there are compared
@@ -94,9 +94,14 @@ def _packed(no: Column, n: Column, pos: Column) -> Column:
     )
 
 
-def _with_bit(bits: Column, t: Column) -> Column:
-    place = t.bitwiseAND(F.lit(63)).cast("int")
-    return bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
+def _parities(t: Column, half: int) -> Column:
+    """64 bits, each whether an odd number of the words has its place; unlike marks they don't fill up on long lines."""
+
+    def with_word(bits: Column, x: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+        return bits.bitwiseXOR(F.when(x.bitwiseAND(F.lit(64)) == 64 * half, bit).otherwise(F.lit(0).cast("long")))
+
+    return F.aggregate(t, F.lit(0).cast("long"), with_word)
 
 
 def find_repeated_lines(
@@ -112,9 +117,8 @@ def find_repeated_lines(
     # Lines with fewer words in common than this are not similar.
     least = F.ceil(n * percent / 100)
     shared = SHARED if percent > 50 else 1
-    # A map of 128 bits with one for each word, in two halves.
-    halves = F.filter("t", lambda t: t.bitwiseAND(F.lit(64)) == 0), F.filter("t", lambda t: t.bitwiseAND(F.lit(64)) != 0)
-    bits = [F.aggregate(half, F.lit(0).cast("long"), _with_bit) for half in halves]
+    # A map of 128 bits, in two halves.
+    bits = [_parities(F.col("t"), half) for half in (0, 1)]
     seen = store(
         # No filter here: it would be pushed below the words, which would be made twice.
         lines.select("id", "th", "no", _tokens(F.col("line"), levels).alias("t")).select(
@@ -135,36 +139,42 @@ def find_repeated_lines(
     copies = places.join(first, "c").filter("id <> first_id OR no <> first_no")
     copies = store(copies.select("row", "id", "th", "no"), "line-copies")
     reps = join_measured(seen, copies.select(F.col("row").alias("_row")), F.col("row") == F.col("_row"), "leftanti")
+    reps = store(reps, "line-firsts")
+    places = reps.select("row", "id", "th", "no")
+    similar = _Verifier(texts, places, levels, percent)
 
     # A line with fewer words is only similar to an equal one, and those are classes already.
-    posts = reps.filter(100 * F.col("n") >= percent * (F.col("n") + 1))
-    posts = posts.select("row", "id", "no", "n", "bits", "more", F.posexplode("prefix").alias("pos", "w"))
-    posts = posts.select("w", "row", "id", _packed(F.col("no"), F.col("n"), F.col("pos")).alias("at"), "bits", "more")
+    posting = reps.filter(100 * F.col("n") >= percent * (F.col("n") + 1))
+    posts = _posts(posting)
     crowds = posts.groupBy("w").agg(F.count(F.lit(1)).alias("many"), F.min("id").alias("head"))
     crowds = crowds.filter(F.col("many") > CROWD).select(F.col("w").alias("_w"), "head")
     crowds = store(crowds, "crowds")
-    places = reps.select("row", "id", "th", "no")
-    similar = _Verifier(texts, places, levels, percent)
 
-    as_earlier = {c: f"y_{c}" for c in posts.columns}
-    crowded = join_measured(posts, crowds, F.col("w") == F.col("_w")).drop("_w")
-    heads = crowded.filter("id = head").drop("head").withColumnsRenamed(as_earlier)
-    done = similar.later(_pairs(join_measured(crowded.filter("id > head").drop("head"), heads, _meet(percent)), shared))
-
-    # The others: one exchange serves both sides.
+    # One exchange serves both sides, here and below.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = posts.repartition(parts, "w")
-    settled = crowds.withColumn("_crowd", F.lit(True)).drop("head")
-    x = dealt.join(_few(settled), F.col("w") == F.col("_w"), "left").join(
-        _few(done.withColumnRenamed("row", "_row")), (F.col("row") == F.col("_row")) & F.col("_crowd"), "leftanti"
-    )
-    y = dealt.withColumnsRenamed(as_earlier)
-    done = done.unionByName(similar.later(_pairs(x.join(y, _meet(percent)), shared))).distinct()
+    as_earlier = {c: f"y_{c}" for c in posts.columns}
+    crowded = posts.repartition(parts, "w").join(_few(crowds), F.col("w") == F.col("_w")).drop("_w")
+    # Heads are the smallest ids; an equation would be a key of the join and part its exchange.
+    heads = crowded.filter("id <= head").drop("head").withColumnsRenamed(as_earlier)
+    done = similar.later(_pairs(crowded.filter("id > head").drop("head").join(heads, _meet(percent)), shared))
+
+    # The others; lines that are done have numbers below zero and are only the earlier ones.
+    known = posting.join(_few(done.withColumnRenamed("row", "_row")), F.col("row") == F.col("_row"), "left")
+    known = known.withColumn("row", F.when(F.col("_row").isNotNull(), -1 - F.col("row")).otherwise(F.col("row")))
+    dealt = _posts(known).repartition(parts, "w")
+    met = dealt.join(dealt.withColumnsRenamed(as_earlier), _meet(percent))
+    done = done.unionByName(similar.later(_pairs(met, shared)))
 
     later = places.join(done, "row").unionByName(copies)
     return store(later.select("id", "th", "no"), "repeated-lines")
 
 
+def _posts(lines: DataFrame) -> DataFrame:
+    """A row for each word of the lines' prefixes."""
+    posts = lines.select("row", "id", "no", "n", "bits", "more", F.posexplode("prefix").alias("pos", "w"))
+    return posts.select("w", "row", "id", _packed(F.col("no"), F.col("n"), F.col("pos")).alias("at"), "bits", "more")
+
+
 def _few(df: DataFrame) -> DataFrame:
     """A stored table, marked for broadcast if it is small."""
     return F.broadcast(df) if common.measured_bytes(df) <= FEW_BYTES else df
@@ -181,11 +191,12 @@ def _meet(percent: int) -> Column:
     place = 2 * _COUNT_BITS
     exact = f"{n} < {_MOST} AND {m} < {_MOST}"  # larger counts are not kept
     return F.expr(
-        f"w = y_w AND (y_id < id OR y_id = id AND y_at >> {place} < at >> {place})"
+        # A row below zero has its match; told by both sides, as a filter of one side would part their exchange.
+        f"w = y_w AND least(row, y_at) >= 0 AND (y_id < id OR y_id = id AND y_at >> {place} < at >> {place})"
         f" AND (NOT ({exact}) OR 100 * {n} >= {percent} * {m} AND 100 * {m} >= {percent} * {n}"
         # Before the shared word at most the smaller position is shared, from it on the shorter rest.
         f" AND {100 + percent} * (least({i}, {j}) + least({n} - {i}, {m} - {j})) >= {percent} * ({n} + {m})"
-        # Each differing bit is a word that only one line has.
+        # Each differing bit is at least one word that only one line has.
         f" AND {100 + percent} * (bit_count(bits ^ y_bits) + bit_count(more ^ y_more))"
         f" <= {100 - percent} * ({n} + {m}))"
     )
@@ -193,7 +204,8 @@ def _meet(percent: int) -> Column:
 
 def _pairs(met: DataFrame, shared: int) -> DataFrame:
     """Pairs that met by enough words: ``a`` and the earlier ``b``."""
-    met = met.groupBy(F.col("row").alias("a"), F.col("y_row").alias("b")).agg(F.count(F.lit(1)).alias("_met"))
+    earlier = F.greatest("y_row", -1 - F.col("y_row"))
+    met = met.groupBy(F.col("row").alias("a"), earlier.alias("b")).agg(F.count(F.lit(1)).alias("_met"))
     return met.filter(F.col("_met") >= shared).drop("_met")
 
 

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from aftershock.llm import near_dups
+from aftershock.llm import line_dups, near_dups
 from aftershock.llm.components import components
 from aftershock.llm.line_dups import drop_repeated_lines
 from aftershock.llm.near_dups import near_duplicates
@@ -204,3 +204,24 @@ def test_lines_alike_by_one_word(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "a b"), (3, "c b"), (4, "a c d")], "doc_id long, text string")
     found = {r["doc_id"]: r["removed_lines"] for r in drop_repeated_lines(docs, percent=50).collect()}
     assert found == {1: 0, 2: 1, 3: 0, 4: 0}
+
+
+def test_long_different_lines_do_not_meet(spark, monkeypatch):
+    """Lines of 200 words that share some rare ones; marks of so many words fill a map of 128 bits."""
+    rng = random.Random(11)
+    docs = []
+    for i in range(60):
+        rare = [f"r{rng.randrange(40)}" for _ in range(8)]
+        docs.append((i, " ".join(rare + [f"c{rng.randrange(600)}" for _ in range(230)])))
+    docs += [(100 + i, text + " more") for i, text in docs[:5]]
+    made, plain = [], line_dups._pairs
+
+    def counted(met, shared):
+        made.append(met.count())
+        return plain(met, shared)
+
+    monkeypatch.setattr(line_dups, "_pairs", counted)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert dropped(df) == expected_lines(docs)
+    assert sum(r[2] for r in dropped(df)) == 5
+    assert sum(made[:2]) < 400
