@@ -37,7 +37,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Pivots go to every task; beyond this many cells grow instead, and are cut into blocks.
 MOST_PIVOTS = 2048
 # Training rows of a block and test rows of a part, at most; a part keeps about so many neighbours.
-BLOCK_ROWS, PART_ROWS, PART_FOUND = 32768, 32768, 1 << 22
+BLOCK_ROWS, PART_ROWS, PART_FOUND = 8192, 32768, 1 << 22
 # So many parts of test rows, if there are as many rows.
 LEAST_PARTS = 24
 # Training rows that are compared at once, and neighbours that leave a task at once.

@@ -132,6 +132,23 @@ def test_only_the_best_rows_leave_a_search(spark, monkeypatch):
     assert "Generate" in plan and "Exchange" not in plan[: plan.index("Generate")]
 
 
+def test_blocks_of_many_rows_stay_small(spark, monkeypatch):
+    """Blocks have their full size on small tables already, so a task's memory does not grow on to larger ones."""
+    sizes, tiles = [], neighbours._tiles
+
+    def counted(rows, place, keep):
+        out = tiles(rows, place, keep)
+        if "block" in place:
+            sizes.extend(r[0] for r in out.selectExpr("length(fold) div 4").collect())
+        return out
+
+    monkeypatch.setattr(neighbours, "_tiles", counted)
+    rows = spark.range(20000).selectExpr("id", "array(cast(id % 100 AS double), cast(id AS double)) AS vector", "id % 7 AS y")
+    near = neighbours.nearest(rows.filter("id % 1000 = 0"), rows, 3, ["y"])
+    assert near.filter("rank = 1 AND dist = 0 AND test_id = train_id AND y = test_id % 7").count() == 20
+    assert sum(sizes) == 20000 and max(sizes) < 13000
+
+
 def test_many_equal_rows_take_little_memory():
     """A block of one vector: all its rows are as near as the k-th."""
     known, x = np.ones((8192, 64)), np.zeros((256, 64))
