@@ -28,6 +28,10 @@ _SPACES = r"[\x09-\x0D ]+"
 _HASH_BITS, _LENGTH_BITS = 48, 5
 # Bytes of a table that is sent to all tasks, at most.
 FEW_BYTES = 1 << 20
+# The same of maps that have a bit for each line or text.
+MARK_BYTES = 64 << 20
+# Bits for each text or line that is looked for, and bits of all at most.
+_SPARSE, _MOST_BITS = 16, 1 << 28
 # Words that two similar lines share in their prefixes, at least; one where different
 # lines can be similar by a single common word.
 SHARED = 2
@@ -57,13 +61,14 @@ def _tokens(line: Column, levels: list[int]) -> Column:
     level_of = F.from_json(F.lit(json.dumps(levels, separators=(",", ":"))), "array<tinyint>")
 
     def number(w: Column) -> Column:
-        short = F.shiftleft((F.lit(31) - F.least(F.length(w), F.lit(31))).cast("long"), _HASH_BITS)
+        short = F.shiftleft((F.lit(31) - F.least(F.octet_length(w), F.lit(31))).cast("long"), _HASH_BITS)
         return short.bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(mask)))
 
     def with_level(x: Column) -> Column:
         # The mask keeps the low bits, so this is the word's cell.
         level = F.get(level_of, x.bitwiseAND(F.lit(CELLS - 1)).cast("int")).cast("long")
-        return x.bitwiseOR(F.shiftleft(level, _HASH_BITS + _LENGTH_BITS))
+        # Never null, but only numbers that are known not to be are sorted without objects.
+        return x.bitwiseOR(F.shiftleft(F.coalesce(level, F.lit(0).cast("long")), _HASH_BITS + _LENGTH_BITS))
 
     empty = F.shiftleft(F.lit(31).cast("long"), _HASH_BITS).bitwiseOR(F.xxhash64(F.lit("")).bitwiseAND(F.lit(mask)))
     numbers = F.array_remove(F.array_distinct(F.transform(_words(line), number)), empty)
@@ -94,14 +99,36 @@ def _packed(no: Column, n: Column, pos: Column) -> Column:
     )
 
 
-def _parities(t: Column, half: int) -> Column:
-    """64 bits, each whether an odd number of the words has its place; unlike marks they don't fill up on long lines."""
+def _parities(t: Column) -> tuple[Column, Column]:
+    """2 x 64 bits, each whether an odd number of the words has its place; unlike marks they don't fill up on long lines."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
 
     def with_word(bits: Column, x: Column) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-        return bits.bitwiseXOR(F.when(x.bitwiseAND(F.lit(64)) == 64 * half, bit).otherwise(F.lit(0).cast("long")))
+        return bits.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int")))
 
-    return F.aggregate(t, F.lit(0).cast("long"), with_word)
+    # Both halves over each other, without the second half the first.
+    both = F.aggregate(t, none, with_word)
+    second = F.aggregate(F.filter(t, lambda x: x.bitwiseAND(F.lit(64)) != 0), none, with_word)
+    return both.bitwiseXOR(second), second
+
+
+def _marks(rows: DataFrame, number: Column) -> DataFrame:
+    """Maps with a bit for each number, which must be 0 or more; stored."""
+    rows = rows.select(F.bitmap_bucket_number(number).alias("_map_no"), F.bitmap_bit_position(number).alias("_bit"))
+    # A map is made in one task, or each task would send its own.
+    maps = rows.repartition("_map_no").groupBy("_map_no").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    return store(maps, "marks")
+
+
+def _with_mark(df: DataFrame, number: Column, marks: DataFrame) -> DataFrame:
+    """Adds ``_marked``, whether a row's number has a bit in ``marks``."""
+    if common.measured_bytes(marks) <= MARK_BYTES:
+        marks = F.broadcast(marks)
+    bit = F.bitmap_bit_position(number).cast("int")
+    byte = F.conv(F.hex(F.substring("_map", (F.shiftright(bit, 3) + 1), F.lit(1))), 16, 10).cast("int")
+    marked = F.call_function("shiftright", byte, bit.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1)) == 1
+    joined = df.join(marks, F.bitmap_bucket_number(number) == F.col("_map_no"), "left")
+    return joined.withColumn("_marked", F.coalesce(marked, F.lit(False))).drop("_map_no", "_map")
 
 
 def find_repeated_lines(
@@ -117,13 +144,12 @@ def find_repeated_lines(
     # Lines with fewer words in common than this are not similar.
     least = F.ceil(n * percent / 100)
     shared = SHARED if percent > 50 else 1
-    # A map of 128 bits, in two halves.
-    bits = [_parities(F.col("t"), half) for half in (0, 1)]
+    bits, more = _parities(F.col("t"))
     seen = store(
         # No filter here: it would be pushed below the words, which would be made twice.
         lines.select("id", "th", "no", _tokens(F.col("line"), levels).alias("t")).select(
             F.monotonically_increasing_id().alias("row"), "id", "th", "no",
-            F.xxhash64("t").alias("c"), n.alias("n"), bits[0].alias("bits"), bits[1].alias("more"),
+            F.xxhash64("t").alias("c"), n.alias("n"), bits.alias("bits"), more.alias("more"),
             # A shorter number of each word: two words of one number only meet in vain.
             F.transform(F.slice("t", 1, (n - least + shared).cast("int")), lambda t: F.hash(t)).alias("prefix"),
         ),
@@ -138,8 +164,9 @@ def find_repeated_lines(
     )
     copies = places.join(first, "c").filter("id <> first_id OR no <> first_no")
     copies = store(copies.select("row", "id", "th", "no"), "line-copies")
-    reps = join_measured(seen, copies.select(F.col("row").alias("_row")), F.col("row") == F.col("_row"), "leftanti")
-    reps = store(reps, "line-firsts")
+    # Lines are marked by a bit each, so the table of them stays where it is.
+    row = F.col("row")
+    reps = store(_with_mark(seen, row, _marks(copies, row)).filter("NOT _marked").drop("_marked"), "line-firsts")
     places = reps.select("row", "id", "th", "no")
     similar = _Verifier(texts, places, levels, percent)
 
@@ -159,14 +186,13 @@ def find_repeated_lines(
     done = similar.later(_pairs(crowded.filter("id > head").drop("head").join(heads, _meet(percent)), shared))
 
     # The others; lines that are done have numbers below zero and are only the earlier ones.
-    known = posting.join(_few(done.withColumnRenamed("row", "_row")), F.col("row") == F.col("_row"), "left")
-    known = known.withColumn("row", F.when(F.col("_row").isNotNull(), -1 - F.col("row")).otherwise(F.col("row")))
+    known = _with_mark(posting, row, _marks(done, row)).withColumn("row", F.when(F.col("_marked"), -1 - row).otherwise(row))
     dealt = _posts(known).repartition(parts, "w")
     met = dealt.join(dealt.withColumnsRenamed(as_earlier), _meet(percent))
     done = done.unionByName(similar.later(_pairs(met, shared)))
 
-    later = places.join(done, "row").unionByName(copies)
-    return store(later.select("id", "th", "no"), "repeated-lines")
+    later = _with_mark(places, row, _marks(done, row)).filter("_marked").select(*places.columns)
+    return store(later.unionByName(copies).select("id", "th", "no"), "repeated-lines")
 
 
 def _posts(lines: DataFrame) -> DataFrame:
@@ -218,16 +244,18 @@ class _Verifier:
     def later(self, pairs: DataFrame) -> DataFrame:
         """``row`` of the lines that are similar to an earlier one; stored."""
         pairs = store(pairs, "line-pairs")
-        wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
-        places = join_measured(self.places, wanted, F.col("row") == F.col("a"))
-        # One row for each text: its wanted lines.
-        places = places.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(
-            F.collect_list(F.struct("no", "a")).alias("_want")
-        )
-        rows = _lines(join_measured(self.texts, places, F.expr("id = _id AND th = _th")), "_want")
-        at = F.array_position("_want.no", F.col("no"))
-        rows = rows.withColumn("_at", at.cast("int")).filter("_at > 0")
-        rows = rows.select(F.element_at("_want.a", F.col("_at")).alias("a"), "line")
+        row = F.col("row")
+        wanted = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+        places = _with_mark(self.places, row, _marks(wanted, row)).filter("_marked")
+        # Rows of one id and text have the same lines.
+        places = store(places.groupBy("id", "th", "no").agg(F.min("row").alias("a")), "line-places")
+        # Few texts and lines that are not wanted pass; the join leaves them out.
+        bits = min(_MOST_BITS, 1 << (_SPARSE * places.count()).bit_length())
+        text = F.col("th").bitwiseAND(F.lit(bits - 1))
+        line = F.xxhash64("id", "th", "no").bitwiseAND(F.lit(bits - 1))
+        texts = _with_mark(self.texts, text, _marks(places.select("th").distinct(), text)).filter("_marked")
+        lines = _with_mark(_lines(texts, "id", "th"), line, _marks(places, line)).filter("_marked").drop("_marked")
+        rows = lines.join(places, ["id", "th", "no"]).select("a", "line")
         parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         full = rows.select("a", _tokens(F.col("line"), self.levels).alias("t")).repartition(parts, "a")
         other = full.withColumnsRenamed({"a": "b", "t": "u"})

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from aftershock.llm import line_dups, near_dups
 from aftershock.llm.components import components
@@ -225,3 +226,32 @@ def test_long_different_lines_do_not_meet(spark, monkeypatch):
     assert dropped(df) == expected_lines(docs)
     assert sum(r[2] for r in dropped(df)) == 5
     assert sum(made[:2]) < 400
+
+
+def test_texts_are_moved_once(spark, monkeypatch):
+    """Lines that are copies, done or wanted are told by bits; only the last join brings texts to their lines."""
+    rows = [(i, f"one two three four w{i} five six seven eight nine\nthe line number {i % 5} comes again and again here") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = sorted(map(tuple, line_dups.drop_repeated_lines(docs).collect()))
+    assert {r[0]: r[2] for r in expected}[0] == 0 and sum(r[2] for r in expected) > 35
+    moved, join = [], line_dups.join_measured
+
+    def counted(left, right, on, how="inner"):
+        moved.append(left.columns)
+        return join(left, right, on, how)
+
+    monkeypatch.setattr(line_dups, "join_measured", counted)
+    monkeypatch.setattr(line_dups, "FEW_BYTES", 0)  # as for tables too large to be sent
+    for most in (line_dups.MARK_BYTES, 0):
+        monkeypatch.setattr(line_dups, "MARK_BYTES", most, raising=False)
+        assert sorted(map(tuple, line_dups.drop_repeated_lines(docs).collect())) == expected
+    assert moved == [docs.columns] * 2
+
+
+def test_numbers_with_and_without_a_mark(spark):
+    numbers = [0, 1, 7, 8, 32767, 32768, 32769, 65536, (1 << 33) - 1, 1 << 33, (5 << 33) + 12345, 1 << 62]
+    marked = spark.createDataFrame([(n,) for n in numbers], "row long")
+    around = sorted({n + d for n in numbers for d in (-1, 0, 1, 8)} - {-1})
+    rows = spark.createDataFrame([(n,) for n in around], "row long")
+    told = line_dups._with_mark(rows, F.col("row"), line_dups._marks(marked.unionByName(marked), F.col("row")))
+    assert {r["row"] for r in told.filter("_marked").collect()} == set(numbers) and told.count() == len(around)
