@@ -1,12 +1,15 @@
 """Near-duplicate lines, removed by an exact set-similarity join in DataFrame functions.
 
-A line is the set of its words.  Words are ordered by rarity, so two similar
-lines share some of a few rare words, their prefixes.  Lines meet by these words;
-pairs are thinned out by length, by the word's position and by parities of the
-words, and the rest is verified on all words.  Equal lines are one class from
-the start.  Words that many lines have in their prefix are first used to compare
-those lines with the earliest one; only lines without a match there are compared
-with the others.
+A line is the set of its words.  Words are ordered by rarity; of each line the
+rarest ones, its prefix, are cut into pairs of neighbours in that order.  A word
+that only one of two lines has parts two pairs of its own line and one of the
+other's, so two similar lines share a pair if the prefixes are long enough
+(``_keys``).  Lines meet by these pairs, of which most belong to one line only and
+go first; pairs of lines are thinned out by length, by the words' position and by
+parities of the words, and the rest is verified on all words.  Equal lines are one
+class from the start.  Keys of many lines are first used to compare those lines
+with the earliest one; only lines without a match there are compared with the
+others.
 """
 
 from __future__ import annotations
@@ -22,57 +25,78 @@ from aftershock.llm.common import store
 
 # Counts of words are kept in as many cells.
 CELLS = 1 << 16
-# Prefix words with more lines than this are used with the earliest line first.
+# Keys with more lines than this are used with the earliest line first.
 CROWD = 8
-_SPACES = r"[\x09-\x0D ]+"
-_HASH_BITS, _LENGTH_BITS = 48, 5
+# White space beside blanks and the line feeds at which texts are cut.
+_SPACES = "\t\x0b\x0c\r"
+# Bits of the short number of a word, and of a key.
+_WORD_BITS, _KEY_BITS = 32, 40
+# Lines with fewer words have parities in 64 bits instead of 128.
+_LONG = 80
 # Bytes of a table that is sent to all tasks, at most.
 FEW_BYTES = 1 << 20
 # The same of maps that have a bit for each line or text.
 MARK_BYTES = 64 << 20
 # Bits for each text or line that is looked for, and bits of all at most.
 _SPARSE, _MOST_BITS = 16, 1 << 28
-# Words that two similar lines share in their prefixes, at least; one where different
-# lines can be similar by a single common word.
+# Words that two similar lines share in their prefixes, at least, where these are not cut
+# into pairs; one where different lines can be similar by a single common word.
 SHARED = 2
 # Numbers of words and of a line's place are kept in this many bits.
 _COUNT_BITS, _MOST = 16, (1 << 16) - 1
 
 
-def _words(text: Column) -> Column:
-    return F.split(F.lower(text), _SPACES)
-
-
-def word_levels(docs: DataFrame, text_col: str) -> list[int]:
-    """Binary logarithm of the count of the words in each cell, over all texts."""
-    words = docs.select(F.explode(_words(F.col(text_col))).alias("w"))
-    cell = F.pmod(F.xxhash64("w"), F.lit(CELLS)).cast("int")
-    cells = words.groupBy(cell.alias("cell")).count().collect()  # at most CELLS rows
+def word_levels(lines: DataFrame) -> list[int]:
+    """Binary logarithm of the number of lines with the words in each cell; ``t`` has a line's words."""
+    words = lines.select(F.explode("t").alias("w"))
+    cells = words.groupBy(_cell(F.col("w")).alias("cell")).count().collect()  # at most CELLS rows
     levels = [0] * CELLS
     for cell, n in cells:
         levels[cell] = int(math.log2(n))
     return levels
 
 
-def _tokens(line: Column, levels: list[int]) -> Column:
-    """Sorted numbers of a line's distinct words: rare words first, of equal ones the longer."""
-    mask = (1 << _HASH_BITS) - 1
+def _cell(word: Column) -> Column:
+    return word.bitwiseAND(F.lit(CELLS - 1))
+
+
+def _words(line: Column) -> Column:
+    """Sorted numbers of 64 bits of a line's distinct words; of white space the line has blanks only."""
+    # Java parts strings at a single blank without a pattern; none of its parts is null.
+    numbers = F.transform(F.split(F.lower(line), " "), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_remove(F.array_distinct(numbers), F.xxhash64(F.lit(""))))
+
+
+def _rare_first(t: Column, levels: list[int]) -> Column:
+    """A line's short numbers with their levels, rare words first."""
     # A text that becomes one constant array when the query is planned.
     level_of = F.from_json(F.lit(json.dumps(levels, separators=(",", ":"))), "array<tinyint>")
-
-    def number(w: Column) -> Column:
-        short = F.shiftleft((F.lit(31) - F.least(F.octet_length(w), F.lit(31))).cast("long"), _HASH_BITS)
-        return short.bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(mask)))
+    mask = F.lit((1 << _WORD_BITS) - 1)
 
     def with_level(x: Column) -> Column:
-        # The mask keeps the low bits, so this is the word's cell.
-        level = F.get(level_of, x.bitwiseAND(F.lit(CELLS - 1)).cast("int")).cast("long")
+        level = F.get(level_of, _cell(x)).cast("long")
         # Never null, but only numbers that are known not to be are sorted without objects.
-        return x.bitwiseOR(F.shiftleft(F.coalesce(level, F.lit(0).cast("long")), _HASH_BITS + _LENGTH_BITS))
+        return F.shiftleft(F.coalesce(level, F.lit(0).cast("long")), _WORD_BITS).bitwiseOR(x.cast("long").bitwiseAND(mask))
 
-    empty = F.shiftleft(F.lit(31).cast("long"), _HASH_BITS).bitwiseOR(F.xxhash64(F.lit("")).bitwiseAND(F.lit(mask)))
-    numbers = F.array_remove(F.array_distinct(F.transform(_words(line), number)), empty)
-    return F.sort_array(F.transform(numbers, with_level))
+    return F.sort_array(F.transform(t, with_level))
+
+
+def _keys(words: Column, n: Column, percent: int) -> tuple[Column, int]:
+    """Keys of a line of ``n`` words, rare ones first, and how many of them similar lines share, at least.
+
+    If ``a`` of a line's words are missing in a similar one, which has ``b`` others, then
+    (100 - percent) n >= 100 a + percent b, so at most 2 a + b <= (100 - percent) n / 50 pairs of
+    neighbours are parted, and the next one is shared.  Lines have that many pairs if common
+    words are more than twice the others; else keys are single words.
+    """
+    key = lambda *x: F.xxhash64(*x).bitwiseAND(F.lit((1 << _KEY_BITS) - 1))
+    if 3 * percent > 200:
+        k = F.least(n - 1, F.floor(n * (100 - percent) / 50).cast("int") + 1)
+        return F.zip_with(F.slice(words, 1, k), F.slice(words, 2, k), lambda x, y: key(x, y)), 1
+    shared = SHARED if percent > 50 else 1
+    # Lines with fewer words in common than this are not similar.
+    least = F.ceil(n * percent / 100)
+    return F.transform(F.slice(words, 1, (n - least + shared).cast("int")), lambda x: key(x)), shared
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -85,8 +109,12 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _lines(texts: DataFrame, *keep: str) -> DataFrame:
-    """``no`` and ``line`` beside other columns; no line of null texts."""
-    return texts.select(*keep, F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    """``no`` and ``line``, with blanks for other white space, beside other columns; no line of null texts."""
+    text, blank = F.col("text"), F.lit(False)
+    for space in _SPACES:
+        blank = blank | F.contains(text, F.lit(space))
+    text = F.when(blank, F.regexp_replace(text, f"[{_SPACES}]", " ")).otherwise(text)
+    return texts.select(*keep, F.posexplode(F.split(text, "\n")).alias("no", "line"))
 
 
 def _packed(no: Column, n: Column, pos: Column) -> Column:
@@ -100,16 +128,18 @@ def _packed(no: Column, n: Column, pos: Column) -> Column:
 
 
 def _parities(t: Column) -> tuple[Column, Column]:
-    """2 x 64 bits, each whether an odd number of the words has its place; unlike marks they don't fill up on long lines."""
+    """2 x 64 bits, each whether an odd number of the words has its place; unlike marks they don't fill up on long lines.
+
+    Both halves over each other are the parities in 64 bits, and these, beside 0, are all that short lines have.
+    """
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
 
     def with_word(bits: Column, x: Column) -> Column:
         return bits.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int")))
 
-    # Both halves over each other, without the second half the first.
     both = F.aggregate(t, none, with_word)
     second = F.aggregate(F.filter(t, lambda x: x.bitwiseAND(F.lit(64)) != 0), none, with_word)
-    return both.bitwiseXOR(second), second
+    return both, F.when(F.size(t) >= _LONG, second).otherwise(none)
 
 
 def _marks(rows: DataFrame, number: Column) -> DataFrame:
@@ -138,23 +168,20 @@ def find_repeated_lines(
     plain = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")
     )
-    levels = word_levels(plain, "text")
-    texts, n = _texts(plain), F.size("t")
-    lines = _lines(texts, "id", "th")
-    # Lines with fewer words in common than this are not similar.
-    least = F.ceil(n * percent / 100)
-    shared = SHARED if percent > 50 else 1
-    bits, more = _parities(F.col("t"))
-    seen = store(
+    texts, n = _texts(plain), F.size("s")
+    both, second = _parities(F.col("s"))
+    lines = store(
         # No filter here: it would be pushed below the words, which would be made twice.
-        lines.select("id", "th", "no", _tokens(F.col("line"), levels).alias("t")).select(
+        _lines(texts, "id", "th").select("id", "th", "no", _words(F.col("line")).alias("s")).select(
             F.monotonically_increasing_id().alias("row"), "id", "th", "no",
-            F.xxhash64("t").alias("c"), n.alias("n"), bits.alias("bits"), more.alias("more"),
+            F.xxhash64("s").alias("c"), n.alias("n"), both.alias("bits"), second.alias("more"),
             # A shorter number of each word: two words of one number only meet in vain.
-            F.transform(F.slice("t", 1, (n - least + shared).cast("int")), lambda t: F.hash(t)).alias("prefix"),
+            F.transform("s", lambda x: F.shiftright(x, 64 - _WORD_BITS).cast("int")).alias("t"),
         ),
         "lines",
-    ).filter(F.col("n") >= min_words)
+    )
+    levels = word_levels(lines)
+    seen = lines.filter(F.col("n") >= min_words)
 
     # Classes of lines with equal words, at their first place.
     places = seen.select("c", "row", "id", "th", "no")
@@ -164,21 +191,21 @@ def find_repeated_lines(
     )
     copies = places.join(first, "c").filter("id <> first_id OR no <> first_no")
     copies = store(copies.select("row", "id", "th", "no"), "line-copies")
-    # Lines are marked by a bit each, so the table of them stays where it is.
-    row = F.col("row")
-    reps = store(_with_mark(seen, row, _marks(copies, row)).filter("NOT _marked").drop("_marked"), "line-firsts")
-    places = reps.select("row", "id", "th", "no")
-    similar = _Verifier(texts, places, levels, percent)
+    places, row = seen.select("row", "id", "th", "no"), F.col("row")
+    similar = _Verifier(texts, places, percent)
 
+    # Lines are marked by a bit each, so the table of them stays where it is.
+    firsts = _with_mark(seen, row, _marks(copies, row)).filter("NOT _marked")
     # A line with fewer words is only similar to an equal one, and those are classes already.
-    posting = reps.filter(100 * F.col("n") >= percent * (F.col("n") + 1))
-    posts = _posts(posting)
+    posting = firsts.filter(100 * F.col("n") >= percent * (F.col("n") + 1))
+    posts, shared = _posts(posting, seen, levels, percent)
+    posts = store(posts, "posts")
     crowds = posts.groupBy("w").agg(F.count(F.lit(1)).alias("many"), F.min("id").alias("head"))
     crowds = crowds.filter(F.col("many") > CROWD).select(F.col("w").alias("_w"), "head")
     crowds = store(crowds, "crowds")
 
     # One exchange serves both sides, here and below.
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = _parts(docs)
     as_earlier = {c: f"y_{c}" for c in posts.columns}
     crowded = posts.repartition(parts, "w").join(_few(crowds), F.col("w") == F.col("_w")).drop("_w")
     # Heads are the smallest ids; an equation would be a key of the join and part its exchange.
@@ -186,8 +213,8 @@ def find_repeated_lines(
     done = similar.later(_pairs(crowded.filter("id > head").drop("head").join(heads, _meet(percent)), shared))
 
     # The others; lines that are done have numbers below zero and are only the earlier ones.
-    known = _with_mark(posting, row, _marks(done, row)).withColumn("row", F.when(F.col("_marked"), -1 - row).otherwise(row))
-    dealt = _posts(known).repartition(parts, "w")
+    known = _with_mark(posts, row, _marks(done, row)).withColumn("row", F.when(F.col("_marked"), -1 - row).otherwise(row))
+    dealt = known.drop("_marked").repartition(parts, "w")
     met = dealt.join(dealt.withColumnsRenamed(as_earlier), _meet(percent))
     done = done.unionByName(similar.later(_pairs(met, shared)))
 
@@ -195,10 +222,23 @@ def find_repeated_lines(
     return store(later.unionByName(copies).select("id", "th", "no"), "repeated-lines")
 
 
-def _posts(lines: DataFrame) -> DataFrame:
-    """A row for each word of the lines' prefixes."""
-    posts = lines.select("row", "id", "no", "n", "bits", "more", F.posexplode("prefix").alias("pos", "w"))
-    return posts.select("w", "row", "id", _packed(F.col("no"), F.col("n"), F.col("pos")).alias("at"), "bits", "more")
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _posts(lines: DataFrame, seen: DataFrame, levels: list[int], percent: int) -> tuple[DataFrame, int]:
+    """A row for each key of a line that another line of fitting length has too, and the keys that similar lines share."""
+    keys, shared = _keys(F.col("_words"), F.col("n"), percent)
+    words = lines.select("row", "n", _rare_first(F.col("t"), levels).alias("_words"))
+    posts = words.select("row", "n", F.posexplode(keys).alias("pos", "w"))
+    posts = posts.select("w", "row", _packed(F.lit(0), F.col("n"), F.col("pos")).alias("at"))
+    # Most keys belong to one line, so few rows are left, and only these get what the join of lines needs.
+    # Columns are told by the sides' names, as other columns would be another exchange.
+    fit = F.expr(f"x.w = y.w AND x.row <> y.row AND ({_fit(percent, 'x.', 'y.')})")
+    met = posts.alias("x").join(posts.alias("y"), fit, "left_semi")
+    met = met.join(seen.select("row", "id", "no", "bits", "more"), "row")
+    at = F.col("at").bitwiseOR(_packed(F.col("no"), F.lit(0), F.lit(0)))
+    return met.select("w", "row", "id", at.alias("at"), "bits", "more"), shared
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -210,21 +250,34 @@ def join_measured(left: DataFrame, right: DataFrame, on: Column, how: str = "inn
     return common.join_measured(left, right, on, how, FEW_BYTES)
 
 
+def _counts(side: str) -> tuple[str, str]:
+    """The line's number of words and the key's position."""
+    return f"({side}at >> {_COUNT_BITS} & {_MOST})", f"({side}at & {_MOST})"
+
+
+def _fit(percent: int, one: str = "", other: str = "y_") -> str:
+    """Whether two lines with a common key may be similar by their numbers of words; the names' prefixes tell them."""
+    (n, i), (m, j) = _counts(one), _counts(other)
+    return (
+        f"NOT ({n} < {_MOST} AND {m} < {_MOST})"  # larger counts are not kept
+        f" OR 100 * {n} >= {percent} * {m} AND 100 * {m} >= {percent} * {n}"
+        # Before the shared word at most the smaller position is shared, from it on the shorter rest.
+        f" AND {100 + percent} * (least({i}, {j}) + least({n} - {i}, {m} - {j})) >= {percent} * ({n} + {m})"
+    )
+
+
 def _meet(percent: int) -> Column:
     """Whether a post and another line's, with the prefix ``y_``, may show two similar lines, the other earlier."""
-    n, m = f"(at >> {_COUNT_BITS} & {_MOST})", f"(y_at >> {_COUNT_BITS} & {_MOST})"
-    i, j = f"(at & {_MOST})", f"(y_at & {_MOST})"
+    (n, _), (m, _) = _counts(""), _counts("y_")
     place = 2 * _COUNT_BITS
-    exact = f"{n} < {_MOST} AND {m} < {_MOST}"  # larger counts are not kept
     return F.expr(
         # A row below zero has its match; told by both sides, as a filter of one side would part their exchange.
         f"w = y_w AND least(row, y_at) >= 0 AND (y_id < id OR y_id = id AND y_at >> {place} < at >> {place})"
-        f" AND (NOT ({exact}) OR 100 * {n} >= {percent} * {m} AND 100 * {m} >= {percent} * {n}"
-        # Before the shared word at most the smaller position is shared, from it on the shorter rest.
-        f" AND {100 + percent} * (least({i}, {j}) + least({n} - {i}, {m} - {j})) >= {percent} * ({n} + {m})"
+        f" AND ({_fit(percent)})"
         # Each differing bit is at least one word that only one line has.
-        f" AND {100 + percent} * (bit_count(bits ^ y_bits) + bit_count(more ^ y_more))"
-        f" <= {100 - percent} * ({n} + {m}))"
+        f" AND (NOT ({n} < {_MOST} AND {m} < {_MOST}) OR {100 - percent} * ({n} + {m}) >= {100 + percent}"
+        f" * CASE WHEN least({n}, {m}) < {_LONG} THEN bit_count(bits ^ y_bits)"
+        f" ELSE bit_count(bits ^ y_bits ^ more ^ y_more) + bit_count(more ^ y_more) END)"
     )
 
 
@@ -238,8 +291,8 @@ def _pairs(met: DataFrame, shared: int) -> DataFrame:
 class _Verifier:
     """Compares lines on all words, made again from the texts."""
 
-    def __init__(self, texts: DataFrame, places: DataFrame, levels: list[int], percent: int):
-        self.texts, self.places, self.levels, self.percent = texts, places, levels, percent
+    def __init__(self, texts: DataFrame, places: DataFrame, percent: int):
+        self.texts, self.places, self.percent = texts, places, percent
 
     def later(self, pairs: DataFrame) -> DataFrame:
         """``row`` of the lines that are similar to an earlier one; stored."""
@@ -256,8 +309,7 @@ class _Verifier:
         texts = _with_mark(self.texts, text, _marks(places.select("th").distinct(), text)).filter("_marked")
         lines = _with_mark(_lines(texts, "id", "th"), line, _marks(places, line)).filter("_marked").drop("_marked")
         rows = lines.join(places, ["id", "th", "no"]).select("a", "line")
-        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        full = rows.select("a", _tokens(F.col("line"), self.levels).alias("t")).repartition(parts, "a")
+        full = rows.select("a", _words(F.col("line")).alias("t")).repartition(_parts(rows), "a")
         other = full.withColumnsRenamed({"a": "b", "t": "u"})
         both = F.size(F.array_intersect("t", "u"))
         alike = 100 * both >= self.percent * (F.size("t") + F.size("u") - both)

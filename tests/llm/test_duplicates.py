@@ -255,3 +255,39 @@ def test_numbers_with_and_without_a_mark(spark):
     rows = spark.createDataFrame([(n,) for n in around], "row long")
     told = line_dups._with_mark(rows, F.col("row"), line_dups._marks(marked.unionByName(marked), F.col("row")))
     assert {r["row"] for r in told.filter("_marked").collect()} == set(numbers) and told.count() == len(around)
+
+
+@pytest.mark.parametrize("percent", [67, 80, 90])
+def test_borderline_lines_share_a_key(spark, percent):
+    """As many words missing and added as the threshold allows, anywhere in the order of words; each pair is found."""
+    rng = random.Random(percent)
+    docs = []
+    for k in range(150):
+        n = rng.randint(4, 60)
+        words = [f"p{k}w{i}" for i in range(n)] if k % 2 else [f"w{i}" for i in rng.sample(range(10**6), n)]
+        a = rng.randint(0, (100 - percent) * n // 100)
+        b = ((100 - percent) * n - 100 * a) // percent
+        other = rng.sample(words, n - a) + [f"q{k}w{i}" for i in range(b)]
+        rng.shuffle(words)
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    removed = {r["doc_id"]: r["removed_lines"] for r in drop_repeated_lines(df, percent=percent).collect()}
+    assert removed == {i: i % 2 for i, _ in docs}
+
+
+def test_few_keys_of_different_lines_are_left(spark, monkeypatch):
+    """Lines of words that others have too, but not beside each other in the order of words."""
+    rng = random.Random(12)
+    docs = [(i, " ".join(f"w{x}" for x in rng.sample(range(3000), 20))) for i in range(400)]
+    docs += [(500 + i, text + " more") for i, text in docs[:5]]
+    stored, plain = {}, line_dups.store
+
+    def kept(df, name):
+        stored[name] = plain(df, name)
+        return stored[name]
+
+    monkeypatch.setattr(line_dups, "store", kept)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert dropped(df) == expected_lines(docs)
+    # Nine keys a line; those of the five and of few others.
+    assert 10 <= stored["posts"].count() < 400
