@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aftershock.llm.common import store
-from aftershock.llm.tiles import FOUND, HELD_CELLS, TILE_BYTES, best_of_tile, merge_best, pack, unpack
+from aftershock.llm.tiles import (
+    HELD_CELLS,
+    TILE_BYTES,
+    BestLists,
+    best_in_parts,
+    best_of_tile,
+    cells_of,
+    grid,
+    merge_best,
+    pack,
+)
 
 # Queries of a tile take a quarter of a tile's bytes, so both sides are copied alike.
 _QUERY_BYTES = TILE_BYTES // 4
@@ -19,8 +26,9 @@ _QUERY_BYTES = TILE_BYTES // 4
 def _products(q: np.ndarray, s: np.ndarray) -> np.ndarray:
     """Inner products of whole numbers, exact; beyond the range of long they stay at its ends."""
     bound = q.shape[1] * max(np.abs(q).max(initial=0), 1) * max(np.abs(s).max(initial=0), 1)
-    if bound < 2**53:
-        return q @ s.T  # every partial sum is a whole number that a double holds
+    for kind, most in ((np.float32, 2**24), (np.float64, 2**53)):
+        if bound < most:
+            return q.astype(kind) @ s.astype(kind).T  # every partial sum is a whole number that the type holds
     whole = [[[int(x) for x in row] for row in m] for m in (q, s)]
     big = np.array(whole[0], object) @ np.array(whole[1], object).T
     return np.clip(big, -(2**63), 2**63 - 1)
@@ -35,42 +43,25 @@ def top_products(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     queries.  Columns: ``uid`` (of the query row), ``query_id``, ``rank``,
     ``vec_id``, ``score``.  Empty tables give no rows.
 
-    Queries and rows are cut into tiles; every tile of rows meets every tile of
-    queries once, and only ``k`` rows a query leave a pair of tiles.
+    Queries and rows are cut into tiles; every tile of rows meets every query
+    once, and only ``k`` rows a query leave a part of the rows.
     """
     queries = store(queries.select("vec_id", "vec", F.monotonically_increasing_id().alias("uid")), "queries")
     rows = rows.select("vec_id", "vec", F.lit(0).cast("long").alias("uid"))
-    cells = rows.agg(F.sum(F.size("vec").cast("long"))).first()[0] or 0
-    buckets = max(1, -(-cells * 8 // TILE_BYTES))
-    query_tiles = pack(queries, bytes_of_tile=_QUERY_BYTES).select(
-        "dim", F.col("ids").alias("q_ids"), F.col("uids").alias("q_uids"), F.col("data").alias("q_data"),
-        F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"),
-    )
-    tiles = pack(rows, copies=k).withColumn("bucket", F.pmod(F.xxhash64("tile"), F.lit(buckets)).cast("int"))
-    pairs = tiles.join(query_tiles, ["dim", "bucket"])
+    cells, asked = cells_of(rows), queries.agg(F.count(F.lit(1)), F.sum(F.size("vec").cast("long"))).first()
+    parts, groups = grid(-(-cells * 8 // TILE_BYTES), cells, asked[1] or 0, asked[0] * k)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for pair in range(batch.num_rows):
-                row = {c: batch.column(c)[pair].as_py() for c in batch.schema.names}
-                ids, _, data = unpack(row["ids"], row["uids"], row["data"], row["dim"])
-                q_ids, q_uids, q = unpack(row["q_ids"], row["q_uids"], row["q_data"], row["dim"])
-                step = max(1, HELD_CELLS // len(ids))
-                for a in range(0, len(q_ids), step):
-                    near = _products(q[a : a + step], data)
-                    at, vec_ids, score = best_of_tile(
-                        near.astype(np.float64), lambda r, c, near=near: near[r, c], q_ids[a : a + step], ids, k, 0.0
-                    )
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(q_uids[a : a + step][at]), pa.array(q_ids[a : a + step][at]),
-                            pa.array(np.full(len(at), row["tile"])), pa.array(vec_ids),
-                            pa.array([int(x) for x in score], pa.int64()),
-                        ],
-                        ["uid", "query_id", "tile", "vec_id", "score"],
-                    )
+    def look(q: dict, tile: dict, best: BestLists) -> None:
+        step = max(1, HELD_CELLS // len(tile["ids"]))
+        for a in range(0, len(q["ids"]), step):
+            part = slice(a, a + step)
+            near = _products(q["data"][part], tile["data"])
+            at, ids, score = best_of_tile(
+                near if near.dtype.kind == "f" else near.astype(np.float64), lambda r, c, near=near: near[r, c].astype(np.int64),
+                q["ids"][part], tile["ids"], k, 0.0, best.least(part).astype(np.float64),
+            )
+            best.add(at + a, ids, score)
 
-    found = pairs.select("tile", "dim", "ids", "uids", "data", "q_ids", "q_uids", "q_data").mapInArrow(
-        search, FOUND.format("long")
-    )
-    return merge_best(found, k, buckets)
+    blocks = pack(queries, bytes_of_tile=_QUERY_BYTES)
+    found = best_in_parts(blocks, pack(rows, copies=k), parts, groups, look, k, "long")
+    return merge_best(found, k, parts)

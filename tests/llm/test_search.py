@@ -129,3 +129,45 @@ def test_a_walk_visits_every_leaf_once():
 def test_of_equal_vectors_the_smallest_ids_stay():
     ids, data = tiles.enough_copies(np.arange(9, -1, -1), np.ones((10, 2)), 2)
     assert ids.tolist() == [0, 1, 2]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_queries_of_products_do_not_pass_the_driver(spark, monkeypatch):
+    """Copies of queries for all parts of the rows are shuffled, however small Spark takes them to be."""
+    monkeypatch.setattr("aftershock.llm.top_products.TILE_BYTES", 16)
+    monkeypatch.setattr("aftershock.llm.tiles.GROUP_BYTES", 32)
+    df = odd_vectors(spark)
+    rows = vectors_of(df, "vec_id", "embedding")
+    found = top_products(rows.filter("vec_id % 50 = 0"), rows, 3)
+    assert "Broadcast" not in plan_of(found)
+    assert rows_of(found) == brute(kept(spark, df), 3, lambda x, y: int(np.dot(x, y)))
+
+
+def test_narrowed_vectors_come_back_bit_by_bit():
+    for data, width in (([[1, -32768]], 2), ([[0.5, 2.0**100]], 4), ([[-0.0, 1]], 4), ([[0.1, 1]], 8), ([[2.0**31 + 1]], 8)):
+        small = tiles.narrowed(np.array(data, np.float64))
+        assert small.itemsize == width
+        back = tiles.unpack(np.arange(1).tobytes(), np.arange(1).tobytes(), small.tobytes(), small.shape[1])[2]
+        assert back.tobytes() == np.array(data, np.float64).tobytes()
+
+
+def test_lists_keep_the_best_rows_of_all_tiles():
+    least = np.iinfo(np.int64).min
+    lists = tiles.BestLists(3, 2, np.int64)
+    lists.add(np.array([0, 0, 2]), np.array([9, 8, 1]), np.array([least, 5, 7]))
+    assert lists.least(slice(0, 3)).tolist() == [least] * 3 and lists.count.tolist() == [2, 0, 1]
+    lists.add(np.array([2, 0, 2, 0]), np.array([0, 3, 5, 8]), np.array([7, 5, 7, 5]))
+    assert lists.ids[0].tolist() == [3, 8] and lists.ids[2].tolist() == [0, 1]
+    assert lists.score[[0, 2]].tolist() == [[5, 5], [7, 7]] and lists.least(np.array([0])).tolist() == [5]
+
+
+def test_candidates_below_the_last_kept_score_are_left_out():
+    near = np.array([[3.0, 1.0, 2.0, 3.0], [0.0, 5.0, 4.0, 1.0]])
+    exact = near.copy()
+    at, ids, score = tiles.best_of_tile(
+        near, lambda r, c: exact[r, c], np.array([7, 20]), np.array([9, 7, 8, 7]), 2, 0.0, np.array([3.0, -np.inf])
+    )
+    assert (at.tolist(), ids.tolist(), score.tolist()) == ([0, 1, 1], [9, 7, 8], [3.0, 5.0, 4.0])
