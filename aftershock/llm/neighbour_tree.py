@@ -20,13 +20,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aftershock.llm.common import join_measured, store
-from aftershock.llm.tiles import FOUND, HELD_CELLS, TILE_BYTES, best_of_tile, enough_copies, matrices, merge_best, pack, unpack
+from aftershock.llm.tiles import (
+    FOUND,
+    HELD_CELLS,
+    TILE_BYTES,
+    BestLists,
+    best_in_parts,
+    best_of_tile,
+    enough_copies,
+    grid,
+    matrices,
+    merge_best,
+    pack,
+    unpack,
+)
 
 # Rows that a tree is fitted on, at most, and their bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 16_384, 32 << 20
 # Queries of the calibration, and the share of true neighbours it has to find.
 CALIBRATION_QUERIES, TARGET_RECALL = 200, 0.95
 BRANCHES, LEAF_ROWS, ROUNDS = 16, 256, 12
+# Of a block of queries; wanted: a bit for each leaf.
+_ASKED = ("ids", "uids", "data", "wanted")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -134,11 +149,15 @@ def _split(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndar
     return groups, centres[used]
 
 
-def _cosines(q: np.ndarray, s: np.ndarray):
+def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose largest component is one, and their lengths."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x, np.sqrt((x * x).sum(axis=1))
+
+
+def _cosines(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray]):
     """Scores by one product, and a function that gives them again row by row, alike for equal vectors."""
-    a, b = np.abs(q).max(axis=1, keepdims=True), np.abs(s).max(axis=1, keepdims=True)
-    q, s = q / a, s / b
-    q_size, s_size = np.sqrt((q * q).sum(axis=1)), np.sqrt((s * s).sum(axis=1))
+    (q, q_size), (s, s_size) = queries, rows
     near = (q @ s.T) / (q_size[:, None] * s_size[None, :])
     return near, lambda r, c: (q[r] * s[c]).sum(axis=1) / (q_size[r] * s_size[c])
 
@@ -158,6 +177,7 @@ def _sample(rows: DataFrame, n: int, dim: int) -> np.ndarray:
 
 def _scan(rows: DataFrame, queries: np.ndarray, k: int) -> DataFrame:
     """Exact neighbours of a bounded number of queries among all indexed rows, with their leaves."""
+    scaled = _scaled(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +185,7 @@ def _scan(rows: DataFrame, queries: np.ndarray, k: int) -> DataFrame:
             for at, data in matrices(batch):
                 few, data = enough_copies(ids[at], data, k)
                 leaf_of = dict(zip(ids[at].tolist(), leaf[at].tolist(), strict=True))
-                near, exact = _cosines(queries, data)
+                near, exact = _cosines(scaled, _scaled(data))
                 row, vec_ids, score = best_of_tile(near, exact, np.full(len(queries), -(2**63)), few, k, MARGIN)
                 leaves = [leaf_of[i] for i in vec_ids.tolist()]
                 yield pa.RecordBatch.from_arrays(
@@ -182,7 +202,7 @@ class NeighbourIndex:
     def __init__(self, rows: DataFrame, dim: int, n: int, k: int, target: float = TARGET_RECALL):
         own = rows.filter(F.size("vec") == dim)
         sample = _sample(own, n, dim)
-        self.tree, self.k = Tree.fit(sample), k
+        self.tree, self.k, self.dim = Tree.fit(sample), k, dim
         tree = self.tree
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,53 +228,53 @@ class NeighbourIndex:
         needed = needed[min(itself, len(needed) - 1) :]
         return int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))])
 
-    def search(self, queries: DataFrame) -> DataFrame:
-        """Best rows found for queries with ``uid``, ``vec_id``, ``vec`` and ``own``, per pair of tiles.
+    def parts(self, n_queries: int) -> tuple[int, int]:
+        """Parts of the rows and groups of so many queries."""
+        cells = int(self.held.sum()) * self.dim
+        return grid(-(-8 * cells // TILE_BYTES), cells, n_queries * self.dim, n_queries * self.k)
+
+    def search(self, queries: DataFrame, parts: int, groups: int) -> DataFrame:
+        """Best rows found in each part for queries with ``uid``, ``vec_id``, ``vec`` and ``own``.
 
         ``own`` is the number of rows that may have the query's id.
         """
-        tree, visited, held, most = self.tree, self.visited, self.held, self.k
+        tree, visited, held, k = self.tree, self.visited, self.held, self.k
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at, data in matrices(batch):
-                    leaves = tree.walks(data, visited, held, most + batch.column("own").to_numpy()[at])
-                    lists = pa.array(leaves, pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["uid", "vec_id", "vec", "leaves"])
-
-        walked = queries.select("uid", "vec_id", "vec", "own").mapInArrow(
-            walk, "uid long, vec_id long, vec array<double>, leaves array<int>"
-        )
-        asked = walked.select("uid", "vec_id", "vec", F.explode("leaves").alias("leaf")).sortWithinPartitions("leaf")
-        query_tiles = pack(asked, ("leaf",), TILE_BYTES // 4).select(
-            "leaf", F.col("ids").alias("q_ids"), F.col("uids").alias("q_uids"), F.col("data").alias("q_data")
-        )
+                for row in batch.to_pylist():
+                    _, _, data = unpack(row["ids"], row["uids"], row["data"], row["dim"])
+                    wanted = np.zeros((len(data), tree.leaves), bool)
+                    for at, leaves in enumerate(tree.walks(data, visited, held, k + np.frombuffer(row["own"], "<i8"))):
+                        wanted[at, leaves] = True
+                    row["wanted"] = np.packbits(wanted, axis=1).tobytes()
+                    columns = {"tile": pa.int64(), "dim": pa.int32()} | dict.fromkeys(_ASKED, pa.binary())
+                    yield pa.RecordBatch.from_pydict({c: pa.array([row[c]], kind) for c, kind in columns.items()})
+
+        schema = "tile long, dim int" + "".join(f", {c} binary" for c in _ASKED)
+        blocks = pack(queries, bytes_of_tile=TILE_BYTES // 4, more=("own",)).mapInArrow(walk, schema)
+
+        def look(q: dict, tile: dict, best: BestLists) -> None:
+            byte, bit = divmod(tile["leaf"], 8)
+            wanted = np.flatnonzero(q["wanted"][:, byte] & (128 >> bit))
+            rows, step = _scaled(tile["data"]), max(1, HELD_CELLS // len(tile["ids"]))
+            for a in range(0, len(wanted), step):
+                asked = wanted[a : a + step]
+                near, exact = _cosines(_scaled(q["data"][asked]), rows)
+                at, ids, score = best_of_tile(
+                    near, exact, q["ids"][asked], tile["ids"], k, MARGIN, best.least(asked)
+                )
+                best.add(asked[at], ids, score)
+
         rows = self.rows.withColumn("uid", F.lit(0).cast("long")).sortWithinPartitions("leaf")
         # One more copy of equal vectors, as the query's own row does not count.
-        pairs = pack(rows, ("leaf",), copies=self.k).join(query_tiles, "leaf")
-        k = self.k
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for pair in range(batch.num_rows):
-                    row = {c: batch.column(c)[pair].as_py() for c in batch.schema.names}
-                    ids, _, data = unpack(row["ids"], row["uids"], row["data"], row["dim"])
-                    q_ids, q_uids, q = unpack(row["q_ids"], row["q_uids"], row["q_data"], row["dim"])
-                    step = max(1, HELD_CELLS // len(ids))
-                    for a in range(0, len(q_ids), step):
-                        near, exact = _cosines(q[a : a + step], data)
-                        at, vec_ids, score = best_of_tile(near, exact, q_ids[a : a + step], ids, k, MARGIN)
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(q_uids[a : a + step][at]), pa.array(q_ids[a : a + step][at]),
-                                pa.array(np.full(len(at), row["tile"])), pa.array(vec_ids), pa.array(score),
-                            ],
-                            ["uid", "query_id", "tile", "vec_id", "score"],
-                        )
-
-        return pairs.select("tile", "dim", "ids", "uids", "data", "q_ids", "q_uids", "q_data").mapInArrow(
-            compare, FOUND.format("double")
-        )
+        tiles = pack(rows, ("leaf",), copies=k)
+        # Leaves lie one after the other over the parts, by their rows; the tiles of a leaf are dealt over its stretch.
+        ends = np.cumsum(held) * (parts / max(1, held.sum()))
+        first, width = (F.get(F.array(*map(F.lit, x.tolist())), "leaf") for x in (ends - np.diff(ends, prepend=0), np.diff(ends, prepend=0)))
+        along = F.pmod(F.xxhash64("tile"), F.lit(1 << 20)) / (1 << 20)
+        place = F.least(F.floor(first + width * along), F.lit(parts - 1))
+        return best_in_parts(blocks, tiles, parts, groups, look, k, "double", kinds={"wanted": "u1"}, place=place)
 
 
 def merge_rows(found: DataFrame, k: int) -> DataFrame:
@@ -282,13 +302,13 @@ def nearest_found(queries: DataFrame, rows: DataFrame, k: int, target: float = T
     queries = join_measured(queries, repeated, "vec_id", "left").withColumn("own", F.coalesce("own", F.lit(1)))
     queries = store(queries, "queries")
     found = queries.sparkSession.createDataFrame([], FOUND.format("double"))
-    lists = 1
+    lists, asked = 1, dict(map(tuple, queries.groupBy(F.size("vec")).count().collect()))
     # A table of vectors has one dimension, or few.
     for dim, n in rows.groupBy(F.size("vec")).count().collect():
         index = NeighbourIndex(rows, dim, n, k, target)
-        found = found.unionByName(index.search(queries.filter(F.size("vec") == dim)))
-        # Leaves beyond the calibrated number hold a row or more each, or give no list.
-        lists = max(lists, (index.visited + k) * (1 + n * dim * 8 // TILE_BYTES // index.tree.leaves))
+        parts, groups = index.parts(asked.get(dim, 0))
+        found = found.unionByName(index.search(queries.filter(F.size("vec") == dim), parts, groups))
+        lists = max(lists, parts)
     return merge_best(found, k, lists)
 
 

@@ -279,6 +279,7 @@ def best_in_parts(
     score: str,
     slots: int = 1,
     kinds: dict[str, str] | None = None,
+    place: Column | None = None,
 ) -> DataFrame:
     """Best lists of all queries in every part of the rows, as in ``FOUND``; ``tile`` is the part.
 
@@ -289,12 +290,14 @@ def best_in_parts(
     and the lists to add to, ``slots`` lists a query; the result's ``uid`` is
     ``uid * slots + slot``.  Both sides are shuffled: the copies of the queries
     grow with the rows too, and Spark, which does not know their size, would
-    else send them all through the driver.
+    else send them all through the driver.  ``place`` is a tile's part, if it
+    matters; tiles of one leaf that come one after the other are read as one.
     """
     blocks = blocks.withColumns({"_rows": F.lit(False), "_copy": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))})
     blocks = blocks.withColumn("_cell", _place(F.col("tile"), groups) * parts + F.col("_copy"))
     tiles = tiles.withColumns({"_rows": F.lit(True), "_copy": F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))})
-    tiles = tiles.withColumn("_cell", F.col("_copy") * parts + _place(F.col("tile"), parts))
+    part = _place(F.col("tile"), parts) if place is None else place
+    tiles = tiles.withColumn("_cell", F.col("_copy") * parts + part)
     both = blocks.unionByName(tiles, allowMissingColumns=True).drop("_copy", "tile", "part")
     order = ["_cell", "_rows", "dim", *(["leaf"] if "leaf" in both.columns else [])]
     both = both.repartitionById(parts * groups, F.col("_cell").cast("int")).sortWithinPartitions(*order)

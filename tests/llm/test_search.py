@@ -171,3 +171,21 @@ def test_candidates_below_the_last_kept_score_are_left_out():
         near, lambda r, c: exact[r, c], np.array([7, 20]), np.array([9, 7, 8, 7]), 2, 0.0, np.array([3.0, -np.inf])
     )
     assert (at.tolist(), ids.tolist(), score.tolist()) == ([0, 1, 1], [9, 7, 8], [3.0, 5.0, 4.0])
+
+
+def test_queries_of_the_tree_do_not_pass_the_driver(spark, monkeypatch):
+    """Many leaves, parts and groups: queries are shuffled, and every leaf of a walk is read."""
+    monkeypatch.setattr("aftershock.llm.neighbour_tree.LEAF_ROWS", 3)
+    monkeypatch.setattr("aftershock.llm.neighbour_tree.TILE_BYTES", 64)
+    monkeypatch.setattr("aftershock.llm.tiles.GROUP_BYTES", 64)
+    rng = np.random.default_rng(6)
+    vectors = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)))] + [(301, [1.0, 2.0]), (350, [2.0, 2.0])]
+    rows = spark.createDataFrame(vectors, "vec_id long, vec array<double>").repartition(3)
+    found = nearest_found(rows.filter("vec_id % 50 = 0"), rows, 3, target=1.0)
+    assert "Broadcast" not in plan_of(found)
+    vectors = [(i, np.array(v)) for i, v in vectors]
+    expected = brute(vectors, 3, lambda x, y: float((x * y).sum() / np.sqrt((x * x).sum() * (y * y).sum())))
+    got = {(q, r, i) for q, r, i, _ in rows_of(found)}
+    expected = {x[:3] for x in expected}
+    # All leaves that the sample's neighbours lie in are visited: near all true neighbours.
+    assert len(got) == len(expected) and len(got & expected) >= 0.9 * len(expected)
