@@ -18,14 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aftershock.llm.common import kept_in_worker, store
-from aftershock.llm.tiles import FOUND, TILE_BYTES, merge_best, pack, unpack
+from aftershock.llm.tiles import TILE_BYTES, BestLists, best_in_parts, cells_of, grid, merge_best, pack, unpack
 from aftershock.llm.top_products import _products
 
-# Bits of a component of an anchor, and anchors of a block.
-PLANES, BLOCK_ROWS = 8, 128
+# Bits of a component of an anchor.
+PLANES = 8
 # Anchor and row pairs that a task looks at at once.
-_CELLS = 1 << 19
-_CODED = "tile long, dim int, ids binary, labels binary, data binary, bits binary, align binary, rest binary"
+_CELLS, _FIRST_ROWS = 1 << 19, 256
+# ``uids`` are the labels.
+_CODED = "tile long, dim int, ids binary, uids binary, data binary, bits binary, align binary, rest binary"
+_KINDS = {"bits": "<u8", "align": "<f8", "rest": "<f8"}
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -64,78 +66,119 @@ def intervals(
     level = np.rint((turned - low) / step).astype(np.int64)
     rounded = low + step * level
     off = np.sqrt(((turned - rounded) ** 2).sum(axis=1))
-    summed = np.zeros((len(queries), len(bits)), np.int64)
-    for plane in range(PLANES):
-        words = _words((level >> plane) & 1 == 1)
-        for w in range(words.shape[1]):
-            ones = np.bitwise_count(words[:, w, None] & bits[None, :, w])
-            summed += ones.astype(np.int64) << plane
+    shape, most = (len(queries), len(bits)), dim * ((1 << PLANES) - 1)
+    summed = np.zeros(shape, np.uint16 if most < 1 << 16 else np.uint32)
+    both, ones = np.empty(shape, np.uint64), np.empty(shape, np.uint8)
+    for w in range(bits.shape[1]):
+        word, part = np.ascontiguousarray(bits[:, w]), np.zeros_like(summed)
+        for plane in reversed(range(PLANES)):
+            np.bitwise_and(_words((level >> plane) & 1 == 1)[:, w, None], word, out=both)
+            np.bitwise_count(both, out=ones)
+            part += part
+            part += ones
+        summed += part
     ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
     # Product of the rounded query with the code vector, whose components are one over root dim, with signs.
-    along = (2 * (low * ones + step * summed) - rounded.sum(axis=1, keepdims=True)) / np.sqrt(dim)
+    along = summed * (2 * step / np.sqrt(dim))
+    along += (2 * low / np.sqrt(dim)) * ones
+    along -= rounded.sum(axis=1, keepdims=True) / np.sqrt(dim)
     square = (queries * queries).sum(axis=1, keepdims=True)
-    across = np.sqrt(np.maximum(square - np.maximum(np.abs(along) - off[:, None], 0) ** 2, 0))
-    half = align * off[:, None] + rest * across
-    half += 1e-9 * (1 + np.sqrt(square) * (align + rest))  # rounding of the steps above
-    centre = align * along
-    return centre - half, centre + half
-
-
-def _kth_largest(values: np.ndarray, k: int) -> np.ndarray:
-    """Of each row the k-th largest value; the smallest possible one if there are fewer."""
-    n = values.shape[1]
-    if n < k:
-        return np.full(len(values), -np.inf if values.dtype.kind == "f" else np.iinfo(values.dtype).min)
-    return np.partition(values, n - k, axis=1)[:, n - k]
-
-
-def _scores(queries: np.ndarray, data: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Whole-number products of all queries with the wanted rows."""
-    out = np.full((len(queries), len(data)), np.iinfo(np.int64).min)
-    at = np.flatnonzero(wanted.any(axis=0))
-    if len(at):
-        out[:, at] = _products(queries, data[at]).astype(np.int64)
-    return out
-
-
-def _best(score: np.ndarray, allowed: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best ``k`` allowed columns of each row, equal scores to the smaller id."""
-    least = np.iinfo(np.int64).min
-    bound = _kth_largest(np.where(allowed, score, least), k)
-    rows, cols = np.nonzero(allowed & (score >= bound[:, None]))
-    order = np.lexsort((ids[cols], -score[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-    return rows[keep], cols[keep]
+    half = np.abs(along)
+    half -= off[:, None]
+    np.maximum(half, 0, out=half)
+    half *= half
+    np.subtract(square, half, out=half)
+    np.maximum(half, 0, out=half)
+    np.sqrt(half, out=half)
+    # What rounding of these steps takes: 1e-9 * (1 + sqrt(square) * (align + rest)).
+    slack = 1e-9 * np.sqrt(square)
+    half += slack
+    half *= rest
+    half += (off[:, None] + slack) * align
+    half += 1e-9
+    along *= align
+    lower = along - half
+    along += half
+    return lower, along
+
+
+def _best(
+    near: np.ndarray, product: np.ndarray, ids: np.ndarray, least: np.ndarray, most: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and scores from ``least`` to ``most`` of each row, cut to its best ``k`` if there are far more.
+
+    Rows that have ``near`` at minus infinity there do not count; it may be rounded, unlike ``product``.
+    """
+    lowest = np.maximum(least, np.iinfo(np.int64).min).astype(near.dtype)
+    may = (near >= lowest[:, None]) & (near <= most.astype(near.dtype)[:, None])
+    many = np.flatnonzero(np.count_nonzero(may, axis=1) > 4 * k)
+    if len(many):
+        n = near.shape[1]
+        kth = np.partition(np.where(may[many], near[many], -np.inf), n - k, axis=1)[:, n - k]
+        may[many] &= near[many] >= kth[:, None]
+    rows, cols = np.nonzero(may)
+    score = product[rows, cols].astype(np.int64)
+    keep = (score >= least[rows]) & (score <= most[rows])
+    return rows[keep], cols[keep], score[keep]
+
+
+def _near(product: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Products in floats, with minus infinity for those that do not count."""
+    near = np.array(product, product.dtype if product.dtype.kind == "f" else np.float64)
+    near[~own] = -np.inf
+    return near
 
 
 def positives_of(q: dict, tile: dict, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Best ``k`` rows of a tile with the anchor's label: anchor rows, slots, columns, scores."""
-    allowed = (q["label"][:, None] == tile["labels"]) & (q["vec_id"][:, None] != tile["ids"])
-    lower, upper = intervals(q["vec"], tile["bits"], tile["align"], tile["rest"])
-    bound = _kth_largest(np.where(allowed, lower, -np.inf), k)
-    allowed &= upper >= bound[:, None]
-    score = _scores(q["vec"], tile["data"], allowed)
-    rows, cols = _best(score, allowed, tile["ids"], k)
-    yield rows, np.zeros(len(rows), np.int64), cols, score[rows, cols]
+    """Best rows of a tile with the anchor's label: anchor rows, slots, columns, scores.
+
+    A row is scored if its score may reach the ``floor`` of an anchor, the last of its ``k`` best so far.
+    """
+    long = np.iinfo(np.int64)
+    for label in np.intersect1d(q["label"], tile["labels"]):
+        at, cols = np.flatnonzero(q["label"] == label), np.flatnonzero(tile["labels"] == label)
+        step = max(1, _CELLS // len(cols))
+        for a in range(0, len(at), step):
+            asked = at[a : a + step]
+            floor, queries = q["floor"][asked, 0], q["vec"][asked]
+            _, upper = intervals(queries, *(tile[c][cols] for c in ("bits", "align", "rest")))
+            wanted = cols[(upper >= _bound(floor)[:, None]).any(axis=0)]
+            product = _products(queries, tile["data"][wanted])
+            near = _near(product, q["vec_id"][asked, None] != tile["ids"][wanted])
+            rows, found, score = _best(near, product, tile["ids"][wanted], floor, np.full(len(asked), long.max), k)
+            yield asked[rows], np.zeros(len(rows), np.int64), wanted[found], score
 
 
 def negatives_of(q: dict, tile: dict, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Best ``k`` rows of a tile with another label in each of the anchor's windows, as above."""
-    other = (q["label"][:, None] != tile["labels"]) & (q["vec_id"][:, None] != tile["ids"])
-    lower, upper = intervals(q["vec"], tile["bits"], tile["align"], tile["rest"])
-    windows = []
-    for slot in range(q["least"].shape[1]):
-        least, most = q["least"][:, slot, None], q["most"][:, slot, None]
-        inside = other & (lower >= least) & (upper <= most)
-        # No row below k sure ones is among the first k.
-        bound = np.maximum(_kth_largest(np.where(inside, lower, -np.inf), k)[:, None], least)
-        windows.append(other & (upper >= bound) & (lower <= most))
-    score = _scores(q["vec"], tile["data"], np.logical_or.reduce(windows))
-    for slot, may in enumerate(windows):
-        fits = may & (score >= q["least"][:, slot, None]) & (score <= q["most"][:, slot, None])
-        rows, cols = _best(score, fits, tile["ids"], k)
-        yield rows, np.full(len(rows), slot), cols, score[rows, cols]
+    """Best rows of a tile with another label in each of the anchor's windows, as above."""
+    step = max(1, _CELLS // len(tile["ids"]))
+    for a in range(0, len(q["vec"]), step):
+        part = slice(a, a + step)
+        least, most = np.maximum(q["least"][part], q["floor"][part]), q["most"][part]
+        empty = least > most
+        # From the lowest to the highest score that any of the anchor's windows takes.
+        low = np.where(empty, np.inf, _bound(least)).min(axis=1, keepdims=True)
+        high = np.where(empty, -np.inf, most).max(axis=1, keepdims=True)
+        lower, upper = intervals(q["vec"][part], tile["bits"], tile["align"], tile["rest"])
+        wanted = np.flatnonzero(((upper >= low) & (lower <= high)).any(axis=0))
+        product = _products(q["vec"][part], tile["data"][wanted])
+        other = q["label"][part, None] != tile["labels"][wanted]
+        other &= q["vec_id"][part, None] != tile["ids"][wanted]
+        near = _near(product, other)
+        rows, found = np.nonzero((near >= low.astype(near.dtype)) & (near <= high.astype(near.dtype)) & other)
+        if len(rows) <= 8 * k * len(near):
+            score = product[rows, found].astype(np.int64)
+            at, slot = np.nonzero((score[:, None] >= least[rows]) & (score[:, None] <= most[rows]))
+            yield a + rows[at], slot, wanted[found[at]], score[at]
+            continue
+        for slot in range(least.shape[1]):
+            rows, found, score = _best(near, product, tile["ids"][wanted], least[:, slot], most[:, slot], k)
+            yield a + rows, np.full(len(rows), slot), wanted[found], score
+
+
+def _bound(score: np.ndarray) -> np.ndarray:
+    """Scores in doubles; the smallest long stands for any score."""
+    return np.where(score == np.iinfo(np.int64).min, -np.inf, score)
 
 
 def _coded(rows: DataFrame) -> DataFrame:
@@ -144,72 +187,41 @@ def _coded(rows: DataFrame) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, labels, data = unpack(row["ids"], row["uids"], row["data"], row["dim"])
-                bits, align, rest = code(data)
-                columns = [ids, labels, data, bits, align, rest]
-                names = ["ids", "labels", "data", "bits", "align", "rest"]
+                _, _, data = unpack(row["ids"], row["uids"], row["data"], row["dim"])
+                coded = zip(_KINDS, code(data), strict=True)
                 yield pa.RecordBatch.from_pydict(
                     {"tile": pa.array([row["tile"]], pa.int64()), "dim": pa.array([row["dim"]], pa.int32())}
-                    | {n: [np.ascontiguousarray(c).tobytes()] for n, c in zip(names, columns, strict=True)}
+                    | {c: [row[c]] for c in ("ids", "uids", "data")}
+                    | {c: [np.ascontiguousarray(x).tobytes()] for c, x in coded}
                 )
 
     tiles = pack(rows.select("vec_id", F.col("label").alias("uid"), "vec"))
     return store(tiles.select("tile", "dim", "ids", "uids", "data").mapInArrow(add, _CODED), "codes")
 
 
-def _search(tiles: DataFrame, buckets: int, anchors: DataFrame, slots: int, find, k: int) -> DataFrame:
-    """Best lists of ``anchors`` (``uid, vec_id, label, vec, least, most``) in every tile, merged.
+def _search(
+    tiles: DataFrame, parts: int, groups: int, anchors: DataFrame, slots: int, find, k: int, windows: tuple[str, ...] = ()
+) -> DataFrame:
+    """Best lists of ``anchors`` (``uid, vec_id, label, vec`` and ``windows``) over all tiles.
 
-    Every block of anchors meets every tile once.  The result's ``uid`` is
-    ``uid * slots + slot``.
+    Every anchor meets every tile once.  The result's ``uid`` is ``uid * slots + slot``.
     """
-    blocks = max(1, -(-anchors.count() // BLOCK_ROWS))
-    asked = (
-        anchors.groupBy(
-            F.size("vec").alias("dim"), F.pmod(F.xxhash64("uid"), F.lit(blocks)).alias("block")
-        )
-        .agg(F.collect_list(F.struct("uid", "vec_id", "label", "vec", "least", "most")).alias("anchors"))
-        .select("dim", "anchors", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
-    )
-    dealt = tiles.withColumn("bucket", F.pmod(F.xxhash64("tile"), F.lit(buckets)).cast("int"))
-    pairs = dealt.join(asked, ["dim", "bucket"]).drop("bucket")
+    blocks = pack(anchors, bytes_of_tile=TILE_BYTES // 4, more=("label", *windows))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                tile = _tile({c: batch.column(c)[i].as_py() for c in batch.schema.names if c != "anchors"})
-                q = _anchors(batch.column("anchors")[i].values)
-                step = max(1, _CELLS // len(tile["ids"]))
-                for a in range(0, len(q["uid"]), step):
-                    part = {name: x[a : a + step] for name, x in q.items()}
-                    for rows, slot, cols, score in find(part, tile, k):
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(part["uid"][rows] * slots + slot), pa.array(part["vec_id"][rows]),
-                                pa.array(np.full(len(rows), tile["tile"], np.int64)),
-                                pa.array(tile["ids"][cols]), pa.array(score),
-                            ],
-                            ["uid", "query_id", "tile", "vec_id", "score"],
-                        )
-
-    return merge_best(pairs.mapInArrow(run, FOUND.format("long")), k, buckets)
-
-
-def _tile(row: dict) -> dict:
-    ids, labels, data = unpack(row["ids"], row["labels"], row["data"], row["dim"])
-    return {
-        "tile": row["tile"], "ids": ids, "labels": labels, "data": data,
-        "bits": np.frombuffer(row["bits"], np.uint64).reshape(len(ids), -1),
-        "align": np.frombuffer(row["align"]), "rest": np.frombuffer(row["rest"]),
-    }
-
-
-def _anchors(rows: pa.StructArray) -> dict:
-    def matrix(name: str) -> np.ndarray:
-        return rows.field(name).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-
-    q = {c: rows.field(c).to_numpy(zero_copy_only=False) for c in ("uid", "vec_id", "label")}
-    return q | {c: matrix(c) for c in ("vec", "least", "most")}
+    def look(q: dict, rows: dict, best: BestLists) -> None:
+        tile = {"ids": rows["ids"], "labels": rows["uids"], "data": rows["data"], "bits": rows["bits"]}
+        tile |= {c: rows[c][:, 0] for c in ("align", "rest")}
+        asked = {"vec_id": q["ids"], "label": q["label"][:, 0], "vec": q["data"]} | {c: q[c] for c in windows}
+        # While lists are not full, few rows at a time, as full ones spare most of the others.
+        a, n = 0, len(tile["ids"]) if (best.count == k).all() else _FIRST_ROWS
+        while a < len(tile["ids"]):
+            part = {c: x[a : a + n] for c, x in tile.items()}
+            floor = best.least(slice(0, len(q["ids"]) * slots)).reshape(-1, slots)
+            for at, slot, cols, score in find(asked | {"floor": floor}, part, k):
+                best.add(at * slots + slot, part["ids"][cols], score)
+            a, n = a + n, 2 * n
+
+    return merge_best(best_in_parts(blocks, tiles, parts, groups, look, k, "long", slots, _KINDS), k, parts)
 
 
 def hard_negatives(
@@ -238,13 +250,12 @@ def hard_negatives(
     columns = ["vec_id", "label", "vec"]
     asked = store(anchors.select(F.monotonically_increasing_id().alias("uid"), *columns), "anchors")
     rows = rows.select(columns)
-    cells = rows.agg(F.sum(F.size("vec").cast("long"))).first()[0] or 0
-    buckets = max(1, -(-cells * 8 // TILE_BYTES))
+    cells, own = cells_of(rows), asked.agg(F.count(F.lit(1)), F.sum(F.size("vec").cast("long"))).first()
+    row_tiles = -(-cells * 8 // TILE_BYTES)
     tiles = _coded(rows)
 
-    none = F.array().cast("array<long>")
-    first = asked.withColumns({"least": none, "most": none})
-    found = _search(tiles, buckets, first, 1, positives_of, positives)
+    size = grid(row_tiles, cells, own[1] or 0, own[0] * positives)
+    found = _search(tiles, *size, asked, 1, positives_of, positives)
     found = store(found.withColumnsRenamed({"vec_id": "positive_id", "score": "positive_score"}), "positives")
 
     # Bounds of each anchor's windows by the positive's rank; without a positive an empty window.
@@ -258,7 +269,8 @@ def hard_negatives(
         bound(f"floor((cast({high_percent} as decimal(38,0)) * positive_score) / 100)", 0).alias("most"),
     )
     second = store(asked.join(windows, "uid"), "anchors")
-    negative = _search(tiles, buckets, second, positives, negatives_of, negatives).select(
+    size = grid(row_tiles, cells, own[1] or 0, own[0] * positives * negatives)
+    negative = _search(tiles, *size, second, positives, negatives_of, negatives, ("least", "most")).select(
         F.expr(f"uid div {positives}").alias("uid"), F.expr(f"uid % {positives}").alias("_slot"),
         F.col("rank").alias("_rank"), F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"),
     )

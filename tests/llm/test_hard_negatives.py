@@ -80,3 +80,20 @@ def test_query_leaves_out_rows_without_label_or_vector(spark, tmp_path):
     got = sorted(map(tuple, op13_hard_negatives(spark, str(tmp_path)).collect()))
     # Row 7 gets label 2.
     assert got == [(100, 1, 1, 2, 24576, 16384), (100, 1, 2, 7, 24576, 12288)]
+
+
+@pytest.mark.parametrize("group", [1, 200])
+def test_anchors_do_not_pass_the_driver(spark, monkeypatch, group):
+    """Copies of anchors for all parts of the rows are shuffled; parts have several tiles, groups several blocks."""
+    monkeypatch.setattr("aftershock.llm.hard_negatives.TILE_BYTES", 64)
+    monkeypatch.setattr("aftershock.llm.tiles.GROUP_BYTES", group)
+    monkeypatch.setattr("aftershock.llm.tiles.LEAST_PARTS", 2)
+    rng = np.random.default_rng(4)
+    rows = [(i, int(rng.integers(3)), rng.integers(-4, 9, 3).astype(float).tolist()) for i in range(120)]
+    rows += [(200 + i, i % 2, [4.0, 1.0]) for i in range(6)]
+    anchors = [r for r in rows if r[0] % 20 == 0]
+    df = hard_negatives(frame(spark, anchors), frame(spark, rows), 3, 4)
+    assert sorted(map(tuple, df.collect())) == brute(rows, anchors, 3, 4)
+    # Of the last join only the positives, a stored table, may be sent to all tasks.
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and not [x for x in plan.splitlines() if "Join" in x and "dim#" in x]
